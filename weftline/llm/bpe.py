@@ -44,14 +44,10 @@ def id_to_piece(path: str) -> list[bytes]:
     return out
 
 
-def _texts(packs: pa.Table) -> tuple[list, list[str]]:
-    """Ids and texts of a block."""
-    keys: list = []
-    texts: list[str] = []
-    for part in unpacked(packs):
-        keys += part.column(0).to_pylist()
-        texts += [x or "" for x in part.column(1).to_pylist()]
-    return keys, texts
+def _texts(packs: pa.Table) -> tuple[pa.Table, list[str]]:
+    """A block's rows without their texts, and the texts; the text is the second column."""
+    whole = pa.concat_tables(unpacked(packs))
+    return whole.remove_column(1), [x or "" for x in whole.column(1).to_pylist()]
 
 
 def _words(texts: list[str]) -> list[str]:
@@ -90,15 +86,14 @@ def encoded_words(words: DataFrame, path: str) -> DataFrame:
     return words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block int, place int, ids binary")
 
 
-def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", texts: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """key, n_tokens, ids_sha256 and decoded_sha256 of each row; with texts also ids (array<int>) and decoded."""
-    packs = packed(docs, block_count(docs.select(F.col(text).alias("text")), block_bytes), key, text)
-    kind = docs.schema[key].dataType.simpleString()
+def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), texts: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """key, the columns to keep, n_tokens, ids_sha256 and decoded_sha256 of each row; with texts also ids (array<int>) and decoded."""
+    packs = packed(docs, block_count(docs.select(F.col(text).alias("text")), block_bytes), key, text, *keep)
     found = encoded_words(word_table(packs), path)
     fields = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>", "decoded": "string"} if texts else {})
 
     def assemble(key_, packs, ids):
-        keys, raw = _texts(packs)
+        rows, raw = _texts(packs)
         piece = id_to_piece(path)
         place = {w: k for k, w in enumerate(_words(raw))}
         by_place: list[bytes] = [b""] * len(place)
@@ -118,10 +113,12 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 out["ids"].append([i for k in at for i in lists[k]])
                 out["decoded"].append(decoded)
         kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
-        first = pa.array(keys, {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string()))
-        return pa.table({key: first} | {c: pa.array(v, kinds.get(c, pa.string())) for c, v in out.items()})
+        for c, v in out.items():
+            rows = rows.append_column(c, pa.array(v, kinds.get(c, pa.string())))
+        return rows
 
-    return packs.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assemble, ", ".join([f"`{key}` {kind}", *(f"{c} {t}" for c, t in fields.items())]))
+    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *keep)]
+    return packs.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assemble, ", ".join([*kinds, *(f"{c} {t}" for c, t in fields.items())]))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
