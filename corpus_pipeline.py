@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import language, quality
+from weftline.llm import bpe, language, mixing, near_dedup, quality
 from weftline.llm.common import stored, table
 
 
@@ -27,7 +27,28 @@ def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return docs.withColumn("_q", quality.quality_score("text", machine)).filter(F.col("_q") >= quality.THRESHOLD).select(*docs.columns)
 
 
-STAGES = [("language", by_language), ("quality", by_quality)]
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies: five words a shingle, similarity 0.8 or more.
+
+    Of rows that share a doc_id one stays; rows without a doc_id all stay.
+    """
+    kept = near_dedup.near_duplicates(docs).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts the documents in the order of the mixture."""
+    return mixing.mixed(docs).select(*docs.columns, "mix_pos").orderBy("mix_pos")
+
+
+def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The tokens of every document, with its place in the mixture."""
+    import public_tokenizers
+
+    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=("source", "mix_pos"))
+
+
+STAGES = [("language", by_language), ("quality", by_quality), ("near copies", without_near_copies), ("mixture", mix_sources), ("tokens", to_tokens)]
 
 #: Models that are trained and byte-pair encoding can't be told in SQL.
 ORACLE_SQL = None
@@ -39,5 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = stored(docs, f"pipeline-{name}")
+            docs = stored(docs, f"pipeline-{k}")
     return docs
