@@ -6,8 +6,12 @@
 2. Bands put classes into buckets. In each bucket every class is first compared
    with the bucket's leader alone; after the links found are joined into
    components, only classes of one bucket that are still in different
-   components are compared with each other. A group of near copies so costs
-   about as many comparisons as it has members.
+   components are compared with each other, and of these only pairs that a bound
+   allows: each set has a map of MAP_BITS bits, one for each residue that a hash of
+   the set has; where two maps differ, the sets do, so p differing bits leave a
+   similarity of (a + b - p) / (a + b + p) at most for sets of a and b shingles. The
+   bound is part of the join, so a large group of texts that are alike, but not
+   enough, gives few pairs, and no link is lost.
 3. A pair's signatures are compared batch by batch. With a uniform prior, the
    posterior that the similarity reaches the threshold after m of n matches is
    P(Binomial(n + 1, threshold) <= m); a pair is dropped as soon as that is under
@@ -40,8 +44,8 @@ from weftline.llm.components import components
 BANDS, ROWS = 25, 5
 #: Posterior under which a pair is dropped.
 MISS = 1e-6
-#: Minhashes compared at a time.
-STEP = 25
+#: Minhashes compared at a time, and bits in a set's map.
+STEP, MAP_BITS = 25, 1024
 _CHUNK = 4096  # shingles hashed together
 
 _U = np.uint64
@@ -77,19 +81,26 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return out.astype("<u4")
 
 
+def bit_map(hashes: np.ndarray) -> np.ndarray:
+    bits = np.zeros(MAP_BITS, bool)
+    bits[(hashes % _U(MAP_BITS)).astype(np.int64)] = True
+    return np.packbits(bits).view(">i8").astype(np.int64)
+
+
 def sketch(text: Column | str, width: int) -> Column:
-    """struct<n_shingles, set_key, sig>; the last two are null for an empty set."""
+    """struct<n_shingles, set_key, sig, bits>; all but the first are null for an empty set."""
 
-    @F.arrow_udf("n_shingles long, set_key binary, sig binary")
+    @F.arrow_udf("n_shingles long, set_key binary, sig binary, bits array<long>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            n, key, sig = [], [], []
+            n, key, sig, bits = [], [], [], []
             for x in batch:
                 h = shingles(x.as_py(), width)
                 n.append(len(h))
                 key.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None)
                 sig.append(signature(h).tobytes() if len(h) else None)
-            yield struct_array(n_shingles=pa.array(n, pa.int64()), set_key=pa.array(key, pa.binary()), sig=pa.array(sig, pa.binary()))
+                bits.append(bit_map(h) if len(h) else None)
+            yield struct_array(n_shingles=pa.array(n, pa.int64()), set_key=pa.array(key, pa.binary()), sig=pa.array(sig, pa.binary()), bits=pa.array(bits, pa.list_(pa.int64())))
 
     return run(text)
 
@@ -146,9 +157,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     told = stored(docs.select("doc_id", sketch("text", width).alias("s")).select("doc_id", "s.*"), "sketches")
     real = told.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     classes = real.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    member = told.drop("sig").join(classes, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
+    member = told.drop("sig", "bits").join(classes, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
 
-    sigs = stored(real.join(classes, "set_key").filter("doc_id = rep").groupBy("rep").agg(F.first("sig").alias("sig")), "signatures")
+    sigs = stored(real.join(classes, "set_key").filter("doc_id = rep").groupBy("rep").agg(F.first(F.struct("sig", "n_shingles", "bits")).alias("s")).select("rep", "s.*"), "signatures")
     bands = F.array(*(F.xxhash64(F.lit(b), F.substring("sig", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)))
     banded = sigs.select(F.col("rep").alias("cid"), F.explode(bands).alias("band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("cid").alias("leader")).filter("n > 1").drop("n")
@@ -168,9 +179,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     label = components(first)
     placed = stored(bucket.select("band", "cid").join(label.withColumnRenamed("node", "cid"), "cid", "left").select("band", "cid", F.coalesce("component", "cid").alias("c")), "placed")
     open_ = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("cid").alias("leader")).filter("low != high").select("band", "leader")
-    left = placed.join(open_, "band").select("band", F.col("cid").alias("a"), F.col("c").alias("ca"), "leader")
-    right = placed.select("band", F.col("cid").alias("b"), F.col("c").alias("cb"))
-    rest = left.join(right, "band").filter("ca != cb and a < b and a != leader and b != leader").select("a", "b").distinct()
+    words = range(MAP_BITS // 64)
+    maps = sigs.select(F.col("rep").alias("cid"), "n_shingles", *(F.col("bits")[k].alias(f"w{k}") for k in words))
+    each = placed.join(open_, "band").join(maps, "cid")
+    left, right = (each.select(F.col("band").alias(f"band_{x}"), "leader", *(F.col(c).alias(f"{c}_{x}") for c in ("cid", "c", "n_shingles", *(f"w{k}" for k in words)))) for x in "ab")
+    differ = sum((F.bit_count(F.col(f"w{k}_a").bitwiseXOR(F.col(f"w{k}_b"))) for k in words), F.lit(0))
+    both = F.col("n_shingles_a") + F.col("n_shingles_b")
+    new = (F.col("band_a") == F.col("band_b")) & (F.col("c_a") != F.col("c_b")) & (F.col("cid_a") < F.col("cid_b")) & (F.col("cid_a") != left["leader"])
+    rest = left.join(right.drop("leader"), new & (100 * (both - differ) >= percent * (both + differ))).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()
     label = components(first.union(confirmed(rest)))
 
     out = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
