@@ -1,12 +1,13 @@
 """BPE encoding and decoding over a table of distinct words.
 
-1. Documents are dealt into blocks; each block lists its distinct words with
-   their places in the sorted list. A word is a stretch that byte-level BPE never
-   joins with its neighbours (see token_counts.pieces).
-2. The words of all blocks are shuffled by word; each distinct word is encoded
-   once, however many blocks hold it.
-3. The ids go back to (block, place); the block joins them to its texts by
-   position, and decodes through the id-to-piece table, which has the
+1. Documents are dealt into blocks; each block lists its distinct words. A word is
+   a stretch that byte-level BPE never joins with its neighbours (see
+   token_counts.pieces).
+2. A block deals its words out by hash into buckets, sorted, one compressed list
+   for each bucket. A bucket's task reads its lists from all blocks, one after the
+   other, and encodes each distinct word once, however many blocks hold it.
+3. The ids go back to the block in the order of its list; the block joins them to
+   its texts by position, and decodes through the id-to-piece table, which has the
    vocabulary's size whatever the input.
 
 Null and empty texts have no ids and decode to the empty text. Repeated rows and
@@ -19,15 +20,19 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.blocks import block_count, packed, unpacked
-from weftline.llm.common import BLOCK_BYTES, table
+from weftline.llm.common import table
 from weftline.llm.token_counts import encode_batches, pieces, tokenizer
 
+BLOCK_BYTES = 20 << 20
+#: Buckets of words, at most; a block has a list for each. Words whose ids a bucket's task keeps, at most.
+BUCKETS, REMEMBERED = 512, 500_000
+
 
 @lru_cache(4)
 def id_to_piece(path: str) -> list[bytes]:
@@ -50,63 +55,85 @@ def _texts(packs: pa.Table) -> tuple[pa.Table, list[str]]:
     return whole.remove_column(1), [x or "" for x in whole.column(1).to_pylist()]
 
 
-def _words(texts: list[str]) -> list[str]:
+def _words(texts: list[str], buckets: int) -> list[list[str]]:
+    """The distinct words of each bucket, sorted."""
     found: set[str] = set()
     for x in texts:
         found.update(pieces(x))
-    return sorted(found)
+    out: list[list[str]] = [[] for _ in range(buckets)]
+    for w in found:
+        out[xxhash.xxh3_64_intdigest(w) % buckets].append(w)
+    for x in out:
+        x.sort()
+    return out
+
+
+def _packed(a: pa.Array) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, pa.schema([("x", a.type)]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(pa.record_batch([a], names=["x"]))
+    return sink.getvalue().to_pybytes()
+
+
+def _read(pack: pa.Scalar) -> pa.Array:
+    return pa.ipc.open_stream(pack.as_buffer()).read_all().column(0).combine_chunks()
 
 
-def word_table(packs: DataFrame) -> DataFrame:
-    """(block, place, word) of every distinct word of every block."""
+def word_lists(packs: DataFrame, buckets: int) -> DataFrame:
+    """(block, bucket, words) for every block and bucket."""
 
     def words(key, group):
-        found = _words(_texts(group)[1])
-        return pa.table({"block": pa.array([key[0].as_py()] * len(found), pa.int32()), "place": pa.array(np.arange(len(found), dtype=np.int32)), "word": pa.array(found, pa.string())})
+        found = _words(_texts(group)[1], buckets)
+        return pa.table({"block": pa.array([key[0].as_py()] * buckets, pa.int32()), "bucket": pa.array(range(buckets), pa.int32()), "words": pa.array([_packed(pa.array(x, pa.string())) for x in found], pa.binary())})
 
-    return packs.groupBy("block").applyInArrow(words, "block int, place int, word string")
+    return packs.groupBy("block").applyInArrow(words, "block int, bucket int, words binary")
 
 
-def encoded_words(words: DataFrame, path: str) -> DataFrame:
-    """(block, place, ids): every distinct word is encoded once; ids are little-endian, 4 bytes each."""
+def encoded_words(lists: DataFrame, path: str, buckets: int) -> DataFrame:
+    """(block, bucket, ids): a list of ids for each word, in the words' order; each distinct word is encoded once."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)[0]
-        last: tuple[str | None, bytes] = (None, b"")
+        known: dict[str, list[int]] = {}
         for batch in batches:
-            each = batch["word"].to_pylist()  # sorted, so that repeated words follow each other
-            distinct = [w for w, before in zip(each, [last[0], *each]) if w != before]
-            known = {w: np.array(e.ids, "<u4").tobytes() for w, e in encode_batches(t, distinct)}
-            if last[0] is not None:
-                known.setdefault(*last)
-            yield pa.RecordBatch.from_pydict({"block": batch["block"], "place": batch["place"], "ids": pa.array([known[w] for w in each], pa.binary())})
-            if each:
-                last = (each[-1], known[each[-1]])
+            for block, bucket, pack in zip(*(batch.column(c) for c in ("block", "bucket", "words"))):
+                words = _read(pack).to_pylist()
+                if len(known) > REMEMBERED:
+                    known.clear()
+                for w, e in encode_batches(t, [w for w in words if w not in known]):
+                    known[w] = e.ids
+                ids = pa.array([known[w] for w in words], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block.as_py()], pa.int32()), "bucket": pa.array([bucket.as_py()], pa.int32()), "ids": pa.array([_packed(ids)], pa.binary())})
 
-    return words.repartition("word").sortWithinPartitions("word").mapInArrow(encode, "block int, place int, ids binary")
+    return lists.repartition(buckets, "bucket").mapInArrow(encode, "block int, bucket int, ids binary")
 
 
 def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), texts: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """key, the columns to keep, n_tokens, ids_sha256 and decoded_sha256 of each row; with texts also ids (array<int>) and decoded."""
-    packs = packed(docs, block_count(docs.select(F.col(text).alias("text")), block_bytes), key, text, *keep)
-    found = encoded_words(word_table(packs), path)
+    blocks = block_count(docs.select(F.col(text).alias("text")), block_bytes)
+    buckets = min(BUCKETS, 2 * blocks)
+    packs = packed(docs, blocks, key, text, *keep)
+    found = encoded_words(word_lists(packs, buckets), path, buckets)
     fields = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>", "decoded": "string"} if texts else {})
 
     def assemble(key_, packs, ids):
         rows, raw = _texts(packs)
         piece = id_to_piece(path)
-        place = {w: k for k, w in enumerate(_words(raw))}
-        by_place: list[bytes] = [b""] * len(place)
-        for k, v in zip(ids["place"].to_pylist(), ids["ids"].to_pylist()):
-            by_place[k] = v
-        lists = [np.frombuffer(v, "<u4").tolist() for v in by_place]
+        words = _words(raw, buckets)
+        place: dict[str, int] = {}
+        lists: list[list[int]] = []
+        for bucket, pack in zip(ids["bucket"].to_pylist(), ids["ids"]):
+            for w, i in zip(words[bucket], _read(pack).to_pylist()):
+                place[w] = len(lists)
+                lists.append(i)
         written = [",".join(map(str, x)) for x in lists]
         read = [b"".join(map(piece.__getitem__, x)) for x in lists]
+        counts = list(map(len, lists))
         out: dict[str, list] = {name: [] for name in fields}
         for x in raw:
-            at = [place[w] for w in pieces(x)]
+            at = list(map(place.__getitem__, pieces(x)))
             decoded = b"".join(map(read.__getitem__, at)).decode("utf-8", "replace")
-            out["n_tokens"].append(sum(len(lists[k]) for k in at))
+            out["n_tokens"].append(sum(map(counts.__getitem__, at)))
             out["ids_sha256"].append(hashlib.sha256(",".join(map(written.__getitem__, at)).encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
             if texts:
