@@ -135,7 +135,8 @@ def edited_documents(docs: DataFrame) -> DataFrame:
     """
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, high = (0, 0) if low is None else (low - 1, high)
-    d = docs.select("doc_id", F.coalesce("doc_id", F.lit(low)).cast("long").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    # both joins read these two columns and no others, so that one shuffle of the texts serves both
+    d = docs.select(F.coalesce("doc_id", F.lit(low)).cast("long").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
     sizes = stored(d.groupBy("k").agg(F.max(F.floor(F.length("text") / 4)).cast("int").alias("need")), "sizes")
     asks = sizes.join(following(sizes.select("k"), low, high), "k").select(F.col("k").alias("asker"), "need", "next_k")
     heads = d.join(asks, d["k"] == asks["next_k"]).select("asker", F.col("k").alias("next_k"), F.substring("text", F.lit(1), F.col("need")).alias("head"))
@@ -143,7 +144,8 @@ def edited_documents(docs: DataFrame) -> DataFrame:
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 4)).cast("int")), F.substring("head", F.lit(1), F.floor(n / 4).cast("int")))
     both = d.join(heads, d["k"] == heads["asker"]).withColumn("copy", F.row_number().over(W.partitionBy("k").orderBy("text")))
-    return both.select("doc_id", "k", "copy", "next_k", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    doc_id = F.when(F.col("k") != low, F.col("k")).cast(docs.schema["doc_id"].dataType).alias("doc_id")
+    return both.select(doc_id, "k", "copy", "next_k", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
