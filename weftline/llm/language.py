@@ -110,7 +110,7 @@ def train(docs: DataFrame, lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -
                 totals.setdefault(name, np.zeros(BUCKETS))[b] += n
         for name, t in totals.items():
             b = np.flatnonzero(t)
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(b)), "bucket": pa.array(b.astype(np.int32)), "n": pa.array(t[b])})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([name] * len(b), pa.string()), "bucket": pa.array(b.astype(np.int32)), "n": pa.array(t[b])})
 
     rows = chosen.mapInArrow(count, "lang string, bucket int, n double").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(rows["lang"].to_pylist()))
