@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Node types and relations that an edge may have.
 NODE_TYPES = ("Emotion", "Imagery", "Concept", "Character", "Work", "Chunk")
-RELATIONS = ("ASSOCIATED_WITH", "CO_OCCURS", "EVIDENCED_BY", "SYMBOLIZES")
+RELATIONS = ("ASSOCIATED_WITH", "CO_OCCURS", "FEATURES_CHARACTER", "EVIDENCED_BY")
 
 
 def derived_edges(chunks: DataFrame) -> DataFrame:
