@@ -20,10 +20,12 @@ def flagged(comments: DataFrame, text: str = "text", compose: bool = False) -> D
 def marked_duplicates(told: DataFrame, likes: str, position: str, within: tuple[str, ...] = ()) -> DataFrame:
     """Adds is_duplicate: of unflagged rows with one key the most liked stays, the earliest among equals.
 
-    The winner is an aggregate of each key, joined back, so a key with most of the rows is no window's load.
+    The winner is an aggregate of each key, joined back, so a key with most of the rows is no window's load. told is
+    read twice: where its flags were not written before, store them first.
     """
     order = F.struct((-F.coalesce(F.col(likes), F.lit(0))).alias("l"), F.col(position).alias("p"))
-    best = told.filter(F.col("filter_reason").isNull()).groupBy(*within, "dedup_key").agg(F.min(order).alias("_best"))
+    # not a filter, which would be moved below the projection that makes filter_reason and repeat its patterns
+    best = told.groupBy(*within, "dedup_key").agg(F.min(F.when(F.col("filter_reason").isNull(), order)).alias("_best"))
     joined = told.join(best, [*within, "dedup_key"], "left")
     dup = F.col("filter_reason").isNull() & (F.col("_best") < order)
     return joined.withColumn("is_duplicate", F.coalesce(dup, F.lit(False))).drop("_best").withColumn("filter_reason", F.when(F.col("is_duplicate"), "duplicate").otherwise(F.col("filter_reason")))

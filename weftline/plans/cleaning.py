@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.operators import comments as C
+from weftline.operators.storage import stored
 from weftline.sources.tables import table
 from weftline.sources.text import split_items
 
@@ -34,7 +35,7 @@ def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.marked_duplicates(_told(spark, sf_dir), "n_chars", "doc_id")
+    return C.marked_duplicates(stored(_told(spark, sf_dir).drop("text"), "flagged"), "n_chars", "doc_id")
 
 
 def clean_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
