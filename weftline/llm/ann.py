@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.llm.common import stored, table
+from weftline.llm.common import sampled, stored, table
 
 #: Vectors that the centroids are fitted on at most; lists at most; the share of lists that a query probes.
 SAMPLE, MOST_LISTS, PROBED = 20_000, 256, 0.6
@@ -112,7 +112,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, lists: int | None =
     if not n:
         return spark.createDataFrame([], schema)
     part = min(1.0, SAMPLE / n)
-    some = base.filter(F.pmod(F.xxhash64("vec_id", "v"), F.lit(1_000_000)) < max(1, int(part * 1_000_000)))
+    some = base.filter(sampled(part, "vec_id", "v"))
     sample = some.orderBy("vec_id").select("v").toArrow()
     sample = sample if len(sample) else base.orderBy("vec_id").limit(1).select("v").toArrow()
     lists = lists or int(min(MOST_LISTS, max(1, n // 16)))

@@ -23,6 +23,11 @@ def remainder(doc_id: str = "doc_id", of: int = 5) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % of
 
 
+def sampled(part: float, *columns: str) -> Column:
+    """Whether a row belongs to the share `part` of all rows that a hash of the columns picks, however small."""
+    return F.xxhash64(*columns) <= F.lit(min(2**63 - 1, int(part * 2**64) - 2**63))
+
+
 def text_bytes(df: DataFrame, text: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
 

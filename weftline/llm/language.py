@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import remainder, struct_array, table
+from weftline.llm.common import remainder, sampled, struct_array, table
 
 #: Labelled documents that the model learns from at most.
 SAMPLE_ROWS = 20_000
@@ -100,7 +100,7 @@ def train(docs: DataFrame, lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -
     """Counts over at most about `sample_rows` documents outside the held-out fold that have a language."""
     known = docs.filter(F.col(lang).isNotNull() & F.col("text").isNotNull() & (remainder() != 0))
     part = min(1.0, sample_rows / max(1, known.count()))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000)).select(F.col(lang).alias("lang"), "text")
+    chosen = known.filter(sampled(part, "doc_id")).select(F.col(lang).alias("lang"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}

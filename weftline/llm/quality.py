@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import remainder, struct_array, table
+from weftline.llm.common import remainder, sampled, struct_array, table
 
 #: Labelled rows that the fit uses at most.
 SAMPLE_ROWS = 8_000
@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     known = labels.filter(F.col("quality").isNotNull() & (remainder() != 0)).select("doc_id", "quality")
     n = known.count()
     part = min(1.0, sample_rows / max(1, n))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
+    chosen = known.filter(sampled(part, "doc_id"))
 
     @F.arrow_udf("words array<int>, stats array<double>")
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -162,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             got = [featurise(x.as_py()) for x in a]
             yield struct_array(words=pa.array([g[0] for g in got], pa.list_(pa.int32())), stats=pa.array([g[1] for g in got], pa.list_(pa.float64())))
 
-    wanted = docs.filter(remainder() != 0).filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(part * 1_000_000))
+    wanted = docs.filter(remainder() != 0).filter(sampled(part, "doc_id"))
     rows = wanted.select("doc_id", features("text").alias("f")).join(chosen, "doc_id").select("doc_id", "f.words", "f.stats", "quality").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     return fit([(w.values.to_numpy().astype(np.int64), s.values.to_numpy(), int(q)) for w, s, q in zip(rows["words"], rows["stats"], rows["quality"].to_pylist())])
 
