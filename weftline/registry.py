@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import chunking, cleaning, clustering, fusion, lexical, run, services, vectors
+from weftline.plans import chunking, cleaning, clustering, fusion, lexical, reports, run, services, vectors
 
-_PLANS = (cleaning, chunking, lexical, vectors, fusion, clustering, services, run)
+_PLANS = (cleaning, chunking, lexical, vectors, fusion, clustering, services, reports, run)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for p in _PLANS for k, f in p.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: s for p in _PLANS for k, s in p.ORACLE_SQL.items()}
