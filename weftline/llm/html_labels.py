@@ -1,5 +1,7 @@
 """The small labelled table for HTML extraction: pages written for it, and the words that mark their content blocks."""
 
+import re
+
 LABELLED_PAGES: list[tuple[str, list[str]]] = [
     (
         """<html><head><title>t</title></head><body><nav><ul><li><a href=/a>Home</a></li><li><a href=/b>World</a></li></ul></nav>
@@ -105,4 +107,24 @@ LABELLED_PAGES: list[tuple[str, list[str]]] = [
         <nav>Up to the list of all pages on salt, or down to the next page in the row, which is on the trade in salt fish</nav></body>""",
         ["CONTENT"],
     ),
+    (
+        """<p>CONTENT A page can be as plain as this one, with two paragraphs and nothing else around them at all.</p><p>CONTENT The second one is the last thing on the page and it is just as much its content.</p>""",
+        ["CONTENT"],
+    ),
+    (
+        """<body><p>CONTENT We sold the boat in the autumn and bought a smaller one in spring, which was easier to keep.</p><div>CONTENT It lay in the harbour for two years before we took it out for the first long trip to the islands.</div><div>Print</div></body>""",
+        ["CONTENT"],
+    ),
+    (
+        """<body><div>Welcome to us</div><div>CONTENT The old road over the pass is closed from the first snow until the middle of May in most years.</div></body>""",
+        ["CONTENT"],
+    ),
+    (
+        """<body><h2>CONTENT How to mend a net by hand</h2><p>CONTENT Cut the torn part out until every edge has clean knots, then tie new meshes one after the other.</p><p><a href=1>A long list of links to other pages on nets and lines and hooks</a></p></body>""",
+        ["CONTENT"],
+    ),
 ]
+
+# Pages that mark their main part are the common case and count four times; the same pages without the mark count once.
+_UNMARKED = [(re.sub(r"<(/?)(?:article|main)\b", r"<\1div", page), marks) for page, marks in LABELLED_PAGES if "<article" in page or "<main" in page]
+LABELLED_PAGES = LABELLED_PAGES * 4 + _UNMARKED

@@ -33,19 +33,19 @@ _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "me
 _FRAME = {"nav": "menu", "header": "frame", "footer": "frame", "aside": "frame", "form": "form", "dialog": "frame", "menu": "menu", "fieldset": "form"}
 _MAIN = {"article": 2, "main": 1}
 #: Words in class, id or role that speak for and against content.
-_AGAINST = re.compile(r"(?i)(?<![a-z])(ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|popup|modal|newsletter|subscri\w*|comment\w*|respon[sd]\w*|disqus|repl(?:y|ies)|discussion|sidebar\w*|side|widget\w*|related|recommend\w*|share\w*|sharing|social\w*|nav\w*|menu\w*|breadcrumb\w*|pagination|pager|foot\w*|masthead|login|signup|search\w*|toolbar|copyright|legal|alert|skip\w*|tags?|meta|byline|outbrain|taboola|complementary|contentinfo)(?![a-z])")
-_FOR = re.compile(r"(?i)(?<![a-z])(article\w*|post\w*|entry\w*|story\w*|content\w*|main|body|text|prose|hentry)(?![a-z])")
+_AGAINST = re.compile(r"(?i)(?<![a-z])(ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|popup|modal|newsletter|subscri\w*|comment\w*|respon[sd]\w*|disqus|repl(?:y|ies)|discussion|sidebar\w*|side|widget\w*|related|recommend\w*|share\w*|sharing|social\w*|nav\w*|menu\w*|breadcrumb\w*|pagination|pager|foot\w*|masthead|login|signup|search\w*|toolbar|copyright|legal|alert|(?<!article-)(?<!entry-)(?<!post-)(?<!story-)(?<!content-)(?<!article )(?<!entry )(?<!post )header|top|bar|skip\w*|tags?|meta|byline|outbrain|taboola|complementary|contentinfo)(?![a-z])")
+_FOR = re.compile(r"(?i)(?<![a-z])(article\w*|post\w*|entry\w*|story\w*|content(?!info)\w*|main|body|text|prose|hentry)(?![a-z])")
 _SPACE = re.compile(r"\s+")
 _NAMES = re.compile(r"""(?i)(?:^|\s)(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 
-FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "in_main", "in_frame", "named_for", "named_against", "heading", "list_item", "page_has_main", "position")
+FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "in_main", "in_frame", "named_for", "named_against", "heading", "list_item", "page_has_main")
 
 
 def _element(name: str, attrs: str) -> tuple[int, int, int, int]:
     """main, frame, for, against of one element."""
     names = " ".join(_NAMES.findall(attrs)) if "=" in attrs else ""
     names = re.sub(r"([a-z])([A-Z])", r"\1 \2", names).replace("_", " ")
-    against = bool(names and _AGAINST.search(names)) and name not in ("body", "html")
+    against = bool(names and _AGAINST.search(names)) and name not in ("body", "html", *_MAIN)
     return _MAIN.get(name, 0), int(name in _FRAME), int(bool(names and _FOR.search(names))), int(against)
 
 
@@ -141,7 +141,6 @@ def features(found: list) -> np.ndarray:
     x[:, 10] = [b[3] in ("h1", "h2", "h3", "h4", "h5", "h6") for b in found]
     x[:, 11] = [b[3] in ("li", "dt", "dd", "td", "th") for b in found]
     x[:, 12] = state[:, 0].max()
-    x[:, 13] = np.arange(n) / n
     return x
 
 
