@@ -43,5 +43,5 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (chunk_pieces, chunk_lossless, chunk_ids, delta_chunks, html_blocks)}
 ORACLE_SQL = {
     "chunk_lossless": "select doc_id, md5(regexp_replace(text, '\\s+', '', 'g')) as digest from documents where length(trim(text)) >= 8",
-    "delta_chunks": "select conv_id, turn, least(length(text), 40)::int as longest, md5(text) as digest from conversations",
+    "delta_chunks": "select conv_id, turn, least(length(text), 40)::bigint as longest, md5(text) as digest from conversations",
 }

@@ -118,13 +118,13 @@ ORACLE_SQL = {
     + """ select count(*) as total, count(*) filter (not is_duplicate and reason is null) as kept, count(*) filter (reason = 'ad') as ads,
       count(*) filter (reason = 'spam') as spam, count(*) filter (is_duplicate) as duplicates, count(*) filter (reason = 'empty') as empty from m""",
     "clean_reasons": _MARKED + " select case when is_duplicate then 'duplicate' else reason end as reason, count(*) as n from m where is_duplicate or reason is not null group by 1",
-    "visible_comments": _MARKED + " select doc_id, length(body)::int as length from m where not is_duplicate and reason is null and body <> ''",
+    "visible_comments": _MARKED + " select doc_id, length(body)::bigint as length from m where not is_duplicate and reason is null and body <> ''",
     "split_lines": f"""with p as (select doc_id, unnest({_PARTS}) as item, generate_subscripts({_PARTS}, 1) as i from documents)
       select doc_id, format('txt-{{:04d}}', i) as item_id, left(item, 2000) as item from p where i <= 100""",
     "split_paragraphs": """with c as (select conv_id, string_agg(text, chr(10) || ' ' || chr(10) order by turn) as text from conversations group by 1),
       s as (select conv_id, list_filter(list_transform(string_split_regex(text, '\\n[ \\t]*\\n+'), lambda p: trim(p, ' ' || chr(10))), lambda p: p <> '') as l from c),
       p as (select conv_id, unnest(l) as item, generate_subscripts(l, 1) as i from s)
-      select conv_id, format('txt-{:04d}', i) as item_id, least(length(item), 2000)::int as length from p where i <= 100""",
+      select conv_id, format('txt-{:04d}', i) as item_id, least(length(item), 2000)::bigint as length from p where i <= 100""",
     "split_preview": f"with c as (select doc_id, len({_PARTS}) as total from documents) select doc_id, total, least(total, 10) as kept, greatest(total - 10, 0) as dropped from c",
     "snippets": f"""select doc_id, case when length({_FLAT}) > 60 then left({_FLAT}, 60) || '…' else {_FLAT} end as snippet,
       case when length(trim(string_split(trim(text), chr(10))[1])) > 18 then left(trim(string_split(trim(text), chr(10))[1]), 18) || '…' else trim(string_split(trim(text), chr(10))[1]) end as title from documents""",

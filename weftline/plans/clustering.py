@@ -49,14 +49,14 @@ QUERIES = {f.__name__: f for f in (theme_gate, theme_count, cluster_rows, kmeans
 
 _LABELS = "l as (select vec_id % 40 as run_id, vec_id, label, vec_id % 3 as raw from embeddings)"
 ORACLE_SQL = {
-    "theme_gate": f"with {_LABELS} select vec_id, case when sum(raw) over (partition by run_id, label) < 3 then -1 else label end as label, label as was from l",
+    "theme_gate": f"with {_LABELS} select vec_id, (case when sum(raw) over (partition by run_id, label) < 3 then -1 else label end)::bigint as label, label::bigint as was from l",
     "theme_count": f"with {_LABELS} select run_id, count(*) as themes from (select run_id, label from l group by 1, 2 having sum(raw) >= 3) group by 1",
     "cluster_rows": """with m as (select vec_id % 7 as run_id, vec_id as id, case when label > 7 then -1 else label end as label, vec_id % 4 <> 0 as s, vec_id % 11 as likes from embeddings),
       c as (select run_id, label, count(*) as n from m group by 1, 2), r as (select *, row_number() over (partition by run_id, label >= 0 order by n desc, label) as r, n / sum(n) over (partition by run_id) as share from c),
       k as (select run_id, label, case when label < 0 then 'noise' when r > 5 then 'tail' else 'c' || label end as cluster_key, case when label < 0 then 1000001 when r > 5 then 1000000 else r end as p from r where label >= 0 or share > 0.15),
       e as (select *, row_number() over (partition by run_id, cluster_key order by likes desc, id) as top from m join k using (run_id, label)),
       g as (select run_id, cluster_key, min(p) as p, sum(s::int)::bigint as size, count(*) as raw_size, string_agg(id::varchar, ',' order by top) filter (top <= 5) as ids, string_agg(id::varchar, ',' order by top) filter (top <= 3) as texts from e group by 1, 2)
-      select run_id, cluster_key, (row_number() over (partition by run_id order by p) - 1)::int as order_index, size, raw_size, cluster_key = 'noise' as is_noise, ids, texts from g""",
-    "kmeans_sizes": "select count(*) as n, 0 as low, 4 as high from embeddings",
-    "kmeans_k": "select user_id, greatest(2, least(5, round_even((count(*) / 3.0 / 10)::decimal(18, 9), 0)))::int as k from events group by 1",
+      select run_id, cluster_key, (row_number() over (partition by run_id order by p) - 1)::bigint as order_index, size, raw_size, cluster_key = 'noise' as is_noise, ids, texts from g""",
+    "kmeans_sizes": "select count(*) as n, 0::bigint as low, 4::bigint as high from embeddings",
+    "kmeans_k": "select user_id, greatest(2, least(5, round_even((count(*) / 3.0 / 10)::decimal(18, 9), 0)))::bigint as k from events group by 1",
 }

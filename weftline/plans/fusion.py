@@ -96,7 +96,7 @@ ORACLE_SQL = {
       q as (select *, case library when 'psychology' then 3 when 'literature' then 2 else 1 end as q, case library when 'psychology' then 1 when 'literature' then 2 else 3 end as o from p where not (library = 'psychology' and pos > 1 + run_id % 4)),
       n as (select *, pos <= q as base, row_number() over (partition by run_id order by (pos <= q) desc, case when pos <= q then 0 else pos - q end, o, pos) as n from q),
       f as (select *, row_number() over (partition by run_id order by o, pos) as f from n where base or n <= 8)
-      select run_id, library, chunk_id, pos - 1 as rank_in_library, case when base then pos - 1 end as quota_slot from f where f <= 8""",
+      select run_id::bigint as run_id, library, chunk_id, pos - 1 as rank_in_library, case when base then pos - 1 end as quota_slot from f where f <= 8""",
     "build_queries": f"""with {_CLUSTERS},
       raw as (select run_id, label || ' ' || array_to_string(topic_tags, ' ') || ' ' || array_to_string(list_filter(need_tags, lambda x: length(x) > 1), ' ') as text, 'psychology' as library, cluster_key, round(w, 3) as weight, tn * 2 as seq from t
         union all select run_id, array_to_string(list_distinct_in_order, ' ') || ' ' || keywords[1], 'literature', cluster_key, round(w * 0.9, 3), tn * 2 + 1 from (select *, case when emotion_tags[1] = emotion_tags[2] then emotion_tags[1:1] else emotion_tags end as list_distinct_in_order from t)

@@ -97,14 +97,14 @@ ORACLE_SQL = {
     "ngram_df": f"with {_GRAMS} select item_id, gram, n, round(ln(1 + n) * pow(length(gram), 1.2), 6) as score from f",
     "lexicon_tags": f"""with t as (select doc_id, unnest([{_TAGS}]) as x from documents), r as (select doc_id, x[2] as tag, row_number() over (partition by doc_id order by x[1], x[2]) as n from t where x[1] is not null)
       select d.doc_id, coalesce(string_agg(tag, ',' order by n), '') as tags from documents d left join r on d.doc_id = r.doc_id and n <= 3 group by 1""",
-    "lexicon_score": f"select doc_id, (row_number() over (partition by doc_id order by s desc, label) - 1)::int as rank, label, round(s::double, 6) as score from ({_LABELS}) where s > 0",
+    "lexicon_score": f"select doc_id, (row_number() over (partition by doc_id order by s desc, label) - 1)::bigint as rank, label, round(s::double, 6) as score from ({_LABELS}) where s > 0",
     "rank_labels": f"with {_RANK} select user_id, event_type, n, rank from r",
     "pair_lookup": f"""with {_RANK}, k as (select distinct a.event_type || '-' || b.event_type as pair from events a, (select distinct event_type from events) b where a.event_type < b.event_type and a.event_type[1] <> 'c'),
       p as (select a.user_id, least(a.event_type, b.event_type) || '-' || greatest(a.event_type, b.event_type) as pair, a.rank as ra, b.rank as rb from r a join r b on a.user_id = b.user_id and a.rank < b.rank),
       h as (select user_id, arg_min(pair, (ra, rb)) as pair from p join k using (pair) group by 1)
       select u.user_id, coalesce(pair, 'none') as pair from (select distinct user_id from events) u left join h using (user_id)""",
     "citations": """with p as (select conv_id, list(turn) as pool from conversations group by 1)
-      select conv_id, turn, 1 as markers, 3 as total, 1 + list_contains(pool, turn + 1)::int as valid, round_even(((1 + list_contains(pool, turn + 1)::int) / 3.0)::decimal(18, 9), 4)::double as coverage from conversations join p using (conv_id)""",
+      select conv_id, turn, 1::bigint as markers, 3::bigint as total, 1 + list_contains(pool, turn + 1)::bigint as valid, round_even(((1 + list_contains(pool, turn + 1)::int) / 3.0)::decimal(18, 9), 4)::double as coverage from conversations join p using (conv_id)""",
     "cjk_ratio": """with s as (select doc_id, left(text || '。中文', 4000) as t from documents) select doc_id, round(length(regexp_replace(t, '[^\\x{3400}-\\x{4DBF}\\x{4E00}-\\x{9FFF}\\x{3000}-\\x{303F}\\x{FF00}-\\x{FFEF}]', '', 'g')) / length(t), 6) as share from s""",
     "lossless_clean": """with a as (select doc_id, chr(65279) || ' ' || chr(9) || regexp_replace(text, '\\. ', ' .  ' || chr(13) || chr(10) || chr(13) || chr(10) || chr(13) || chr(10), 'g') || ' ' || chr(10) || ' ' as t from documents),
       b as (select doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\\r\\n?', chr(10), 'g'), '[\\x{200B}-\\x{200F}\\x{2028}\\x{2029}\\x{FEFF}]', '', 'g'), '[ \\t\\x{3000}]+', ' ', 'g') as t from a),

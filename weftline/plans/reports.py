@@ -111,14 +111,14 @@ def _tags(items: list) -> str:
 
 ORACLE_SQL = {
     "cited_prose": """select conv_id, turn, 'A ' || case when turn % 2 = 0 then '[^1]' else '' end || ' b  c ' || case when turn * 2 <= 100 then (case when turn % 2 = 0 then '[^2]' else '[^1]' end) else '' end || ' d ' as clean,
-      case when turn % 2 = 0 then turn || ',' || (turn * 2) else (turn * 2)::varchar end as cited, 4 as total, case when turn % 2 = 0 then 2 else 3 end as dropped from conversations""",
+      case when turn % 2 = 0 then turn || ',' || (turn * 2) else (turn * 2)::varchar end as cited, 4::bigint as total, (case when turn % 2 = 0 then 2 else 3 end)::bigint as dropped from conversations""",
     "reasoning_steps": """with n as (select *, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) as n, l_partkey % 10 as a, l_suppkey % 10 as b from lineitem),
       k as (select *, row_number() over (partition by l_orderkey order by n) as step_index, list_filter(case when a = b then [a] else [a, b] end, lambda x: list_contains([0, 2, 4, 5, 6, 8], x)) as e,
         list_filter(case when a = b then [a] else [a, b] end, lambda x: list_contains([1, 2, 3, 5, 8], x)) as l from n where n <= 5 and l_returnflag <> 'N')
       select l_orderkey as run_id, step_index, array_to_string(e, ',') as evidence, array_to_string(list_filter(l, lambda x: not list_contains(e, x)), ',') as allusion,
         (2 * (not list_contains([0, 2, 4, 5, 6, 8], a))::int + (not list_contains([0, 2, 4, 5, 6, 8], b))::int)::bigint as lost from k""",
     "representative_texts": """select conv_id, case when conv_id % 4 = 0 or max(case when turn in (0, 1) and text <> '' then 1 else 0 end) = 0 then 'k1|k2' else string_agg(left(text, 120), '|' order by turn desc) filter (turn in (0, 1) and text <> '') end as texts from conversations group by 1""",
-    "section_retry": "select o_orderkey, (o_orderkey % 10 < 6 and o_custkey % 10 > o_orderkey % 10)::int as kept from orders",
+    "section_retry": "select o_orderkey, (o_orderkey % 10 < 6 and o_custkey % 10 > o_orderkey % 10)::bigint as kept from orders",
     "citation_captions": """select nullif(concat_ws('·', case when p_size > 10 then p_brand end, case when p_size < 40 then p_type end), '') as caption, count(*) as n from lineitem left join part on p_partkey = l_partkey + l_linenumber * 40 group by 1""",
     "persist_turn": """with l as (select conv_id, max(turn) * 10 as s from conversations where turn < 3 group by 1)
       select conv_id, turn, coalesce(s, 0) + row_number() over (partition by conv_id order by turn) as seq from conversations left join l using (conv_id) where turn >= 3""",
@@ -129,5 +129,5 @@ ORACLE_SQL = {
     "poem_rows": f"""with b as (select *, regexp_replace(text, '\\s+', '', 'g') as bare from benchmark), t as (select item_id, bare, {_tags(_FIRST)} as imagery, {_tags(_SECOND)} as emotion from b)
       select item_id, left(sha1(bare), 12) as chunk_id, imagery, emotion from t where length(bare) between 14 and 160 and imagery <> '' and emotion <> ''""",
     "chunk_payload": """select doc_id, '{"lang":"' || lang || '"' || case when doc_id % 2 = 0 then ',"source":"' || source || '"' else '' end || '}' as payload from documents""",
-    "evidence_by_library": """select case lang when 'en' then 'psychology' when 'fr' then 'poetry' else lang end as library, count(*) as n, case lang when 'en' then 1 when 'fr' then 3 else 9 end as place from documents group by lang""",
+    "evidence_by_library": """select case lang when 'en' then 'psychology' when 'fr' then 'poetry' else lang end as library, count(*) as n, (case lang when 'en' then 1 when 'fr' then 3 else 9 end)::bigint as place from documents group by lang""",
 }

@@ -232,10 +232,10 @@ ORACLE_SQL = {
     "running_progress": f"with {_LOG} select run_id, seq, round(least(100.0, round_even((max(progress) over (partition by run_id order by seq))::decimal(18, 6), 1)::double), 1) as progress from log",
     "fold_events": _FOLD,
     "fold_stream": _FOLD,
-    "text_deltas": "select conv_id, role, md5(string_agg(text, '' order by turn)) as digest, sum(length(text))::int as n from conversations group by 1, 2",
+    "text_deltas": "select conv_id, role, md5(string_agg(text, '' order by turn)) as digest, sum(length(text))::bigint as n from conversations group by 1, 2",
     "transcript": """with c as (select *, lead(role) over w as r, lead(text) over w as t from conversations window w as (partition by conv_id order by turn))
-      select conv_id, turn, length(text)::int as asked, (case when r = 'assistant' then length(t) else 0 end)::int as answered from c where role = 'user'""",
-    "session_detail": "select conv_id, count(*)::int as messages, string_agg(role, ',' order by turn) as roles from conversations group by 1",
+      select conv_id, turn, length(text)::bigint as asked, (case when r = 'assistant' then length(t) else 0 end)::bigint as answered from c where role = 'user'""",
+    "session_detail": "select conv_id, count(*)::bigint as messages, string_agg(role, ',' order by turn) as roles from conversations group by 1",
     "turn_round": """with l as (select conv_id, coalesce(max(turn) filter (role = 'user'), -1) as last from conversations group by 1)
       select conv_id, count(*) filter (role = 'assistant' and turn > last) + 1 as round from conversations join l using (conv_id) group by 1""",
     "list_runs": "select o_orderkey, o_orderstatus from orders order by o_orderdate desc, o_orderkey limit 10 offset 20",
@@ -245,7 +245,7 @@ ORACLE_SQL = {
       select o_custkey, o_orderkey, substr(p, 3, 4) as cut, length(p) > 6 as truncated from b""",
     "timeline_tail": f"with {_LOG} select run_id, seq, type from (select *, row_number() over (partition by run_id order by seq desc) as n from log) where n <= 20",
     "reconcile": "select o_orderkey, case when o_orderstatus in ('O', 'P') then 'failed' else 'done' end as status from orders",
-    "run_snapshot": """select o_orderkey, count(l_partkey)::int as n, coalesce(string_agg(l_partkey::varchar, ',' order by l_linenumber, l_partkey), '') as parts from orders left join lineitem on l_orderkey = o_orderkey group by 1""",
+    "run_snapshot": """select o_orderkey, count(l_partkey)::bigint as n, coalesce(string_agg(l_partkey::varchar, ',' order by l_linenumber, l_partkey), '') as parts from orders left join lineitem on l_orderkey = o_orderkey group by 1""",
     "url_ids": """with h as (select page_id, url, lower(regexp_extract(url, '^[a-z]+://([^/?#]+)', 1)) as host from pages)
       select page_id, host, case when regexp_matches(host, '(^|\\.)example\\.(com|org|net)$') then nullif(regexp_extract(url, '/(\\d+)(?:\\.html|/)?(?:[?#]|$)', 1), '') end as id, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') as page from h""",
 }
