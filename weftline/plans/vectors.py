@@ -108,7 +108,7 @@ def derived_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    l = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_returnflag").alias("relation"), F.col("l_suppkey").alias("target"), F.when(F.col("l_linenumber") > 1, F.col("l_discount")).alias("weight"), F.struct("l_orderkey", "l_linenumber").alias("pos"))
+    l = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_returnflag").alias("relation"), F.col("l_suppkey").alias("target"), F.when(F.col("l_linenumber") > 1, F.col("l_discount")).alias("weight"), F.struct("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount").alias("pos"))
     return G.merged_edges(l, "pos").select("source", "relation", "target", F.round("weight", 6).alias("weight"))
 
 
@@ -138,5 +138,5 @@ ORACLE_SQL = {
     "derived_edges": """with e as (select distinct doc_id::varchar as src, 'MENTIONS_IMAGERY' as relation, unnest([lang, source]) as dst from documents union select doc_id::varchar, 'EVOKES_EMOTION', source from documents
       union select lang, 'FEATURES_CHARACTER', doc_id::varchar from documents where doc_id % 2 = 0 union select source, 'HAS_CHUNK', doc_id::varchar from documents)
       select relation, count(*) as n, count(distinct src) as sources, count(distinct dst) as targets from e group by 1""",
-    "merged_edges": "select l_partkey as source, l_returnflag as relation, l_suppkey as target, round(arg_max(case when l_linenumber > 1 then l_discount else 1.0 end, (l_orderkey, l_linenumber)), 6) as weight from lineitem group by 1, 2, 3",
+    "merged_edges": "select l_partkey as source, l_returnflag as relation, l_suppkey as target, round(arg_max(case when l_linenumber > 1 then l_discount else 1.0 end, (l_orderkey, l_linenumber, l_extendedprice, l_discount)), 6) as weight from lineitem group by 1, 2, 3",
 }
