@@ -7,11 +7,14 @@ documents; the mixing stage adds mix_pos, the place of the row in the mixture.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import bpe, language, mixing, near_dedup, quality
 from weftline.llm.common import stored, table
+from weftline.shipping import ship
 
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +51,19 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=("source", "mix_pos"))
 
 
+def _ready(stage):
+    """The stage, with the package on the executors first."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [("language", by_language), ("quality", by_quality), ("near copies", without_near_copies), ("mixture", mix_sources), ("tokens", to_tokens)]
+STAGES = [(name, _ready(stage)) for name, stage in STAGES]
 
 #: Models that are trained and byte-pair encoding can't be told in SQL.
 ORACLE_SQL = None
