@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.blocks import block_count, packed, unpacked
 from weftline.llm.common import table
-from weftline.llm.token_counts import encode_batches, pieces, tokenizer
+from weftline.llm.token_counts import ADJOINING, encode_batches, pieces, tokenizer
 
 BLOCK_BYTES = 20 << 20
 #: Buckets of words, at most; a block has a list for each. Words whose ids a bucket's task keeps, at most.
@@ -55,11 +55,23 @@ def _texts(packs: pa.Table) -> tuple[pa.Table, list[str]]:
     return whole.remove_column(1), [x or "" for x in whole.column(1).to_pylist()]
 
 
+def _split(text: str) -> tuple[list[str], list[str]]:
+    """The text's pieces; those of the second list stand without the space that each begins with."""
+    if not text or ADJOINING.search(text):
+        return pieces(text), []
+    first, *rest = text.split(" ")
+    return [first] if first else [], rest
+
+
 def _words(texts: list[str], buckets: int) -> list[list[str]]:
     """The distinct words of each bucket, sorted."""
     found: set[str] = set()
+    bare: set[str] = set()
     for x in texts:
-        found.update(pieces(x))
+        first, rest = _split(x)
+        found.update(first)
+        bare.update(rest)
+    found.update([" " + w for w in bare])
     out: list[list[str]] = [[] for _ in range(buckets)]
     for w in found:
         out[xxhash.xxh3_64_intdigest(w) % buckets].append(w)
@@ -128,13 +140,15 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 lists.append(i)
         written = [",".join(map(str, x)) for x in lists]
         read = [b"".join(map(piece.__getitem__, x)) for x in lists]
-        counts = list(map(len, lists))
+        after = {w[1:]: k for w, k in place.items() if w[0] == " "}
         out: dict[str, list] = {name: [] for name in fields}
         for x in raw:
-            at = list(map(place.__getitem__, pieces(x)))
+            first, rest = _split(x)
+            at = [*map(place.__getitem__, first), *map(after.__getitem__, rest)]
+            all_ids = ",".join(map(written.__getitem__, at))
             decoded = b"".join(map(read.__getitem__, at)).decode("utf-8", "replace")
-            out["n_tokens"].append(sum(map(counts.__getitem__, at)))
-            out["ids_sha256"].append(hashlib.sha256(",".join(map(written.__getitem__, at)).encode()).hexdigest())
+            out["n_tokens"].append(all_ids.count(",") + 1 if at else 0)
+            out["ids_sha256"].append(hashlib.sha256(all_ids.encode()).hexdigest())
             out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
             if texts:
                 out["ids"].append([i for k in at for i in lists[k]])

@@ -28,7 +28,7 @@ REMEMBERED = 1_000_000
 BATCH_BYTES, TEXT_CHARS = 1 << 20, 8 << 20
 
 _SAFE = re.compile(r"(?<=\S)(?=[ \t\n\r\f\v])")
-_ADJOINING = re.compile(r"\s ")
+ADJOINING = re.compile(r"\s ")
 _loaded: dict[str, tuple] = {}
 
 
@@ -49,7 +49,7 @@ def pieces(text: str) -> list[str]:
     """The text's pieces; together they are the text."""
     if not text:
         return []
-    if _ADJOINING.search(text):
+    if ADJOINING.search(text):
         return _SAFE.split(text)
     first, *rest = text.split(" ")
     return ([first] if first else []) + [" " + x for x in rest]
