@@ -205,6 +205,22 @@ def test_mixing(spark, none):
     assert {r["source"] for r in mixing.mixed(docs, {"a": 1}, block_rows=10).filter("mix_slot < 70").collect()} == {"a"}
 
 
+def test_mixing_keeps_exact_weights():
+    """Weights that divide no period, over many slots; and sources far smaller than a slot in a thousand."""
+    uneven = {"a": math.sqrt(2), "b": math.pi, "c": 0.1, None: 1 / 3}
+    tiny = {"big": 1e6} | {f"t{i:04}": 1.0 + i / 7 for i in range(1500)}
+    for weights, blocks in ((uneven, dict.fromkeys(uneven, 30_000)), (tiny, {"big": 20_000} | {s: 3 for s in tiny if s != "big"})):
+        plan = mixing.schedule(blocks, weights)
+        assert Counter(plan.names[k] for k in plan.order) == blocks
+        total = sum(weights.values())
+        last = min(int(np.flatnonzero(plan.order == k)[-1]) for k in range(len(plan.names)))
+        for k, s in enumerate(plan.names):
+            off = np.cumsum(plan.order == k)[:last] - np.arange(1, last + 1) * (weights[s] / total)
+            assert abs(off).max(initial=0) < 1 + 1e-6, s
+        slots = plan.slot_of(np.repeat(np.arange(len(plan.names)), [blocks[s] for s in plan.names]), np.concatenate([np.arange(blocks[s]) for s in plan.names]))
+        assert sorted(slots.tolist()) == list(range(len(plan.order)))
+
+
 def test_ann(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(600, 16))

@@ -3,11 +3,14 @@
 Each source is cut into blocks of BLOCK_ROWS documents in a fixed pseudo-random
 order. With weight w its i-th block (from 0) is released at slot floor(i / w) and
 due by slot ceil((i + 1) / w); every slot goes to the released block with the
-earliest deadline. Weights are held as whole numbers of slots in a period, so one
-period is scheduled on the driver - from the weights alone - and repeats; until
-the first source ends, each source has had less than one block more or less than
-its weight's share of the slots. When a source ends, the others go on with their
-weights in proportion, as a new phase. No document is dropped or repeated.
+earliest deadline. Times are compared in whole numbers in exactly the proportions of
+the weights, nothing is rounded to a period; until the first source ends, each source
+has had less than one block more or less than its weight's share of the slots, however
+many slots there are and however small the weight. When a source ends, the others go
+on with their weights in proportion, as a new phase. No document is dropped or repeated.
+
+The driver deals the slots from weights and numbers of blocks and sends whose each slot
+is, one byte for BLOCK_ROWS documents with up to 256 sources and two bytes with more.
 
 Documents are numbered inside (source, bucket) groups of about BUCKET_ROWS rows
 and by running totals of the buckets, so a source with most of the rows is no
@@ -22,7 +25,11 @@ documents each; the order among equal ones means nothing. An empty table gives n
 from __future__ import annotations
 
 import heapq
-from math import sqrt
+from collections.abc import Iterator
+from dataclasses import dataclass
+from fractions import Fraction
+from functools import cached_property
+from math import lcm, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -35,85 +42,67 @@ from weftline.llm.common import table
 BLOCK_ROWS, BUCKET_ROWS, PERIOD = 64, 8_192, 1_000
 
 
-def slots(quota: dict, period: int) -> list:
-    """Whose each slot of a period is; quota holds the slots of each, which add up to the period."""
-    order = sorted(quota, key=lambda s: (s is None, s))
-    release = [(0, k, 0) for k in range(len(order))]
-    heapq.heapify(release)
-    ready: list = []
-    out = []
-    for t in range(period):
-        while release and release[0][0] <= t:
-            _, k, i = heapq.heappop(release)
-            heapq.heappush(ready, (-(-(i + 1) * period // quota[order[k]]), k, i))
-        _, k, i = heapq.heappop(ready)
-        out.append(order[k])
-        if i + 1 < quota[order[k]]:
-            heapq.heappush(release, ((i + 1) * period // quota[order[k]], k, i + 1))
-    return out
-
-
-def quotas(weights: dict, period: int) -> dict:
-    """Whole slots by largest remainder, one at least."""
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items()}
-    out = {s: max(1, int(x)) for s, x in exact.items()}
-    order = sorted(exact, key=lambda s: (-(exact[s] - int(exact[s])), s is None, s))
-    k = 0
-    while (left := period - sum(out.values())) != 0:
-        s = order[k % len(order)] if left > 0 else max(out, key=lambda s: (out[s] - exact[s], out[s]))
-        out[s] += 1 if left > 0 else -1
-        k += 1
-    return out
-
-
-def schedule(blocks: dict, weights: dict, period: int = PERIOD) -> dict:
-    """For each source its stretches (first block, blocks a period, period, first slot, offsets in the period)."""
-    left = {s: n for s, n in blocks.items() if n}
-    out: dict = {s: [] for s in blocks}
-    now = 0
-    while left:
-        active = {s: weights.get(s) or 0 for s in left if (weights.get(s) or 0) > 0} or dict.fromkeys(left, 1)
-        length = max(period, 2 * len(active))
-        quota = quotas(active, length)
-        order = slots(quota, length)
-        whole = min(left[s] // quota[s] for s in active)
-        if whole:
-            offsets: dict = {s: [] for s in active}
-            for t, s in enumerate(order):
-                offsets[s].append(t)
-            for s in active:
-                out[s].append((blocks[s] - left[s], quota[s], length, now, offsets[s]))
-                left[s] -= whole * quota[s]
-            now += whole * length
-        part: dict = {s: [] for s in active}
-        for t, s in enumerate(order):
-            if left[s] == len(part[s]):
+@dataclass
+class Schedule:
+    """Whose each slot is, as places in names, with the fewest bytes a slot that hold the sources."""
+
+    names: list
+    order: np.ndarray
+
+    @cached_property
+    def slots(self) -> tuple[np.ndarray, np.ndarray]:
+        """The slots source by source, and where those of each source begin."""
+        return np.argsort(self.order, kind="stable"), np.cumsum(np.bincount(self.order, minlength=len(self.names))) - np.bincount(self.order, minlength=len(self.names))
+
+    def slot_of(self, source: np.ndarray, block: np.ndarray) -> np.ndarray:
+        """The slot of each block of the sources at these places in names."""
+        slots, first = self.slots
+        return slots[first[source] + block]
+
+
+def whole(weights: list) -> list[int]:
+    """Whole numbers in exactly the proportions of the weights; 0 for no and no positive weight."""
+    parts = [Fraction(w) if w and w > 0 else Fraction(0) for w in weights]
+    scale = lcm(*(x.denominator for x in parts))
+    return [int(x * scale) for x in parts]
+
+
+def deal(left: list[int], share: list[int]) -> Iterator[int]:
+    """The source of each slot until no blocks are left."""
+    left = list(left)
+    while any(left):
+        weight = {k: share[k] for k, n in enumerate(left) if n and share[k]} or {k: 1 for k, n in enumerate(left) if n}
+        total = sum(weight.values())
+        done = dict.fromkeys(weight, 0)
+        release = [(0, k) for k in weight]
+        ready: list = []
+        now = 0
+        while True:
+            while release and release[0][0] <= now:
+                _, k = heapq.heappop(release)
+                heapq.heappush(ready, (-(-(done[k] + 1) * total // weight[k]), k))
+            _, k = heapq.heappop(ready)
+            yield k
+            now += 1
+            done[k] += 1
+            left[k] -= 1
+            if not left[k]:
                 break
-            part[s].append(t)
-        for s in active:
-            if part[s]:
-                out[s].append((blocks[s] - left[s], len(part[s]), length, now, part[s]))
-                left[s] -= len(part[s])
-        now += sum(map(len, part.values()))
-        left = {s: n for s, n in left.items() if n}
-    return out
-
-
-def slot_of(stretches: list, block: np.ndarray) -> np.ndarray:
-    """The slot of each block of one source."""
-    first = np.array([x[0] for x in stretches])
-    at = np.searchsorted(first, block, "right") - 1
-    out = np.zeros(len(block), np.int64)
-    for k in np.unique(at):
-        begin, each, period, start, offsets = stretches[k]
-        i = block[at == k] - begin
-        out[at == k] = start + i // each * period + np.array(offsets)[i % each]
-    return out
+            heapq.heappush(release, (done[k] * total // weight[k], k))
+
+
+def schedule(blocks: dict, weights: dict) -> Schedule:
+    names = sorted(blocks, key=lambda s: (s is None, s))
+    n = [blocks[s] for s in names]
+    order = deal(n, whole([weights.get(s) for s in names]))
+    return Schedule(names, np.fromiter(order, np.min_scalar_type(max(0, len(names) - 1)), sum(n)))
 
 
 def mixed(docs: DataFrame, weights: dict | None = None, source: str = "source", key: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
-    """docs with source_block (its block within the source), mix_slot and mix_pos; sorted by mix_pos, docs are the mixture."""
+    """docs with source_block (its block within the source), mix_slot and mix_pos; sorted by mix_pos, docs are the mixture.
+
+    period has no effect any more: weights are kept exactly.
+    """
     spark = docs.sparkSession
     total = docs.count()
     buckets = max(1, -(-total // BUCKET_ROWS))
@@ -122,17 +111,15 @@ def mixed(docs: DataFrame, weights: dict | None = None, source: str = "source",
     before = F.sum("count").over(W.partitionBy(source).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
     starts = sizes.select(F.col(source).alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_start"))
     rows = {r[0]: r[1] for r in docs.groupBy(source).count().collect()}  # a row for each source
-    plan = schedule({s: -(-n // block_rows) for s, n in rows.items()}, {s: sqrt(n) for s, n in rows.items()} if weights is None else weights, period)
-    shared = spark.sparkContext.broadcast(plan)  # sources x periods, whatever the rows
+    plan = schedule({s: -(-n // block_rows) for s, n in rows.items()}, {s: sqrt(n) for s, n in rows.items()} if weights is None else weights)
+    place = {s: k for k, s in enumerate(plan.names)}
+    shared = spark.sparkContext.broadcast(plan)  # a byte or two a block
 
     @F.arrow_udf("long")
     def slot(of: pa.Array, block: pa.Array) -> pa.Array:
-        names, blocks = np.array(of.to_pylist(), object), block.to_numpy(zero_copy_only=False)
-        out = np.zeros(len(blocks), np.int64)
-        for s in set(names.tolist()):
-            mine = np.array([x == s for x in names], bool) if s is not None else np.array([x is None for x in names], bool)
-            out[mine] = slot_of(shared.value[s], blocks[mine])
-        return pa.array(out)
+        named = of.dictionary_encode(null_encoding="encode")
+        places = np.array([place[s] for s in named.dictionary.to_pylist()], np.int64)
+        return pa.array(shared.value.slot_of(places[named.indices.to_numpy()], block.to_numpy(zero_copy_only=False)), pa.int64())
 
     within = F.row_number().over(W.partitionBy(source, "_bucket").orderBy("_h", key)) - 1
     numbered = dealt.withColumn("_n", within).join(starts, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
