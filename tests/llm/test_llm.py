@@ -104,6 +104,23 @@ def test_html(spark):
     assert got == {i: t for i, t in enumerate(PAGES.values())} | {99: ""}
 
 
+def test_html_marked_inline_elements():
+    """A marked inline element takes no words of its paragraph with it, wherever it stands and however long it is."""
+    a = "The river rose by two metres in the night and the old bridge was closed to all traffic before dawn."
+    b = "Engineers of the county said that the piers had held and that the road would open again within a week."
+    note = "Measured at the gauge below the weir, which has been read twice a day by the same family since the spring of the great flood, as the yearbook of the county tells at length on its first pages."
+    tree = html_text.trained()
+    for inner in ('<sup class="footnote-ref">1</sup>', '<span class="notice">soon</span>', '<a class="related" href="/w">the warden</a>', '<span class="tag">x <span>y</span> z</span>', f'<span class="footnote">{note}</span>', '<b class="top"><i class="meta">u</b>'):
+        got = html_text.main_text(f"<html><body><article><h1>Flood</h1><p>{a}{inner} {b}</p><p>{b} {a}</p></article></body></html>", tree)
+        assert got.count(a) == got.count(b) == 2, (inner, got)
+    # in the middle of a sentence a link's words are words of the sentence
+    got = html_text.main_text(f'<article><p>{a} See <a class="related" href="/w">the report</a> for more. {b}</p></article>', tree)
+    assert got == f"{a} See the report for more. {b}"
+    # marked words on their own are against content, without a word of what stands around them
+    found = html_text.blocks(f'<article><p>{a}</p><div><span class="share">Share this</span></div><div>12 May <span class="byline">Anna B. Smith</span></div></article>')
+    assert [(f[0], f[4][3]) for f in found] == [(a, 0), ("Share this", 1), ("12 May", 0), ("Anna B. Smith", 1)]
+
+
 def junk(i):
     return " ".join(f"w{j % 17}###" for j in range(i % 30 + 20))
 

@@ -2,6 +2,10 @@
 word count and link density, those of its neighbours and where it stands, and a
 decision tree trained on a small labelled table of blocks says whether it is content.
 
+An inline element whose name speaks against content (a footnote's number, a tag)
+speaks against its own words only: as part of a longer text they stay in its block,
+otherwise they are a block after it.
+
 The blocks of a page are read in one pass over its markup. Rows are independent:
 no shuffle, and memory is that of one page.
 
@@ -53,29 +57,34 @@ def blocks(page: str) -> list[tuple[str, int, int, str, tuple[int, int, int, int
     """(text, words, words in links, element, (main, frame, for, against) of what encloses it), in page order."""
     out: list = []
     stack: list[tuple[str, tuple[int, int, int, int]]] = []
-    parts: list[str] = []
-    linked = at = 0
-    links: list[str] = []
+    parts: list[tuple[str, bool, tuple[int, int]]] = []  # text, in a link, (against, for) of what encloses it
+    at = 0
     in_link = False
 
+    def block(texts: list[str], links: list[str], against: int, named_for: int) -> None:
+        text = _SPACE.sub(" ", "".join(texts)).strip()
+        if text:
+            main = max((m[0] for _, m in stack), default=0)
+            # what stands inside an article's own header is no page frame
+            frame = sum(m[1] for n, m in stack if not (n == "header" and main == 2))
+            out.append((text, text.count(" ") + 1, len(" ".join(links).split()), next((n for n, _ in reversed(stack) if n not in _INLINE), "body"), (main, frame, named_for, against)))
+
     def flush() -> None:
-        nonlocal linked
-        if parts:
-            text = _SPACE.sub(" ", "".join(parts)).strip()
-            if text:
-                main = max((m[0] for _, m in stack), default=0)
-                # what stands inside an article's own header is no page frame
-                frame = sum(m[1] for n, m in stack if not (n == "header" and main == 2))
-                state = (main, frame, int(any(m[2] for _, m in stack)), sum(m[3] for _, m in stack))
-                out.append((text, text.count(" ") + 1, len("".join(links).split()), next((n for n, _ in reversed(stack) if n not in _INLINE), "body"), state))
-            parts.clear()
-        links.clear()
+        if marks := {m for text, _, m in parts if text.strip()}:
+            own = min(marks)
+            texts, links = [t for t, _, _ in parts], [t for t, x, _ in parts if x]
+            marked = [(t, x) for t, x, m in parts if m[0] > own[0]]
+            inside = sum(len(t.split()) for t, _ in marked)
+            if 2 * inside < sum(len(t.split()) for t in texts):
+                block(texts, links, *own)  # marked words within a longer text are words of it
+            else:
+                block([t if m[0] <= own[0] else " " for t, _, m in parts], [t for t, x, m in parts if x and m[0] <= own[0]], *own)
+                block([t for t, _ in marked], [t for t, x in marked if x], *max(marks))
+        parts.clear()
 
     def add(raw: str) -> None:
         text = _html.unescape(raw) if "&" in raw else raw
-        parts.append(text)
-        if in_link:
-            links.append(text + " ")
+        parts.append((text, in_link, (sum(m[3] for _, m in stack), int(any(m[2] for _, m in stack)))))
 
     n = len(page)
     while at < n:
@@ -95,19 +104,24 @@ def blocks(page: str) -> list[tuple[str, int, int, str, tuple[int, int, int, int
                 end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
                 at = end.end() if end else n
             if name not in _INLINE:
-                parts.append(" ")
+                parts.append((" ", False, (0, 0)))
             continue
         if name == "br":
-            parts.append(" ")
+            parts.append((" ", False, (0, 0)))
             continue
         if name in _INLINE:
             if name == "a":
                 in_link = not closing
-            if not closing and name not in _VOID and "=" in attrs and (e := _element(name, attrs))[3]:
-                stack.append((name, e))
-            elif closing and stack and stack[-1][0] == name:
-                flush()
-                stack.pop()
+            if closing:
+                k = len(stack) - 1
+                while k >= 0 and stack[k][0] in _INLINE and stack[k][0] != name:
+                    k -= 1
+                if k >= 0 and stack[k][0] == name:
+                    del stack[k:]
+            elif name not in _VOID:
+                e = _element(name, attrs) if "=" in attrs else (0, 0, 0, 0)
+                if e[3] or stack and stack[-1][0] == name:  # one more of the name, for the end tags to match
+                    stack.append((name, e))
             continue
         flush()
         in_link = in_link and not closing
