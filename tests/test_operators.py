@@ -88,6 +88,39 @@ def test_density_labels_of_few_rows(spark):
     assert {r["method"] for r in got} == {"none"} and {r["label"] for r in got} == {0}
 
 
+def test_density_labels_fall_back_to_kmeans(spark):
+    """No theme, a single theme of a large run, and rows alike that count for the theme of the one that stands for them."""
+    far = np.eye(16)  # all equally far: density finds nothing
+    wide = np.random.default_rng(2).normal(size=(30, 64))
+    two = np.vstack([blobs([14, 14]), np.repeat(np.eye(8)[7:], 6, 0)])
+    rows = [(r, i, v.tolist(), i % 5) for r, x in ((1, far), (2, wide), (3, two)) for i, v in enumerate(x)]
+    got = C.density_labels(spark.createDataFrame(rows, "run_id int, id int, v array<double>, likes int"), "run_id", likes="likes").toPandas()
+    method = got.groupby("run_id").method.first()
+    assert method[1] == "kmeans" and method[2] == "kmeans"
+    themes = got[got.label >= 0].groupby(["run_id", "label"]).size()
+    assert themes[1].max() >= C.THEME_SIZE and len(themes[2]) >= 1
+    assert got.groupby("run_id").size().to_dict() == {1: 16, 2: 30, 3: 34}
+    same = got[(got.run_id == 3) & (got.id >= 28)]
+    assert same.label.nunique() == 1 and same.is_survivor.sum() <= 1
+
+
+def test_single_theme_is_split(monkeypatch):
+    x, raw = blobs([15, 15]), np.ones(30, int)
+    monkeypatch.setattr(C, "hdbscan", lambda x, size: np.zeros(len(x), int))
+    label, method = C.themes_of(x, raw)
+    assert method == "kmeans" and len({*label.tolist()} - {-1}) >= 2
+    assert C.themes_of(x[:19], raw[:19])[1] == "hdbscan"
+    # clusters too small for a theme: with fewer than two themes left, k-means
+    monkeypatch.setattr(C, "hdbscan", lambda x, size: np.array([0] * 10 + [1] * 2 + [-1] * (len(x) - 12)))
+    assert C.themes_of(x[:18], raw[:18])[1] == "kmeans"
+
+
+def test_alike():
+    x = np.array([[1, 0], [0.999, 0.04], [0, 1], [0.98, 0.2], [0.9, 0.43]])
+    x /= np.sqrt((x * x).sum(1, keepdims=True))
+    assert C.alike(x, np.array([1, 0, 0, 9, 9])).tolist() == [3, 3, 2, 3, 3]  # 0 and 4 only by way of 3
+
+
 def test_registry(spark):
     c = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "chunk_id string, content_hash string")
     r = spark.createDataFrame([("a", "1"), ("b", "x"), ("z", "9")], "chunk_id string, content_hash string")

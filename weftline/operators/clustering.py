@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 FEWEST, THEME_SIZE, THEMES_KEPT, NOISE_SHARE, SPLIT_AT = 12, 3, 2, 0.15, 20
 SIZE_FLOOR, SIZE_CEILING, SIZE_RETRY, MIN_SAMPLES, MOST_CLUSTERS = 3, 8, 2, 2, 5
 STORED_IDS, SHOWN_TEXTS, SHOWN_CHARS = 5, 3, 120
+#: Comments whose cosine is over this say the same.
+ALIKE = 0.95
 
 
 def kmeans_k(n: Column, most: int = MOST_CLUSTERS) -> Column:
@@ -123,23 +125,96 @@ def hdbscan(x: np.ndarray, size: int, min_samples: int = MIN_SAMPLES) -> np.ndar
     return labels
 
 
-def density_labels(rows: DataFrame, by: str, key: str = "id", vector: str = "v") -> DataFrame:
-    """by, key, label, method of each run's rows: none under FEWEST rows, else density clustering, once more with a smaller size if it finds nothing."""
+def split(x: np.ndarray, k: int, seed: int = 0, starts: int = 10, rounds: int = 300) -> np.ndarray:
+    """k-means labels of unit vectors, the best of several seeded starts; numbered by their first members."""
+    k = max(1, min(k, len(x)))
+    rng = np.random.default_rng(seed)
+    best, least = np.zeros(len(x), int), np.inf
+    for _ in range(starts if k > 1 else 0):
+        centre = x[[rng.integers(len(x))]]
+        while len(centre) < k:
+            far = ((x[:, None] - centre[None]) ** 2).sum(2).min(1)
+            centre = np.vstack([centre, x[rng.choice(len(x), p=far / far.sum()) if far.sum() > 0 else len(centre)]])
+        label = None
+        for _ in range(rounds):
+            d = ((x[:, None] - centre[None]) ** 2).sum(2)
+            new = d.argmin(1)
+            if label is not None and (new == label).all():
+                break
+            label = new
+            for j in range(k):
+                mine = label == j
+                centre[j] = x[mine].mean(0) if mine.any() else x[d.min(1).argmax()]
+        cost = d.min(1).sum()
+        if cost < least - 1e-12:
+            best, least = label, cost
+    first = {}
+    return np.array([first.setdefault(j, len(first)) for j in best.tolist()], int)
+
+
+def alike(x: np.ndarray, likes: np.ndarray, block: int = 256) -> np.ndarray:
+    """The representative of each row: of those that a chain of cosines over ALIKE links, the most liked, then the first."""
+    of = np.full(len(x), -1)
+    for i in range(len(x)):
+        if of[i] >= 0:
+            continue
+        of[i] = i
+        group, todo = [i], [i]
+        while todo:
+            near = np.flatnonzero((x[todo[:block]] @ x.T > ALIKE).any(0) & (of < 0))
+            of[near] = i
+            group += near.tolist()
+            todo = todo[block:] + near.tolist()
+        of[group] = min(group, key=lambda j: (-likes[j], j))
+    return of
+
+
+def themes_of(x: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, str]:
+    """Labels and method: density clustering, once more with a smaller size if it finds no theme; k-means if there is still none,
+    if a run of SPLIT_AT comments has a single one, or if clusters were too small for themes and fewer than THEMES_KEPT stay.
+
+    raw holds how many comments each row stands for; a theme has THEME_SIZE comments.
+    """
+    k = max(2, min(MOST_CLUSTERS, round(len(x) / 10)))
+
+    def gate(label: np.ndarray) -> tuple[np.ndarray, int, bool]:
+        sizes = np.bincount(label[label >= 0], weights=raw[label >= 0], minlength=1)
+        kept = np.where((label >= 0) & (sizes[np.maximum(label, 0)] < THEME_SIZE), -1, label)
+        return kept, int((sizes >= THEME_SIZE).sum()), bool((kept != label).any())
+
+    label, themes, demoted = gate(hdbscan(x, density_size(len(x))))
+    if themes == 0:
+        label, themes, demoted = gate(hdbscan(x, SIZE_RETRY))
+        again = themes == 0
+    else:
+        again = themes == 1 and raw.sum() >= SPLIT_AT
+    if again or (demoted and themes < THEMES_KEPT):
+        return gate(split(x, k))[0], "kmeans"
+    return label, "hdbscan"
+
+
+def density_labels(rows: DataFrame, by: str, key: str = "id", vector: str = "v", likes: str | None = None) -> DataFrame:
+    """by, key, label, method, is_survivor of each run's rows: one cluster under FEWEST rows, else themes_of() the rows that stand for those alike.
+
+    Rows alike have the label of the one that stands for them, which is_survivor marks. The labels are those of themes, -1 is noise.
+    """
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         x = np.array(pdf[vector].tolist(), float)
         x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
+        stands = np.arange(len(x))
         if len(x) < FEWEST:
             label, method = np.zeros(len(x), int), "none"
         else:
-            label, method = hdbscan(x, density_size(len(x))), "hdbscan"
-            if label.max() < 0:
-                label = hdbscan(x, SIZE_RETRY)
-        return pd.DataFrame({by: pdf[by], key: pdf[key], "label": label, "method": method})
+            stands = alike(x, np.zeros(len(x)) if likes is None else pdf[likes].fillna(0).to_numpy(float))
+            kept, of, raw = np.unique(stands, return_inverse=True, return_counts=True)
+            label, method = themes_of(x[kept], raw)
+            label = label[of]
+        return pd.DataFrame({by: pdf[by], key: pdf[key], "label": label, "method": method, "is_survivor": stands == np.arange(len(x))})
 
     kinds = {c: rows.schema[c].dataType.simpleString() for c in (by, key)}
-    return rows.select(by, key, vector).groupBy(by).applyInPandas(fit, f"{by} {kinds[by]}, {key} {kinds[key]}, label int, method string")
+    return rows.select(by, key, vector, *([likes] if likes else [])).groupBy(by).applyInPandas(fit, f"{by} {kinds[by]}, {key} {kinds[key]}, label int, method string, is_survivor boolean")
 
 
 def theme_gate(labels: DataFrame, by: Sequence[str] = ("run_id",), raw: str = "raw_count") -> DataFrame:

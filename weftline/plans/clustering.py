@@ -38,7 +38,7 @@ def kmeans_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").select((F.floor(F.col("vec_id") / 200)).alias("run_id"), "vec_id", F.col("embedding").alias("v"))
-    return C.density_labels(e, "run_id", "vec_id")
+    return C.density_labels(e, "run_id", "vec_id").select("run_id", "vec_id", "label", "method")
 
 
 def kmeans_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ from weftline.operators.storage import stored
 from weftline.sources.tables import table
 
 DIM, QUERY_TOP, EVIDENCE_CHARS = 64, 8, 400
+#: Neighbouring conversations of one run, so that more rows make more runs and no larger ones.
+RUN_CONVERSATIONS = 10
 
 
 @dataclass
@@ -34,9 +36,9 @@ def analyse(raw: DataFrame, chunks: DataFrame, depth: str = "standard") -> Run:
     """raw has (run_id, id, text, likes), chunks (chunk_id, library, text, v)."""
     told = comments.marked_duplicates(comments.flagged(raw), "likes", "id", ("run_id",))
     usable = comments.clusterable(told).select("run_id", "id", "body", "likes", hashed_embedding(F.col("body"), DIM).alias("v"))
-    labels = clustering.theme_gate(clustering.density_labels(usable, "run_id").withColumn("raw_count", F.lit(1)))
-    member = stored(usable.drop("v").join(labels.select("run_id", "id", "label"), ["run_id", "id"]), "members")
-    rows = clustering.cluster_rows(member.withColumnRenamed("body", "text").withColumn("is_survivor", F.lit(True)))
+    labels = clustering.density_labels(usable, "run_id", likes="likes")
+    member = stored(usable.drop("v").join(labels.select("run_id", "id", "label", "is_survivor"), ["run_id", "id"]), "members")
+    rows = clustering.cluster_rows(member.withColumnRenamed("body", "text"))
     words = keyphrases.keyphrases_across(member.filter("label >= 0").withColumn("g", F.concat_ws("/", "run_id", "label")), "g", "id", "body")
     named = rows.withColumn("g", F.concat_ws("/", "run_id", F.regexp_replace("cluster_key", "^c", ""))).join(words, "g", "left").drop("g")
     empty = F.array().cast("array<string>")
@@ -55,9 +57,9 @@ def analyse(raw: DataFrame, chunks: DataFrame, depth: str = "standard") -> Run:
 
 
 def analysis_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as runs of comments, benchmark passages as chunks: the evidence of every run."""
+    """Conversations, RUN_CONVERSATIONS to a run, as runs of comments, benchmark passages as chunks: the evidence of every run."""
     c = table(spark, sf_dir, "conversations")
-    raw = c.select((F.col("conv_id") % 10).alias("run_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", F.length("text").alias("likes"))
+    raw = c.select(F.floor(F.col("conv_id") / RUN_CONVERSATIONS).alias("run_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text", F.length("text").alias("likes"))
     b = table(spark, sf_dir, "benchmark")
     chunks = b.select(F.col("item_id").alias("chunk_id"), F.element_at(F.array(*(F.lit(x) for x in fusion.LIBRARIES)), (F.col("item_id") % 3 + 1).cast("int")).alias("library"), "text", hashed_embedding(F.col("text"), DIM).alias("v"))
     return analyse(raw, chunks).evidence
