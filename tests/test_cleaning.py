@@ -1,7 +1,10 @@
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from weftline.functions import text as T
 from weftline.operators import comments as C
+from weftline.plans import cleaning as P
 from weftline.sources.text import split_items
 
 
@@ -50,3 +53,18 @@ def test_coercion(spark):
     assert one(spark, "12", T.to_long) == 12
     assert one(spark, "1700000000", lambda c: F.unix_seconds(T.to_time(c))) == one(spark, "1700000000000", lambda c: F.unix_seconds(T.to_time(c))) == 1700000000
     assert one(spark, "..\\x/a<b>.txt", T.safe_filename) == "ab.txt"
+
+
+def test_cleaning_queries_compose(spark, tmp_path):
+    """Full-width and ligature forms are the plain ones in every query of cleaning, as in plain Python."""
+    texts = ["我也是 abc 123", "我也是　ＡＢＣ １２３".lower(), "ﬁne office", "fine oﬃce", "加ｖｘ：ａｂｃ１２３４５", "ｗｗｗ．example.com 好看", "打电话１３８１２３４５６７８", "看看"]
+    spark.createDataFrame([(i, t, len(texts) - i) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    flags = {r["doc_id"]: r for r in P.clean_flags(spark, str(tmp_path)).collect()}
+    plain = spark.createDataFrame([(i, unicodedata.normalize("NFKC", t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in C.flagged(plain, compose=False).collect():
+        assert (flags[r["doc_id"]]["reason"], flags[r["doc_id"]]["dedup_key"]) == (r["filter_reason"], r["dedup_key"])
+    assert {i for i in flags if flags[i]["reason"] == "ad"} == {4, 5, 6}
+    assert {r["doc_id"] for r in P.mark_duplicates(spark, str(tmp_path)).collect() if r["is_duplicate"]} == {1, 3}
+    assert P.clean_tally(spark, str(tmp_path)).first().asDict() == {"total": 8, "kept": 3, "ads": 3, "spam": 0, "duplicates": 2, "empty": 0}
+    assert {r["reason"]: r["n"] for r in P.clean_reasons(spark, str(tmp_path)).collect()} == {"ad": 3, "duplicate": 2}
+    assert {r["doc_id"]: r["length"] for r in P.visible_comments(spark, str(tmp_path)).collect()} == {0: 11, 2: 11, 7: 2}

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from weftline.functions.text import fingerprint, is_ad, is_spam, normalise, visible
 
 
-def flagged(comments: DataFrame, text: str = "text", compose: bool = False) -> DataFrame:
-    """Adds body, dedup_key, is_ad, is_spam and filter_reason. Precedence: empty, then ad, then spam."""
+def flagged(comments: DataFrame, text: str = "text", compose: bool = True) -> DataFrame:
+    """Adds body, dedup_key, is_ad, is_spam and filter_reason. Precedence: empty, then ad, then spam. Texts are NFKC first unless compose is off."""
     body = F.col("body")
     reason = F.when(~visible(body), "empty").when(is_ad(body), "ad").when(is_spam(body), "spam")
     told = comments.withColumn("body", normalise(F.col(text), compose)).withColumn("filter_reason", reason).withColumn("dedup_key", fingerprint(body))
