@@ -204,6 +204,15 @@ def test_bounds_lose_no_link():
         assert sum(math.comb(n + 1, k) * 0.8**k * 0.2 ** (n + 1 - k) for k in range(m)) < 1e-6
 
 
+def test_language_learns_rare_ones(spark):
+    rows = [(i, "the sun rose over hills", "en") for i in range(6000)] + [(7000 + i, "солнце взошло над холмами", "ru") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, sample_rows=60)
+    assert model.names == ["en", "ru"] and model.predict("солнце над холмами")[0] == "ru"
+    # the most frequent trigrams were counted once a document: the common language keeps to its part of the bound
+    assert 20 < (model.p[0].max() / model.p[0].min() - 1) * language.SMOOTH < 120
+
+
 def test_mixing(spark, none):
     rows = [(i, "a" if i < 700 else "b" if i < 1000 else None) for i in range(1100)]
     docs = spark.createDataFrame(rows, "doc_id long, source string")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import remainder, sampled, struct_array, table
+from weftline.llm.common import remainder, struct_array, table
 
 #: Labelled documents that the model learns from at most.
 SAMPLE_ROWS = 20_000
@@ -97,10 +97,23 @@ class Languages:
 
 
 def train(docs: DataFrame, lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Languages:
-    """Counts over at most about `sample_rows` documents outside the held-out fold that have a language."""
+    """Counts over at most about `sample_rows` documents outside the held-out fold that have a language.
+
+    Every language has an equal bound; those with fewer documents have all of them and leave the rest to the others.
+    """
     known = docs.filter(F.col(lang).isNotNull() & F.col("text").isNotNull() & (remainder() != 0))
-    part = min(1.0, sample_rows / max(1, known.count()))
-    chosen = known.filter(sampled(part, "doc_id")).select(F.col(lang).alias("lang"), "text")
+    sizes = sorted(known.groupBy(F.col(lang).alias("lang")).count().collect(), key=lambda r: r["count"])
+    left, bound = sample_rows, 1.0
+    for k, r in enumerate(sizes):
+        bound = max(1.0, left / (len(sizes) - k))
+        left -= min(r["count"], bound)
+    whole = F.lit(True)
+    if sizes and sizes[-1]["count"] > bound:
+        parts = {r["lang"]: bound / r["count"] for r in sizes if r["count"] > bound}
+        part = F.create_map(*(F.lit(x) for pair in parts.items() for x in pair))[F.col(lang)]
+        # the share of all hashes, as in sampled(), with a share for each language
+        whole = part.isNull() | (F.xxhash64("doc_id") <= (part * F.lit(2.0**64) - F.lit(2.0**63)).cast("long"))
+    chosen = known.filter(whole).select(F.col(lang).alias("lang"), "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
