@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -81,6 +82,65 @@ def test_simhash_search_finds_all(spark):
     assert got == {(split(b), split(x)) for b in base for x in fps if (b ^ x).bit_count() <= 6}
 
 
+def brute_fingerprint(text):
+    """128 votes, one by one; the hash is Spark's xxhash64."""
+    h = lambda parts: __import__("functools").reduce(lambda seed, p: xxhash.xxh64_intdigest(p, seed), parts, 42)
+    w = re.split(r"\s+", text.lower(), flags=re.A)
+    w = [x for x in w if x] or [""]
+    pairs = list(zip(w, w[1:])) or [(w[0], "")]
+    votes, total = [0] * 128, 0
+    for a, b in pairs:
+        weight = min(simhash.LONGEST, len(a) + len(b))
+        total += weight
+        for half, bits in enumerate((h((a.encode(), b.encode())), h((b.encode(), (1).to_bytes(4, "little"), a.encode())))):
+            for k in range(64):
+                votes[64 * (1 - half) + k] += weight * (bits >> k & 1)
+    return sum(1 << k for k, v in enumerate(votes) if 2 * v > total)
+
+
+def test_simhash_query_is_brute_force(spark, none):
+    rng = np.random.default_rng(8)
+    words = [f"W{int(x)}" for x in rng.integers(0, 400, 500)]
+    texts = {}
+    for i in range(150):
+        base = list(words[(i // 3) * 7 : (i // 3) * 7 + 60])
+        if i % 3:
+            base[int(rng.integers(0, 60))] = f"x{i % 2}"
+        texts[i * 2] = " ".join(base)
+    texts |= {400: None, 401: "", 402: "one", 500: "a  b\n c" * 50, 600: texts[100]}
+    order = sorted(texts)
+    docs = spark.createDataFrame([(d, t, 1, 2) for d, t in texts.items()], "doc_id long, text string, salt int, k int")
+    got = {r["doc_id"]: r for r in simhash.fingerprint_report(docs).collect()}
+    assert len(got) == len(texts)
+    x = {d: texts[d] or "" for d in order}
+    fp = {d: brute_fingerprint(x[d]) for d in order}
+    like = lambda a, b: max(0.0, math.cos(math.pi * (a ^ b).bit_count() / 128))
+    near = 0
+    for d, then in zip(order, order[1:] + order[:1]):
+        n = len(x[d]) // 4
+        edited = x[d][: len(x[d]) - n] + x[then][:n]
+        r = got[d]
+        assert (r["n_chars"], r["edited_sha256"]) == (len(x[d]), hashlib.sha256(edited.encode()).hexdigest())
+        assert (r["fingerprint"], r["edited_fingerprint"]) == (f"{fp[d]:032x}", f"{brute_fingerprint(edited):032x}")
+        assert math.isclose(r["near_edited"], like(fp[d], brute_fingerprint(edited)), abs_tol=1e-12)
+        assert math.isclose(r["near_next"], like(fp[d], fp[then]), abs_tol=1e-12)
+        within = sum((fp[d] ^ fp[e]).bit_count() <= simhash.RADIUS for e in order if e != d)
+        assert r["n_within"] == (within if d % 100 == 0 else None)
+        near += within if d % 100 == 0 else 0
+    assert near > 0
+    assert simhash.fingerprint_report(none).count() == 0
+
+
+def test_simhash_hot_ids(spark):
+    """Most rows share an id or have none: each has its own result, and the next document is one of the next id's."""
+    rows = [(None, f"null {i} text here") for i in range(300)] + [(5, f"five {i} other words") for i in range(300)] + [(9, "nine is the last of them")]
+    got = simhash.fingerprint_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 601 and Counter(r["doc_id"] for r in got) == {None: 300, 5: 300, 9: 1}
+    edits = {hashlib.sha256((t[: len(t) - len(t) // 4] + "nine is the last of them"[: len(t) // 4]).encode()).hexdigest() for d, t in rows if d == 5}
+    assert {r["edited_sha256"] for r in got if r["doc_id"] == 5} == edits
+    assert {r["fingerprint"] for r in got} == {f"{brute_fingerprint(t):032x}" for _, t in rows}
+
+
 def test_next_ids(spark):
     ids = sorted({int(x) for x in np.random.default_rng(2).integers(-5_000_000, 5_000_000, 300)})
     df = spark.createDataFrame([(i,) for i in ids], "k long")

@@ -14,9 +14,10 @@ holds every match. Only distinct fingerprints go into the tables.
 
 Null and empty texts, and texts of white space, have no votes: the fingerprint
 is all zeros. Equal texts have equal fingerprints. Rows that share a doc_id are
-one step in the order of ids: the next document is that of the next larger id,
-the smallest text where several rows have it. A table with one id has itself as
-the next.
+one step in the order of ids, null comes before all others: the next document is
+that of the next larger id, the text with the least xxhash64 where several rows
+have it. A table with one id has itself as the next. Ids with more than 1 / MOST_HOT
+of the rows are dealt out SALTS ways. Every join's plan is the same at all sizes.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from weftline.llm.common import stored, table
 BITS = 128
 #: Hamming radius of the search, and the longest pair that counts in full.
 RADIUS, LONGEST = 6, 20
+#: Ids that are dealt out at most, and the ways.
+MOST_HOT, SALTS = 500, 64
 #: Integer ids in one window when ids are put in order.
 _WIDTH = 1 << 10
 
@@ -96,71 +99,80 @@ def likeness(a: tuple[str, str], b: tuple[str, str]) -> Column:
     return F.greatest(F.lit(0.0), F.cos(distance(a, b) * (3.141592653589793 / BITS)))
 
 
-def _tables(df: DataFrame, radius: int) -> DataFrame:
-    """A row for each block table: its key, and the blocks that must differ for the table to be a pair's first."""
+def _tables(df: DataFrame, hi: str, lo: str, radius: int) -> DataFrame:
+    """(key, hi, lo) of each block table: the key tells the table and the bits of its two blocks."""
     n = radius + 2
     edges = [BITS * k // n for k in range(n + 1)]
 
-    def block(k: int) -> Column:
+    def block(k: int) -> list[Column]:
         parts, at = [], edges[k]
         while at < edges[k + 1]:
             end = min(edges[k + 1], 64 if at < 64 else 128)
-            bits = F.shiftrightunsigned("hi" if at < 64 else "lo", at % 64)
+            bits = F.shiftrightunsigned(hi if at < 64 else lo, at % 64)
             parts.append(bits if end - at == 64 else bits.bitwiseAND(F.lit((1 << (end - at)) - 1)))
             at = end
-        return F.xxhash64(*parts)
+        return parts
 
-    rows = [F.struct(F.xxhash64(F.lit(i * n + j), f"b{i}", f"b{j}").alias("key"), F.lit(sum(1 << k for k in range(j) if k != i)).alias("before")) for i, j in combinations(range(n), 2)]
-    with_blocks = df.select("*", *(block(k).alias(f"b{k}") for k in range(n)))
-    return with_blocks.select("*", F.explode(F.array(*rows)).alias("t")).select("*", "t.key", "t.before").drop("t")
+    keys = [F.xxhash64(F.lit(i * n + j), *block(i), *block(j)) for i, j in combinations(range(n), 2)]
+    return df.select(F.explode(F.array(*keys)).alias("key"), hi, lo)
 
 
 def within(queries: DataFrame, fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(q_hi, q_lo, hi, lo, distance) for every query (q_hi, q_lo) and every fingerprint (hi, lo) within the radius; both distinct."""
-    n = radius + 2
-    q = _tables(queries.select(F.col("q_hi").alias("hi"), F.col("q_lo").alias("lo")), radius)
-    q = q.select(F.col("hi").alias("q_hi"), F.col("lo").alias("q_lo"), "key", *(F.col(f"b{k}").alias(f"q{k}") for k in range(n)))
-    same = sum((F.when(F.col(f"b{k}") == F.col(f"q{k}"), 1 << k).otherwise(0) for k in range(n)), F.lit(0))
-    t = _tables(fps.select("hi", "lo"), radius)
     d = distance(("q_hi", "q_lo"), ("hi", "lo"))
-    pairs = t.withColumnRenamed("key", "t_key").join(q, (F.col("t_key") == F.col("key")) & (same.bitwiseAND(F.col("before")) == 0) & (d <= radius))
-    return pairs.select("q_hi", "q_lo", "hi", "lo", d.alias("distance"))
+    tables = _tables(fps, "hi", "lo", radius).hint("merge")
+    pairs = tables.join(_tables(queries, "q_hi", "q_lo", radius), "key").filter(d <= radius)
+    return pairs.select("q_hi", "q_lo", "hi", "lo").distinct().withColumn("distance", d)
 
 
 def edited_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, k, copy, next_k, n_chars, text and edited of every row; (k, copy) is unique.
+    """doc_id, k, salt, row, next_k, n_chars, text, order and edited of every row; (k, salt, row) is unique.
 
     edited is the text with its last quarter of characters replaced by as many
     of the next document's first ones, or all that it has.
     """
     low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
     low, high = (0, 0) if low is None else (low - 1, high)
-    # both joins read these two columns and no others, so that one shuffle of the texts serves both
-    d = docs.select(F.coalesce("doc_id", F.lit(low)).cast("long").alias("k"), F.coalesce("text", F.lit("")).alias("text"))
-    sizes = stored(d.groupBy("k").agg(F.max(F.floor(F.length("text") / 4)).cast("int").alias("need")), "sizes")
-    asks = sizes.join(following(sizes.select("k"), low, high), "k").select(F.col("k").alias("asker"), "need", "next_k")
-    heads = d.join(asks, d["k"] == asks["next_k"]).select("asker", F.col("k").alias("next_k"), F.substring("text", F.lit(1), F.col("need")).alias("head"))
-    heads = heads.groupBy("asker").agg(F.min("head").alias("head"), F.min("next_k").alias("next_k"))
+    key = F.coalesce("doc_id", F.lit(low)).cast("long").alias("k")
+    sizes = docs.select(key, F.floor(F.length(F.coalesce("text", F.lit(""))) / 4).cast("int").alias("need"))
+    sizes = stored(sizes.groupBy("k").agg(F.max("need").alias("need"), F.count("*").alias("rows")), "sizes")
+    least = max(1, (sizes.agg(F.sum("rows")).first()[0] or 0) // MOST_HOT)
+    hot = [r["k"] for r in sizes.filter(F.col("rows") > least).select("k").collect()]  # MOST_HOT ids at most
+    # both joins read these columns and no others, so that one shuffle of the texts serves both
+    d = docs.select(key, F.coalesce("text", F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row"))
+    d = d.withColumn("salt", F.when(F.col("k").isin(hot), F.pmod("row", F.lit(SALTS))).otherwise(0).cast("int"))
+    salts = lambda k: F.explode(F.when(F.col(k).isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt")
+    asks = sizes.join(following(sizes.select("k"), low, high), "k").select(F.col("k").alias("asker"), "need", F.col("next_k").alias("k"))
+    asked = d.hint("merge").join(asks.select("*", salts("k")), ["k", "salt"])
+    head = F.struct(F.xxhash64("text").alias("order"), F.substring("text", F.lit(1), F.col("need")).alias("head"), "row")
+    heads = asked.select("asker", F.col("k").alias("next_k"), head.alias("h")).groupBy("asker").agg(F.min("h").alias("h"), F.min("next_k").alias("next_k"))
+    heads = heads.select(F.col("asker").alias("k"), "h.head", "next_k").select("*", salts("k"))
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), (n - F.floor(n / 4)).cast("int")), F.substring("head", F.lit(1), F.floor(n / 4).cast("int")))
-    both = d.join(heads, d["k"] == heads["asker"]).withColumn("copy", F.row_number().over(W.partitionBy("k").orderBy("text")))
+    both = d.hint("merge").join(heads, ["k", "salt"])
     doc_id = F.when(F.col("k") != low, F.col("k")).cast(docs.schema["doc_id"].dataType).alias("doc_id")
-    return both.select(doc_id, "k", "copy", "next_k", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    return both.select(doc_id, "k", "salt", "row", "next_k", n.cast("long").alias("n_chars"), "text", F.xxhash64("text").alias("order"), edited.alias("edited"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's columns, and n_within: for ids divisible by 100, the other documents within RADIUS of the fingerprint."""
-    rows = edited_documents(table(spark, sf_dir, "documents")).withColumn("edited_sha256", F.sha2("edited", 256))
-    both = rows.select("doc_id", "k", "copy", "next_k", "n_chars", "edited_sha256", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("text")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("text")))).alias("v"))
-    fps = fingerprints(both.select("doc_id", "k", "copy", "next_k", "n_chars", "edited_sha256", "v.which", "v.text"))
-    one = fps.groupBy("doc_id", "k", "copy", "next_k", "n_chars", "edited_sha256").agg(*(F.max(F.when(F.col("which") == w, F.col(c))).alias(f"{c}{w}") for w in (0, 1) for c in ("hi", "lo")))
-    f = stored(one, "fingerprints")
-    then = f.filter("copy = 1").select(F.col("k").alias("next_k"), F.col("hi0").alias("hi2"), F.col("lo0").alias("lo2"))
+    return fingerprint_report(table(spark, sf_dir, "documents"))
+
+
+def fingerprint_report(docs: DataFrame) -> DataFrame:
+    keys = ("doc_id", "k", "salt", "row", "next_k", "n_chars", "order", "edited_sha256")
+    rows = edited_documents(docs).withColumn("edited_sha256", F.sha2("edited", 256))
+    texts = F.array(*(F.struct(F.lit(w).alias("which"), F.col(c).alias("text")) for w, c in enumerate(("text", "edited"))))
+    fps = fingerprints(rows.select(*keys, F.explode(texts).alias("v")).select(*keys, "v.which", "v.text"))
+    one = fps.groupBy(*keys).agg(*(F.max(F.when(F.col("which") == w, F.col(c))).alias(f"{c}{w}") for w in (0, 1) for c in ("hi", "lo")))
+    f = stored(one.drop("salt", "row"), "fingerprints")
+    then = f.groupBy(F.col("k").alias("next_k")).agg(F.min(F.struct("order", "hi0", "lo0")).alias("s")).select("next_k", F.col("s.hi0").alias("hi2"), F.col("s.lo0").alias("lo2"))
     distinct = f.groupBy(F.col("hi0").alias("hi"), F.col("lo0").alias("lo")).agg(F.count("*").alias("n"))
     queries = f.filter("doc_id % 100 = 0").select(F.col("hi0").alias("q_hi"), F.col("lo0").alias("q_lo")).distinct()
-    near = within(queries, distinct).join(distinct, ["hi", "lo"]).groupBy(F.col("q_hi").alias("hi0"), F.col("q_lo").alias("lo0")).agg((F.sum("n") - 1).alias("found"))
+    near = within(queries, distinct.select("hi", "lo")).join(distinct, ["hi", "lo"]).groupBy(F.col("q_hi").alias("hi0"), F.col("q_lo").alias("lo0")).agg((F.sum("n") - 1).alias("found"))
     hex_ = lambda w: F.lower(F.concat(F.lpad(F.hex(f"hi{w}"), 16, "0"), F.lpad(F.hex(f"lo{w}"), 16, "0")))
-    out = f.join(then, "next_k").join(near, ["hi0", "lo0"], "left")
+    asked = f.filter("doc_id % 100 = 0").join(near, ["hi0", "lo0"])
+    out = f.filter("coalesce(doc_id % 100 != 0, true)").withColumn("found", F.lit(None).cast("long")).unionByName(asked).hint("merge").join(then, "next_k")
     return out.select(
         "doc_id",
         "n_chars",
@@ -169,5 +181,5 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
         hex_(1).alias("edited_fingerprint"),
         likeness(("hi0", "lo0"), ("hi1", "lo1")).alias("near_edited"),
         likeness(("hi0", "lo0"), ("hi2", "lo2")).alias("near_next"),
-        F.when(F.col("doc_id") % 100 == 0, F.col("found")).alias("n_within"),
+        F.col("found").alias("n_within"),
     )
