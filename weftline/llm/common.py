@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.storage import stored  # noqa: F401
 
-#: Bytes of text in one block of documents that a Python task handles together.
-BLOCK_BYTES = 32 << 20
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -32,20 +27,5 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
     return df.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
-def by_bytes(texts: Iterable[str | None], most: int) -> Iterator[list[str]]:
-    """Groups texts, in order, into batches of about `most` characters; null becomes empty."""
-    batch: list[str] = []
-    size = 0
-    for t in texts:
-        t = t or ""
-        if batch and size + len(t) > most:
-            yield batch
-            batch, size = [], 0
-        batch.append(t)
-        size += len(t)
-    if batch:
-        yield batch
-
-
 def struct_array(**columns: pa.Array) -> pa.StructArray:
     return pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
