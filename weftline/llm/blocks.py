@@ -1,58 +1,64 @@
-"""Blocks of documents: rows that one Python task takes together, whole texts, about
-BLOCK_BYTES of text each. Texts travel compressed, so a shuffle of them moves less
-than the input's own size. A block is a hash of doc_id; no key, source or group of
-copies can make one large, and a text larger than a block is a block's only load."""
+"""Blocks of documents: neighbouring rows that one task reads together, whole texts, about
+BLOCK_BYTES of text each. A block is made where its rows are read, so texts are not
+shuffled and no key, source or group of copies can make one large; a text larger than a
+block is a block's only load. What is known of a block is written to the shared folder
+before any exchange uses it, so a lost executor can't number rows anew."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+import pyarrow.compute as pc
+from pyspark import TaskContext
 
-from weftline.llm.common import BLOCK_BYTES, text_bytes
+#: Bytes of text in a block.
+BLOCK_BYTES = 32 << 20
 
-#: Bytes that a task gathers before it compresses them, block by block.
-_GATHERED = 32 << 20
-_FIELDS = pa.schema([("block", pa.int32()), ("pack", pa.binary())])
 
+def in_blocks(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[tuple[int, pa.Table]]:
+    """(block, rows): a task's rows in order, cut where a block would have more than `most` bytes of text."""
+    first = TaskContext.get().partitionId() << 32
+    held: list[pa.RecordBatch] = []
+    size = made = 0
+    for batch in batches:
+        ends = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(batch[text]), 0).to_numpy(zero_copy_only=False))))
+        at = 0
+        while at < batch.num_rows:
+            end = int(np.searchsorted(ends, ends[at] + most - size, "right")) - 1
+            if end <= at and not held:
+                end = at + 1
+            if end > at:
+                held.append(batch.slice(at, end - at))
+                size += int(ends[end] - ends[at])
+                at = end
+            if at < batch.num_rows:
+                yield first + made, pa.Table.from_batches(held)
+                held, size, made = [], 0, made + 1
+    if held:
+        yield first + made, pa.Table.from_batches(held)
 
-def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    return max(1, -(-text_bytes(docs) // block_bytes))
 
+def ipc(table: pa.Table | pa.RecordBatch) -> bytes:
+    """The table as a compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write(table)
+    return sink.getvalue().to_pybytes()
 
-def packed(docs: DataFrame, n_blocks: int, *columns: str) -> DataFrame:
-    """(block, pack): the columns of docs, compressed by block; the first is the id that deals them out."""
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zstd = pa.ipc.IpcWriteOptions(compression="zstd")
+def from_ipc(data: pa.Scalar | bytes) -> pa.Table:
+    return pa.ipc.open_stream(data if isinstance(data, bytes) else data.as_buffer()).read_all()
 
-        def send(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            whole = pa.Table.from_batches(held).sort_by("block")
-            blocks = whole["block"].combine_chunks().value_counts()
-            at = 0
-            for block, n in zip(blocks.field("values").to_pylist(), blocks.field("counts").to_pylist()):
-                sink = pa.BufferOutputStream()
-                part = whole.slice(at, n).drop_columns(["block"])
-                with pa.ipc.new_stream(sink, part.schema, options=zstd) as out:
-                    out.write_table(part)
-                at += n
-                yield pa.RecordBatch.from_pydict({"block": [block], "pack": [sink.getvalue().to_pybytes()]}, schema=_FIELDS)
 
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            held.append(batch)
-            if sum(b.nbytes for b in held) > _GATHERED:
-                yield from send(held)
-                held = []
-        if held:
-            yield from send(held)
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Sorted unsigned numbers: differences, byte by byte of all of them, compressed."""
+    steps = np.diff(numbers.astype(np.uint64), prepend=np.uint64(0))
+    raw = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    return pa.compress(raw, codec="zstd", asbytes=True)
 
-    block = F.pmod(F.xxhash64(columns[0]), F.lit(n_blocks)).cast("int").alias("block")
-    return docs.select(block, *columns).mapInArrow(pack, "block int, pack binary")
 
-
-def unpacked(packs: pa.Table) -> Iterator[pa.Table]:
-    for p in packs["pack"]:
-        yield pa.ipc.open_stream(p.as_buffer()).read_all()
+def unsqueezed(data: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").reshape(-1), dtype=np.uint64)

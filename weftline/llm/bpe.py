@@ -1,14 +1,15 @@
 """BPE encoding and decoding over a table of distinct words.
 
-1. Documents are dealt into blocks; each block lists its distinct words. A word is
-   a stretch that byte-level BPE never joins with its neighbours (see
-   token_counts.pieces).
-2. A block deals its words out by hash into buckets, sorted, one compressed list
-   for each bucket. A bucket's task reads its lists from all blocks, one after the
-   other, and encodes each distinct word once, however many blocks hold it.
-3. The ids go back to the block in the order of its list; the block joins them to
-   its texts by position, and decodes through the id-to-piece table, which has the
-   vocabulary's size whatever the input.
+1. Each block of documents (see blocks) is split into words once: a word is a stretch
+   that byte-level BPE never joins with its neighbours (see token_counts.pieces). The
+   block keeps its texts as positions in its list of distinct words, which is sorted by
+   bucket, a hash of the word, and sends each bucket its part of the list.
+2. A bucket's task reads its lists from all blocks one after the other and encodes each
+   distinct word once, however many blocks hold it (a word is encoded again only after
+   REMEMBERED others of its bucket).
+3. The ids come back in the order of the lists, which is that of the positions: the
+   block joins them to its texts by position and decodes through the id-to-piece table,
+   which has the vocabulary's size whatever the input. Texts themselves never travel.
 
 Null and empty texts have no ids and decode to the empty text. Repeated rows and
 repeated ids give a row each. Other columns are not touched.
@@ -20,24 +21,28 @@ import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.blocks import block_count, packed, unpacked
-from weftline.llm.common import table
+from weftline.llm.blocks import BLOCK_BYTES, from_ipc, in_blocks, ipc
+from weftline.llm.common import stored, table, text_bytes
 from weftline.llm.token_counts import ADJOINING, encode_batches, pieces, tokenizer
 
-BLOCK_BYTES = 20 << 20
-#: Buckets of words, at most; a block has a list for each. Words whose ids a bucket's task keeps, at most.
-BUCKETS, REMEMBERED = 512, 500_000
+#: A bucket of words for so many bytes of text, and buckets at most, so that a block's lists keep some dozen words
+#: each; a bucket's task streams its lists, so it may be of any size.
+BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 8_192
+#: Words whose ids a bucket's task keeps, at most, and words that are joined at a time.
+REMEMBERED, CHUNK = 1_000_000, 1 << 20
 
 
 @lru_cache(4)
 def id_to_piece(path: str) -> list[bytes]:
     """The bytes of every id's piece, by id."""
-    t = tokenizer(path)[0]
+    t = tokenizer(path)
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(plain)]
     byte = {chr(b): bytes([b]) for b in plain} | {chr(256 + k): bytes([b]) for k, b in enumerate(others)}
@@ -49,117 +54,152 @@ def id_to_piece(path: str) -> list[bytes]:
     return out
 
 
-def _texts(packs: pa.Table) -> tuple[pa.Table, list[str]]:
-    """A block's rows without their texts, and the texts; the text is the second column."""
-    whole = pa.concat_tables(unpacked(packs))
-    return whole.remove_column(1), [x or "" for x in whole.column(1).to_pylist()]
-
-
-def _split(text: str) -> tuple[list[str], list[str]]:
-    """The text's pieces; those of the second list stand without the space that each begins with."""
-    if not text or ADJOINING.search(text):
-        return pieces(text), []
-    first, *rest = text.split(" ")
-    return [first] if first else [], rest
-
-
-def _words(texts: list[str], buckets: int) -> list[list[str]]:
-    """The distinct words of each bucket, sorted."""
-    found: set[str] = set()
-    bare: set[str] = set()
-    for x in texts:
-        first, rest = _split(x)
-        found.update(first)
-        bare.update(rest)
-    found.update([" " + w for w in bare])
-    out: list[list[str]] = [[] for _ in range(buckets)]
-    for w in found:
-        out[xxhash.xxh3_64_intdigest(w) % buckets].append(w)
-    for x in out:
-        x.sort()
-    return out
+def _encoded_words(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    d = words.cast(pa.large_string()).dictionary_encode()
+    return d.dictionary, d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words, the place in them of every word of the texts, and the number of words of each text."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    odd = np.array([ADJOINING.search(x) is not None for x in texts.to_pylist()], bool)
+    plain = texts.filter(pa.array(~odd))
+    split = pc.split_pattern(plain, " ")
+    sizes = np.zeros(len(texts), np.int64)
+    starts = split.offsets.to_numpy()[:-1] - (split.offsets[0].as_py() if len(split.offsets) else 0)
+    sizes[~odd] = np.diff(split.offsets.to_numpy())
+    bare, at = _encoded_words(split.flatten())
+    # the first word of a text stands without the space that all others begin with
+    first, first_at = _encoded_words(split.flatten().take(pa.array(starts)))
+    at[starts] = len(bare) + first_at
+    parts = [pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), bare, pa.scalar("", pa.large_string())), first]
+    if odd.any():
+        cut = [pieces(x) for x in texts.filter(pa.array(odd)).to_pylist()]
+        sizes[odd] = [len(x) for x in cut]
+        third, third_at = _encoded_words(pa.array([w for x in cut for w in x], pa.large_string()))
+        parts.append(third)
+        merged = np.empty(int(sizes.sum()), np.int64)
+        where = np.repeat(odd, sizes)
+        merged[~where], merged[where] = at, len(bare) + len(first) + third_at
+        at = merged
+    words, place = _encoded_words(pa.concat_arrays(parts))
+    return words, place[at], sizes
+
+
+def block_rows(batches: Iterator[pa.RecordBatch], text: str, buckets: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Of each block: its rows with their words' positions (bucket -1), and each bucket's words in the order of the positions."""
+    for block, rows in in_blocks(batches, text, block_bytes):
+        words, at, sizes = split_words(rows.column(rows.num_columns - 1).combine_chunks())
+        names = words.to_pylist()
+        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in names), np.int64, len(names))
+        used = np.zeros(len(names), bool)
+        used[at] = True
+        order = pc.sort_indices(words).to_numpy()
+        order = order[used[order]]
+        order = order[np.argsort(bucket[order], kind="stable")]
+        new = np.zeros(len(names), np.int32)
+        new[order] = np.arange(len(order), dtype=np.int32)
+        positions = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int64()), pa.array(new[at], pa.int32()))
+        lists, held = words.take(pa.array(order)), bucket[order]
+        ends = np.flatnonzero(np.diff(held, append=-1)) + 1
+        kinds, data = [-1], [ipc(rows.remove_column(rows.num_columns - 1).append_column("words", positions))]
+        for start, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
+            kinds.append(int(held[start]))
+            data.append(ipc(pa.table({"words": lists.slice(start, end - start).cast(pa.string())})))
+        yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(kinds), pa.int64()), "bucket": pa.array(kinds, pa.int32()), "data": pa.array(data, pa.binary())})
 
 
-def _packed(a: pa.Array) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, pa.schema([("x", a.type)]), options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(pa.record_batch([a], names=["x"]))
-    return sink.getvalue().to_pybytes()
+def encoded_words(lists: DataFrame, path: str, buckets: int) -> DataFrame:
+    """(block, bucket, data): a list of ids for each word, in the words' order; each distinct word is encoded once."""
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = tokenizer(path)
+        known: dict[str, list[int]] = {"": []}
+        for batch in batches:
+            for block, bucket, data in zip(*(batch.column(c) for c in ("block", "bucket", "data"))):
+                words = from_ipc(data)["words"].to_pylist()
+                if len(known) > REMEMBERED:
+                    known = {"": []}
+                for w, e in encode_batches(t, [w for w in words if w not in known]):
+                    known[w] = e.ids
+                ids = ipc(pa.table({"ids": pa.array([known[w] for w in words], pa.list_(pa.int32()))}))
+                yield pa.RecordBatch.from_pydict({"block": pa.array([block.as_py()], pa.int64()), "bucket": pa.array([bucket.as_py()], pa.int32()), "data": pa.array([ids], pa.binary())})
 
-def _read(pack: pa.Scalar) -> pa.Array:
-    return pa.ipc.open_stream(pack.as_buffer()).read_all().column(0).combine_chunks()
+    return lists.repartition(buckets, "bucket").mapInArrow(encode, "block long, bucket int, data binary")
 
 
-def word_lists(packs: DataFrame, buckets: int) -> DataFrame:
-    """(block, bucket, words) for every block and bucket."""
+def _written(lists: pa.LargeListArray) -> pa.Array:
+    """Each list as text, with a comma before each number."""
+    joined = pc.binary_join(pa.ListArray.from_arrays(lists.offsets.cast(pa.int32()), lists.values.cast(pa.string())), ",").cast(pa.large_string())
+    comma = pa.array(["", ","], pa.large_string()).take(pa.array((np.diff(lists.offsets.to_numpy()) > 0).astype(np.int8)))
+    return pc.binary_join_element_wise(comma, joined, pa.scalar("", pa.large_string())).cast(pa.large_binary())
 
-    def words(key, group):
-        found = _words(_texts(group)[1], buckets)
-        return pa.table({"block": pa.array([key[0].as_py()] * buckets, pa.int32()), "bucket": pa.array(range(buckets), pa.int32()), "words": pa.array([_packed(pa.array(x, pa.string())) for x in found], pa.binary())})
 
-    return packs.groupBy("block").applyInArrow(words, "block int, bucket int, words binary")
+def _read(lists: pa.LargeListArray, path: str) -> pa.Array:
+    """The bytes that each list of ids decodes to."""
+    each = pa.array(id_to_piece(path), pa.large_binary()).take(lists.values)
+    ends = np.frombuffer(each.buffers()[1], np.int64, len(each) + 1, 8 * each.offset)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends[lists.offsets.to_numpy()]), each.buffers()[2]])
 
 
-def encoded_words(lists: DataFrame, path: str, buckets: int) -> DataFrame:
-    """(block, bucket, ids): a list of ids for each word, in the words' order; each distinct word is encoded once."""
+class _Joined:
+    """The words' bytes at these positions, one after the other."""
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(path)[0]
-        known: dict[str, list[int]] = {}
-        for batch in batches:
-            for block, bucket, pack in zip(*(batch.column(c) for c in ("block", "bucket", "words"))):
-                words = _read(pack).to_pylist()
-                if len(known) > REMEMBERED:
-                    known.clear()
-                for w, e in encode_batches(t, [w for w in words if w not in known]):
-                    known[w] = e.ids
-                ids = pa.array([known[w] for w in words], pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_pydict({"block": pa.array([block.as_py()], pa.int32()), "bucket": pa.array([bucket.as_py()], pa.int32()), "ids": pa.array([_packed(ids)], pa.binary())})
+    def __init__(self, each: pa.Array, at: np.ndarray):
+        taken = each.take(pa.array(at))
+        self.ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, 8 * taken.offset)
+        self.bytes = memoryview(taken.buffers()[2] or b"")
 
-    return lists.repartition(buckets, "bucket").mapInArrow(encode, "block int, bucket int, ids binary")
+    def part(self, start: int, end: int) -> memoryview:
+        return self.bytes[self.ends[start] : self.ends[end]]
 
 
 def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), texts: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """key, the columns to keep, n_tokens, ids_sha256 and decoded_sha256 of each row; with texts also ids (array<int>) and decoded."""
-    blocks = block_count(docs.select(F.col(text).alias("text")), block_bytes)
-    buckets = min(BUCKETS, 2 * blocks)
-    packs = packed(docs, blocks, key, text, *keep)
-    found = encoded_words(word_lists(packs, buckets), path, buckets)
+    size = text_bytes(docs, text)
+    buckets = int(min(MOST_BUCKETS, max(1, -(-size // min(BUCKET_BYTES, block_bytes)))))
+    blocks = docs.select(key, *keep, text).mapInArrow(lambda batches: block_rows(batches, text, buckets, block_bytes), "block long, bucket int, data binary")
+    blocks = stored(blocks, "words")
+    found = encoded_words(blocks.filter("bucket >= 0"), path, buckets)
     fields = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>", "decoded": "string"} if texts else {})
 
-    def assemble(key_, packs, ids):
-        rows, raw = _texts(packs)
-        piece = id_to_piece(path)
-        words = _words(raw, buckets)
-        place: dict[str, int] = {}
-        lists: list[list[int]] = []
-        for bucket, pack in zip(ids["bucket"].to_pylist(), ids["ids"]):
-            for w, i in zip(words[bucket], _read(pack).to_pylist()):
-                place[w] = len(lists)
-                lists.append(i)
-        written = [",".join(map(str, x)) for x in lists]
-        read = [b"".join(map(piece.__getitem__, x)) for x in lists]
-        after = {w[1:]: k for w, k in place.items() if w[0] == " "}
-        out: dict[str, list] = {name: [] for name in fields}
-        for x in raw:
-            first, rest = _split(x)
-            at = [*map(place.__getitem__, first), *map(after.__getitem__, rest)]
-            all_ids = ",".join(map(written.__getitem__, at))
-            decoded = b"".join(map(read.__getitem__, at)).decode("utf-8", "replace")
-            out["n_tokens"].append(all_ids.count(",") + 1 if at else 0)
-            out["ids_sha256"].append(hashlib.sha256(all_ids.encode()).hexdigest())
-            out["decoded_sha256"].append(hashlib.sha256(decoded.encode()).hexdigest())
-            if texts:
-                out["ids"].append([i for k in at for i in lists[k]])
-                out["decoded"].append(decoded)
-        kinds = {"n_tokens": pa.int64(), "ids": pa.list_(pa.int32())}
+    def assemble(rows: pa.Table, ids: pa.Table) -> pa.Table:
+        rows = from_ipc(rows["data"][0])
+        spots = rows.column(rows.num_columns - 1).combine_chunks()
+        rows = rows.remove_column(rows.num_columns - 1)
+        at, ends = spots.values.to_numpy(), spots.offsets.to_numpy()
+        found = [from_ipc(x)["ids"] for x in ids.sort_by("bucket")["data"]]
+        lists = pa.chunked_array([c for x in found for c in x.chunks], pa.list_(pa.int32())).combine_chunks().cast(pa.large_list(pa.int32()))
+        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        written, read = _written(lists), _read(lists, path)
+        tokens = np.diff(lists.offsets.to_numpy())
+        n_tokens = np.diff(np.concatenate(([0], np.cumsum(tokens[at])))[ends])
+        digests = [(hashlib.sha256(), hashlib.sha256()) for _ in range(len(spots))]
+        begun = np.zeros(len(spots), bool)
+        for a in range(0, len(at), CHUNK):
+            b = min(len(at), a + CHUNK)
+            ids_text, bytes_text = _Joined(written, at[a:b]), _Joined(read, at[a:b])
+            for k in range(int(np.searchsorted(ends, a, "right")) - 1, int(np.searchsorted(ends, b, "left"))):
+                start, end = max(a, int(ends[k])) - a, min(b, int(ends[k + 1])) - a
+                if end > start:
+                    part = ids_text.part(start, end)
+                    digests[k][0].update(part if begun[k] else part[1:])
+                    begun[k] |= len(part) > 0
+                    digests[k][1].update(str(bytes_text.part(start, end), "utf-8", "replace").encode())
+        out: dict[str, pa.Array] = {"n_tokens": pa.array(n_tokens, pa.int64())}
+        out |= {c: pa.array([d[k].hexdigest() for d in digests], pa.string()) for k, c in enumerate(("ids_sha256", "decoded_sha256"))}
+        if texts:
+            whole = lists.take(pa.array(at)).flatten() if len(at) else pa.array([], pa.int32())
+            of = np.concatenate(([0], np.cumsum(n_tokens)))
+            out["ids"] = pa.array([whole.slice(of[k], n_tokens[k]).to_pylist() for k in range(len(spots))], pa.list_(pa.int32()))
+            joined = _Joined(read, at)
+            out["decoded"] = pa.array([str(joined.part(int(ends[k]), int(ends[k + 1])), "utf-8", "replace") for k in range(len(spots))], pa.string())
         for c, v in out.items():
-            rows = rows.append_column(c, pa.array(v, kinds.get(c, pa.string())))
+            rows = rows.append_column(c, v)
         return rows
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *keep)]
-    return packs.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assemble, ", ".join([*kinds, *(f"{c} {t}" for c, t in fields.items())]))
+    return blocks.filter("bucket = -1").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assemble, ", ".join([*kinds, *(f"{c} {t}" for c, t in fields.items())]))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
