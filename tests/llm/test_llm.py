@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -42,6 +43,22 @@ def test_token_counts(odd, none):
         assert "".join(token_counts.pieces(x or "")) == (x or "")
 
 
+def test_token_batches():
+    """Batches are balanced by bytes, and only long texts are cut, at safe boundaries."""
+    texts = ["ab c" * 10, "漢字 かな" * 30, "x" * 500, "", None, "word  two\n three\t" * 200, "😀 " * 100]
+    t = Tokenizer.from_file(PATH)
+    expected = [len(t.encode(x or "", add_special_tokens=False).ids) for x in texts]
+    for batch, long in ((1 << 20, 1 << 16), (300, 100), (64, 7), (1, 1)):
+        assert token_counts.count_tokens(PATH, pa.array(texts), batch, long).tolist() == expected
+    items = [(k, x, len(x.encode())) for k, x in enumerate(texts) if x]
+    got = list(token_counts.batched(items, 1000))
+    assert [o for owners, _ in got for o in owners] == [k for k, _, _ in items]
+    assert all(sum(len(x.encode()) for x in b) <= 1000 or len(b) == 1 for _, b in got)
+    long = "one two  three\n\nfour " * 500
+    cut = list(token_counts.parts(long, 100))
+    assert "".join(cut) == long and all(100 <= len(x) <= 110 for x in cut[:-1]) and all(not a[-1].isspace() and b[0].isspace() for a, b in zip(cut, cut[1:]))
+
+
 def test_bpe(odd, none):
     t = Tokenizer.from_file(PATH)
     got = bpe.encoded(odd, PATH, keep=("source", "score"), texts=True, block_bytes=4000).collect()
@@ -331,38 +348,64 @@ def test_ann(spark):
 
 
 def test_lm(spark, none):
-    texts = [(i, ["a b c a b", "A B  d", None, "", "zz a\tb c", "b a b c d e " * 40][i % 6]) for i in range(40)]
-    docs = spark.createDataFrame([(*t, 1.0) for t in texts], "doc_id long, text string, score double")
+    texts = [(i, ["a b c a b", "A B  d", None, "", "zz a\tb c", "b a b c d e " * 40, "q%d r%d s%d a b" % (i, i, i), " \n "][i % 8]) for i in range(48)]
+    docs = spark.createDataFrame([(*t, 1.0, 3) for t in texts] + [(None, "a b c", 1.0, 3), (7, "a b", 2.0, 3)], "doc_id long, text string, score double, block int")
+    texts = texts + [(None, "a b c"), (7, "a b")]
     train = F.col("doc_id") % 5 != 1
-    got = {r["doc_id"]: r for r in lm.lm_scores(docs, train, block_bytes=2000).collect()}
+    got = lm.lm_scores(docs, train, block_bytes=300).collect()
+    assert len(got) == len(texts)
     words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").lower())
-    c, pair, context = Counter(), Counter(), Counter()
+    c = Counter()
     for i, t in texts:
-        if i % 5 != 1:
+        if i is not None and i % 5 != 1:
             s = ["<s>", *words(t), "</s>"]
-            c.update(s[1:])
-            pair.update(zip(s, s[1:]))
-            context.update(s[:-1])
-    n, v = sum(c.values()), len(c)
-    kept = Counter()
-    for (u, w), k in pair.items():
-        kept[u] += k - lm.DISCOUNT if k >= lm.LEAST else 0
-    p = lambda w: (c[w] + 0.5) / (n + 0.5 * (v + 1))
+            c.update((w,) for w in s)
+            c.update(zip(s, s[1:]))
+            c.update(zip(s, s[1:], s[2:]))
+    n = sum(k for g, k in c.items() if len(g) == 1 and g != ("<s>",))
+    v = sum(len(g) == 1 and g != ("<s>",) for g in c)
+    p = lambda w: (c[w,] + 0.5) / (n + 0.5 * (v + 1))
+    p2 = lambda u, w: (c[u, w] + lm.K[0] * p(w)) / (c[u,] + lm.K[0])
+    p3 = lambda t, u, w: (c[t, u, w] + lm.K[1] * p2(u, w)) / (c[t, u] + lm.K[1])
+    brute = {}
     for i, t in texts:
         s = ["<s>", *words(t), "</s>"]
         base = sum(math.log10(p(w)) for w in s[1:])
-        score = sum(math.log10(((pair[u, w] - lm.DISCOUNT) / context[u] if pair[u, w] >= lm.LEAST else 0) + (1 - kept[u] / context[u]) * p(w)) if context[u] else math.log10(p(w)) for u, w in zip(s, s[1:]))
-        r = got[i]
-        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(s) - 1, sum(c[w] > 0 for w in s[1:]), n)
-        assert math.isclose(r["base_score"], base, rel_tol=1e-9) and math.isclose(r["score"], score, rel_tol=1e-9)
-    # from each known word the probabilities of all words, known and unknown, make one
-    for u in ("a", "b"):
-        total = sum((max(pair[u, w] - lm.DISCOUNT, 0) / context[u] if pair[u, w] >= lm.LEAST else 0) + (1 - kept[u] / context[u]) * p(w) for w in [*c, "unknown"])
-        assert math.isclose(total, 1)
+        score = math.log10(p2(s[0], s[1])) + sum(math.log10(p3(*g)) for g in zip(s, s[1:], s[2:]))
+        brute.setdefault(i, []).append((len(s) - 1, sum(c[w,] > 0 for w in s[1:]), n, base, score))
+    for r in got:
+        mine = (r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"])
+        assert any(mine[:3] == x[:3] and math.isclose(mine[3], x[3], rel_tol=1e-9) and math.isclose(mine[4], x[4], rel_tol=1e-9) for x in brute[r["doc_id"]]), (mine, brute[r["doc_id"]])
+    # after any context the probabilities of all words, known and unknown, make one
+    known = [g[0] for g in c if len(g) == 1 and g != ("<s>",)] + ["unknown"]
+    for context in (("a", "b"), ("<s>", "a"), ("b", "e"), ("unknown", "a")):
+        assert math.isclose(sum(p3(*context, w) for w in known), 1)
     assert lm.lm_scores(none, F.lit(True)).count() == 0
     assert lm.lm_scores(docs, F.lit(False)).first()["train_tokens"] == 0
 
 
+def test_lm_segments_and_frequent_words():
+    """A text read in segments has the same probability, whatever their length; the automaton follows failure arcs."""
+    texts = pa.array(["the cat sat on the mat and the cat ran", "the the the " * 50, "new words only here", "the cat", ""])
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(5), pa.int64()), "text": texts, "train": pa.array([True, True, False, False, True])})
+    words, at, sizes = lm.words_of(texts)
+    keys = lm.hashed(words.to_pylist())
+    order = np.argsort(keys)
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(2, 2 + len(order))
+    lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes)))), pa.array(place[at]))
+    row = pa.table({"data": [lm.ipc(pa.table({"doc_id": batch["doc_id"], "train": batch["train"], "words": lists}))], "n": [len(keys)], "words": [lm.squeezed(keys[order])]})
+    b = lm.Block(row)
+    b.triples()
+    a = lm.Automaton(b, b.c1, b.c2, b.c3, int(b.c1.sum()), int(np.count_nonzero(b.c1)))
+    whole = lm.traversed(b, a)
+    for segment in (1, 2, 3, 7, 64):
+        assert np.allclose(lm.traversed(b, a, segment), whole, rtol=1e-12)
+    # "new" was never read: from the beginning's state the failure arc leads to the empty context
+    state, score = a.read(np.array([a.word_state[lm.START]]), np.array([place[words.to_pylist().index("new")]]))
+    assert state[0] == 0 and math.isclose(score[0], a.failure[1 + lm.START] + a.p1[place[words.to_pylist().index("new")]])
+
+
 def test_pipeline(spark, folder):
     import corpus_pipeline as P
 
