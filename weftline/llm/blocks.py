@@ -1,8 +1,8 @@
 """Blocks of documents: neighbouring rows that one task reads together, whole texts, about
 BLOCK_BYTES of text each. A block is made where its rows are read, so texts are not
 shuffled and no key, source or group of copies can make one large; a text larger than a
-block is a block's only load. What is known of a block is written to the shared folder
-before any exchange uses it, so a lost executor can't number rows anew."""
+block is a block's only load. A block's id is a hash of what it holds, so that rows which a lost
+executor's task reads anew in another order can't be taken for the block they are not."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 
 #: Bytes of text in a block.
@@ -40,6 +41,14 @@ def in_blocks(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterat
         yield first + made, pa.Table.from_batches(held)
 
 
+def block_id(place: int, *data: bytes) -> int:
+    """A 64-bit id for a block's data, told apart from equal data by the block's place."""
+    h = xxhash.xxh3_64(place.to_bytes(8, "little"))
+    for x in data:
+        h.update(x)
+    return h.intdigest() - 2**63
+
+
 def ipc(table: pa.Table | pa.RecordBatch) -> bytes:
     """The table as a compressed Arrow stream."""
     sink = pa.BufferOutputStream()
@@ -62,3 +71,13 @@ def squeezed(numbers: np.ndarray) -> bytes:
 def unsqueezed(data: bytes, n: int) -> np.ndarray:
     raw = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
     return np.cumsum(np.ascontiguousarray(raw.reshape(8, -1).T).view("<u8").reshape(-1), dtype=np.uint64)
+
+
+def planes(numbers: np.ndarray) -> bytes:
+    """Whole numbers under 2**32, byte by byte of all of them, compressed."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def from_planes(data: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(pa.decompress(data, 4 * n, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
+    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)

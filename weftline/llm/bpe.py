@@ -28,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.blocks import BLOCK_BYTES, from_ipc, in_blocks, ipc
-from weftline.llm.common import stored, table, text_bytes
+from weftline.llm.blocks import BLOCK_BYTES, block_id, from_ipc, from_planes, in_blocks, ipc, planes
+from weftline.llm.common import table, text_bytes
 from weftline.llm.token_counts import ADJOINING, encode_batches, pieces, tokenizer
 
 #: A bucket of words for so many bytes of text, and buckets at most, so that a block's lists keep some dozen words
@@ -99,14 +99,14 @@ def block_rows(batches: Iterator[pa.RecordBatch], text: str, buckets: int, block
         order = order[np.argsort(bucket[order], kind="stable")]
         new = np.zeros(len(names), np.int32)
         new[order] = np.arange(len(order), dtype=np.int32)
-        positions = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int64()), pa.array(new[at], pa.int32()))
         lists, held = words.take(pa.array(order)), bucket[order]
         ends = np.flatnonzero(np.diff(held, append=-1)) + 1
-        kinds, data = [-1], [ipc(rows.remove_column(rows.num_columns - 1).append_column("words", positions))]
-        for start, end in zip([0, *ends[:-1].tolist()], ends.tolist()):
-            kinds.append(int(held[start]))
-            data.append(ipc(pa.table({"words": lists.slice(start, end - start).cast(pa.string())})))
-        yield pa.RecordBatch.from_pydict({"block": pa.array([block] * len(kinds), pa.int64()), "bucket": pa.array(kinds, pa.int32()), "data": pa.array(data, pa.binary())})
+        kinds = [-1, *held[ends - 1].tolist()]
+        data = [ipc(rows.remove_column(rows.num_columns - 1).append_column("sizes", pa.array(sizes)))]
+        data += [ipc(pa.table({"words": lists.slice(start, end - start).cast(pa.string())})) for start, end in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        spots = planes(new[at])
+        ids = pa.array([block_id(block, data[0], spots)] * len(kinds), pa.int64())
+        yield pa.RecordBatch.from_pydict({"block": ids, "bucket": pa.array(kinds, pa.int32()), "data": pa.array(data, pa.binary()), "words": pa.array([spots] + [None] * (len(kinds) - 1), pa.binary())})
 
 
 def encoded_words(lists: DataFrame, path: str, buckets: int) -> DataFrame:
@@ -128,6 +128,12 @@ def encoded_words(lists: DataFrame, path: str, buckets: int) -> DataFrame:
     return lists.repartition(buckets, "bucket").mapInArrow(encode, "block long, bucket int, data binary")
 
 
+def _lists(ids: pa.Table) -> pa.LargeListArray:
+    """The ids of a block's words, in the order of the words' places."""
+    each = [x["ids"].combine_chunks() for x in map(from_ipc, ids.sort_by("bucket")["data"])]
+    return pa.concat_arrays([pa.array([], pa.list_(pa.int32())), *each]).cast(pa.large_list(pa.int32()))
+
+
 def _written(lists: pa.LargeListArray) -> pa.Array:
     """Each list as text, with a comma before each number."""
     joined = pc.binary_join(pa.ListArray.from_arrays(lists.offsets.cast(pa.int32()), lists.values.cast(pa.string())), ",").cast(pa.large_string())
@@ -158,24 +164,27 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     """key, the columns to keep, n_tokens, ids_sha256 and decoded_sha256 of each row; with texts also ids (array<int>) and decoded."""
     size = text_bytes(docs, text)
     buckets = int(min(MOST_BUCKETS, max(1, -(-size // min(BUCKET_BYTES, block_bytes)))))
-    blocks = docs.select(key, *keep, text).mapInArrow(lambda batches: block_rows(batches, text, buckets, block_bytes), "block long, bucket int, data binary")
-    blocks = stored(blocks, "words")
-    found = encoded_words(blocks.filter("bucket >= 0"), path, buckets)
+    blocks = docs.select(key, *keep, text).mapInArrow(lambda batches: block_rows(batches, text, buckets, block_bytes), "block long, bucket int, data binary, words binary").groupBy("block")
+    # one shuffle of the blocks serves the lists and the assembly
+    lists = blocks.applyInArrow(lambda rows: rows.filter(pc.greater_equal(rows["bucket"], 0)).drop_columns(["words"]), "block long, bucket int, data binary")
+    found = encoded_words(lists, path, buckets)
     fields = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>", "decoded": "string"} if texts else {})
 
     def assemble(rows: pa.Table, ids: pa.Table) -> pa.Table:
-        rows = from_ipc(rows["data"][0])
-        spots = rows.column(rows.num_columns - 1).combine_chunks()
+        mine = rows.filter(pc.less(rows["bucket"], 0))
+        if len(mine) != 1 or len(ids) != len(rows) - 1:
+            raise RuntimeError("a block was read anew with its rows in another order; run again, or write the documents first")
+        rows = from_ipc(mine["data"][0])
+        sizes = rows.column(rows.num_columns - 1).to_numpy()
         rows = rows.remove_column(rows.num_columns - 1)
-        at, ends = spots.values.to_numpy(), spots.offsets.to_numpy()
-        found = [from_ipc(x)["ids"] for x in ids.sort_by("bucket")["data"]]
-        lists = pa.chunked_array([c for x in found for c in x.chunks], pa.list_(pa.int32())).combine_chunks().cast(pa.large_list(pa.int32()))
-        lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        at = from_planes(mine["words"][0].as_py(), int(ends[-1]))
+        lists = _lists(ids)
         written, read = _written(lists), _read(lists, path)
         tokens = np.diff(lists.offsets.to_numpy())
         n_tokens = np.diff(np.concatenate(([0], np.cumsum(tokens[at])))[ends])
-        digests = [(hashlib.sha256(), hashlib.sha256()) for _ in range(len(spots))]
-        begun = np.zeros(len(spots), bool)
+        digests = [(hashlib.sha256(), hashlib.sha256()) for _ in range(len(sizes))]
+        begun = np.zeros(len(sizes), bool)
         for a in range(0, len(at), CHUNK):
             b = min(len(at), a + CHUNK)
             ids_text, bytes_text = _Joined(written, at[a:b]), _Joined(read, at[a:b])
@@ -191,15 +200,15 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         if texts:
             whole = lists.take(pa.array(at)).flatten() if len(at) else pa.array([], pa.int32())
             of = np.concatenate(([0], np.cumsum(n_tokens)))
-            out["ids"] = pa.array([whole.slice(of[k], n_tokens[k]).to_pylist() for k in range(len(spots))], pa.list_(pa.int32()))
+            out["ids"] = pa.array([whole.slice(of[k], n_tokens[k]).to_pylist() for k in range(len(sizes))], pa.list_(pa.int32()))
             joined = _Joined(read, at)
-            out["decoded"] = pa.array([str(joined.part(int(ends[k]), int(ends[k + 1])), "utf-8", "replace") for k in range(len(spots))], pa.string())
+            out["decoded"] = pa.array([str(joined.part(int(ends[k]), int(ends[k + 1])), "utf-8", "replace") for k in range(len(sizes))], pa.string())
         for c, v in out.items():
             rows = rows.append_column(c, v)
         return rows
 
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *keep)]
-    return blocks.filter("bucket = -1").groupBy("block").cogroup(found.groupBy("block")).applyInArrow(assemble, ", ".join([*kinds, *(f"{c} {t}" for c, t in fields.items())]))
+    return blocks.cogroup(found.groupBy("block")).applyInArrow(assemble, ", ".join([*kinds, *(f"{c} {t}" for c, t in fields.items())]))
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
