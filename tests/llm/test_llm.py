@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from weftline.llm import ann, bpe, html_text, language, lm, mixing, near_dedup, quality, simhash, token_counts
+from weftline.llm import ann, bpe, html_labels, html_text, language, lm, mixing, near_dedup, quality, simhash, token_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ODD = [None, "", " ", "a", "don't  stop \n\n now", "<|endoftext|> x<|endoftext|>", "Ünïcödé 漢字 😀    y", "tab\tand\r\nline ", "x" * 3000, "word " * 5000, "１２ 3", "à b \x1c c"]
@@ -194,10 +194,54 @@ def test_html_marked_inline_elements():
     got = html_text.main_text(f'<article><p>{a} See <a class="related" href="/w">the report</a> for more. {b}</p></article>', tree)
     assert got == f"{a} See the report for more. {b}"
     # marked words on their own are against content, without a word of what stands around them
-    found = html_text.blocks(f'<article><p>{a}</p><div><span class="share">Share this</span></div><div>12 May <span class="byline">Anna B. Smith</span></div></article>')
+    found = html_text.blocks(f'<article><p>{a}</p><div><span class="share">Share this</span></div><div>12 May <span class="reply-link">Anna B. Smith</span></div></article>')
     assert [(f[0], f[4][3]) for f in found] == [(a, 0), ("Share this", 1), ("12 May", 0), ("Anna B. Smith", 1)]
 
 
+LONG = ["Rain fell on the hills for the whole of the week, and by Friday the lower fields stood under a foot of brown water.", "The fire brigade used two boats to bring the sheep to the higher ground, which took them until well after dark.", "A spokesman for the county said that the drains along the main road had been cleared in the autumn, as they are every year."]
+HELD_OUT = {
+    # names of what encloses the article do not speak against it
+    f"<body><div class='layout has-sidebar'><article><h1>Floods</h1><p>{LONG[0]}</p><p>Short.</p></article></div></body>": f"Floods {LONG[0]} Short.",
+    f"<body><div class='top-story'><article><h1>Floods</h1><p>{LONG[0]}</p></article></div></body>": f"Floods {LONG[0]}",
+    f"<form id='aspnetForm'><div class='page sidebar-right'><h1>Floods</h1><p>{LONG[0]}</p><p>{LONG[1]}</p></div></form>": f"Floods {LONG[0]} {LONG[1]}",
+    # lists of links go, single links and lists of text stay
+    f"<article><h1>Floods</h1><p>{LONG[0]}</p><ul><li><a href=1>Older news</a></li><li><a href=2>Weather maps</a></li><li><a href=3>Road closures</a></li><li><a href=4>Contact</a></li></ul><p>{LONG[1]}</p></article>": f"Floods {LONG[0]} {LONG[1]}",
+    f"<article><h1>Floods</h1><p>{LONG[0]}</p><ul><li>one boat</li><li>two ropes</li><li>a <a href=x>lamp</a> and oil</li></ul><p>{LONG[1]}</p></article>": f"Floods {LONG[0]} one boat two ropes a lamp and oil {LONG[1]}",
+    # what is none of the listed kinds stays
+    f"<article><h1>Floods</h1><p class='byline'>By Ann Lee</p><p>{LONG[0]}</p><p>Flow is <math><mi>Q</mi><mo>=</mo><mi>v</mi><mi>A</mi></math> here.</p><p class='tags'>Rivers, weather</p><p>All rights reserved.</p></article>": f"Floods By Ann Lee {LONG[0]} Flow is Q=vA here. Rivers, weather All rights reserved.",
+    # neither a main part nor names
+    f"<body><ul><li><a href=1>Home</a></li><li><a href=2>Sport</a></li><li><a href=3>Jobs</a></li></ul><h1>Floods in the valley</h1><p>{LONG[0]}</p><p>They waited.</p><p>{LONG[1]}</p><p>{LONG[2]}</p><p>Sign up to our newsletter for more stories like this one.</p></body>": f"Floods in the valley {LONG[0]} They waited. {LONG[1]} {LONG[2]}",
+    f"<body><div><a href=1>Home</a> <a href=2>Sport</a> <a href=3>Jobs</a></div><h1>Floods</h1><div>{LONG[2]}</div><div>{LONG[1]}</div><div>{LONG[0]}</div><div><a href=1>Next</a> <a href=2>Back</a></div></body>": f"Floods {LONG[2]} {LONG[1]} {LONG[0]}",
+    # a comment may be an article of its own
+    f"<article class='post'><h1>Floods</h1><p>{LONG[0]}</p></article><div><article class='comment'><p>I saw it from my window and it was worse than that, I can tell you.</p></article></div>": f"Floods {LONG[0]}",
+}
+
+
+def test_html_held_out():
+    """Pages that are not in the labelled table."""
+    tree = html_text.trained()
+    for page, text in HELD_OUT.items():
+        assert html_text.main_text(page, tree) == text
+    used: set = set()
+    todo = [tree]
+    while todo:
+        node = todo.pop()
+        if len(node) > 1:
+            used.add(html_text.FEATURES[node[0]])
+            todo += node[2:]
+    assert {"words", "link_density", "prev_words", "next_words", "next_link_density"} <= used
+    wrong = [k != y for page, marks in html_labels.LABELLED_PAGES for f, content in [html_text.labelled(page, marks)] for k, y in zip(html_text.classify(tree, html_text.features(f)), content)]
+    assert np.mean(wrong) < 0.02
+
+
+def test_html_odd_pages(spark):
+    rows = [(1, None, "u", 3), (2, "<article>" + f"<p>{LONG[0]}</p>" * 20_000 + "</article>", "u", 3), (3, "<article><p>" + "<div>" * 3000 + LONG[1], "u", 3), (3, f"<article>{LONG[2]}</article>", "u", 3), (4, "<article><p>&lt;b&gt; &#x41;&nbsp;\n\t x</p></article>", "u", 3)]
+    df = spark.createDataFrame(rows, "page_id int, html string, text string, n_chars int")
+    got = sorted((r["page_id"], r["t"]) for r in df.select("page_id", html_text.extracted("html").alias("t")).collect())
+    assert got == [(1, ""), (2, " ".join([LONG[0]] * 20_000)), (3, LONG[2]), (3, LONG[1]), (4, "<b> A x")]
+    assert df.limit(0).select(html_text.extracted("html")).count() == 0
+
+
 def junk(i):
     return " ".join(f"w{j % 17}###" for j in range(i % 30 + 20))
 

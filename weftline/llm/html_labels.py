@@ -125,6 +125,66 @@ LABELLED_PAGES: list[tuple[str, list[str]]] = [
     ),
 ]
 
-# Pages that mark their main part are the common case and count four times; the same pages without the mark count once.
-_UNMARKED = [(re.sub(r"<(/?)(?:article|main)\b", r"<\1div", page), marks) for page, marks in LABELLED_PAGES if "<article" in page or "<main" in page]
-LABELLED_PAGES = LABELLED_PAGES * 4 + _UNMARKED
+# Pages whose frames carry no names: what tells a block is its words, its links and those of its neighbours.
+_LONG = [
+    "CONTENT The ferry leaves the north quay twice a day in winter, and the crossing takes a little under two hours when the wind is from the west.",
+    "CONTENT In the years after the war the yard built forty boats of this kind, most of them for owners who lived on the outer islands.",
+    "CONTENT Nobody in the village could say who had planted the avenue of limes, but the oldest of the trees is thought to be three hundred years old.",
+    "CONTENT The council will vote on the plan in June, after a hearing at which everyone who lives along the road may speak for five minutes.",
+    "CONTENT She kept a diary of the weather from the age of nine, and her notes are now used to check what the instruments of that time had shown.",
+    "CONTENT When the mill was closed the wheel stood still for the first time since the flood, and people came to look at it on their way from church.",
+]
+_SHORT = ["CONTENT No.", "CONTENT He did not agree.", "CONTENT That was all.", "CONTENT The price: four shillings.", "CONTENT So they waited.", "CONTENT Why?"]
+_MENU = ["Home", "News", "Local sport", "Weather", "Jobs", "Culture and arts", "Letters", "Archive"]
+_MORE = ["Ten walks for a wet weekend", "The best cafes by the sea", "Why the old school was sold", "A day with the lifeboat crew", "Our photographs of the year"]
+_CALLS = [
+    "Subscribe to our newsletter and get the best stories of the week by mail.",
+    "Sign up for free and never miss an update from us again.",
+    "We use cookies to improve this site. By using it you accept our privacy policy.",
+    "Advertisement: save up to half the price on new tyres, only this week.",
+    "Follow us on every network and share this story with your friends.",
+    "Please log in or register to read more and to leave a comment.",
+]
+_ENDS = ["Copyright 2019 Example Press. All rights reserved.", "Terms of use and privacy policy and imprint", "Powered by a free theme for small papers"]
+
+
+def _links(names: list[str], item: str = "li") -> str:
+    return "".join(f"<{item}><a href=/x>{n}</a></{item}>" for n in names)
+
+
+def _text(parts: list[str], item: str = "p") -> str:
+    return "".join(f"<{item}>{x}</{item}>" for x in parts)
+
+
+def _composed() -> list[str]:
+    """Pages put together from the lists above, one after the other in fixed rotations."""
+    out = []
+    for k in range(6):
+        long, short = _LONG[k:] + _LONG[:k], _SHORT[k:] + _SHORT[:k]
+        menu, more, call, end = _MENU[k % 4 : k % 4 + 4], _MORE[k % 3 : k % 3 + 3], _CALLS[k], _ENDS[k % 3]
+        head = f"<h1>CONTENT The {('harbour', 'yard', 'avenue', 'road', 'diary', 'mill')[k]}</h1>"
+        item = ("p", "div")[k % 2]
+        story = _text([long[0], short[0], long[1], long[2], short[1], long[3]], item)
+        # neither main part nor names
+        out.append(f"<body><ul>{_links(menu)}</ul>{head}{story}<ul>{_links(more)}</ul><{item}>{call}</{item}><{item}>{end}</{item}></body>")
+        out.append(f"<body><{item}>{call}</{item}><{item}>{' '.join(f'<a href=/y>{n}</a>' for n in menu)}</{item}>{head}{story}<{item}><a href=/n>Next</a> <a href=/p>Previous</a></{item}></body>")
+        # the main part takes in what stands around the story
+        out.append(f"<body><main><ul>{_links(menu)}</ul>{head}{story}<h3>{_MORE[k % 5]}</h3><ul>{_links(more)}</ul><p>{call}</p></main><p>{end}</p></body>")
+        # an article with lists of links and of text, with single links, a formula, its author and tags
+        listed = _text(["CONTENT the keel, of oak from the valley", "CONTENT two masts", "CONTENT a cabin with <a href=/c>four berths</a>"], "li")
+        out.append(f"<body><article>{head}<p class='byline'>CONTENT By A. Writer</p>{_text(long[:2])}<ul>{_links(more)}</ul>{_text([long[2]])}<ul>{listed}</ul><p><a href=/r>CONTENT Read the report of the harbour board</a></p>{_text([short[0], long[3]])}<p class='tags'>CONTENT Filed under boats</p><p>CONTENT {end}</p></article></body>")
+        out.append(f"<body><div class='layout has-sidebar'><article>{head}{_text([short[0], long[0]])}<p>{call}</p>{_text([long[1], short[1], short[2]])}</article><div>{_links(more, 'p')}</div></div></body>")
+        # articles and main parts of paragraphs and headings of all lengths, one word included
+        words = " ".join(x.removeprefix("CONTENT ") for x in long).split()
+        for m, mark in enumerate(("article", "main", "article")):
+            sizes = [(i * i * 7 + k * 5 + m * 11) % (8 if i % 3 else 45) + 1 for i in range(14)]
+            cut = [f"CONTENT {' '.join(words[i : i + n])}" for i, n in enumerate(sizes)]
+            out.append(f"<body><ul>{_links(menu)}</ul><div>{_MORE[m]}</div><{mark}><h1>{cut[0]}</h1>{_text(cut[1:5])}<h2>{cut[5]}</h2>{_text(cut[6:12])}<h3>{cut[12]}</h3><p>{cut[13]}</p></{mark}><div>{words[k]}</div><div>{end}</div></body>")
+        out.append(f"<body><div class='story'>{head}{_text([long[4], short[3], short[4], long[5]])}</div><p>{call}</p><p>{end}</p></body>")
+    return out
+
+
+LABELLED_PAGES += [(page, ["CONTENT"]) for page in _composed()]
+
+# the same pages without the mark of their main part
+LABELLED_PAGES += [(re.sub(r"<(/?)(?:article|main)\b", r"<\1div", page), marks) for page, marks in LABELLED_PAGES[:23] if "<article" in page or "<main" in page]

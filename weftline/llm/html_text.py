@@ -1,8 +1,13 @@
 """HTML extraction: a page becomes a flat list of text blocks; each is described by its
-word count and link density, those of its neighbours and where it stands, and a
-decision tree trained on a small labelled table of blocks says whether it is content.
+word count and link density, those of its neighbours, the words that ask the reader to do
+something, and where it stands; a decision tree trained on a small labelled table of
+blocks says whether it is content.
 
-An inline element whose name speaks against content (a footnote's number, a tag)
+Names of elements (class, id, role) speak for their own blocks only, not for an article
+or a main part inside them: inside one, names count from there on; elsewhere an element
+that holds the page's title is a frame of the page, whatever its name.
+
+An inline element whose name speaks against content (a share link, a reply button)
 speaks against its own words only: as part of a longer text they stay in its block,
 otherwise they are a block after it.
 
@@ -31,26 +36,60 @@ from weftline.llm.html_labels import LABELLED_PAGES
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 #: Elements whose whole content is no text of the page.
-_UNSEEN = {"script", "style", "noscript", "template", "title", "textarea", "select", "svg", "math", "iframe", "object", "canvas", "audio", "video", "button"}
-_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
+_UNSEEN = {"script", "style", "noscript", "template", "title", "textarea", "select", "svg", "annotation", "annotation-xml", "iframe", "object", "canvas", "audio", "video", "button"}
+_INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"} | {"math", "semantics", "mstyle", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "msub", "msup", "msubsup", "mfrac", "msqrt", "mroot", "munder", "mover", "munderover", "mpadded", "mphantom"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _FRAME = {"nav": "menu", "header": "frame", "footer": "frame", "aside": "frame", "form": "form", "dialog": "frame", "menu": "menu", "fieldset": "form"}
 _MAIN = {"article": 2, "main": 1}
 #: Words in class, id or role that speak for and against content.
-_AGAINST = re.compile(r"(?i)(?<![a-z])(ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|popup|modal|newsletter|subscri\w*|comment\w*|respon[sd]\w*|disqus|repl(?:y|ies)|discussion|sidebar\w*|side|widget\w*|related|recommend\w*|share\w*|sharing|social\w*|nav\w*|menu\w*|breadcrumb\w*|pagination|pager|foot\w*|masthead|login|signup|search\w*|toolbar|copyright|legal|alert|(?<!article-)(?<!entry-)(?<!post-)(?<!story-)(?<!content-)(?<!article )(?<!entry )(?<!post )header|top|bar|skip\w*|tags?|meta|byline|outbrain|taboola|complementary|contentinfo)(?![a-z])")
+_AGAINST = re.compile(
+    r"(?i)(?<![a-z])(?<!has-)(?<!with-)(?<!no-)(?<!without-)"
+    r"(ad|ads|adv|advert\w*|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|popup|modal|newsletter|subscri\w*"
+    r"|comment\w*|respon[sd]\w*|disqus|repl(?:y|ies)|discussion|sidebar\w*|widget\w*|related|recommend\w*|share\w*|sharing|social\w*"
+    r"|nav\w*|menu\w*|breadcrumb\w*|pagination|pager|footer\w*|masthead|login|signup|search\w*|toolbar|copyright|legal|alert"
+    r"|(?<!article-)(?<!entry-)(?<!post-)(?<!story-)(?<!content-)(?<!article )(?<!entry )(?<!post )header|skip\w*|outbrain|taboola|complementary|contentinfo)(?![a-z])"
+)
+#: Names of an article element that is none of the page's own: a comment, or a pointer to another page.
+_OTHER = re.compile(r"(?i)(?<![a-z])(comment\w*|repl(?:y|ies)|related|teaser\w*|promo\w*|sponsor\w*|advert\w*|ad|ads)(?![a-z])")
+#: Words that ask the reader to do something, and words of the site's own affairs.
+_CALLS = re.compile(r"(?i)\b(subscri\w+|newsletter|sign (?:up|in)|log ?in|register|cookies?|advertisement|sponsored|click here|follow us|share (?:this|on)|our partners|abonn\w+|anmelden|suscr\w+|publicidad|publicité|anzeige)\b")
+_LEGAL = re.compile(r"(?i)\b(privacy|copyright|all rights reserved|terms (?:of use|and conditions)|powered by|imprint|datenschutz\w*|impressum|confidentialité|privacidad)\b")
 _FOR = re.compile(r"(?i)(?<![a-z])(article\w*|post\w*|entry\w*|story\w*|content(?!info)\w*|main|body|text|prose|hentry)(?![a-z])")
 _SPACE = re.compile(r"\s+")
 _NAMES = re.compile(r"""(?i)(?:^|\s)(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 
-FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "in_main", "in_frame", "named_for", "named_against", "heading", "list_item", "page_has_main")
+FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "calls", "legal", "in_main", "in_frame", "named_for", "named_against", "heading", "list_item", "page_has_main")
 
 
 def _element(name: str, attrs: str) -> tuple[int, int, int, int]:
     """main, frame, for, against of one element."""
     names = " ".join(_NAMES.findall(attrs)) if "=" in attrs else ""
     names = re.sub(r"([a-z])([A-Z])", r"\1 \2", names).replace("_", " ")
-    against = bool(names and _AGAINST.search(names)) and name not in ("body", "html", *_MAIN)
-    return _MAIN.get(name, 0), int(name in _FRAME), int(bool(names and _FOR.search(names))), int(against)
+    if name in _MAIN:
+        other = bool(names and _OTHER.search(names))
+        return 0 if other else _MAIN[name], 0, int(bool(names and _FOR.search(names))), int(other)
+    against = bool(names and _AGAINST.search(names)) and name not in ("body", "html")
+    return 0, int(name in _FRAME), int(bool(names and _FOR.search(names))), int(against)
+
+
+def _page_frames(page: str) -> set[int]:
+    """Where the tags begin of elements that hold the page's title or main part; neither their names nor being a form counts."""
+    out: set[int] = set()
+    stack: list[tuple[str, int]] = []
+    for m in _TAG.finditer(page):
+        name = (m[2] or m[5] or "").lower()
+        if not name or name in _INLINE or name in _VOID:
+            continue
+        if m[1] or m[4]:
+            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            if k is not None:
+                del stack[k:]
+        elif name == "h1" or name in _MAIN:
+            out.update(at for n, at in stack if n not in _FRAME or n == "form")
+            stack.append((name, m.start()))
+        elif not (m[3] or m[6] or "").endswith("/"):
+            stack.append((name, m.start()))
+    return out
 
 
 def blocks(page: str) -> list[tuple[str, int, int, str, tuple[int, int, int, int]]]:
@@ -58,15 +97,21 @@ def blocks(page: str) -> list[tuple[str, int, int, str, tuple[int, int, int, int
     out: list = []
     stack: list[tuple[str, tuple[int, int, int, int]]] = []
     parts: list[tuple[str, bool, tuple[int, int]]] = []  # text, in a link, (against, for) of what encloses it
+    frames = _page_frames(page)
     at = 0
     in_link = False
 
+    def inner() -> list[tuple[str, tuple[int, int, int, int]]]:
+        """What encloses the text, from the innermost article or main part on."""
+        k = max((i for i, (_, m) in enumerate(stack) if m[0]), default=0)
+        return stack[k:]
+
     def block(texts: list[str], links: list[str], against: int, named_for: int) -> None:
         text = _SPACE.sub(" ", "".join(texts)).strip()
         if text:
             main = max((m[0] for _, m in stack), default=0)
             # what stands inside an article's own header is no page frame
-            frame = sum(m[1] for n, m in stack if not (n == "header" and main == 2))
+            frame = sum(m[1] for n, m in inner() if not (n == "header" and main == 2))
             out.append((text, text.count(" ") + 1, len(" ".join(links).split()), next((n for n, _ in reversed(stack) if n not in _INLINE), "body"), (main, frame, named_for, against)))
 
     def flush() -> None:
@@ -84,7 +129,8 @@ def blocks(page: str) -> list[tuple[str, int, int, str, tuple[int, int, int, int
 
     def add(raw: str) -> None:
         text = _html.unescape(raw) if "&" in raw else raw
-        parts.append((text, in_link, (sum(m[3] for _, m in stack), int(any(m[2] for _, m in stack)))))
+        around = inner()
+        parts.append((text, in_link, (sum(m[3] for _, m in around), int(any(m[2] for _, m in around)))))
 
     n = len(page)
     while at < n:
@@ -135,7 +181,10 @@ def blocks(page: str) -> list[tuple[str, int, int, str, tuple[int, int, int, int
                     stack.pop()
                 if stack and stack[-1][0] == name == "li":
                     stack.pop()
-            stack.append((name, _element(name, attrs)))
+            main, frame, named_for, against = _element(name, attrs)
+            if m.start() in frames and name not in _MAIN:
+                frame = named_for = against = 0
+            stack.append((name, (main, frame, named_for, against)))
     flush()
     return out
 
@@ -150,15 +199,17 @@ def features(found: list) -> np.ndarray:
     x[:, 0], x[:, 1] = words, density
     x[1:, 2], x[1:, 3] = words[:-1], density[:-1]
     x[:-1, 4], x[:-1, 5] = words[1:], density[1:]
+    x[:, 6] = [min(3, len(_CALLS.findall(b[0]))) * 10 / (b[1] + 10) for b in found]
+    x[:, 7] = [min(3, len(_LEGAL.findall(b[0]))) * 10 / (b[1] + 10) for b in found]
     state = np.array([b[4] for b in found])
-    x[:, 6:10] = state
-    x[:, 10] = [b[3] in ("h1", "h2", "h3", "h4", "h5", "h6") for b in found]
-    x[:, 11] = [b[3] in ("li", "dt", "dd", "td", "th") for b in found]
-    x[:, 12] = state[:, 0].max()
+    x[:, 8:12] = state
+    x[:, 12] = [b[3] in ("h1", "h2", "h3", "h4", "h5", "h6") for b in found]
+    x[:, 13] = [b[3] in ("li", "dt", "dd", "td", "th") for b in found]
+    x[:, 14] = state[:, 0].max()
     return x
 
 
-def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 6, least: int = 1) -> tuple:
+def fit_tree(x: np.ndarray, y: np.ndarray, depth: int = 10, least: int = 1) -> tuple:
     """A classification tree by Gini impurity: (feature, threshold, below, above), or the share of content at a leaf.
 
     Ties go to the earlier feature and the lower threshold.
@@ -192,15 +243,22 @@ def classify(tree: tuple, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def labelled(page: str, marks: list[str]) -> tuple[list, np.ndarray]:
+    """The page's blocks without the marks, and whether each is content."""
+    found = blocks(page)
+    content = np.array([any(m in b[0] for m in marks) for b in found], float)
+    plain = []
+    for text, words, links, *rest in found:
+        bare = " ".join(w for w in text.split() if w not in marks)
+        plain.append((bare, max(1, bare.count(" ") + 1), min(links, bare.count(" ") + 1), *rest))
+    return plain, content
+
+
 @lru_cache(1)
 def trained() -> tuple:
     """The tree for the labelled pages: every block of theirs is a row of the table."""
-    xs, ys = [], []
-    for page, content in LABELLED_PAGES:
-        found = blocks(page)
-        xs.append(features(found))
-        ys.append([any(c in b[0] for c in content) for b in found])
-    return fit_tree(np.vstack(xs), np.array(sum(ys, []), float))
+    table = [labelled(page, marks) for page, marks in LABELLED_PAGES]
+    return fit_tree(np.vstack([features(f) for f, _ in table]), np.concatenate([y for _, y in table]))
 
 
 def main_text(page: str | None, tree: tuple) -> str:
