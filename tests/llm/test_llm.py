@@ -437,8 +437,8 @@ def test_lm_segments_and_frequent_words():
     order = np.argsort(keys)
     place = np.empty(len(order), np.int32)
     place[order] = np.arange(2, 2 + len(order))
-    lists = pa.LargeListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes)))), pa.array(place[at]))
-    row = pa.table({"data": [lm.ipc(pa.table({"doc_id": batch["doc_id"], "train": batch["train"], "words": lists}))], "n": [len(keys)], "words": [lm.squeezed(keys[order])]})
+    data = lm.ipc(pa.table({"doc_id": batch["doc_id"], "train": batch["train"], "sizes": pa.array(sizes)}))
+    row = pa.table({"data": [data], "n": [len(keys)], "words": [lm.squeezed(keys[order])], "places": [lm.planes(place[at])]})
     b = lm.Block(row)
     b.triples()
     a = lm.Automaton(b, b.c1, b.c2, b.c3, int(b.c1.sum()), int(np.count_nonzero(b.c1)))
