@@ -315,6 +315,33 @@ def test_near_duplicates(spark, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_duplicates_repeated_ids(spark):
+    """Rows that share an id are linked each by its own text; a large bucket is compared part by part."""
+    words = [f"w{i}" for i in range(60)]
+    first, second = " ".join(words[:50]), " ".join(f"x{i}" for i in range(50))
+    near = second.replace("x7 ", "y ")
+    docs = spark.createDataFrame([(1, first), (1, second), (2, near), (3, first), (1, second)], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs, 4, 80).collect())
+    assert got == [(1, 1, True)] * 3 + [(2, 1, False), (3, 1, False)]
+    assert near_dedup.labelled(docs, 4, 80).select("component").distinct().count() == 2
+
+
+def test_near_duplicates_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PART", 3)
+    rng = np.random.default_rng(9)
+    texts = {}
+    for g in range(3):
+        base = [f"g{g}w{int(x)}" for x in rng.integers(0, 900, 60)]
+        for _ in range(12):
+            w = list(base)
+            for k in rng.integers(0, len(w), int(rng.integers(0, 5))):
+                w[k] = f"n{int(rng.integers(0, 10**6))}"
+            texts[len(texts)] = " ".join(w)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(docs, 5, 80).collect()}
+    assert got == brute_components(texts, 5, 80)
+
+
 def test_bounds_lose_no_link():
     a, b = near_dedup.shingles("a b c d e f g h", 4), near_dedup.shingles("a b c d e f g x", 4)
     differ = sum(int(x).bit_count() for x in near_dedup.bit_map(a).view(np.uint64) ^ near_dedup.bit_map(b).view(np.uint64))

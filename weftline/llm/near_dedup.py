@@ -1,8 +1,8 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 1. Each text gives its number of distinct word shingles, a digest of the set and
-   a signature of BANDS x ROWS minhashes. Texts with equal sets form a class and
-   only its smallest id goes on, so exact copies never meet each other.
+   a signature of BANDS x ROWS minhashes. Texts with equal sets form a class, which
+   goes on as one node, so exact copies never meet each other.
 2. Bands put classes into buckets. In each bucket every class is first compared
    with the bucket's leader alone; after the links found are joined into
    components, only classes of one bucket that are still in different
@@ -11,7 +11,8 @@
    the set has; where two maps differ, the sets do, so p differing bits leave a
    similarity of (a + b - p) / (a + b + p) at most for sets of a and b shingles. The
    bound is part of the join, so a large group of texts that are alike, but not
-   enough, gives few pairs, and no link is lost.
+   enough, gives few pairs, and no link is lost. A bucket of more than PART classes is
+   compared part by part, each two parts in a group of their own.
 3. A pair's signatures are compared batch by batch. With a uniform prior, the
    posterior that the similarity reaches the threshold after m of n matches is
    P(Binomial(n + 1, threshold) <= m); a pair is dropped as soon as that is under
@@ -21,9 +22,10 @@ At similarity 0.8 a pair shares no band with probability 5e-5 and is dropped by
 the bounds with at most about 5 * MISS.
 
 Null and empty texts and texts of white space have an empty set and are linked
-with nothing: their component is their own id. Rows that share a doc_id count as
-one document. Rows with a null doc_id keep to themselves: component_id is null
-and kept is true. Ties need no rule: the smallest id stands for a component.
+with nothing: their component is their own id. Rows that share a doc_id but not their
+text are linked each by its own text, and only so. Rows with a null doc_id keep to
+themselves: component_id is null and kept is true. Ties need no rule: the smallest id
+stands for a component.
 """
 
 from __future__ import annotations
@@ -46,6 +48,8 @@ BANDS, ROWS = 25, 5
 MISS = 1e-6
 #: Minhashes compared at a time, and bits in a set's map.
 STEP, MAP_BITS = 25, 1024
+#: Classes of a bucket that are compared in one group.
+PART = 2_000
 _CHUNK = 4096  # shingles hashed together
 
 _U = np.uint64
@@ -153,44 +157,63 @@ def linked(a: Column | str, b: Column | str, percent: int) -> Column:
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text)."""
-    docs = docs.select("doc_id", "text")
-    told = stored(docs.select("doc_id", sketch("text", width).alias("s")).select("doc_id", "s.*"), "sketches")
-    real = told.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = real.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    member = told.drop("sig", "bits").join(classes, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("rep"))
+    return labelled(docs, width, percent).select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
+
 
-    sigs = stored(real.join(classes, "set_key").filter("doc_id = rep").groupBy("rep").agg(F.first(F.struct("sig", "n_shingles", "bits")).alias("s")).select("rep", "s.*"), "signatures")
+def labelled(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, text_key (a hash of the text), n_shingles, component and component_id of every row of docs (doc_id, text).
+
+    component tells components apart, those with the same smallest id too; it is null where nothing can be linked.
+    """
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
+    told = stored(docs.select("doc_id", "text_key", sketch("text", width).alias("s")).select("doc_id", "text_key", "s.*"), "sketches")
+    real = told.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
+    # rows of equal sets have equal signatures
+    sigs = real.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first(F.struct("sig", "n_shingles", "bits")).alias("s"))
+    sigs = stored(sigs.select("set_key", F.xxhash64("set_key").alias("node"), "least", "s.*"), "signatures")
+    rows, nodes = sigs.agg(F.count("*"), F.count_distinct("node")).first()
+    if rows != nodes:  # two sets with one short key: all go by their digests
+        sigs = sigs.withColumn("node", F.col("set_key"))
     bands = F.array(*(F.xxhash64(F.lit(b), F.substring("sig", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)))
-    banded = sigs.select(F.col("rep").alias("cid"), F.explode(bands).alias("band"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("cid").alias("leader")).filter("n > 1").drop("n")
+    banded = sigs.select("node", F.explode(bands).alias("band"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("leader")).filter("n > 1").drop("n")
     bucket = stored(banded.join(shared, "band"), "buckets")
 
-    wanted = bucket.select(F.col("cid").alias("doc_id")).distinct()
-    sets = stored(docs.join(wanted, "doc_id").select(F.col("doc_id").alias("cid"), F.col("text")).withColumn("shingles", shingle_set("text", width)).drop("text"), "sets")
+    wanted = bucket.select("node").distinct().join(sigs.select("node", "least.*"), "node")
+    texts = docs.join(wanted, ["doc_id", "text_key"]).select("node", shingle_set("text", width).alias("shingles"))
+    sets = stored(texts.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that are links."""
-        left, right = (sigs.select(F.col("rep").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
+        left, right = (sigs.select(F.col("node").alias(x), F.col("sig").alias(f"sig_{x}")) for x in "ab")
         likely = pairs.join(left, "a").join(right, "b").filter(passes("sig_a", "sig_b", percent / 100)).select("a", "b")
-        left, right = (sets.select(F.col("cid").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
+        left, right = (sets.select(F.col("node").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
         return stored(likely.join(left, "a").join(right, "b").filter(linked("set_a", "set_b", percent)).select("a", "b"), "links")
 
-    first = confirmed(bucket.filter("cid != leader").select(F.col("leader").alias("a"), F.col("cid").alias("b")).distinct())
+    first = confirmed(bucket.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct())
     label = components(first)
-    placed = stored(bucket.select("band", "cid").join(label.withColumnRenamed("node", "cid"), "cid", "left").select("band", "cid", F.coalesce("component", "cid").alias("c")), "placed")
-    open_ = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("cid").alias("leader")).filter("low != high").select("band", "leader")
+    placed = stored(bucket.select("band", "node").join(label, "node", "left").select("band", "node", F.coalesce("component", "node").alias("c")), "placed")
+    open_ = placed.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min("node").alias("leader"), F.ceil(F.count("*") / PART).cast("int").alias("parts")).filter("low != high").select("band", "leader", "parts")
     words = range(MAP_BITS // 64)
-    maps = sigs.select(F.col("rep").alias("cid"), "n_shingles", *(F.col("bits")[k].alias(f"w{k}") for k in words))
-    each = placed.join(open_, "band").join(maps, "cid")
-    left, right = (each.select(F.col("band").alias(f"band_{x}"), "leader", *(F.col(c).alias(f"{c}_{x}") for c in ("cid", "c", "n_shingles", *(f"w{k}" for k in words)))) for x in "ab")
+    maps = sigs.select("node", "n_shingles", *(F.col("bits")[k].alias(f"w{k}") for k in words))
+    each = placed.join(open_, "band").join(maps, "node").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    # each two parts of a bucket meet in one group: (their lower, their upper) part
+    as_left = each.select("*", F.explode(F.sequence("part", F.col("parts") - 1)).alias("upper")).withColumn("lower", F.col("part"))
+    as_right = each.select("*", F.explode(F.sequence(F.lit(0), "part")).alias("lower")).withColumn("upper", F.col("part"))
+    left, right = (df.select(*(F.col(c).alias(f"{c}_{x}") for c in ("band", "lower", "upper", "leader", "node", "c", "n_shingles", *(f"w{k}" for k in words)))) for x, df in (("a", as_left), ("b", as_right)))
     differ = sum((F.bit_count(F.col(f"w{k}_a").bitwiseXOR(F.col(f"w{k}_b"))) for k in words), F.lit(0))
     both = F.col("n_shingles_a") + F.col("n_shingles_b")
-    new = (F.col("band_a") == F.col("band_b")) & (F.col("c_a") != F.col("c_b")) & (F.col("cid_a") < F.col("cid_b")) & (F.col("cid_a") != left["leader"])
-    rest = left.join(right.drop("leader"), new & (100 * (both - differ) >= percent * (both + differ))).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b")).distinct()
+    met = (F.col("band_a") == F.col("band_b")) & (F.col("lower_a") == F.col("lower_b")) & (F.col("upper_a") == F.col("upper_b"))
+    new = (F.col("c_a") != F.col("c_b")) & ((F.col("lower_a") != F.col("upper_a")) | (F.col("node_a") < F.col("node_b"))) & (F.col("node_a") != F.col("leader_a")) & (F.col("node_b") != F.col("leader_b"))
+    rest = left.join(right, met & new & (100 * (both - differ) >= percent * (both + differ))).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     label = components(first.union(confirmed(rest)))
 
-    out = member.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
+    named = sigs.select("set_key", "node", F.col("least.doc_id").alias("id")).join(label, "node", "left").select("set_key", "id", F.coalesce("component", "node").alias("component"))
+    lowest = named.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = named.join(lowest, "component").select("set_key", F.col("component").alias("_component"), F.col("component_id").alias("_id"))
+    out = told.drop("sig", "bits").join(named, "set_key", "left")
+    known = F.col("doc_id").isNotNull()
+    return out.select("doc_id", "text_key", "n_shingles", F.when(known, F.col("_component")).alias("component"), F.when(known, F.coalesce("_id", "doc_id")).alias("component_id"))
 
 
 def shingle_set(text: Column | str, width: int) -> Column:
