@@ -17,26 +17,35 @@ from weftline.llm.common import stored, table
 from weftline.shipping import ship
 
 
+#: Columns of their own that stages add and drop again.
+_KEY, _TOLD = "_weftline_key", "_weftline_told"
+
+
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without letters and texts of which no language has LEAST_SHARE."""
     model = language.train(docs)
-    told = docs.withColumn("_l", language.language("text", model))
-    return told.filter((F.col("_l.lang_pred") != language.UNKNOWN) & (F.col("_l.score") >= language.LEAST_SHARE)).select(*docs.columns)
+    told = docs.withColumn(_TOLD, language.language("text", model))
+    return told.filter((F.col(f"{_TOLD}.lang_pred") != language.UNKNOWN) & (F.col(f"{_TOLD}.score") >= language.LEAST_SHARE)).select(*docs.columns)
 
 
 def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts that the quality classifier scores under its threshold."""
     machine = quality.train(docs, table(spark, sf_dir, "labels"))
-    return docs.withColumn("_q", quality.quality_score("text", machine)).filter(F.col("_q") >= quality.THRESHOLD).select(*docs.columns)
+    return docs.withColumn(_TOLD, quality.quality_score("text", machine)).filter(F.col(_TOLD) >= quality.THRESHOLD).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies: five words a shingle, similarity 0.8 or more.
 
-    Of rows that share a doc_id one stays; rows without a doc_id all stay.
+    Of a group the row with the smallest doc_id stays, of several with that id the text with the least
+    hash, and one of rows that are equal in both. Rows without a doc_id or without words all stay.
     """
-    kept = near_dedup.near_duplicates(docs).filter(F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    keyed = docs.withColumn(_KEY, F.xxhash64("text"))
+    groups = near_dedup.labelled(docs).filter(F.col("component").isNotNull())
+    kept = groups.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("least")).select("least.doc_id", F.col("least.text_key").alias(_KEY))
+    alone = F.col("doc_id").isNull() | F.coalesce("text", F.lit("")).rlike(r"^[\x20\x09-\x0D]*$")
+    some = keyed.filter(~alone).join(kept, ["doc_id", _KEY], "left_semi").dropDuplicates(["doc_id", _KEY])
+    return some.unionByName(keyed.filter(alone)).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
