@@ -401,7 +401,7 @@ def test_ann(spark):
     rows = [(i, [float(np.float32(v)) for v in r], 1) for i, r in enumerate(x)]
     bad = [(1000, None, 1), (1050, [0.0] * 16, 1), (1100, [float("nan")] + [1.0] * 15, 1), (1150, [None] + [1.0] * 15, 1), (1200, [1.0], 1), (1250, [], 1)]
     df = spark.createDataFrame(rows + bad + [(601, rows[0][1], 1)], "vec_id long, embedding array<float>, rank int")
-    got = ann.nearest(df, df.filter("vec_id % 50 = 0"), 5, probed=1.0).orderBy("query_id", "rank").collect()
+    got = ann.nearest(df, df.filter("vec_id % 50 = 0"), 5).orderBy("query_id", "rank").collect()
     assert {r["query_id"] for r in got} == set(range(0, 600, 50)) and len(got) == 12 * 5
     assert got[0]["vec_id"] == 601 and abs(got[0]["score"] - 1) < 1e-12
     u = np.array([r[1] for r in rows])
@@ -418,6 +418,31 @@ def test_ann(spark):
     assert ann.nearest(few.limit(0), few.limit(0), 5).count() == 0
 
 
+def test_ann_query_recall_and_ties(spark, folder):
+    """The registered query with its own parameters against brute force on the given table, and equal vectors by id."""
+    rows = spark.read.parquet(f"{folder}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x = {r["vec_id"]: np.array(r["embedding"], float) for r in rows if r["embedding"] is not None}
+    ids = sorted(i for i, v in x.items() if np.isfinite(v).all() and v.any())
+    u = np.array([x[i] / np.sqrt((x[i] ** 2).sum()) for i in ids])
+    got: dict = {}
+    for r in ann.op8_ann(spark, folder).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    hits = total = 0
+    for at, i in enumerate(ids):
+        if i % 50 == 0:
+            s = u @ u[at]
+            s[at] = -9
+            best = {ids[j] for j in np.argsort(-s, kind="stable")[:5]}
+            assert [r for r, _, _ in sorted(got[i])] == [1, 2, 3, 4, 5]
+            assert all(abs(score - u[ids.index(v)] @ u[at]) < 1e-12 for _, v, score in got[i])
+            hits += len(best & {v for _, v, _ in got[i]})
+            total += 5
+    assert hits >= 0.9 * total
+    same = spark.createDataFrame([(i, [1.0, 2.0, 3.0 + (i > 40)]) for i in range(60)], "vec_id long, embedding array<double>")
+    got = ann.nearest(same, same.filter("vec_id = 0"), 5).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5]
+
+
 def test_lm(spark, none):
     texts = [(i, ["a b c a b", "A B  d", None, "", "zz a\tb c", "b a b c d e " * 40, "q%d r%d s%d a b" % (i, i, i), " \n "][i % 8]) for i in range(48)]
     docs = spark.createDataFrame([(*t, 1.0, 3) for t in texts] + [(None, "a b c", 1.0, 3), (7, "a b", 2.0, 3)], "doc_id long, text string, score double, block int")
