@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.text import one_line
+
 # Node types and relations that an edge may have.
 NODE_TYPES = ("Emotion", "Imagery", "Concept", "Character", "Work", "Chunk")
 RELATIONS = ("ASSOCIATED_WITH", "CO_OCCURS", "FEATURES_CHARACTER", "EVIDENCED_BY")
@@ -14,10 +18,10 @@ def derived_edges(chunks: DataFrame) -> DataFrame:
     """src, relation, dst of chunks (chunk_id, imagery, emotion, character, work, concept), each once."""
 
     def listed(c: str, relation: str) -> DataFrame:
-        return chunks.select(F.col("chunk_id").alias("src"), F.lit(relation).alias("relation"), F.explode(c).alias("dst"))
+        return chunks.select(F.col("chunk_id").cast("string").alias("src"), F.lit(relation).alias("relation"), F.explode(c).alias("dst"))
 
     def single(c: str, relation: str) -> DataFrame:
-        return chunks.filter(F.col(c).isNotNull()).select(F.col(c).alias("src"), F.lit(relation).alias("relation"), F.col("chunk_id").alias("dst"))
+        return chunks.filter(F.col(c).isNotNull()).select(F.col(c).alias("src"), F.lit(relation).alias("relation"), F.col("chunk_id").cast("string").alias("dst"))
 
     parts = [listed("imagery", "MENTIONS_IMAGERY"), listed("emotion", "EVOKES_EMOTION"), single("character", "FEATURES_CHARACTER"), single("work", "HAS_CHUNK"), single("concept", "HAS_CONCEPT")]
     out = parts[0]
@@ -37,8 +41,53 @@ def chunks_by_emotion(mentions: DataFrame, associations: DataFrame, emotions: Da
     return path.groupBy("emotion", "chunk_id").agg(F.max("weight").alias("weight"))
 
 
+def chunk_nodes(chunks: DataFrame) -> DataFrame:
+    """chunks with a snippet of their text, each chunk_id once."""
+    return chunks.dropDuplicates(["chunk_id"]).withColumn("snippet", one_line(F.col("text"), 60))
+
+
+def work_nodes(chunks: DataFrame, position: str) -> DataFrame:
+    """work, author: what a work's first chunk says stays."""
+    return chunks.filter("work is not null").groupBy("work").agg(F.min_by("author", position).alias("author"))
+
+
+def concept_edges(chunks: DataFrame) -> DataFrame:
+    """src, dst from concepts to psychology's chunks."""
+    return chunks.filter((F.col("library") == "psychology") & F.col("concept").isNotNull()).select(F.col("concept").alias("src"), F.col("chunk_id").alias("dst")).distinct()
+
+
+def without_chunks(edges: DataFrame, chunks: DataFrame) -> DataFrame:
+    """edges (src, relation, dst) but those that begin or end at one of the chunks; the nodes at the other ends stay."""
+    ids = chunks.select(F.col("chunk_id").cast("string").alias("_id")).distinct()
+    return edges.join(ids, edges["src"] == ids["_id"], "left_anti").join(ids, edges["dst"] == ids["_id"], "left_anti")
+
+
+def label_counts(nodes: Mapping[str, DataFrame]) -> DataFrame:
+    """name, n: the distinct nodes of each label."""
+    out = None
+    for name, rows in nodes.items():
+        one = rows.distinct().agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def imagery_by_concept(evidence: DataFrame, concepts: DataFrame, fuzzy: bool = False) -> DataFrame:
-    """query, imagery, strength: paths from concepts that equal the query or, if fuzzy, hold it or are held by it."""
-    wanted = concepts.filter(F.trim("query") != "")
-    match = (F.contains(F.col("concept"), F.col("query")) | F.contains(F.col("query"), F.col("concept"))) if fuzzy else F.col("concept") == F.col("query")
-    return evidence.join(F.broadcast(wanted) if fuzzy else wanted, match).groupBy("query", "imagery").agg(F.count("*").alias("strength"))
+    """query, imagery, strength: paths from concepts that equal the query or, if fuzzy, hold it or are held by it.
+
+    Fuzzy matches come from equal substrings: of each name all of its parts are listed, so that one that is held by
+    the other meets it in a join on equal texts; names are short.
+    """
+    wanted = concepts.filter(F.trim("query") != "").select("query").distinct()
+    if not fuzzy:
+        return evidence.join(wanted, F.col("concept") == F.col("query")).groupBy("query", "imagery").agg(F.count("*").alias("strength"))
+    names = evidence.filter("concept is not null").select("concept").distinct()
+    holds = names.select("concept", F.explode(_parts("concept")).alias("query")).join(wanted, "query")
+    held = wanted.select("query", F.explode(_parts("query")).alias("concept")).join(names, "concept")
+    match = holds.select("query", "concept").union(held.select("query", "concept")).distinct()
+    return evidence.join(match, "concept").groupBy("query", "imagery").agg(F.count("*").alias("strength"))
+
+
+def _parts(name: str) -> Column:
+    """The distinct substrings of a name, itself included."""
+    n = F.length(name)
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col(name), i, k)))))

@@ -48,3 +48,17 @@ def pinned(evidence: DataFrame, prior: DataFrame, key: Sequence[str]) -> DataFra
     """evidence whose pinned flag also keeps what was pinned before."""
     was = prior.filter("pinned").select(*key).distinct().withColumn("_was", F.lit(True))
     return evidence.join(was, list(key), "left").withColumn("pinned", F.coalesce("_was", F.lit(False)) | F.col("pinned")).drop("_was")
+
+
+def of_dimension(rows: DataFrame, vector: str, dim: int) -> DataFrame:
+    """rows; a vector of another number of dimensions ends the query."""
+    size = F.size(vector)
+    wrong = F.raise_error(F.format_string("a vector has %d dimensions, not %d", size, F.lit(dim))).cast("boolean")
+    return rows.filter(F.when(F.col(vector).isNull() | (size == dim), True).otherwise(wrong))
+
+
+def unseen(rows: DataFrame, seen: DataFrame, key: str, order: Column) -> DataFrame:
+    """Rows whose key was not seen before, of equal keys the first."""
+    fresh = rows.join(seen.select(key).distinct(), key, "left_anti")
+    rest = [c for c in rows.columns if c != key]
+    return fresh.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_s")).select(key, "_s.*")
