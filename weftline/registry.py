@@ -9,9 +9,9 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.plans import chunking, cleaning, clustering, fusion, lexical, persist, reports, run, services, tagging, vectors
+from weftline.plans import chunking, cleaning, clustering, evidence, fusion, lexical, persist, reports, run, services, tagging, vectors
 
-_PLANS = (cleaning, chunking, lexical, vectors, fusion, clustering, services, persist, tagging, reports, run)
+_PLANS = (cleaning, chunking, lexical, vectors, fusion, clustering, services, persist, tagging, evidence, reports, run)
 
 
 def _plain(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
