@@ -13,8 +13,16 @@ SHORTEST, LONGEST = 2, 4
 RUN_BREAK = r"[。！？；…，、,.!?;:：\s「」『』“”‘’（）()《》〈〉【】\[\]—–\-]+"
 NOT_FIRST = "的了着过是在和与而也就都还又很把被从对为以之其所以因故乃且夫盖若则虽但或及于乎焉矣兮者们个每该一二两这那几并"
 NOT_LAST = "的了着过是而也就都还又很把被之其所以因故乃且夫盖若则虽但或及于乎焉矣兮个每该"
-STOP_WORDS = "这个 那个 我们 你们 他们 它们 什么 怎么 因为 所以 但是 如果 已经 可以 这样 那样 一个 一种 一些 就是 不是 没有 这些 那些 自己 以及 并且 或者 而且 然后 于是 对于 关于 由于 通过 根据 时候 地方 东西 问题 情况 方面 一定的 某种".split()
-NOUN_ENDINGS = "主义 论 学 性 化 观 关系 存在 自由 时间 意义 结构 现象 经验 意识 概念 价值 主体 客体 理性 意志 情感 认知 精神 世界 真理 本质 语言 权力 制度 实践 状态 过程 能力 理论 模型 机制".split()
+STOP_WORDS = (
+    "这个", "那个", "我们", "你们", "他们", "它们", "什么", "怎么", "因为", "所以", "但是", "如果", "已经", "可以", "这样", "那样",
+    "一个", "一种", "一些", "就是", "不是", "没有", "这些", "那些", "自己", "以及", "并且", "或者", "而且", "然后", "于是", "对于",
+    "关于", "由于", "通过", "根据", "时候", "地方", "东西", "问题", "情况", "方面", "一定的", "某种",
+)
+NOUN_ENDINGS = (
+    "主义", "论", "学", "性", "化", "观", "关系", "存在", "自由", "时间", "意义", "结构", "现象", "经验", "意识", "概念",
+    "价值", "主体", "客体", "理性", "意志", "情感", "认知", "精神", "世界", "真理", "本质", "语言", "权力", "制度", "实践", "状态",
+    "过程", "能力", "理论", "模型", "机制",
+)
 LENGTH_POWER, NOUN_FACTOR = 1.2, 1.8
 MARKER = r"\[\s*\[\s*ev\s*:\s*([^\s\[\]]+?)\s*\]\s*\]"
 ATTEMPT = r"(?i)\[\s*\[\s*ev\s*:\s*([^\]]*?)\s*\]\s*\]"

@@ -9,34 +9,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from weftline.shipping import arrow_udf
+
 # Patterns and limits that define what is an advertisement, spam or visible content.
 ZERO_WIDTH = r"[\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{AD}]"
 EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}\x{2B00}-\x{2BFF}\x{FE0F}\x{200D}]+"
 URL = r"(?:https?://|www\.)[^\s，。、）)】\]]+"
 MENTION = r"@[\p{L}\p{N}_\x{4E00}-\x{9FFF}\-.]+"
-STRONG = (
-    r"加\s*(?:我|一下)?\s*(?:微信|vx|v信|威信|薇信|wx|v\b|q\b|qq)",
-    r"[加+＋]\s*v(?![a-z])",
-    r"(?:微信|vx|wx|qq)\s*[:：]?\s*[a-z0-9_-]{5,}",
-    r"私\s*(?:我|聊|信)",
-    r"(?:看|点)\s*(?:我)?\s*主页",
-    r"(?:点|戳)\s*(?:击)?\s*(?:下方)?\s*(?:链接|小黄车|购物车|橱窗)",
-    r"(?:领|抢)\s*(?:取|购)?\s*(?:优惠券|福利|红包|免费)",
-    r"(?:加|进)\s*(?:群|粉丝群)",
-    r"(?:刷单|代购|招代理|招兼职|日结|包邮|现货|批发|一手货源)",
-    r"主页\s*(?:简介|签名)?\s*(?:自取|有链接|看简介|领取)",
-    r"月\s*入\s*\d+\s*[w万k]",
-    r"(?:0|零)\s*基础\s*(?:转行|学|做|也能|月入)",
-    r"名额\s*(?:只剩|有限|不多)",
-    r"1[3-9]\d{9}",
-    r"q\s*q?\s*[:：]?\s*\d{6,}",
-)
+STRONG = r"加\s*(?:我|一下)?\s*(?:微信|vx|v信|威信|薇信|wx|v\b|q\b|qq)|[加+＋]\s*v(?![a-z])|(?:微信|vx|wx|qq)\s*[:：]?\s*[a-z0-9_-]{5,}|私\s*(?:我|聊|信)|(?:看|点)\s*(?:我)?\s*主页|(?:点|戳)\s*(?:击)?\s*(?:下方)?\s*(?:链接|小黄车|购物车|橱窗)|(?:领|抢)\s*(?:取|购)?\s*(?:优惠券|福利|红包|免费)|(?:加|进)\s*(?:群|粉丝群)|(?:刷单|代购|招代理|招兼职|日结|包邮|现货|批发|一手货源)|主页\s*(?:简介|签名)?\s*(?:自取|有链接|看简介|领取)|月\s*入\s*\d+\s*[w万k]|(?:0|零)\s*基础\s*(?:转行|学|做|也能|月入)|名额\s*(?:只剩|有限|不多)|1[3-9]\d{9}|q\s*q?\s*[:：]?\s*\d{6,}"
 WEAK = ("优惠券", "限时", "秒杀", "福利价", "橱窗", "小黄车", "一手货源", "招代理", "返还现金", "免费送", "点击购买", "链接在下方")
 WEAK_LEAST, LONG_DIGITS, RUN = 2, 8, 10
 CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
 
 
-@F.arrow_udf(StringType())
+@arrow_udf(StringType())
 def nfkc(text: pa.Array) -> pa.Array:
     return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in text.to_pylist()], pa.string())
 
@@ -66,7 +52,7 @@ def is_ad(body: Column) -> Column:
     weak = F.size(F.array_distinct(F.regexp_extract_all(body, F.lit("(" + "|".join(WEAK) + ")"), F.lit(1)))) >= WEAK_LEAST
     # every strong pattern holds one of these; most texts have none, and the rest is not tried on them
     may = body.rlike(rf"[{CJK}]|\d{{6}}|[+＋]\s*[vV]|[vVwW][xX]|[qQ][qQ]")
-    return (body != "") & (body.rlike("(?i)" + URL) | (may & body.rlike("(?iU)" + "|".join(STRONG))) | digits | weak)
+    return (body != "") & (body.rlike("(?i)" + URL) | (may & body.rlike("(?iU)" + STRONG)) | digits | weak)
 
 
 def is_spam(body: Column) -> Column:

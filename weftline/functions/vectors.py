@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from weftline.shipping import arrow_udf
+
 # Weights of character n-grams by length, and the norm under which a vector is empty.
 GRAM_WEIGHTS, EMPTY_NORM = ((1, 0.5), (2, 1.0), (3, 0.8)), 1e-12
 
@@ -32,7 +34,7 @@ def normalised(v: Column) -> Column:
 def hashed_embedding(text: Column, dim: int) -> Column:
     """Signed, weighted counts of character n-grams in `dim` buckets, of length one; an empty text is the first unit vector."""
 
-    @F.arrow_udf(ArrayType(DoubleType()))
+    @arrow_udf(ArrayType(DoubleType()))
     def embed(batch: pa.Array) -> pa.Array:
         known: dict[str, tuple[int, float]] = {}
         out = []

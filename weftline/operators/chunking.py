@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
 from weftline.functions.lexical import lossless
+from weftline.shipping import arrow_udf
 
 # Lengths of pieces and of the overlap, the shortest text, the marks that end a sentence or a clause,
 # the lengths of streamed deltas, and the prefix of each library's ids.
@@ -98,7 +99,7 @@ def pieces(text: str, target: int = TARGET, most: int = MOST, least: int = LEAST
 def cut(df: DataFrame, key: str, text: str, target: int = TARGET, most: int = MOST) -> DataFrame:
     """key, piece, paragraph, text, body, hard; texts under SHORTEST characters have no piece."""
 
-    @F.arrow_udf(ArrayType(PIECE))
+    @arrow_udf(ArrayType(PIECE))
     def split(batch: pa.Array) -> pa.Array:
         return pa.array([[dict(zip(("paragraph", "text", "body", "hard"), p)) for p in pieces(t, target, most)] for t in batch.to_pylist()], pa.list_(pa.struct([("paragraph", pa.int32()), ("text", pa.string()), ("body", pa.string()), ("hard", pa.bool_())])))
 
@@ -118,7 +119,7 @@ def deltas(text: str, size: int = DELTA_SIZE, floor: int = DELTA_FLOOR) -> list[
 
 
 def streamed(text: Column, size: int = DELTA_SIZE, floor: int = DELTA_FLOOR) -> Column:
-    @F.arrow_udf(ArrayType(StringType()))
+    @arrow_udf(ArrayType(StringType()))
     def split(batch: pa.Array) -> pa.Array:
         return pa.array([deltas(t or "", size, floor) for t in batch.to_pylist()], pa.list_(pa.string()))
 
@@ -128,7 +129,7 @@ def streamed(text: Column, size: int = DELTA_SIZE, floor: int = DELTA_FLOOR) ->
 def chunk_ids(library: Column, work: Column, body: Column) -> Column:
     """An id that depends on the library, the work's name and the body alone."""
 
-    @F.arrow_udf(StringType())
+    @arrow_udf(StringType())
     def make(library: pa.Array, work: pa.Array, body: pa.Array) -> pa.Array:
         out = []
         for lib, w, b in zip(library.to_pylist(), work.to_pylist(), body.to_pylist()):

@@ -13,6 +13,7 @@ from pyspark.sql.types import ArrayType, LongType, StringType, StructType
 
 from weftline.functions.lexical import ATTEMPT
 from weftline.functions.text import filter_ids
+from weftline.shipping import arrow_udf
 
 # Citations of a text and steps of a run at most, the coverage that passes, texts of a cluster and their length.
 MOST_CITATIONS, MOST_STEPS, PASSES, SHOWN, SHOWN_CHARS = 40, 5, 0.6, 3, 120
@@ -24,7 +25,7 @@ def cited(text: Column, pool: Column, most: int = MOST_CITATIONS) -> Column:
     """struct<clean, cited, total, dropped>: ids of the pool become [^1], [^2] and so on; all other markers, unclosed ones too, go and count."""
     attempt = re.compile(ATTEMPT)
 
-    @F.arrow_udf(CITED)
+    @arrow_udf(CITED)
     def run(text: pa.Array, pool: pa.Array) -> pa.Array:
         out = []
         for t, ids in zip(text.to_pylist(), pool.to_pylist()):

@@ -7,12 +7,17 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from weftline.shipping import ship
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; one of our own only where none is set, as in tests."""
+    """The folder in spark.checkpoint.dir; one of our own only where none is set and Spark runs in one process, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="weftline-"))
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="weftline-"))
     return sc.getCheckpointDir()
 
 
@@ -22,6 +27,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     The files go when the session ends.
     """
     spark = df.sparkSession
+    ship(spark)
     at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     path = spark._jvm.org.apache.hadoop.fs.Path(at)

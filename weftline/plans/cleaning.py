@@ -14,7 +14,7 @@ from weftline.sources.text import split_items
 _SPACE = "[\\s\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{85}\\x{B}]+"
 _BODY = f"trim(regexp_replace(regexp_replace(coalesce(text, ''), '{T.ZERO_WIDTH}', '', 'g'), '{_SPACE}', ' ', 'g'))"
 _RUNS = "|".join(f"[{a}]{{10}}" for a in [*(rf"\x{{{c:X}}}" for c in range(33, 127)), *(rf"\x{{{c:X}}}" for c in range(0xA1, 0x180))])
-_STRONG = "(?i)" + "|".join(T.STRONG).replace("(?![a-z])", "(?:[^a-z]|$)")
+_STRONG = "(?i)" + T.STRONG.replace("(?![a-z])", "(?:[^a-z]|$)")
 _KEY = f"md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(body, '(?i){T.URL}', '', 'g'), '{T.MENTION}', '', 'g'), '{T.EMOJI}', '', 'g'), '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"
 _WEAK = " + ".join(f"(body like '%{w}%')::int" for w in T.WEAK)
 _FLAGGED = f"""
@@ -35,7 +35,7 @@ def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.marked_duplicates(stored(_told(spark, sf_dir).drop("text"), "flagged"), "n_chars", "doc_id")
+    return C.marked_duplicates(stored(_told(spark, sf_dir).withColumn("length", F.length("body")).drop("text", "body"), "flagged"), "n_chars", "doc_id")
 
 
 def clean_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +55,7 @@ def clean_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def visible_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.clusterable(_marked(spark, sf_dir)).select("doc_id", F.length("body").alias("length"))
+    return C.visible_rows(_marked(spark, sf_dir)).filter("length > 0").select("doc_id", "length")
 
 
 def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cleaned_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each conversation's roles and first words as tags, against a closed set."""
     words = F.split("text", " ")
-    tags = F.concat(F.array("role", F.concat(F.lit(" "), "role"), F.lit("")), F.slice(words, 1, 6))
+    tags = F.concat(F.array("role", F.concat(F.lit(" "), "role"), F.lit("")), words)
     kept = T.clean_tags(tags, limit=5, longest=8)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(kept, ",").alias("tags"))
 
@@ -128,7 +128,7 @@ ORACLE_SQL = {
     "split_preview": f"with c as (select doc_id, len({_PARTS}) as total from documents) select doc_id, total, least(total, 10) as kept, greatest(total - 10, 0) as dropped from c",
     "snippets": f"""select doc_id, case when length({_FLAT}) > 60 then left({_FLAT}, 60) || '…' else {_FLAT} end as snippet,
       case when length(trim(string_split(trim(text), chr(10))[1])) > 18 then left(trim(string_split(trim(text), chr(10))[1]), 18) || '…' else trim(string_split(trim(text), chr(10))[1]) end as title from documents""",
-    "cleaned_tags": """with t as (select conv_id, turn, list_concat([role, ' ' || role, ''], string_split(text, ' ')[1:6]) as l from conversations),
+    "cleaned_tags": """with t as (select conv_id, turn, list_concat([role, ' ' || role, ''], string_split(text, ' ')) as l from conversations),
       k as (select conv_id, turn, list_filter(list_transform(l, lambda x: trim(x)), lambda x: x <> '' and length(x) <= 8 and not regexp_matches(x, '[\\x00-\\x1F<>\\[\\]{}|`]')) as l from t)
       select conv_id, turn, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i)[1:5], ',') as tags from
       (select conv_id, turn, list_filter(l, lambda x, i: list_position(l, x) = i) as l from k)""",

@@ -14,7 +14,7 @@ def _rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts ranked by quantity for each return flag, as rankings of one library for each line status."""
     sums = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linestatus").alias("library"), F.col("l_returnflag").alias("ranking"), F.col("l_partkey").alias("chunk_id")).agg(F.sum("l_quantity").alias("q"))
     rank = F.row_number().over(W.partitionBy("library", "ranking").orderBy(F.desc("q"), "chunk_id"))
-    return sums.withColumn("rank", rank).filter("rank <= 200").select("library", "ranking", "chunk_id", "rank")
+    return sums.withColumn("rank", rank).select("library", "ranking", "chunk_id", "rank")
 
 
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ def confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (rrf_fuse, best_hit, quota_backfill, build_queries, graph_queries, weighted_distribution, confidence)}
 
 _RANKINGS = """r as (select * from (select l_linestatus as library, l_returnflag as ranking, l_partkey as chunk_id,
-  row_number() over (partition by l_linestatus, l_returnflag order by sum(l_quantity) desc, l_partkey) as rank from lineitem group by 1, 2, 3) where rank <= 200)"""
+  row_number() over (partition by l_linestatus, l_returnflag order by sum(l_quantity) desc, l_partkey) as rank from lineitem group by 1, 2, 3))"""
 _CLUSTERS = """c0 as (select user_id % 10 as run_id, event_type as cluster_key, count(*) as size, min(event_id) as first from events group by 1, 2),
   c as (select *, row_number() over (partition by run_id order by size desc, first) - 1 as order_index, size % 7 = 0 as is_noise, upper(cluster_key) as label,
     [cluster_key, 'topic ' || (size % 3)] as topic_tags, ['x', 'need' || (size % 2)] as need_tags, ['mood' || (size % 4), 'mood' || (size % 5)] as emotion_tags, ['kw ' || cluster_key] as keywords from c0),

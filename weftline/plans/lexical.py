@@ -75,7 +75,7 @@ def lossless_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", joined(F.array("role"), F.slice(F.split("text", " "), 1, 8), F.array(F.lit(" a  b "), "role")).alias("query"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", joined(F.array("role"), F.split("text", " "), F.array(F.lit(" a  b "), "role")).alias("query"))
 
 
 def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,7 +110,7 @@ ORACLE_SQL = {
       b as (select doc_id, regexp_replace(regexp_replace(regexp_replace(t, '\\r\\n?', chr(10), 'g'), '[\\x{200B}-\\x{200F}\\x{2028}\\x{2029}\\x{FEFF}]', '', 'g'), '[ \\t\\x{3000}]+', ' ', 'g') as t from a),
       c as (select doc_id, array_to_string(list_transform(string_split(t, chr(10)), lambda l: trim(l, ' ')), chr(10)) as t from b)
       select doc_id, md5(regexp_replace(regexp_replace(t, '\\n{3,}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g')) as cleaned from c""",
-    "query_join": """with w as (select conv_id, turn, list_filter(list_concat(list_transform(list_concat([role], string_split(text, ' ')[1:8]), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), ['a b', role]), lambda x: length(x) >= 2) as l from conversations)
+    "query_join": """with w as (select conv_id, turn, list_filter(list_concat(list_transform(list_concat([role], string_split(text, ' ')), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g'))), ['a b', role]), lambda x: length(x) >= 2) as l from conversations)
       select conv_id, turn, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ' ') as query from w""",
     "embedding_text": "select doc_id, sha256(case when doc_id % 3 = 0 then '概念：' || source || '｜' else '' end || '关键词：' || lang || '｜' || text) as digest from documents",
 }

@@ -62,7 +62,7 @@ def persist_turn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def work_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
-    text = F.concat(F.lit("《"), "role", F.lit("》和《"), F.substring("text", 1, 3), F.lit("》与《"), "role", F.lit("》"))
+    text = F.concat(F.lit("《"), "role", F.lit("》和《"), F.regexp_replace("text", "[《》]", ""), F.lit("》与《"), "role", F.lit("》"))
     return c.select("conv_id", "turn", F.array_join(P.names_of_works(text), ",").alias("names"))
 
 
@@ -122,7 +122,7 @@ ORACLE_SQL = {
     "citation_captions": """select nullif(concat_ws('·', case when p_size > 10 then p_brand end, case when p_size < 40 then p_type end), '') as caption, count(*) as n from lineitem left join part on p_partkey = l_partkey + l_linenumber * 40 group by 1""",
     "persist_turn": """with l as (select conv_id, max(turn) * 10 as s from conversations where turn < 3 group by 1)
       select conv_id, turn, coalesce(s, 0) + row_number() over (partition by conv_id order by turn) as seq from conversations left join l using (conv_id) where turn >= 3""",
-    "work_names": "select conv_id, turn, case when left(text, 3) = role then role else role || ',' || left(text, 3) end as names from conversations",
+    "work_names": "select conv_id, turn, case when regexp_replace(text, '[《》]', '', 'g') in (role, '') then role else role || ',' || regexp_replace(text, '[《》]', '', 'g') end as names from conversations",
     "line_anchor": """with c as (select conv_id, turn, list_filter(string_split_regex(text, '[，。！？；、,.!?;\\s]+'), lambda x: trim(x) <> '') as l, text from conversations)
       select conv_id, turn, right(regexp_replace(coalesce(l[len(l)], text), '[^\\p{L}\\p{N}]', '', 'g'), 4) as anchor from c""",
     "progress_band": "select event_id, round_even((user_id % 7 * 14 + 13.0 * (event_id % 9) / 8)::decimal(18, 6), 1)::double as progress from events",

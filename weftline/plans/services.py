@@ -61,9 +61,9 @@ def sources_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cached_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cache that holds the first half of the distinct words; the misses are computed."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").getItem(0).alias("word"))
-    cache = d.filter(F.ascii("word") % 2 == 0).select("word").distinct().withColumn("digest", F.md5("word"))
+    """A cache that holds half of the distinct texts; the misses are computed."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("word"))
+    cache = d.filter(F.crc32("word") % 2 == 0).select("word").distinct().withColumn("digest", F.md5("word"))
     return I.cached(d, cache, F.md5, "word", "digest").select("doc_id", "digest")
 
 
@@ -223,7 +223,7 @@ ORACLE_SQL = {
     "delete_source": f"with {_R} select chunk_id, library from r where source_file is distinct from 'src3'",
     "null_safe_not_in": f"with {_R} select library, count(*) as n from r where source_file is null or source_file not in {_IN} group by 1",
     "sources_summary": f"with {_R} select source_file, library, count(*) as n, max(chunk_id) as latest from r where source_file is not null and source_file not in {_IN} group by 1, 2",
-    "cached_values": "select doc_id, md5(string_split(text, ' ')[1]) as digest from documents",
+    "cached_values": "select doc_id, md5(text) as digest from documents",
     "keep_pins": """with n as (select distinct user_id, event_type from events where event_id % 2 = 0), p as (select distinct user_id, event_type from events where event_id % 5 = 0 and user_id % 2 = 0)
       select user_id, event_type, user_id % 9 = 0 or (user_id, event_type) in (select (user_id, event_type) from p) as pinned from n""",
     "replay_since": f"with {_LOG} select run_id, seq, type from log where seq > run_id % 20",

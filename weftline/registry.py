@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.plans import chunking, cleaning, clustering, evidence, fusion, lexical, persist, reports, run, services, tagging, vectors
+from weftline.shipping import ship
 
 _PLANS = (cleaning, chunking, lexical, vectors, fusion, clustering, services, persist, tagging, evidence, reports, run)
 
@@ -19,6 +20,7 @@ def _plain(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
         df = query(spark, sf_dir)
         to = {"int": "long", "smallint": "long", "tinyint": "long", "float": "double"}
         return df.select(*(F.col(c).cast(to[t]).alias(c) if t in to else F.col(c) for c, t in df.dtypes))

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _sent: set[str] = set()
 
@@ -22,6 +23,24 @@ def ship(spark: SparkSession) -> None:
         _sent.add(sc.applicationId)
 
 
+def arrow_udf(kind):
+    """F.arrow_udf for functions of the package: the package is sent before the function is used."""
+
+    def wrap(f):
+        udf = F.arrow_udf(kind)(f)
+
+        @wraps(f)
+        def call(*columns):
+            spark = SparkSession.getActiveSession()
+            if spark is not None:
+                ship(spark)
+            return udf(*columns)
+
+        return call
+
+    return wrap
+
+
 def shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from weftline.shipping import arrow_udf
+
 # The longest item, the id's form, and the encodings in the order in which they are tried.
 ITEM_CHARS, ITEM_ID, ENCODINGS = 2000, "txt-%04d", ("utf-8-sig", "utf-8", "gb18030")
 _SEPARATOR = {"line": "\n", "paragraph": "\n[ \t]*\n+"}
@@ -25,19 +27,19 @@ def split_items(df: DataFrame, key: str, text: str, mode: str, limit: int) -> Da
     return items.select(key, F.format_string(ITEM_ID, F.col("i") + 1).alias("item_id"), F.substring("item", 1, ITEM_CHARS).alias("body"), (F.length("item") > ITEM_CHARS).alias("truncated"))
 
 
-@F.arrow_udf(StringType())
-def decoded(content: pa.Array) -> pa.Array:
+def decode_bytes(content: bytes | None) -> str | None:
     """The text of a file's bytes, by the first encoding that reads them whole; null if none does."""
+    for e in ENCODINGS if content is not None else ():
+        try:
+            return content.removeprefix(b"\xef\xbb\xbf").decode(e)
+        except UnicodeDecodeError:
+            continue
+    return None
 
-    def read(b: bytes | None) -> str | None:
-        for e in ENCODINGS if b is not None else ():
-            try:
-                return b.removeprefix(b"\xef\xbb\xbf").decode(e)
-            except UnicodeDecodeError:
-                continue
-        return None
 
-    return pa.array([read(x.as_py()) for x in content], pa.string())
+@arrow_udf(StringType())
+def decoded(content: pa.Array) -> pa.Array:
+    return pa.array([decode_bytes(x.as_py()) for x in content], pa.string())
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:

@@ -46,7 +46,7 @@ def in_band(start: Column, end: Column, fraction: Column) -> Column:
 
 def folded(events: DataFrame, run: str = "run_id") -> DataFrame:
     """run, seq, progress, events, last_type: the state after all of a run's events."""
-    once = events.groupBy(run, "seq").agg(F.first("type").alias("type"), F.max("progress").alias("progress"))
+    once = events.groupBy(run, "seq").agg(F.min("type").alias("type"), F.max("progress").alias("progress"))
     return once.groupBy(run).agg(F.max("seq").alias("seq"), F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.max("progress"))).alias("progress"), F.count("*").alias("events"), F.max_by("type", "seq").alias("last_type"))
 
 
@@ -60,10 +60,16 @@ def fold_stream(events: DataFrame, run: str = "run_id") -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         seq, progress, n, last = state.get if state.exists else (0, 0.0, 0, None)
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for r in rows.itertuples(index=False):
-            if r.seq > seq:
-                seq, progress, n, last = int(r.seq), min(100.0, max(progress, float(r.progress))), n + 1, r.type
+        seen, top, highest = set(), seq, progress
+        for rows in batches:
+            new = rows[rows["seq"] > seq]
+            if len(new):
+                highest = max(highest, float(new["progress"].max()))
+                seen.update(new["seq"].tolist())
+                if int(new["seq"].max()) >= top:
+                    top = int(new["seq"].max())
+                    last = new.loc[new["seq"] == top, "type"].min()
+        seq, progress, n = top, min(100.0, highest), n + len(seen)
         state.update((seq, progress, n, last))
         yield pd.DataFrame({run: [key[0]], "seq": [seq], "progress": [progress], "events": [n], "last_type": [last]})
 
