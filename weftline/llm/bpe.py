@@ -56,13 +56,13 @@ def id_to_piece(path: str) -> list[bytes]:
 
 def _encoded_words(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     d = words.cast(pa.large_string()).dictionary_encode()
-    return d.dictionary, d.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    return d.dictionary, d.indices.to_numpy(zero_copy_only=False).astype(np.int32, copy=False)
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words, the place in them of every word of the texts, and the number of words of each text."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
-    odd = np.array([ADJOINING.search(x) is not None for x in texts.to_pylist()], bool)
+    odd = np.fromiter((ADJOINING.search(x.as_py()) is not None for x in texts), bool, len(texts))
     plain = texts.filter(pa.array(~odd))
     split = pc.split_pattern(plain, " ")
     sizes = np.zeros(len(texts), np.int64)
@@ -71,6 +71,7 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     bare, at = _encoded_words(split.flatten())
     # the first word of a text stands without the space that all others begin with
     first, first_at = _encoded_words(split.flatten().take(pa.array(starts)))
+    at = at.copy()
     at[starts] = len(bare) + first_at
     parts = [pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), bare, pa.scalar("", pa.large_string())), first]
     if odd.any():
@@ -78,7 +79,7 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         sizes[odd] = [len(x) for x in cut]
         third, third_at = _encoded_words(pa.array([w for x in cut for w in x], pa.large_string()))
         parts.append(third)
-        merged = np.empty(int(sizes.sum()), np.int64)
+        merged = np.empty(int(sizes.sum()), np.int32)
         where = np.repeat(odd, sizes)
         merged[~where], merged[where] = at, len(bare) + len(first) + third_at
         at = merged
