@@ -379,6 +379,26 @@ def test_mixing(spark, none):
     assert {r["source"] for r in mixing.mixed(docs, {"a": 1}, block_rows=10).filter("mix_slot < 70").collect()} == {"a"}
 
 
+def test_mixing_without_ids_and_with_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 50)
+    rows = [(None if i % 2 else 7, f"text {i}", "a" if i < 800 else "b", i, i, "h") for i in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, mix_pos long, mix_slot long, mix_h_ string")
+    got = mixing.mixed(docs, block_rows=10)
+    assert sorted(got.columns) == sorted(["doc_id", "text", "source", "mix_h_", "source_block", "mix_slot", "mix_pos"])
+    rows = got.collect()
+    assert len({r["text"] for r in rows}) == len(rows) == 1000 and sorted(r["mix_pos"] for r in rows) == list(range(1000))
+
+
+def test_mixing_two_thirds():
+    """Weights 2/3 and 1/3 over 300,000 blocks: less than one block from the target at any time."""
+    from fractions import Fraction
+
+    plan = mixing.schedule({"a": 200_000, "b": 100_000}, {"a": Fraction(2, 3), "b": Fraction(1, 3)})
+    n = np.arange(1, 300_001)
+    off = np.cumsum(plan.order == 0) * 3 - 2 * n
+    assert abs(off).max() < 3
+
+
 def test_mixing_keeps_exact_weights():
     """Weights that divide no period, over many slots; and sources far smaller than a slot in a thousand."""
     uneven = {"a": math.sqrt(2), "b": math.pi, "c": 0.1, None: 1 / 3}

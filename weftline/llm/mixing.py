@@ -101,16 +101,20 @@ def schedule(blocks: dict, weights: dict) -> Schedule:
 def mixed(docs: DataFrame, weights: dict | None = None, source: str = "source", key: str = "doc_id", block_rows: int = BLOCK_ROWS, period: int = PERIOD) -> DataFrame:
     """docs with source_block (its block within the source), mix_slot and mix_pos; sorted by mix_pos, docs are the mixture.
 
-    period has no effect any more: weights are kept exactly.
+    Columns of docs that have these three names are replaced. period has no effect any more: weights are kept exactly.
     """
     spark = docs.sparkSession
+    docs = docs.drop("source_block", "mix_slot", "mix_pos")
+    own = {x: next(n for n in (f"mix_{x}" + "_" * k for k in range(1, 99)) if n not in docs.columns) for x in ("h", "bucket", "n", "s", "b", "start", "in")}
     total = docs.count()
     buckets = max(1, -(-total // BUCKET_ROWS))
-    dealt = docs.withColumn("_h", F.xxhash64(key)).withColumn("_bucket", F.pmod("_h", F.lit(buckets)).cast("int"))
-    sizes = dealt.groupBy(source, "_bucket").count()
-    before = F.sum("count").over(W.partitionBy(source).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1))
-    starts = sizes.select(F.col(source).alias("_s"), F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_start"))
-    rows = {r[0]: r[1] for r in docs.groupBy(source).count().collect()}  # a row for each source
+    # all columns, so that rows without an id and rows that share one are dealt out too
+    every = [f.name for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
+    dealt = docs.withColumn(own["h"], F.xxhash64(key, *every)).withColumn(own["bucket"], F.pmod(own["h"], F.lit(buckets)).cast("int"))
+    sizes = dealt.groupBy(source, own["bucket"]).agg(F.count("*").alias(own["n"]))
+    before = F.sum(own["n"]).over(W.partitionBy(source).orderBy(own["bucket"]).rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.select(F.col(source).alias(own["s"]), F.col(own["bucket"]).alias(own["b"]), F.coalesce(before, F.lit(0)).alias(own["start"]))
+    rows = {r[0]: r[1] for r in docs.groupBy(source).agg(F.count("*")).collect()}  # a row for each source
     plan = schedule({s: -(-n // block_rows) for s, n in rows.items()}, {s: sqrt(n) for s, n in rows.items()} if weights is None else weights)
     place = {s: k for k, s in enumerate(plan.names)}
     shared = spark.sparkContext.broadcast(plan)  # a byte or two a block
@@ -121,11 +125,11 @@ def mixed(docs: DataFrame, weights: dict | None = None, source: str = "source",
         places = np.array([place[s] for s in named.dictionary.to_pylist()], np.int64)
         return pa.array(shared.value.slot_of(places[named.indices.to_numpy()], block.to_numpy(zero_copy_only=False)), pa.int64())
 
-    within = F.row_number().over(W.partitionBy(source, "_bucket").orderBy("_h", key)) - 1
-    numbered = dealt.withColumn("_n", within).join(starts, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_bucket") == F.col("_b")))
-    index = F.col("_start") + F.col("_n")
-    placed = numbered.withColumn("source_block", F.floor(index / block_rows).cast("long")).withColumn("_in", index % block_rows)
-    placed = placed.withColumn("mix_slot", slot(source, "source_block")).withColumn("mix_pos", F.col("mix_slot") * block_rows + F.col("_in"))
+    within = F.row_number().over(W.partitionBy(source, own["bucket"]).orderBy(own["h"], key)) - 1
+    numbered = dealt.withColumn(own["n"], within).join(starts, F.col(source).eqNullSafe(F.col(own["s"])) & (F.col(own["bucket"]) == F.col(own["b"])))
+    index = F.col(own["start"]) + F.col(own["n"])
+    placed = numbered.withColumn("source_block", F.floor(index / block_rows).cast("long")).withColumn(own["in"], index % block_rows)
+    placed = placed.withColumn("mix_slot", slot(source, "source_block")).withColumn("mix_pos", F.col("mix_slot") * block_rows + F.col(own["in"]))
     return placed.select(*docs.columns, "source_block", "mix_slot", "mix_pos")
 
 
