@@ -50,7 +50,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts the documents in the order of the mixture."""
-    return mixing.mixed(docs).select(*docs.columns, "mix_pos").orderBy("mix_pos")
+    kept = [c for c in docs.columns if c != "mix_pos"]
+    return mixing.mixed(docs).select(*kept, "mix_pos").orderBy("mix_pos")
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
