@@ -1,6 +1,7 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and extra columns, and against brute force."""
 
 import hashlib
+import html
 import math
 import re
 import zlib
@@ -522,6 +523,107 @@ def test_lm_segments_and_frequent_words():
     assert state[0] == 0 and math.isclose(score[0], a.failure[1 + lm.START] + a.p1[place[words.to_pylist().index("new")]])
 
 
+def held_out(doc_id, fold=0):
+    return zlib.crc32(str(doc_id).encode()) % 5 == fold
+
+
+def test_html_query(spark, folder):
+    """The text of every given page is that of its article, white space aside."""
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
+    got = html_text.op3_html_text(spark, folder).collect()
+    assert sorted(r["page_id"] for r in got) == sorted(pages)
+    for r in got:
+        article = re.search(r"(?s)<article[^>]*>(.*)</article>", pages[r["page_id"]])
+        assert "".join(r["text"].split()) == "".join(html.unescape(re.sub("<[^>]*>", " ", article[1])).split()) and r["n_chars"] == len(r["text"])
+
+
+def test_quality_query(spark):
+    at = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{at}/labels.parquet").collect()}
+    got = {r["doc_id"]: r for r in quality.op5_quality(spark, at).collect()}
+    assert all(r["held_out"] == held_out(d) and r["predicted"] == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 for d, r in got.items())
+    right = [got[d]["predicted"] == q for d, q in labels.items() if held_out(d) and q is not None]
+    assert len(got) == 1000 and np.mean(right) > 0.95
+
+
+def test_language_query(spark):
+    at = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
+    got = {r["doc_id"]: r for r in language.op9_language(spark, at).collect()}
+    assert set(got) == set(docs) and all(r["held_out"] == held_out(d) and 0 <= r["score"] <= 1 for d, r in got.items())
+    seen = [(got[d]["lang_pred"], r["lang"]) for d, r in docs.items() if held_out(d) and r["lang"] and re.search(r"[^\W\d_]", r["text"] or "")]
+    assert np.mean([a == b for a, b in seen]) > 0.97
+
+
+def test_mixture_is_brute_force_em():
+    """Proportions of two languages by expectation-maximisation written out term by term."""
+    rng = np.random.default_rng(11)
+    p = rng.dirichlet(np.ones(40), 2)
+    counts = np.bincount(np.concatenate([rng.choice(40, 700, p=p[0]), rng.choice(40, 300, p=p[1])]), minlength=40).astype(float)
+    got = language.Languages(["a", "b"], p).mixture(np.arange(40), counts)
+    share = [0.5, 0.5]
+    for _ in range(2000):
+        new = [0.0, 0.0]
+        for g in range(40):
+            total = sum(share[k] * p[k, g] for k in range(2))
+            for k in range(2):
+                new[k] += counts[g] / counts.sum() * share[k] * p[k, g] / total
+        share = new
+    assert np.allclose(got, share, atol=2e-3) and abs(got[0] - 0.7) < 0.06
+
+
+def test_pipeline_is_brute_force(spark, folder):
+    """Every stage's rows by plain Python over all rows of the stage before."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    model = language.train(docs)
+    told = {d: model.predict(r["text"]) for d, r in rows.items()}
+    rows = {d: r for d, r in rows.items() if told[d][0] != "und" and told[d][1] >= language.LEAST_SHARE}
+    machine = quality.train(docs.filter(F.col("doc_id").isin(list(rows))), spark.read.parquet(f"{folder}/labels.parquet"))
+    rows = {d: r for d, r in rows.items() if machine.score(r["text"]) >= quality.THRESHOLD}
+    label = brute_components({d: r["text"] for d, r in rows.items()}, 5, 80)
+    rows = {d: r for d, r in rows.items() if label[d][2]}
+    got = {r["doc_id"]: r for r in P.run(spark, folder).collect()}
+    assert set(got) == set(rows)
+    t = Tokenizer.from_file(PATH)
+    for d, r in got.items():
+        ids = t.encode(rows[d]["text"] or "", add_special_tokens=False).ids
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest() and r["source"] == rows[d]["source"]
+    # at each slot before a source ends, sources have their share of the slots but for less than one block
+    order = [got[d]["source"] for d in sorted(got, key=lambda d: got[d]["mix_pos"])]
+    slots = [s for _, s in sorted({(r["mix_pos"] // mixing.BLOCK_ROWS, r["source"]) for r in got.values()})]
+    n = Counter(order)
+    share = {s: math.sqrt(k) for s, k in n.items()}
+    left, seen = {s: -(-k // mixing.BLOCK_ROWS) for s, k in n.items()}, Counter()
+    assert Counter(slots) == left
+    for at, s in enumerate(slots, 1):
+        seen[s] += 1
+        assert all(abs(seen[x] - at * share[x] / sum(share.values())) < 1 + 1e-9 for x in n)
+        if any(seen[x] == left[x] for x in n):
+            break
+
+
+def test_pipeline_on_odd_rows(spark, folder, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, further columns, and no rows at all."""
+    import corpus_pipeline as P
+
+    docs = spark.read.parquet(f"{folder}/documents.parquet").filter("doc_id < 60")
+    odd = spark.createDataFrame([(None, None, None, None, None), (5, "", None, None, 0), (6, None, "en", None, None), (7, "word and the that " * 30_000, "en", None, 1), (None, "the cat and the dog were in the house. " * 5, "en", "s", 1)], docs.schema)
+    some = docs.union(odd).union(docs.limit(20)).withColumns({"_t": F.lit(1), "score": F.lit("x"), "mix_pos": F.lit(9)})
+    for rows in (some, some.limit(0)):
+        seen = rows
+        for k, (_, stage) in enumerate(P.STAGES):
+            out = stage(spark, seen, folder)
+            if k + 1 < len(P.STAGES):
+                assert set(rows.columns) <= set(out.columns)
+                seen = P.stored(out, "odd")
+        n = seen.count()
+        assert out.count() == n and seen.filter("doc_id is not null").groupBy("doc_id", "text").count().filter("count > 1").count() == 0
+        assert rows is not some or n > 0
+
+
 def test_pipeline(spark, folder):
     import corpus_pipeline as P
 

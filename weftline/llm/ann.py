@@ -36,6 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.llm.common import sampled, stored, table
+from weftline.shipping import ship
 
 #: Vectors that the centroids are fitted on at most; lists at most; the share of true neighbours to have in the probed lists.
 SAMPLE, MOST_LISTS, AIM = 20_000, 256, 0.97
@@ -130,6 +131,7 @@ def adaptive_scan(q: np.ndarray, x: np.ndarray, keep: int, block: int = BLOCK, e
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, lists: int | None = None, probes: int | None = None, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row of queries among the rows of vectors but its own id."""
     spark = vectors.sparkSession
+    ship(spark)
     size = vectors.filter(F.col(vector).isNotNull()).groupBy(F.size(vector).alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
     dims = size["d"] if size else 0
     base = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).filter(usable("v", max(1, dims)) & F.col("vec_id").isNotNull())

@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.blocks import BLOCK_BYTES, block_id, from_ipc, from_planes, in_blocks, ipc, planes
 from weftline.llm.common import table, text_bytes
+from weftline.shipping import ship
 from weftline.llm.token_counts import ADJOINING, encode_batches, pieces, tokenizer
 
 #: A bucket of words for so many bytes of text, and buckets at most, so that a block's lists keep some dozen words
@@ -163,6 +164,7 @@ class _Joined:
 
 def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), texts: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """key, the columns to keep, n_tokens, ids_sha256 and decoded_sha256 of each row; with texts also ids (array<int>) and decoded."""
+    ship(docs.sparkSession)
     size = text_bytes(docs, text)
     buckets = int(min(MOST_BUCKETS, max(1, -(-size // min(BUCKET_BYTES, block_bytes)))))
     blocks = docs.select(key, *keep, text).mapInArrow(lambda batches: block_rows(batches, text, buckets, block_bytes), "block long, bucket int, data binary, words binary").groupBy("block")

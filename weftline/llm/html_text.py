@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import table
 from weftline.llm.html_labels import LABELLED_PAGES
+from weftline.shipping import arrow_udf
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*+)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)""", re.S)
 #: Elements whose whole content is no text of the page.
@@ -271,7 +272,7 @@ def extracted(html: Column | str) -> Column:
     """The main text of each page, a string and never null."""
     tree = trained()
 
-    @F.arrow_udf("string")
+    @arrow_udf("string")
     def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for a in batches:
             yield pa.array([main_text(x.as_py(), tree) for x in a], pa.string())

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import remainder, struct_array, table
+from weftline.shipping import arrow_udf, ship
 
 #: Labelled documents that the model learns from at most.
 SAMPLE_ROWS = 20_000
@@ -101,6 +102,7 @@ def train(docs: DataFrame, lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -
 
     Every language has an equal bound; those with fewer documents have all of them and leave the rest to the others.
     """
+    ship(docs.sparkSession)
     known = docs.filter(F.col(lang).isNotNull() & F.col("text").isNotNull() & (remainder() != 0))
     sizes = sorted(known.groupBy(F.col(lang).alias("lang")).count().collect(), key=lambda r: r["count"])
     left, bound = sample_rows, 1.0
@@ -138,7 +140,7 @@ def language(text: Column | str, model: Languages) -> Column:
     """struct<lang_pred, score, shares>; shares are in the order of the model's names."""
     shared = SparkSession.active().sparkContext.broadcast(model)  # languages x BUCKETS numbers, whatever the input
 
-    @F.arrow_udf("lang_pred string, score double, shares array<double>")
+    @arrow_udf("lang_pred string, score double, shares array<double>")
     def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for a in batches:
             got = [shared.value.predict(x.as_py()) for x in a]

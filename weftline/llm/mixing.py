@@ -38,6 +38,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.llm.common import table
+from weftline.shipping import arrow_udf
 
 BLOCK_ROWS, BUCKET_ROWS, PERIOD = 64, 8_192, 1_000
 
@@ -119,7 +120,7 @@ def mixed(docs: DataFrame, weights: dict | None = None, source: str = "source",
     place = {s: k for k, s in enumerate(plan.names)}
     shared = spark.sparkContext.broadcast(plan)  # a byte or two a block
 
-    @F.arrow_udf("long")
+    @arrow_udf("long")
     def slot(of: pa.Array, block: pa.Array) -> pa.Array:
         named = of.dictionary_encode(null_encoding="encode")
         places = np.array([place[s] for s in named.dictionary.to_pylist()], np.int64)

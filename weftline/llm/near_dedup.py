@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import stored, struct_array, table
 from weftline.operators.components import components
+from weftline.shipping import arrow_udf
 
 BANDS, ROWS = 25, 5
 #: Posterior under which a pair is dropped.
@@ -94,7 +95,7 @@ def bit_map(hashes: np.ndarray) -> np.ndarray:
 def sketch(text: Column | str, width: int) -> Column:
     """struct<n_shingles, set_key, sig, bits>; all but the first are null for an empty set."""
 
-    @F.arrow_udf("n_shingles long, set_key binary, sig binary, bits array<long>")
+    @arrow_udf("n_shingles long, set_key binary, sig binary, bits array<long>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             n, key, sig, bits = [], [], [], []
@@ -123,7 +124,7 @@ def least_matches(threshold: float, miss: float, n: int) -> int:
 def passes(a: Column | str, b: Column | str, threshold: float, miss: float = MISS) -> Column:
     """Whether the pair outlives every batch of its signatures."""
 
-    @F.arrow_udf("boolean")
+    @arrow_udf("boolean")
     def test(left: pa.Array, right: pa.Array) -> pa.Array:
         n = BANDS * ROWS
         x = np.frombuffer(b"".join(left.to_pylist()), "<u4").reshape(-1, n)
@@ -143,7 +144,7 @@ def passes(a: Column | str, b: Column | str, threshold: float, miss: float = MIS
 def linked(a: Column | str, b: Column | str, percent: int) -> Column:
     """Whether 100 * intersection >= percent * union, on the full sets."""
 
-    @F.arrow_udf("boolean")
+    @arrow_udf("boolean")
     def test(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
         for x, y in zip(left, right):
@@ -219,7 +220,7 @@ def labelled(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 def shingle_set(text: Column | str, width: int) -> Column:
     """The distinct shingles' hashes, sorted, 8 bytes each."""
 
-    @F.arrow_udf("binary")
+    @arrow_udf("binary")
     def run(batch: pa.Array) -> pa.Array:
         return pa.array([shingles(x.as_py(), width).tobytes() for x in batch], pa.binary())
 

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import remainder, sampled, struct_array, table
+from weftline.shipping import arrow_udf
 
 #: Labelled rows that the fit uses at most.
 SAMPLE_ROWS = 8_000
@@ -156,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     part = min(1.0, sample_rows / max(1, n))
     chosen = known.filter(sampled(part, "doc_id"))
 
-    @F.arrow_udf("words array<int>, stats array<double>")
+    @arrow_udf("words array<int>, stats array<double>")
     def features(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for a in batches:
             got = [featurise(x.as_py()) for x in a]
@@ -172,7 +173,7 @@ def quality_score(text: Column | str, machine: Machine) -> Column:
     sc = SparkSession.active().sparkContext
     shared = sc.broadcast(machine)  # BUCKETS x FACTORS numbers, whatever the input
 
-    @F.arrow_udf("double")
+    @arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for a in batches:
             yield pa.array([shared.value.score(x.as_py()) for x in a], pa.float64())

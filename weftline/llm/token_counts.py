@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import table
+from weftline.shipping import arrow_udf
 
 #: Bytes in one batch of the library, and in a part of a text.
 BATCH_BYTES, LONG_BYTES = 1 << 20, 1 << 16
@@ -116,7 +117,7 @@ def count_tokens(path: str, texts: pa.Array, batch_bytes: int = BATCH_BYTES, lon
 def token_count(text: Column | str, path: str) -> Column:
     """Tokens of each text, long; path is a file of the tokenizers library with byte-level BPE."""
 
-    @F.arrow_udf("long")
+    @arrow_udf("long")
     def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for a in batches:
             yield pa.array(count_tokens(path, a), pa.int64())
