@@ -68,9 +68,11 @@ def event_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.stream_tail(e, 30).select("run_id", "event_id", "entry_id")
 
 
-def _read(rows: Callable[[SparkSession, str], DataFrame], *order) -> Callable[[SparkSession, str], DataFrame]:
+def _read(rows: Callable[[SparkSession, str], DataFrame], *order: str) -> Callable[[SparkSession, str], DataFrame]:
+    """The rows with their place in the run; a name with a minus before it is in falling order."""
+
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return P.listed(rows(spark, sf_dir), *order)
+        return P.listed(rows(spark, sf_dir), *(F.desc(c[1:]) if c[0] == "-" else F.col(c) for c in order))
 
     return query
 
@@ -143,9 +145,9 @@ def partial_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (persist_comments, persist_clusters, persist_sections, delete_run, event_tail, sections_by_run, video_by_run, profile_by_run, whole_snapshot, snapshot_over_live, partial_fold)} | {
-    "comments_by_run": _read(_comments, F.desc("likes"), "comment_id"),
+    "comments_by_run": _read(_comments, "-likes", "comment_id"),
     "clusters_by_run": _read(_clusters, "order_index", "cluster_key"),
-    "evidence_by_run": _read(_evidence, F.desc("l_extendedprice"), "l_partkey"),
+    "evidence_by_run": _read(_evidence, "-l_extendedprice", "l_partkey"),
     "steps_by_run": _read(_steps, *_LINE),
 }
 
