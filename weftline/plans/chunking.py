@@ -31,9 +31,9 @@ def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def delta_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of each turn: how many, the longest, and the digest of all together."""
+    """Parts of each turn: where they end, and the digest of all together."""
     c = table(spark, sf_dir, "conversations").withColumn("d", K.streamed(F.col("text")))
-    return c.select("conv_id", "turn", F.array_max(F.transform("d", lambda x: F.length(x))).alias("longest"), F.md5(F.array_join("d", "")).alias("digest"))
+    return c.select("conv_id", "turn", F.array_join(F.transform("d", lambda x: F.length(x).cast("string")), ",").alias("lengths"), F.md5(F.array_join("d", "")).alias("digest"))
 
 
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,5 +43,5 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (chunk_pieces, chunk_lossless, chunk_ids, delta_chunks, html_blocks)}
 ORACLE_SQL = {
     "chunk_lossless": "select doc_id, md5(regexp_replace(text, '\\s+', '', 'g')) as digest from documents where length(trim(text)) >= 8",
-    "delta_chunks": "select conv_id, turn, least(length(text), 40)::bigint as longest, md5(text) as digest from conversations",
+    "delta_chunks": f"""select conv_id, turn, array_to_string(list_transform(regexp_extract_all(text, '(?s).{{{K.DELTA_FLOOR - 1},{K.DELTA_SIZE - 1}}}?[{K.DELTA_END}]|.{{{K.DELTA_SIZE}}}|.+$'), lambda x: length(x)), ',') as lengths, md5(text) as digest from conversations""",
 }

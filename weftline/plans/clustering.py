@@ -31,9 +31,12 @@ def cluster_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def kmeans_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """k-means of all embeddings: every row has one of k labels."""
+    """k-means of all embeddings: the rows of each label, and their mean cosine to the label's mean vector."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", normalised(F.col("embedding")).alias("v"))
-    return C.kmeans(v, 5).agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high"))
+    told = C.kmeans(v, 5)
+    dims = F.posexplode("v").alias("d", "x")
+    mean = told.select("label", dims).groupBy("label", "d").agg(F.avg("x").alias("m")).groupBy("label").agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("length"))
+    return told.groupBy("label").agg(F.count("*").alias("n")).join(mean, "label").select("label", "n", F.round("length", 6).alias("fit"))
 
 
 def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +60,5 @@ ORACLE_SQL = {
       e as (select *, row_number() over (partition by run_id, cluster_key order by likes desc, id) as top from m join k using (run_id, label)),
       g as (select run_id, cluster_key, min(p) as p, sum(s::int)::bigint as size, count(*) as raw_size, string_agg(id::varchar, ',' order by top) filter (top <= 5) as ids, string_agg(id::varchar, ',' order by top) filter (top <= 3) as texts from e group by 1, 2)
       select run_id, cluster_key, (row_number() over (partition by run_id order by p) - 1)::bigint as order_index, size, raw_size, cluster_key = 'noise' as is_noise, ids, texts from g""",
-    "kmeans_sizes": "select count(*) as n, 0::bigint as low, 4::bigint as high from embeddings",
     "kmeans_k": "select user_id, greatest(2, least(5, round_even((count(*) / 3.0 / 10)::decimal(18, 9), 0)))::bigint as k from events group by 1",
 }

@@ -16,12 +16,17 @@ LEXICON = {"the": ["the ", "The "], "und": ["und ", "der "], "les": ["les ", "de
 WORDS = {"english": ["the", "tion", "and"], "german": ["der", "sch", "ung"], "french": ["eau", "eux", "oi"], "spanish": ["ción", "ll", "ñ"]}
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as comments of one id."""
+    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), "text")
+
+
 def ngram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.frequencies(table(spark, sf_dir, "benchmark"), "item_id", "text").select("item_id", "gram", "n", F.round(L.gram_score(F.col("gram"), F.col("n")), 6).alias("score"))
+    return K.frequencies(_turns(spark, sf_dir), "item_id", "text").select("item_id", "gram", "n", F.round(L.gram_score(F.col("gram"), F.col("n")), 6).alias("score"))
 
 
 def keyphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.keyphrases(table(spark, sf_dir, "benchmark"), "item_id", "text").select("item_id", F.array_join("phrases", "|").alias("phrases"))
+    return K.keyphrases(_turns(spark, sf_dir), "item_id", "text").select("item_id", F.array_join("phrases", "|").alias("phrases"))
 
 
 def keyphrases_across(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +92,7 @@ def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (ngram_df, keyphrases, keyphrases_across, lexicon_tags, lexicon_score, rank_labels, pair_lookup, citations, cjk_ratio, lossless_clean, query_join, embedding_text)}
 
-_GRAMS = f"""runs as (select item_id, unnest(list_filter(string_split_regex(text, '{L.RUN_BREAK}'), lambda r: length(r) >= 2)) as r from benchmark),
+_GRAMS = f"""runs as (select item_id, unnest(list_filter(string_split_regex(text, '{L.RUN_BREAK}'), lambda r: length(r) >= 2)) as r from (select conv_id * 1000 + turn as item_id, text from conversations)),
   g as (select item_id, substr(r, i::int, n::int) as gram from runs, range(2, 5) t(n), lateral (select unnest(range(1, length(r) - n + 2)) as i) where n <= length(r)),
   f as (select item_id, gram, count(*) as n from g group by 1, 2)"""
 _TAGS = ", ".join(f"(list_min(list_filter([{', '.join(f'''instr(text, '{f}')''' for f in forms)}], lambda p: p > 0)), '{t}')" for t, forms in LEXICON.items())

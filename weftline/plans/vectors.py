@@ -46,9 +46,11 @@ def semantic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hash_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The benchmark passages, embedded by hashed n-grams, and each one's cosine to its line-broken self (1)."""
-    b = table(spark, sf_dir, "benchmark").withColumn("v", hashed_embedding(F.col("text"), 256)).withColumn("w", hashed_embedding(F.regexp_replace("text", " ", "\n"), 256))
-    return b.select("item_id", F.round(norm(F.col("v")), 6).alias("norm"), F.round(dot(F.col("v"), F.col("w")), 6).alias("same"))
+    """Turns embedded by hashed n-grams: first components, norm, and the cosine to the next turn of the conversation."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", hashed_embedding(F.col("text"), 64).alias("v"))
+    then = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("v").alias("w"))
+    b = c.join(then, ["conv_id", "turn"], "left")
+    return b.select("conv_id", "turn", *(F.round(F.col("v")[k], 6).alias(f"v{k}") for k in range(4)), F.round(norm(F.col("v")), 6).alias("norm"), F.round(dot(F.col("v"), F.col("w")), 6).alias("next"))
 
 
 def fetch_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,9 +104,9 @@ def derived_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     chunks = d.select(
         F.col("doc_id").cast("string").alias("chunk_id"), F.array("lang", "source", "lang").alias("imagery"), F.array("source").alias("emotion"),
-        F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("character"), F.col("source").alias("work"), F.lit(None).cast("string").alias("concept"),
+        F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("character"), F.col("source").alias("work"), F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("concept"),
     )
-    return G.derived_edges(chunks).groupBy("relation").agg(F.count("*").alias("n"), F.countDistinct("src").alias("sources"), F.countDistinct("dst").alias("targets"))
+    return G.derived_edges(chunks)
 
 
 def merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +129,6 @@ ORACLE_SQL = {
     "semantic_dedup": f"""with recursive {_PAIRS}, g as (select a, b from e union select b, a from e), r as (select vec_id as n, vec_id as m from embeddings union select r.n, g.b from r join g on r.m = g.a),
       l as (select n, min(m) as c from r group by 1), b as (select c, arg_min(n, (-(n % 7), n)) as representative from l group by 1)
       select n as chunk_id, representative, n = representative as is_representative from l join b using (c)""",
-    "hash_embed": "select item_id, 1.0::double as norm, 1.0::double as same from benchmark",
     "fetch_by_ids": f"""with {_TOP.format('')} select query_id, row_number() over (partition by query_id order by rank) as new_rank, chunk_id, case when length({_FLAT}) > 60 then left({_FLAT}, 60) || '…' else {_FLAT} end as snippet
       from t join documents on doc_id = chunk_id where rank <= 8""",
     "chunks_by_emotion": """with m as (select distinct l_orderkey as chunk_id, l_suppkey from lineitem), w as (select n_name as emotion, chunk_id, max(round(abs(s_acctbal) / 10000, 4)) as weight from m join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey group by 1, 2)
@@ -136,7 +137,7 @@ ORACLE_SQL = {
     "imagery_by_concept": f"with {_CONCEPTS} select query, p_brand as imagery, count(*) as strength from part join c on p_type = query group by 1, 2",
     "imagery_fuzzy": f"with {_CONCEPTS} select query, p_brand as imagery, count(*) as strength from part join c on contains(p_type, query) or contains(query, p_type) group by 1, 2",
     "derived_edges": """with e as (select distinct doc_id::varchar as src, 'MENTIONS_IMAGERY' as relation, unnest([lang, source]) as dst from documents union select doc_id::varchar, 'EVOKES_EMOTION', source from documents
-      union select lang, 'FEATURES_CHARACTER', doc_id::varchar from documents where doc_id % 2 = 0 union select source, 'HAS_CHUNK', doc_id::varchar from documents)
-      select relation, count(*) as n, count(distinct src) as sources, count(distinct dst) as targets from e group by 1""",
+      union select lang, 'FEATURES_CHARACTER', doc_id::varchar from documents where doc_id % 2 = 0 union select source, 'HAS_CHUNK', doc_id::varchar from documents union select lang, 'HAS_CONCEPT', doc_id::varchar from documents where doc_id % 3 = 0)
+      select src, relation, dst from e where src is not null and dst is not null""",
     "merged_edges": "select l_partkey as source, l_returnflag as relation, l_suppkey as target, round(arg_max(case when l_linenumber > 1 then l_discount else 1.0 end, (l_orderkey, l_linenumber, l_extendedprice, l_discount)), 6) as weight from lineitem group by 1, 2, 3",
 }
