@@ -71,3 +71,41 @@ def test_paged(spark):
     n = {r["id"]: r["count"] for r in df.groupBy("id").count().collect()}
     assert n == {"a": 45 - 7, "broken": 20 - 3}
     assert spark.read.format("paged").option("provider", "tests.test_sources:pages").option("ids", "a").option("limit", "5").load().count() == 5
+
+
+def made(parts, decode=str.encode):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="b.opf"/></rootfiles></container>')
+        items = "".join(f'<item id="i{k}" href="{n}.xhtml"/>' for k, n in enumerate(parts))
+        z.writestr("b.opf", f"<package><manifest>{items}</manifest><spine>{''.join(f'<itemref idref=\"i{k}\"/>' for k in range(len(parts)))}</spine></package>")
+        for n in parts:
+            z.writestr(f"{n}.xhtml", decode(f"<p>{n}之文</p>"))
+    return out.getvalue()
+
+
+def test_book_names_and_encodings():
+    names = ["cover", "Cover-Image", "toc_2", "nav", "titlepage", "copyright", "coverage", "discovery", "navy", "protocol", "titles"]
+    assert [t for _, _, t in book_parts(made(names))] == [f"{n}之文" for n in names[6:]]
+    assert [t for _, _, t in book_parts(made(["a"], lambda s: s.encode("gb18030")))] == ["a之文"]
+    with pytest.raises(ValueError, match="encoding"):
+        list(book_parts(made(["a"], lambda s: s.encode("utf-16") + b"\xff")))
+    with pytest.raises(ValueError, match="parts"):
+        list(book_parts(made([f"p{k}" for k in range(2001)])))
+
+
+def named(id_, cursor, count):
+    if id_ == "down":
+        raise OSError("down")
+    return {"items": [{"id": cursor, "body": {"text": f"t{cursor}"}, "stats": {"likes": 3}}], "page": {"cursor": cursor + 1}, "has_more": cursor < 4}
+
+
+def test_paged_fields_and_failures(spark):
+    spark.dataSource.register(PagedSource)
+    fields = '{"comment_id": "id", "text": "body.text", "like_count": "stats.likes"}'
+    read = spark.read.format("paged").option("provider", "tests.test_sources:named").option("fields", fields)
+    assert [(r["comment_id"], r["text"], r["like_count"], r["cut_short"]) for r in read.option("ids", "a").load().orderBy("comment_id").collect()] == [(str(k), f"t{k}", 3, False) for k in range(5)]
+    with pytest.raises(Exception, match="down"):
+        read.option("ids", "down").load().collect()
+    cut = spark.read.format("paged").option("provider", "tests.test_sources:pages").option("ids", "broken").load().collect()
+    assert cut and all(r["cut_short"] for r in cut)

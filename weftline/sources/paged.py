@@ -1,13 +1,16 @@
 """A remote source that is read page by page, as a Python data source: one partition for each id.
 
 The option `provider` names a function as module:name. It takes (id, cursor, count) and returns a dict with
-items, next_cursor and has_more. Rows without a text are dropped; a failing page ends that id's rows, and
-what was read before stays.
+items, has_more and the next cursor (as next_cursor, as cursor, or as page.cursor); the option `fields` may map the
+columns comment_id, text and like_count to other, dotted names. Rows without a text are dropped. A failing page ends that
+id's rows: what was read before stays, and cut_short is true in the rows of the last page before it. Where the first
+page fails there is nothing to keep, and the read fails.
 """
 
 from __future__ import annotations
 
 import importlib
+import json
 from collections.abc import Iterator
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -20,6 +23,7 @@ class PagedReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.ids = [x for x in options["ids"].split(",") if x]
         self.provider, self.limit = options["provider"], int(options.get("limit", "2000"))
+        self.fields = {"comment_id": "comment_id", "text": "text", "like_count": "like_count"} | json.loads(options.get("fields", "{}"))
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(i) for i in self.ids]
@@ -28,18 +32,33 @@ class PagedReader(DataSourceReader):
         module, _, name = self.provider.partition(":")
         fetch = getattr(importlib.import_module(module), name)
         cursor, n = 0, 0
+        held: list[tuple] = []  # a page's rows wait until the next page is there or fails
         for page in range(MOST_PAGES):
             try:
                 got = fetch(partition.value, cursor, min(PAGE_ROWS, self.limit - n))
             except OSError:
+                if not page:
+                    raise
+                yield from (row + (True,) for row in held)
                 return
+            yield from (row + (False,) for row in held)
+            held = []
             for item in got["items"]:
-                if n < self.limit and (item.get("text") or "").strip():
-                    yield partition.value, str(item["comment_id"]), item["text"], int(item.get("like_count") or 0), page
+                text = _dug(item, self.fields["text"]) or ""
+                if n < self.limit and text.strip():
+                    held.append((partition.value, str(_dug(item, self.fields["comment_id"])), text, int(_dug(item, self.fields["like_count"]) or 0), page))
                     n += 1
-            cursor = got.get("next_cursor")
+            cursor = next((c for c in (_dug(got, "next_cursor"), _dug(got, "cursor"), _dug(got, "page.cursor")) if c is not None), None)
             if n >= self.limit or not got.get("has_more") or cursor is None:
-                return
+                break
+        yield from (row + (False,) for row in held)
+
+
+def _dug(value, path: str):
+    """The value at a dotted path, None where there is none."""
+    for name in path.split("."):
+        value = value.get(name) if isinstance(value, dict) else None
+    return value
 
 
 class PagedSource(DataSource):
@@ -50,7 +69,7 @@ class PagedSource(DataSource):
         return "paged"
 
     def schema(self) -> str:
-        return "id string, comment_id string, text string, like_count long, page int"
+        return "id string, comment_id string, text string, like_count long, page int, cut_short boolean"
 
     def reader(self, schema) -> PagedReader:
         return PagedReader(self.options)
