@@ -4,7 +4,8 @@
    a signature of BANDS x ROWS minhashes. Texts with equal sets form a class, which
    goes on as one node, so exact copies never meet each other.
 2. Bands put classes into buckets. In each bucket every class is first compared
-   with the bucket's leader alone; after the links found are joined into
+   with the bucket's leader alone, its smallest id, which is more often the text that
+   others were copied from; after the links found are joined into
    components, only classes of one bucket that are still in different
    components are compared with each other, and of these only pairs that a bound
    allows: each set has a map of MAP_BITS bits, one for each residue that a hash of
@@ -171,9 +172,9 @@ def labelled(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     real = told.filter(F.col("set_key").isNotNull() & F.col("doc_id").isNotNull())
     # rows of equal sets have equal signatures
     sigs = real.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.first(F.struct("sig", "n_shingles", "bits")).alias("s"))
-    sigs = stored(sigs.select("set_key", F.xxhash64("set_key").alias("node"), "least", "s.*"), "signatures")
+    sigs = stored(sigs.select("set_key", F.col("least.doc_id").alias("node"), "least", "s.*"), "signatures")
     rows, nodes = sigs.agg(F.count("*"), F.count_distinct("node")).first()
-    if rows != nodes:  # two sets with one short key: all go by their digests
+    if rows != nodes:  # an id with two texts: classes go by their digests
         sigs = sigs.withColumn("node", F.col("set_key"))
     bands = F.array(*(F.xxhash64(F.lit(b), F.substring("sig", 4 * ROWS * b + 1, 4 * ROWS)) for b in range(BANDS)))
     banded = sigs.select("node", F.explode(bands).alias("band"))
