@@ -24,7 +24,8 @@ CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
 
 @arrow_udf(StringType())
 def nfkc(text: pa.Array) -> pa.Array:
-    return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in text.to_pylist()], pa.string())
+    composed = lambda x: x if x.isascii() or unicodedata.is_normalized("NFKC", x) else unicodedata.normalize("NFKC", x)
+    return pa.array([None if x is None else composed(x) for x in text.to_pylist()], pa.string())
 
 
 def normalise(text: Column, compose: bool = False) -> Column:

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from weftline.operators import chunking as K
 from weftline.sources.markup import page_text
-from weftline.sources.tables import table
+from weftline.sources.tables import spread, table
 
 
 def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.cut(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return K.cut(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def chunk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +37,7 @@ def delta_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.length(page_text(F.col("html"))).alias("length"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.length(page_text(F.col("html"))).alias("length"))
 
 
 QUERIES = {f.__name__: f for f in (chunk_pieces, chunk_lossless, chunk_ids, delta_chunks, html_blocks)}

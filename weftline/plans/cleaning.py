@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weftline.functions import text as T
 from weftline.operators import comments as C
 from weftline.operators.storage import stored
-from weftline.sources.tables import table
+from weftline.sources.tables import spread, table
 from weftline.sources.text import split_items
 
 _SPACE = "[\\s\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{85}\\x{B}]+"
@@ -31,7 +31,7 @@ _MARKED = (
 
 
 def _told(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.flagged(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars"))
+    return C.flagged(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")))
 
 
 def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
