@@ -4,8 +4,8 @@ something, and where it stands; a decision tree trained on a small labelled tabl
 blocks says whether it is content.
 
 Names of elements (class, id, role) speak for their own blocks only, not for an article
-or a main part inside them: inside one, names count from there on; elsewhere an element
-that holds the page's title is a frame of the page, whatever its name.
+or a main part inside them: inside one, names count from there on; from the page's title on
+the elements that hold it are frames of the page, whatever their names.
 
 An inline element whose name speaks against content (a share link, a reply button)
 speaks against its own words only: as part of a longer text they stay in its block,
@@ -59,6 +59,8 @@ _FOR = re.compile(r"(?i)(?<![a-z])(article\w*|post\w*|entry\w*|story\w*|content(
 _SPACE = re.compile(r"\s+")
 _NAMES = re.compile(r"""(?i)(?:^|\s)(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""")
 
+#: Words of a block that may ask for something.
+SHORT = 60
 FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "calls", "legal", "in_main", "in_frame", "named_for", "named_against", "heading", "list_item", "page_has_main")
 
 
@@ -73,32 +75,11 @@ def _element(name: str, attrs: str) -> tuple[int, int, int, int]:
     return 0, int(name in _FRAME), int(bool(names and _FOR.search(names))), int(against)
 
 
-def _page_frames(page: str) -> set[int]:
-    """Where the tags begin of elements that hold the page's title or main part; neither their names nor being a form counts."""
-    out: set[int] = set()
-    stack: list[tuple[str, int]] = []
-    for m in _TAG.finditer(page):
-        name = (m[2] or m[5] or "").lower()
-        if not name or name in _INLINE or name in _VOID:
-            continue
-        if m[1] or m[4]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if k is not None:
-                del stack[k:]
-        elif name == "h1" or name in _MAIN:
-            out.update(at for n, at in stack if n not in _FRAME or n == "form")
-            stack.append((name, m.start()))
-        elif not (m[3] or m[6] or "").endswith("/"):
-            stack.append((name, m.start()))
-    return out
-
-
 def blocks(page: str) -> list[tuple[str, int, int, str, tuple[int, int, int, int]]]:
     """(text, words, words in links, element, (main, frame, for, against) of what encloses it), in page order."""
     out: list = []
     stack: list[tuple[str, tuple[int, int, int, int]]] = []
     parts: list[tuple[str, bool, tuple[int, int]]] = []  # text, in a link, (against, for) of what encloses it
-    frames = _page_frames(page)
     at = 0
     in_link = False
 
@@ -182,10 +163,10 @@ def blocks(page: str) -> list[tuple[str, int, int, str, tuple[int, int, int, int
                     stack.pop()
                 if stack and stack[-1][0] == name == "li":
                     stack.pop()
-            main, frame, named_for, against = _element(name, attrs)
-            if m.start() in frames and name not in _MAIN:
-                frame = named_for = against = 0
-            stack.append((name, (main, frame, named_for, against)))
+            stack.append((name, _element(name, attrs)))
+            if name == "h1" or stack[-1][1][0]:
+                # what holds the title or the main part is a frame of the page, whatever its name, and a form round it none
+                stack[:-1] = [(n, (e[0], 0 if n == "form" else e[1], 0, 0)) for n, e in stack[:-1]]
     flush()
     return out
 
@@ -200,8 +181,8 @@ def features(found: list) -> np.ndarray:
     x[:, 0], x[:, 1] = words, density
     x[1:, 2], x[1:, 3] = words[:-1], density[:-1]
     x[:-1, 4], x[:-1, 5] = words[1:], density[1:]
-    x[:, 6] = [min(3, len(_CALLS.findall(b[0]))) * 10 / (b[1] + 10) for b in found]
-    x[:, 7] = [min(3, len(_LEGAL.findall(b[0]))) * 10 / (b[1] + 10) for b in found]
+    for k, pattern in ((6, _CALLS), (7, _LEGAL)):  # such blocks are short
+        x[:, k] = [min(3, len(pattern.findall(b[0]))) * 10 / (b[1] + 10) if b[1] <= SHORT else 0 for b in found]
     state = np.array([b[4] for b in found])
     x[:, 8:12] = state
     x[:, 12] = [b[3] in ("h1", "h2", "h3", "h4", "h5", "h6") for b in found]
