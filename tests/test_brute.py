@@ -120,3 +120,22 @@ def test_html_blocks(spark, folder):
     pages = {r["page_id"]: r["html"] for r in rows(spark, folder, "pages")}
     assert lengths == {p: len(html_to_text(h)) for p, h in pages.items()}
     assert html_to_text("<head><title>t</title></head><p>A &amp; b<br/>c</p><script>x('</p>')</script><ruby>漢<rt>kan</rt></ruby>!") == "A & b\nc\n\n漢!"
+
+
+def test_analysis_run(spark, folder):
+    """Evidence of every run: ranks without gaps in the order of libraries, each chunk once, within the quotas, whole texts and reasons that fit."""
+    texts = {r["item_id"]: r["text"] for r in rows(spark, folder, "benchmark")}
+    order = {"psychology": 0, "literature": 1, "poetry": 2}
+    by = defaultdict(list)
+    for r in QUERIES["analysis_run"](spark, folder).collect():
+        by[r["run_id"]].append(r)
+    assert by
+    for run in by.values():
+        run.sort(key=lambda r: r["rank"])
+        assert [r["rank"] for r in run] == list(range(1, len(run) + 1)) and [r["ev_id"] for r in run] == [f"e{r['rank']}" for r in run]
+        assert [order[r["library"]] for r in run] == sorted(order[r["library"]] for r in run)
+        assert len({r["chunk_id"] for r in run}) == len(run) <= 13
+        for r in run:
+            assert r["text"] == texts[r["chunk_id"]][:400] and r["library"] == list(order)[r["chunk_id"] % 3] and 0 < r["score"] < 1
+            assert r["match_reason"].startswith("图谱" if r["path"] == "graph" else "向量") and r["source"] == "benchmark"
+    assert {r["path"] for run in by.values() for r in run} == {"vector", "graph"}
