@@ -9,7 +9,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Bytes for each core under which an input is dealt out anew.
+SMALL = 16 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores, where a few files give fewer partitions than that; larger inputs stay as they are."""
+    """df over all cores, where it is small: a file of one row group is one task, however many splits it has. Larger inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < SMALL * cores else df
