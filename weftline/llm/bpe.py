@@ -37,7 +37,9 @@ from weftline.llm.token_counts import ADJOINING, encode_batches, pieces, tokeniz
 #: each; a bucket's task streams its lists, so it may be of any size.
 BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 8_192
 #: Words whose ids a bucket's task keeps, at most, and words that are joined at a time.
-REMEMBERED, CHUNK = 1_000_000, 1 << 20
+REMEMBERED, CHUNK = 1_000_000, 1 << 19
+#: Bytes of text that are split at a time.
+SPLIT_BYTES = 4 << 20
 
 
 @lru_cache(4)
@@ -60,18 +62,36 @@ def _encoded_words(words: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return d.dictionary, d.indices.to_numpy(zero_copy_only=False).astype(np.int32, copy=False)
 
 
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+def split_words(texts: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words, the place in them of every word of the texts, and the number of words of each text."""
+    parts = [_split(some) for chunk in texts.chunks for some in _slices(chunk)]
+    words, place = _encoded_words(pa.concat_arrays([pa.array([], pa.large_string()), *(w for w, _, _ in parts)]))
+    starts = np.cumsum([0, *(len(w) for w, _, _ in parts)])
+    at = [place[start : start + len(w)][x] for start, (w, x, _) in zip(starts.tolist(), parts)]
+    return words, np.concatenate([np.zeros(0, np.int32), *at]), np.concatenate([np.zeros(0, np.int64), *(n for _, _, n in parts)])
+
+
+def _slices(texts: pa.Array) -> Iterator[pa.Array]:
+    """Neighbouring texts of about SPLIT_BYTES, or one larger text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SPLIT_BYTES, "right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     texts = pc.fill_null(texts, "").cast(pa.large_string())
     odd = np.fromiter((ADJOINING.search(x.as_py()) is not None for x in texts), bool, len(texts))
-    plain = texts.filter(pa.array(~odd))
-    split = pc.split_pattern(plain, " ")
+    split = pc.split_pattern(texts.filter(pa.array(~odd)), " ")
+    flat = split.flatten()
     sizes = np.zeros(len(texts), np.int64)
-    starts = split.offsets.to_numpy()[:-1] - (split.offsets[0].as_py() if len(split.offsets) else 0)
     sizes[~odd] = np.diff(split.offsets.to_numpy())
-    bare, at = _encoded_words(split.flatten())
+    starts = split.offsets.to_numpy()[:-1] - (split.offsets[0].as_py() if len(split.offsets) else 0)
     # the first word of a text stands without the space that all others begin with
-    first, first_at = _encoded_words(split.flatten().take(pa.array(starts)))
+    first, first_at = _encoded_words(flat.take(pa.array(starts)))
+    bare, at = _encoded_words(flat)
     at = at.copy()
     at[starts] = len(bare) + first_at
     parts = [pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), bare, pa.scalar("", pa.large_string())), first]
@@ -84,22 +104,21 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         where = np.repeat(odd, sizes)
         merged[~where], merged[where] = at, len(bare) + len(first) + third_at
         at = merged
-    words, place = _encoded_words(pa.concat_arrays(parts))
-    return words, place[at], sizes
+    return pa.concat_arrays(parts), at, sizes
 
 
 def block_rows(batches: Iterator[pa.RecordBatch], text: str, buckets: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
     """Of each block: its rows with their words' positions (bucket -1), and each bucket's words in the order of the positions."""
     for block, rows in in_blocks(batches, text, block_bytes):
-        words, at, sizes = split_words(rows.column(rows.num_columns - 1).combine_chunks())
-        names = words.to_pylist()
-        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in names), np.int64, len(names))
-        used = np.zeros(len(names), bool)
+        words, at, sizes = split_words(rows.column(rows.num_columns - 1))
+        names = (w for k in range(0, len(words), 1 << 14) for w in words.slice(k, 1 << 14).to_pylist())
+        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in names), np.int64, len(words))
+        used = np.zeros(len(words), bool)
         used[at] = True
         order = pc.sort_indices(words).to_numpy()
         order = order[used[order]]
         order = order[np.argsort(bucket[order], kind="stable")]
-        new = np.zeros(len(names), np.int32)
+        new = np.zeros(len(words), np.int32)
         new[order] = np.arange(len(order), dtype=np.int32)
         lists, held = words.take(pa.array(order)), bucket[order]
         ends = np.flatnonzero(np.diff(held, append=-1)) + 1
@@ -185,15 +204,17 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
         lists = _lists(ids)
         written, read = _written(lists), _read(lists, path)
         tokens = np.diff(lists.offsets.to_numpy())
-        n_tokens = np.diff(np.concatenate(([0], np.cumsum(tokens[at])))[ends])
+        n_tokens = np.zeros(len(sizes), np.int64)
         digests = [(hashlib.sha256(), hashlib.sha256()) for _ in range(len(sizes))]
         begun = np.zeros(len(sizes), bool)
         for a in range(0, len(at), CHUNK):
             b = min(len(at), a + CHUNK)
             ids_text, bytes_text = _Joined(written, at[a:b]), _Joined(read, at[a:b])
+            before = np.concatenate(([0], np.cumsum(tokens[at[a:b]])))
             for k in range(int(np.searchsorted(ends, a, "right")) - 1, int(np.searchsorted(ends, b, "left"))):
                 start, end = max(a, int(ends[k])) - a, min(b, int(ends[k + 1])) - a
                 if end > start:
+                    n_tokens[k] += before[end] - before[start]
                     part = ids_text.part(start, end)
                     digests[k][0].update(part if begun[k] else part[1:])
                     begun[k] |= len(part) > 0
