@@ -17,6 +17,8 @@ from weftline.llm.common import stored, table
 from weftline.shipping import ship
 
 
+#: Bytes of text in a block of the last stage; smaller blocks than the operator's own leave room beside the earlier stages' memory.
+TOKEN_BLOCK_BYTES = 16 << 20
 #: Columns of their own that stages add and drop again.
 _KEY, _TOLD = "_weftline_key", "_weftline_told"
 
@@ -58,7 +60,7 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The tokens of every document, with its place in the mixture."""
     import public_tokenizers
 
-    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=("source", "mix_pos"))
+    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.json"), keep=("source", "mix_pos"), block_bytes=TOKEN_BLOCK_BYTES)
 
 
 def _ready(stage):
