@@ -62,3 +62,16 @@ def unseen(rows: DataFrame, seen: DataFrame, key: str, order: Column) -> DataFra
     fresh = rows.join(seen.select(key).distinct(), key, "left_anti")
     rest = [c for c in rows.columns if c != key]
     return fresh.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_s")).select(key, "_s.*")
+
+
+def complete(chunks: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
+    """chunks with their vectors; a chunk without exactly one ends the query."""
+    one = vectors.groupBy(key).agg(F.count("*").alias("_n"), F.first("vector").alias("vector"))
+    n = F.coalesce("_n", F.lit(0))
+    wrong = F.raise_error(F.format_string("%d vectors for one chunk", n)).cast("boolean")
+    return chunks.join(one, key, "left").filter(F.when(n == 1, True).otherwise(wrong)).drop("_n")
+
+
+def taken(rows: DataFrame, known: DataFrame, key: str, priority: Sequence[str], count: int) -> DataFrame:
+    """The first `count` rows in the order of priority whose key is not known, each key once."""
+    return unseen(rows, known, key, F.struct(*priority)).orderBy(*priority).limit(count)

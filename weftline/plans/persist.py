@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions import payload as J
+from weftline.operators import incremental as I
 from weftline.operators import persist as P
 from weftline.plans.cleaning import _KEY
 from weftline.sources.tables import table
+from weftline.streaming import events as E
 from weftline.streaming.events import sequenced
 
 _LINE = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
@@ -144,7 +147,64 @@ def partial_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("run_id", "video", "comment_stats", "clusters", "profile", F.array_join("evidence", ",").alias("evidence"), F.array_join("reasoning", ",").alias("reasoning"), "comments", sections.alias("sections"))
 
 
-QUERIES = {f.__name__: f for f in (persist_comments, persist_clusters, persist_sections, delete_run, event_tail, sections_by_run, video_by_run, profile_by_run, whole_snapshot, snapshot_over_live, partial_fold)} | {
+_TYPES = ("run_started", "node_started", "progress", "node_completed", "partial", "delta", "warning", "progress", "error", "node_started", "run_cancelled", "node_completed", "run_completed")
+
+
+def run_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of all types of a run's log; a quarter of them are sent twice."""
+    kinds = F.array(*(F.lit(t) for t in _TYPES))
+    e = sequenced(table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), "event_id", "event_type", "value"), "run_id", "event_id")
+    message = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("m"), F.col("event_id").cast("string")))
+    log = e.select("run_id", "seq", kinds[(F.col("event_id") % len(_TYPES)).cast("int")].alias("type"), F.col("event_type").alias("node"), message.alias("message"), F.when(F.col("event_id") % 2 == 0, F.floor(F.col("value")) % 120).cast("double").alias("progress"))
+    nodes = F.array_join(F.transform(F.map_entries("nodes"), lambda x: F.concat(x["key"], F.lit(":"), x["value"])), ",")
+    return E.run_state(log.unionByName(log.filter("seq % 4 = 0"))).withColumn("nodes", nodes)
+
+
+def import_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a step of an import."""
+    stages = F.array(*(F.lit(x) for x in (*E.IMPORT_BANDS, "none")))
+    return table(spark, sf_dir, "events").select("event_id", E.stage_progress(stages[(F.col("event_id") % 6).cast("int")], (F.col("event_id") % 13 - 1) / 10).alias("progress"))
+
+
+def event_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events after a position, in order, as agents read them."""
+    e = sequenced(table(spark, sf_dir, "events").select(F.col("user_id").alias("run_id"), "event_id", "event_type"), "run_id", "event_id")
+    return P.listed(E.replayed(e, F.col("run_id") % 30), "seq")
+
+
+def fixture_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as one JSON document each, with a video and a list of comments, and back to rows."""
+    c = table(spark, sf_dir, "conversations")
+    comments = F.array_sort(F.collect_list(F.struct(F.col("turn").alias("comment_id"), F.struct("role", F.length("text").alias("likes")).alias("stats"), "text")))
+    doc = F.to_json(F.struct(F.struct(F.concat(F.lit("video "), F.col("conv_id").cast("string")).alias("title"), F.count("*").alias("n")).alias("video"), comments.alias("comments")))
+    v = c.groupBy("conv_id").agg(doc.alias("doc")).select("conv_id", F.parse_json("doc").alias("v"))
+    each = v.select("conv_id", J.dug(F.col("v"), "video.title", "string").alias("title"), J.dug(F.col("v"), "video.n", "bigint").alias("n"), F.explode(J.dug(F.col("v"), "comments", "array<variant>")).alias("c"))
+    return each.select("conv_id", "title", "n", J.dug(F.col("c"), "comment_id", "bigint").alias("turn"), J.dug(F.col("c"), "stats.role", "string").alias("role"), J.dug(F.col("c"), "stats.likes", "bigint").alias("likes"), F.md5(J.dug(F.col("c"), "text", "string")).alias("digest"))
+
+
+def remote_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of orders as a service gives them, numbers as text and some missing."""
+    o = table(spark, sf_dir, "orders")
+    stats = F.struct(F.when(F.col("o_orderkey") % 3 != 0, (F.col("o_custkey")).cast("string")).alias("likes"), F.when(F.col("o_orderkey") % 4 == 0, "many").alias("shares"))
+    v = o.select("o_orderkey", F.parse_json(F.to_json(F.struct(F.struct(F.col("o_orderpriority").alias("title"), stats.alias("stats")).alias("detail")))).alias("v"))
+    row = J.unwrapped(F.col("v"), ("detail",))
+    return v.select("o_orderkey", J.first_present(row, "name", "title").alias("title"), J.first_present(row, "stats.likes", kind="bigint").alias("likes"), J.first_present(row, "stats.shares", kind="bigint").alias("shares"))
+
+
+def embedded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of chunks, one for each or the query ends."""
+    e = table(spark, sf_dir, "embeddings")
+    c = I.complete(e.select("vec_id", "label"), e.select("vec_id", F.col("embedding").alias("vector")), "vec_id")
+    return c.select("vec_id", "label", F.size("vector").alias("dim"))
+
+
+def expanded_poems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 60 texts, in the order of their sources, that are not known yet."""
+    d = table(spark, sf_dir, "documents").select(F.md5(F.coalesce("text", F.lit(""))).alias("chunk_id"), "source", "doc_id")
+    return I.taken(d, d.filter("doc_id % 2 = 0"), "chunk_id", ("source", "doc_id"), 60).select("chunk_id", "source", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (persist_comments, persist_clusters, persist_sections, delete_run, event_tail, sections_by_run, video_by_run, profile_by_run, whole_snapshot, snapshot_over_live, partial_fold, run_state, import_progress, event_range, fixture_comments, remote_row, embedded_chunks, expanded_poems)} | {
     "comments_by_run": _read(_comments, "-likes", "comment_id"),
     "clusters_by_run": _read(_clusters, "order_index", "cluster_key"),
     "evidence_by_run": _read(_evidence, "-l_extendedprice", "l_partkey"),
@@ -154,7 +214,26 @@ QUERIES = {f.__name__: f for f in (persist_comments, persist_clusters, persist_s
 _ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 _CLUSTERS = "select l_orderkey as run_id, l_returnflag as cluster_key, min(l_linenumber) as order_index, count(*) as size from lineitem group by 1, 2"
 _LOG = "l as (select user_id as run_id, event_id, event_type, event_id % 8 as k, row_number() over (partition by user_id order by event_id) as seq from events)"
+_STATE = f"""e0 as (select user_id as run_id, event_id, event_type as node, row_number() over (partition by user_id order by event_id) as seq, {list(_TYPES)}[event_id % {len(_TYPES)} + 1] as type,
+    case when event_id % 3 <> 0 then 'm' || event_id end as message, case when event_id % 2 = 0 then floor(value)::bigint % 120 end as progress from events),
+  e as (select *, last_value(case when type = 'node_started' then node end ignore nulls) over (partition by run_id order by seq rows between unbounded preceding and 1 preceding) as running from e0),
+  f as (select *, type = 'node_started' as s, coalesce(type = 'node_completed' and node = running, false) as l, type = 'progress' and message is not null as p from e)"""
 ORACLE_SQL = {
+    "run_state": f"""with {_STATE}, n as (select run_id, node, arg_max(case when s then 'running' else 'done' end, seq) as st from f where type in ('node_started', 'node_completed') group by 1, 2), k as (select run_id, string_agg(node || ':' || st, ',' order by node) as nodes from n group by 1),
+      g as (select run_id, max(seq) as last_seq, arg_max(case type when 'run_started' then 'running' when 'error' then 'failed' when 'run_completed' then 'succeeded' else 'cancelled' end, seq) filter (type in ('run_started', 'error', 'run_completed', 'run_cancelled')) as status,
+        (case when bool_or(type = 'run_completed') then 100 else least(100, greatest(0, coalesce(max(progress), 0))) end)::double as progress,
+        (arg_max({{'v': case when s then node end}}, seq) filter (s or l)).v as current_node, (arg_max({{'v': case when s or p then message end}}, seq) filter (s or p or l)).v as current_message,
+        count(*) filter (type = 'warning') as warnings, arg_max(coalesce(message, ''), seq) filter (type = 'error') as error, count(*) filter (type not in ('partial', 'delta', 'progress') or p) as timeline from f group by 1)
+      select g.*, nodes from g left join k using (run_id)""",
+    "import_progress": """with b as (select event_id, [0, 5, 15, 70, 90, null][event_id % 6 + 1] as low, [5, 15, 70, 90, 100, null][event_id % 6 + 1] as high, least(1.0, greatest(0.0, (event_id % 13 - 1) / 10))::double as r from events)
+      select event_id, floor(low + (high - low) * r)::bigint as progress from b""",
+    "event_range": """with e as (select user_id as run_id, event_id, event_type, row_number() over (partition by user_id order by event_id) as seq from events)
+      select *, row_number() over (partition by run_id order by seq) as place from e where seq > run_id % 30""",
+    "fixture_comments": "select conv_id, 'video ' || conv_id as title, count(*) over (partition by conv_id) as n, turn, role, length(text)::bigint as likes, md5(text) as digest from conversations",
+    "remote_row": "select o_orderkey, o_orderpriority as title, case when o_orderkey % 3 <> 0 then o_custkey end as likes, null::bigint as shares from orders",
+    "embedded_chunks": "select vec_id, label, len(embedding) as dim from embeddings",
+    "expanded_poems": """with d as (select md5(coalesce(text, '')) as chunk_id, source, doc_id from documents), n as (select chunk_id, min((source, doc_id)) as s from d where chunk_id not in (select chunk_id from d where doc_id % 2 = 0) group by 1)
+      select chunk_id, s[1] as source, s[2] as doc_id from n order by s limit 60""",
     "persist_comments": f"""select conv_id as run_id, turn as comment_id, case when conv_id % 3 = 0 then {_KEY.replace("(body,", "(text,")} else 'old' end as text_hash, case when conv_id % 3 <> 0 then 'someone' end as author_id
       from conversations where conv_id % 3 <> 0 or turn % 2 = 0""",
     "persist_clusters": "select conv_id as run_id, turn as comment_id, case when turn = 1 then 'late' when turn % 5 <> 0 then role end as cluster_key from conversations",

@@ -14,6 +14,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+# The status that an event sets, and the part of an import's progress that each stage has.
+STATUS = {"run_started": "running", "error": "failed", "run_completed": "succeeded", "run_cancelled": "cancelled"}
+IMPORT_BANDS = {"reading": (0, 5), "chunking": (5, 15), "tagging": (15, 70), "embedding": (70, 90), "indexing": (90, 100)}
 STATE = "seq long, progress double, events long, last_type string"
 
 
@@ -50,6 +53,43 @@ def folded(events: DataFrame, run: str = "run_id") -> DataFrame:
     return once.groupBy(run).agg(F.max("seq").alias("seq"), F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.max("progress"))).alias("progress"), F.count("*").alias("events"), F.max_by("type", "seq").alias("last_type"))
 
 
+def run_state(log: DataFrame, run: str = "run_id") -> DataFrame:
+    """run, last_seq, status, progress, nodes, current_node, current_message, warnings, error and timeline (a length) after a run's events.
+
+    log has (run, seq, type, node, message, progress); repeats of a seq count once. A node is current from its start to its
+    end, and its message goes with it; a run's end sets its status, and its completion the progress to 100.
+    """
+    once = log.groupBy(run, "seq").agg(F.min(F.struct("type", "node", "message", "progress")).alias("e")).select(run, "seq", "e.*")
+    started, completed = F.col("type") == "node_started", F.col("type") == "node_completed"
+    before = W.partitionBy(run).orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
+    told = once.withColumn("_running", F.last(F.when(started, F.col("node")), ignorenulls=True).over(before))
+    leaves = completed & (F.col("node") == F.col("_running"))
+    says = (F.col("type") == "progress") & F.col("message").isNotNull()
+    last = lambda value, when: F.max_by(F.when(when, value), F.when(when, F.col("seq")))
+    status = F.create_map(*(F.lit(x) for pair in STATUS.items() for x in pair))[F.col("type")]
+    now = F.struct(F.when(started, F.col("node")).when(~leaves, F.col("_running")).alias("node"), F.when(started | says, F.col("message")).alias("message"))
+    pushed = F.col("type").isin("run_started", "node_started", "node_completed", "warning", "error", "run_completed", "run_cancelled") | says
+    whole = told.groupBy(run).agg(
+        F.max("seq").alias("last_seq"),
+        last(status, status.isNotNull()).alias("status"),
+        F.when(F.max(F.col("type") == "run_completed"), 100.0).otherwise(F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.coalesce(F.max("progress"), F.lit(0.0))))).alias("progress"),
+        last(now["node"], started | leaves).alias("current_node"),
+        last(now["message"], started | says | leaves).alias("current_message"),
+        F.sum((F.col("type") == "warning").cast("int")).cast("long").alias("warnings"),
+        last(F.coalesce("message", F.lit("")), F.col("type") == "error").alias("error"),
+        F.sum(pushed.cast("int")).cast("long").alias("timeline"),
+    )
+    states = told.filter((started | completed) & F.col("node").isNotNull()).groupBy(run, "node").agg(F.max_by(F.when(started, "running").otherwise("done"), "seq").alias("state"))
+    return whole.join(states.groupBy(run).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("node", "state")))).alias("nodes")), run, "left")
+
+
+def stage_progress(stage: Column, fraction: Column) -> Column:
+    """The whole progress of an import whose stage is done to this fraction, rounded down; null for an unknown stage."""
+    bands = F.create_map(*(x for name, (low, high) in IMPORT_BANDS.items() for x in (F.lit(name), F.struct(F.lit(low).alias("low"), F.lit(high).alias("high")))))
+    band = F.element_at(bands, stage)
+    return F.floor(band["low"] + (band["high"] - band["low"]) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), fraction)))
+
+
 def text_of(deltas: DataFrame, by: tuple[str, ...], seq: str = "seq", text: str = "text") -> DataFrame:
     """The pieces of each section, joined in the order of seq."""
     return deltas.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(seq, text))), lambda x: x[text]), "").alias("text"))
