@@ -16,6 +16,7 @@ from weftline.llm.near_dedup import op6_near_dedup
 from weftline.llm.quality import op5_quality
 from weftline.llm.simhash import op2_simhash
 from weftline.llm.token_counts import op1_token_counts
+from weftline.llm.warc import OP12_SQL, op12_warc
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_html_text, op4_bpe, op5_quality, op6_near_dedup, op7_mixing, op8_ann, op9_language, op10_lm)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_html_text, op4_bpe, op5_quality, op6_near_dedup, op7_mixing, op8_ann, op9_language, op10_lm, op12_warc)}
+ORACLE_SQL: dict[str, str] = {"op12_warc": OP12_SQL}
