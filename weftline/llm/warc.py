@@ -28,6 +28,7 @@ makes an archive of no pages. Other columns of pages do not matter.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -38,7 +39,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import table
+from weftline.llm.common import sampled, table
 from weftline.operators.storage import shared_dir
 from weftline.shipping import ship
 
@@ -54,6 +55,7 @@ LEVEL = 6
 _FRAME, _DICTIONARY, _WITH_DICTIONARY, _SKIPPABLE = 0xFD2FB528, 0xEC30A437, 0x184D2A5D, 0x184D2A50
 #: A skippable frame of no bytes: what the sink writes after each of its lines.
 EMPTY = struct.pack("<II", _SKIPPABLE, 0)
+_NAME = re.compile(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+")
 _VERSION = "WARC/1.1"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {}\r\n\r\n"
@@ -66,9 +68,11 @@ class Fault(ValueError):
 
 
 def trained(pages: DataFrame, payload: str = "html") -> bytes:
-    """A dictionary from SAMPLE_PAGES pages, picked by a hash; no bytes where the sample is too small to train one."""
-    some = pages.select(F.substring(F.coalesce(payload, F.lit("")), 1, SAMPLE_CHARS).alias("x"), F.xxhash64(payload).alias("h"))
-    samples = [r[0].encode() for r in some.orderBy("h", "x").limit(SAMPLE_PAGES).select("x").collect()]
+    """A dictionary from SAMPLE_PAGES different pages at most, picked by a hash; no bytes where the sample is too small to train one."""
+    # about twice as many as are wanted, so that no task sends more than its part of them
+    part = sampled(2 * SAMPLE_PAGES / max(1, pages.count()), payload)
+    some = pages.filter(part).select(F.substring(F.coalesce(payload, F.lit("")), 1, SAMPLE_CHARS).alias("x"), F.xxhash64(payload).alias("h"))
+    samples = [r[0].encode() for r in some.dropDuplicates(["h"]).orderBy("h").limit(SAMPLE_PAGES).select("x").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [x for x in samples if x]).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -154,7 +158,7 @@ def checked(data: bytes) -> dict:
     fields: dict = {}
     for line in lines:
         name, colon, value = line.partition(":")
-        if not colon or not name or name.strip() != name:
+        if not colon or not _NAME.fullmatch(name):
             raise Fault(f"a line that is no field: {line[:80]}")
         fields[name.lower()] = value.strip()
     kind = fields.get("warc-type")
