@@ -90,7 +90,7 @@ def test_words_encode_as_whole_texts(whole):
     assert not p.joins
     parts = [" ", "  ", "\n", "\t", "a", "Abc", "é", "漢", "😀", "▁", "<s>", "12", "'s", ".", " ", "　", "zz", "\x00", "the"]
     texts = ["".join(random.choices(parts, k=random.randint(1, 12))) for _ in range(3000)]
-    ids_a, ids_b = alignment.encoded(p, texts)
+    ids_a, ids_b = alignment.Encoded(p, texts).ids(0, len(texts))
     assert [x.ids for x in p.a.encode_batch([" " + x for x in texts], add_special_tokens=False)] == ids_a.to_pylist()
     plain = ["▁" not in x for x in texts]  # others have no tokens
     assert [x for x, fits in zip(p.b.encode(texts), plain) if fits] == [x for x, fits in zip(ids_b.to_pylist(), plain) if fits]

@@ -33,6 +33,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,10 +48,10 @@ from weftline.llm.common import stored, table
 from weftline.llm.token_counts import batched
 from weftline.shipping import ship
 
-#: Bytes of text in a block.
-BLOCK_BYTES = 6 << 20
+#: Bytes of text in a block, and characters of it that are aligned at a time.
+BLOCK_BYTES, SLICE = 6 << 20, 1 << 19
 #: Words of a block whose lists are made at a time.
-SOME = 1 << 16
+SOME = 1 << 15
 
 _ADJOINING = re.compile(r"\s ")
 _BETWEEN = re.compile(r"(?<=\S)(?= )")
@@ -104,29 +105,33 @@ def pair(path_a: str, path_b: str) -> Pair:
     return _loaded[path_a, path_b]
 
 
-def _joined(lists: list[pa.Array]) -> pa.Array:
-    return pa.concat_arrays([pa.array([], pa.large_list(pa.int32())), *lists])
-
-
-def encoded(p: Pair, texts: list[str | None]) -> tuple[pa.Array, pa.Array]:
-    """The ids of A and of B of each text: a large list each."""
-    place: dict[str, int] = {}
-    at = np.fromiter((place.setdefault(w, len(place)) for x in texts if x for w in p.words(x)), np.int64)
-    sizes = np.array([len(p.words(x)) if x else 0 for x in texts], np.int64)
-    words = list(place)
-    of_a, of_b = [], []
-    for k in range(0, len(words), SOME):
-        some = words[k : k + SOME]
-        of_a.append(pa.array([e.ids for _, e in encode_batches(p.a, some)], pa.large_list(pa.int32())))
-        of_b.append(pa.array(list(p.ids_b(some)), pa.large_list(pa.int32())))
-    bounds = np.concatenate(([0], np.cumsum(sizes)))
-
-    def of_texts(lists: pa.Array) -> pa.Array:
-        each = lists.take(pa.array(at))
-        ends = np.concatenate(([0], np.cumsum(pc.list_value_length(each).to_numpy(zero_copy_only=False))))
-        return pa.LargeListArray.from_arrays(pa.array(ends[bounds], pa.int64()), each.flatten())
-
-    return of_texts(_joined(of_a)), of_texts(_joined(of_b))
+class Encoded:
+    """The ids of both sides of a block's texts: lists of its distinct words, and each text as places of words."""
+
+    def __init__(self, p: Pair, texts: list[str | None]):
+        place: dict[str, int] = {}
+        at, sizes = array("i"), array("q")
+        for x in texts:
+            words = p.words(x) if x else []
+            sizes.append(len(words))
+            at.extend(place.setdefault(w, len(place)) for w in words)
+        self.at, self.bounds = np.frombuffer(at, np.int32), np.concatenate(([0], np.cumsum(np.frombuffer(sizes, np.int64))))
+        words = list(place)
+        del place
+        of_a, of_b = ([pa.array([], pa.large_list(pa.int32()))] for _ in "ab")
+        for k in range(0, len(words), SOME):
+            some = words[k : k + SOME]
+            of_a.append(pa.array([e.ids for _, e in encode_batches(p.a, some)], pa.large_list(pa.int32())))
+            of_b.append(pa.array(list(p.ids_b(some)), pa.large_list(pa.int32())))
+        self.sides = pa.concat_arrays(of_a), pa.concat_arrays(of_b)
+
+    def ids(self, start: int, end: int) -> Iterator[pa.Array]:
+        """A's and B's ids of the texts from start to end: a large list for each text."""
+        at, bounds = self.at[self.bounds[start] : self.bounds[end]], self.bounds[start : end + 1] - self.bounds[start]
+        for lists in self.sides:
+            each = lists.take(pa.array(at))
+            ends = np.concatenate(([0], np.cumsum(pc.list_value_length(each).to_numpy(zero_copy_only=False))))
+            yield pa.LargeListArray.from_arrays(pa.array(ends[bounds], pa.int64()), each.flatten())
 
 
 def _bytes_of(ids: pa.Array, each: pa.Array) -> tuple[memoryview, np.ndarray]:
@@ -189,20 +194,34 @@ class Aligned:
         data = memoryview(written.buffers()[2] or b"")
         return [hashlib.sha256(data[x : y - 1]).hexdigest() if y > x else "" for x, y in zip(at, at[1:])]
 
-    def pairs(self, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The id pairs of all links as a * width + b, how often each occurs, and the place among them of every link's."""
-        code = pa.array(self.a.astype(np.int64) * width + self.b)
-        counts = pa.table({"code": code}).group_by("code", use_threads=False).aggregate([("code", "count")])
-        distinct = counts["code"].combine_chunks()
-        return distinct.to_numpy(), counts["code_count"].to_numpy(), pc.index_in(code, value_set=distinct).to_numpy(zero_copy_only=False)
+
+def slices(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of neighbouring texts of about `most` characters together."""
+    start = size = 0
+    for k, x in enumerate(texts):
+        if k > start and size + len(x or "") > most:
+            yield start, k
+            start, size = k, 0
+        size += len(x or "")
+    if start < len(texts):
+        yield start, len(texts)
+
+
+def aligned(p: Pair, texts: list[str | None], most: int = SLICE) -> Iterator[Aligned]:
+    """The alignments of these texts, slice by slice."""
+    encoded = Encoded(p, texts)
+    for start, end in slices(texts, most):
+        ids_a, ids_b = encoded.ids(start, end)
+        fits = pa.array(covering(p, ids_a, ids_b, texts[start:end]))
+        yield Aligned(p, *(pc.if_else(fits, ids, pa.scalar([], ids.type)) for ids in (ids_a, ids_b)))
 
 
-def aligned(p: Pair, texts: list[str | None]) -> Aligned:
-    """The alignment of these texts."""
-    ids_a, ids_b = encoded(p, texts)
-    fits = pa.array(covering(p, ids_a, ids_b, texts))
-    empty = pa.array([[]], ids_a.type)
-    return Aligned(p, *(pc.if_else(fits, ids, empty[0]) for ids in (ids_a, ids_b)))
+def pairs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct codes, how often each occurs, and the place among them of every one."""
+    code = pa.array(codes)
+    counts = pa.table({"code": code}).group_by("code", use_threads=False).aggregate([("code", "count")])
+    distinct = counts["code"].combine_chunks()
+    return distinct.to_numpy(), counts["code_count"].to_numpy(), pc.index_in(code, value_set=distinct).to_numpy(zero_copy_only=False)
 
 
 def block_rows(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str, block_bytes: int) -> Iterator[pa.RecordBatch]:
@@ -210,9 +229,14 @@ def block_rows(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str, bloc
     p = pair(path_a, path_b)
     width = len(p.bytes_b)
     for place, rows in in_blocks(batches, "text", block_bytes):
-        x = aligned(p, rows["text"].to_pylist())
-        code, n, links = x.pairs(width)
-        docs = pa.table({"doc_id": rows["doc_id"], "n_a": x.n_a, "n_b": x.n_b, "n_groups": x.n_groups, "n_links": x.n_links, "groups_sha256": pa.array(x.digests, pa.string())})
+        codes, told, digests = [np.zeros(0, np.int64)], [np.zeros((4, 0), np.int64)], []
+        for x in aligned(p, rows["text"].to_pylist()):
+            codes.append(x.a.astype(np.int64) * width + x.b)
+            told.append(np.stack((x.n_a, x.n_b, x.n_groups, x.n_links)))
+            digests += x.digests
+        code, n, links = pairs(np.concatenate(codes))
+        numbers = np.concatenate(told, axis=1)
+        docs = pa.table({"doc_id": rows["doc_id"], **dict(zip(("n_a", "n_b", "n_groups", "n_links"), map(pa.array, numbers))), "groups_sha256": pa.array(digests, pa.string())})
         held = ipc(docs), planes(links)
         lists = {c: pa.array([v], pa.list_(t)) for c, v, t in (("a", code // width, pa.int32()), ("b", code % width, pa.int32()), ("n", n, pa.int64()))}
         yield pa.RecordBatch.from_pydict({"block": pa.array([block_id(place, *held)], pa.int64()), **{c: pa.array([d], pa.binary()) for c, d in zip(("docs", "links"), held)}, **lists})
