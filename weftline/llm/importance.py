@@ -279,7 +279,8 @@ def resampled(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str
     shared = spark.sparkContext.broadcast(head or frequent(docs, text, block_bytes))
     gain = gains(bucket_totals(docs, shared, text, block_bytes), bucket_totals(target, shared, target_text, block_bytes))
     scored = weights(docs, shared, gain, key, text, block_bytes).withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed))
-    return ranked(scored, F.col("n_words") >= least_words, percent)
+    # written, since the sort by ranges reads its rows twice
+    return ranked(stored(scored, "weights"), F.col("n_words") >= least_words, percent)
 
 
 def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
