@@ -3,6 +3,7 @@
 import math
 import re
 import unicodedata
+import hashlib
 from collections import Counter, defaultdict
 from hashlib import blake2b
 
@@ -116,10 +117,21 @@ def test_chunk_ids(spark, folder):
 def test_html_blocks(spark, folder):
     from weftline.sources.markup import html_to_text
 
-    lengths = {r["page_id"]: r["length"] for r in QUERIES["html_blocks"](spark, folder).collect()}
+    digests = {r["page_id"]: r["digest"] for r in QUERIES["html_blocks"](spark, folder).collect()}
     pages = {r["page_id"]: r["html"] for r in rows(spark, folder, "pages")}
-    assert lengths == {p: len(html_to_text(h)) for p, h in pages.items()}
-    assert html_to_text("<head><title>t</title></head><p>A &amp; b<br/>c</p><script>x('</p>')</script><ruby>漢<rt>kan</rt></ruby>!") == "A & b\nc\n\n漢!"
+    assert digests == {p: hashlib.md5(html_to_text(h).encode()).hexdigest() for p, h in pages.items()}
+    golden = {
+        "<head><title>t</title></head><p>A &amp; b<br/>c</p><script>x('</p>')</script><ruby>漢<rt>kan</rt></ruby>!": "A & b\nc\n\n漢!",
+        "<table><tr><th>Year</th><th>Cost</th></tr><tr><td>1</td><td>2</td></tr></table>": "Year\n\nCost\n\n1\n\n2",
+        "<figure><img/><figcaption>A cat.</figcaption></figure>Text": "A cat.\n\nText",
+        "<ul><li>a<li>b</ul><footer>c</footer>d": "a\n\nbcd",
+        "a&nbsp;&nbsp; b\t\tc\u3000d": "a b c\u3000d",
+        "<p>a<b>b</b>c<p>d<br><br><br><br>e": "abc\n\nd\n\ne",
+        "<rt>x<rp>(</rp>y</rt>z<p": "z",
+        "1 < 2 <!-- <p>no</p> --> 3": "1 < 2 3",
+        "<style>p{}</style ><dl><dt>k<dd>v</dl>": "k\n\nv",
+    }
+    assert {x: html_to_text(x) for x in golden} == golden
 
 
 def test_analysis_run(spark, folder):

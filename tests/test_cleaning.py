@@ -68,3 +68,10 @@ def test_cleaning_queries_compose(spark, tmp_path):
     assert P.clean_tally(spark, str(tmp_path)).first().asDict() == {"total": 8, "kept": 3, "ads": 3, "spam": 0, "duplicates": 2, "empty": 0}
     assert {r["reason"]: r["n"] for r in P.clean_reasons(spark, str(tmp_path)).collect()} == {"ad": 3, "duplicate": 2}
     assert {r["doc_id"]: r["length"] for r in P.visible_comments(spark, str(tmp_path)).collect()} == {0: 11, 2: 11, 7: 2}
+
+
+def test_ads_with_digits_of_any_script(spark):
+    """Digits of all scripts count in the strong rules, as they do in the others."""
+    ads = ["q\u0661\u0662\u0663\u0664\u0665\u0666", "Q Q: 123456", "1\u30003\u0668", "13\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669 ok", "+\u00a0v good"]
+    rows = spark.createDataFrame([(x,) for x in ads], "t string").select(T.is_ad(F.col("t")).alias("ad")).collect()
+    assert [r["ad"] for r in rows] == [True, True, False, True, True]

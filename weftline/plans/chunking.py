@@ -37,11 +37,31 @@ def delta_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", F.length(page_text(F.col("html"))).alias("length"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", page_text(F.col("html")).alias("text")).select("page_id", F.length("text").alias("length"), F.md5("text").alias("digest"))
 
 
 QUERIES = {f.__name__: f for f in (chunk_pieces, chunk_lossless, chunk_ids, delta_chunks, html_blocks)}
+_BLOCK = "p|div|h1|h2|h3|h4|h5|h6|li|tr|td|th|blockquote|section|article|figcaption|dd|dt|pre|hr"
+#: The references that the given pages hold; those of ampersands last.
+_REFERENCES = (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&"))
+
+
+def _blocks_sql() -> str:
+    t = "coalesce(html, '')"
+    for pattern, to in (
+        (r"(?s)<!--.*?-->", ""), (r"(?is)<script\b[^>]*>.*?</script\b[^>]*>", ""), (r"(?is)<style\b[^>]*>.*?</style\b[^>]*>", ""), (r"(?is)<head\b[^>]*>.*?</head\b[^>]*>", ""),
+        (r"(?is)<title\b[^>]*>.*?</title\b[^>]*>", ""), (r"(?i)<br\b[^>]*>", "\n"), (rf"(?i)</?(?:{_BLOCK})(?:\s[^>]*|/)?>", "\n\n"), (r"<[!?/a-zA-Z][^>]*(?:>|$)", ""),
+    ):
+        t = f"regexp_replace({t}, '{pattern}', '{to}', 'g')"
+    for name, to in _REFERENCES:
+        t = f"replace({t}, '{name}', '{to}')"
+    t = f"regexp_replace({t}, '&amp$', '&')"
+    lines = f"list_transform(string_split(regexp_replace({t}, '[ \t]+', ' ', 'g'), chr(10)), lambda x: trim(x))"
+    return rf"with t as (select page_id, regexp_replace(regexp_replace(array_to_string({lines}, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as text from pages) select page_id, length(text) as length, md5(text) as digest from t"
+
+
 ORACLE_SQL = {
+    "html_blocks": _blocks_sql(),
     "chunk_lossless": "select doc_id, md5(regexp_replace(text, '\\s+', '', 'g')) as digest from documents where length(trim(text)) >= 8",
     "delta_chunks": f"""select conv_id, turn, array_to_string(list_transform(regexp_extract_all(text, '(?s).{{{K.DELTA_FLOOR - 1},{K.DELTA_SIZE - 1}}}?[{K.DELTA_END}]|.{{{K.DELTA_SIZE}}}|.+$'), lambda x: length(x)), ',') as lengths, md5(text) as digest from conversations""",
 }

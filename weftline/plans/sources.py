@@ -15,7 +15,7 @@ from weftline.functions import text as T
 from weftline.operators.storage import shared_dir
 from weftline.shipping import arrow_udf
 from weftline.sources import corpus
-from weftline.sources.markup import book_texts
+from weftline.sources.markup import book_reports, book_texts
 from weftline.sources.tables import table
 from weftline.sources.text import decoded
 
@@ -93,6 +93,36 @@ def book_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book_texts(files).select("path", "position", F.regexp_replace("text", r"\s+", "").alias("text"))
 
 
+@arrow_udf(BinaryType())
+def _scarred(text: pa.Array) -> pa.Array:
+    """A book of the text's lines with a part that is named like a cover in the list of contents, one that is not there, one without text and one that is damaged."""
+    out = []
+    for t in text.to_pylist():
+        lines = [x for x in (t or "").split("\n") if x.strip()]
+        items = [("cover-1", "a1.xhtml"), ("gone", "gone.xhtml"), ("picture", "picture.xhtml"), ("torn", "torn.xhtml"), *((f"x{k}", f"line%20{k}.xhtml#top") for k in range(len(lines)))]
+        sink = io.BytesIO()
+        with zipfile.ZipFile(sink, "w") as z:
+            z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="O/b.opf"/></rootfiles></container>')
+            manifest = "".join(f'<item id="{i}" href="{n}" media-type="application/xhtml+xml"/>' for i, n in items)
+            z.writestr("O/b.opf", f"<package><metadata><title> of {len(lines)} </title><creator/><creator>c</creator></metadata><manifest>{manifest}</manifest><spine>{''.join(f'<itemref idref="{i}"/>' for i, _ in items)}</spine></package>")
+            for name in ("a1", "picture", "torn"):
+                z.writestr(f"O/{name}.xhtml", "<body><img/></body>" if name == "picture" else "<p>TORN PART</p>")
+            for k, line in enumerate(lines):
+                z.writestr(f"O/line {k}.xhtml", f"<table><tr><td>{line.replace('&', '&amp;').replace('<', '&lt;')}</td><td>2</td></tr></table>")
+        blob = sink.getvalue()
+        torn = blob.rfind(b"TORN PART", 0, blob.find(b"PK\x01\x02"))
+        out.append(blob[:torn] + b"torn" + blob[torn + 4 :])
+    return pa.array(out, pa.binary())
+
+
+def book_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as books with parts that can't be read: what each book's report tells."""
+    c = table(spark, sf_dir, "conversations")
+    files = c.select(F.concat_ws("/", "conv_id", "turn").alias("path"), _scarred("text").alias("content"))
+    r = book_reports(files)
+    return r.select("path", "title", "author", "parts", "empty", F.array_join("skipped", ",").alias("skipped"), F.col("problem").isNotNull().alias("failed"))
+
+
 def decoded_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as UTF-8 bytes with and without a mark before them."""
     d = table(spark, sf_dir, "documents")
@@ -112,7 +142,7 @@ def cleaned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.md5(T.clean_text(F.concat(F.lit("  "), "text"), 200)).alias("digest"), T.string_or_null(some).alias("source"))
 
 
-QUERIES = {f.__name__: f for f in (jsonl_objects, corpus_load, corpus_edges, book_parts, decoded_bytes, safe_names, cleaned_texts)}
+QUERIES = {f.__name__: f for f in (jsonl_objects, corpus_load, corpus_edges, book_parts, book_report, decoded_bytes, safe_names, cleaned_texts)}
 ORACLE_SQL = {
     "jsonl_objects": "select conv_id, turn, md5(text) as digest, 0::bigint as place from conversations",
     "corpus_load": """select ['psy', 'lit', 'poe'][p_partkey % 3 + 1] || ':' || p_partkey as chunk_id, ['psychology', 'literature', 'poetry'][p_partkey % 3 + 1] as library, p_brand as work, p_name || ' in many words' as text,
@@ -120,6 +150,9 @@ ORACLE_SQL = {
     "corpus_edges": "select s_name as source, s_nationkey::varchar as target, case when s_suppkey % 2 = 0 then s_acctbal else 1.0 end as weight, s_suppkey % 7 = 0 as wrong from supplier",
     "book_parts": """with l as (select conv_id || '/' || turn as path, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') as l from conversations)
       select path, (unnest(generate_series(1, len(l))) - 1)::bigint as position, regexp_replace(unnest(l), '\\s+', '', 'g') as text from l""",
+    "book_report": """with n as (select conv_id || '/' || turn as path, len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x) <> '')) as n from conversations)
+      select path, case when n > 0 then 'of ' || n end as title, case when n > 0 then 'c' end as author, case when n > 0 then n end as parts, case when n > 0 then 1 end as empty,
+        coalesce(case when n > 0 then 'a1.xhtml,gone.xhtml (missing),torn.xhtml (damaged)' end) as skipped, n = 0 as failed from n""",
     "decoded_bytes": "select doc_id, md5(text) as digest from documents",
     "safe_names": """with n as (select page_id, case when page_id % 5 <> 0 then regexp_extract(url, '([^/]*)$', 1) else '' end as n from pages)
       select page_id, coalesce(nullif(left(trim(regexp_replace(n, '[\\x00-\\x1F<>:"|?*]', '', 'g')), 200), ''), 'upload.txt') as name from n""",
