@@ -9,10 +9,10 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.plans import chunking, cleaning, clustering, evidence, fusion, lexical, persist, reports, run, services, sources, tagging, vectors
+from weftline.plans import chunking, cleaning, clustering, evidence, fusion, lexical, persist, reports, run, services, sources, stored, streams, tagging, vectors
 from weftline.shipping import ship
 
-_PLANS = (cleaning, chunking, lexical, vectors, fusion, clustering, services, sources, persist, tagging, evidence, reports, run)
+_PLANS = (cleaning, chunking, lexical, vectors, fusion, clustering, services, sources, persist, tagging, evidence, reports, run, stored, streams)
 
 
 def _plain(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
