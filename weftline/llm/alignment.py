@@ -33,8 +33,8 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -43,15 +43,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.blocks import block_id, from_ipc, from_planes, in_blocks, ipc, planes
-from weftline.llm.bpe import encode_batches, id_to_piece
+from weftline.llm.bpe import id_to_piece
 from weftline.llm.common import stored, table
-from weftline.llm.token_counts import batched
 from weftline.shipping import ship
 
 #: Bytes of text in a block, and characters of it that are aligned at a time.
 BLOCK_BYTES, SLICE = 6 << 20, 1 << 19
-#: Words of a block whose lists are made at a time.
-SOME = 1 << 15
+#: Words that are encoded at a time, and that a task remembers.
+SOME, REMEMBERED = 1 << 15, 400_000
 
 _ADJOINING = re.compile(r"\s ")
 _BETWEEN = re.compile(r"(?<=\S)(?= )")
@@ -92,10 +91,20 @@ class Pair:
             return _BETWEEN.split(text)
         return [" " + x for x in text.split(" ")[1:]]
 
-    def ids_b(self, words: list[str]) -> Iterator[list[int]]:
-        """B's ids of each word, of which B adds the first space itself."""
-        for _, some in batched((0, w[1:], len(w)) for w in words):
-            yield from (ids if w else [self.space] for w, ids in zip(some, self.b.encode(some, num_threads=1)))
+    def ids(self, words: list[str]) -> tuple[pa.Array, pa.Array]:
+        """A's and B's ids of each word, of which B adds the first space itself."""
+        of_a, of_b = [lists_of([])], [lists_of([])]
+        for k in range(0, len(words), SOME):
+            some = words[k : k + SOME]
+            of_a.append(lists_of([e.ids for e in self.a.encode_batch_fast(some, add_special_tokens=False)]))
+            told = self.b.encode([w[1:] for w in some], num_threads=1)
+            of_b.append(lists_of([ids if len(w) > 1 else [self.space] for w, ids in zip(some, told)]))
+        return pa.concat_arrays(of_a), pa.concat_arrays(of_b)
+
+
+def lists_of(ids: list[list[int]]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, ids)])
+    return pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), pa.array(np.fromiter(chain.from_iterable(ids), np.int32, int(ends[-1]))))
 
 
 def pair(path_a: str, path_b: str) -> Pair:
@@ -105,25 +114,53 @@ def pair(path_a: str, path_b: str) -> Pair:
     return _loaded[path_a, path_b]
 
 
+def distinct_words(p: Pair, texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words, the place among them of every word of the texts, and the number of words of each text."""
+    odd = np.array([bool(x) and (p.joins or x[0].isspace() or _ADJOINING.search(x) is not None) for x in texts], bool)
+    some = np.array([bool(x) for x in texts], bool)
+    plain = some & ~odd
+    sizes = np.zeros(len(texts), np.int64)
+    split = pc.split_pattern(pa.array(texts, pa.large_string()).filter(pa.array(plain)), " ")
+    sizes[plain] = np.diff(split.offsets.to_numpy())
+    cut = [p.words(x) for x, is_odd in zip(texts, odd) if is_odd]
+    sizes[odd] = [len(x) for x in cut]
+    first = split.flatten().dictionary_encode()
+    second = pa.array([w for x in cut for w in x], pa.large_string()).dictionary_encode()
+    named = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar("", pa.large_string()), first.dictionary, pa.scalar(" ", pa.large_string())), second.dictionary]).dictionary_encode()
+    place = named.indices.to_numpy(zero_copy_only=False)
+    at = np.empty(int(sizes.sum()), np.int32)
+    is_odd = np.repeat(odd, sizes)
+    at[~is_odd] = place[: len(first.dictionary)][first.indices.to_numpy(zero_copy_only=False)]
+    at[is_odd] = place[len(first.dictionary) :][second.indices.to_numpy(zero_copy_only=False)]
+    return named.dictionary, at, sizes
+
+
+class Known:
+    """Words of a task's blocks with the ids of both sides, REMEMBERED of them besides a block's own."""
+
+    def __init__(self, p: Pair):
+        self.p = p
+        self.words, self.sides = pa.array([], pa.large_string()), p.ids([])
+
+    def lists(self, words: pa.Array) -> list[pa.Array]:
+        """The ids of these words, of which only those are encoded that are not known."""
+        new = words.filter(pc.is_null(pc.index_in(words, value_set=self.words)))
+        if len(self.words) + len(new) > REMEMBERED:
+            self.__init__(self.p)
+            new = words
+        self.words = pa.concat_arrays([self.words, new])
+        self.sides = tuple(pa.concat_arrays([old, ids]) for old, ids in zip(self.sides, self.p.ids(new.to_pylist())))
+        at = pc.index_in(words, value_set=self.words)
+        return [ids.take(at) for ids in self.sides]
+
+
 class Encoded:
     """The ids of both sides of a block's texts: lists of its distinct words, and each text as places of words."""
 
-    def __init__(self, p: Pair, texts: list[str | None]):
-        place: dict[str, int] = {}
-        at, sizes = array("i"), array("q")
-        for x in texts:
-            words = p.words(x) if x else []
-            sizes.append(len(words))
-            at.extend(place.setdefault(w, len(place)) for w in words)
-        self.at, self.bounds = np.frombuffer(at, np.int32), np.concatenate(([0], np.cumsum(np.frombuffer(sizes, np.int64))))
-        words = list(place)
-        del place
-        of_a, of_b = ([pa.array([], pa.large_list(pa.int32()))] for _ in "ab")
-        for k in range(0, len(words), SOME):
-            some = words[k : k + SOME]
-            of_a.append(pa.array([e.ids for _, e in encode_batches(p.a, some)], pa.large_list(pa.int32())))
-            of_b.append(pa.array(list(p.ids_b(some)), pa.large_list(pa.int32())))
-        self.sides = pa.concat_arrays(of_a), pa.concat_arrays(of_b)
+    def __init__(self, p: Pair, texts: list[str | None], known: Known | None = None):
+        words, self.at, sizes = distinct_words(p, texts)
+        self.bounds = np.concatenate(([0], np.cumsum(sizes)))
+        self.sides = (known or Known(p)).lists(words)
 
     def ids(self, start: int, end: int) -> Iterator[pa.Array]:
         """A's and B's ids of the texts from start to end: a large list for each text."""
@@ -207,9 +244,9 @@ def slices(texts: list[str | None], most: int) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def aligned(p: Pair, texts: list[str | None], most: int = SLICE) -> Iterator[Aligned]:
+def aligned(p: Pair, texts: list[str | None], most: int = SLICE, known: Known | None = None) -> Iterator[Aligned]:
     """The alignments of these texts, slice by slice."""
-    encoded = Encoded(p, texts)
+    encoded = Encoded(p, texts, known)
     for start, end in slices(texts, most):
         ids_a, ids_b = encoded.ids(start, end)
         fits = pa.array(covering(p, ids_a, ids_b, texts[start:end]))
@@ -227,10 +264,10 @@ def pairs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def block_rows(batches: Iterator[pa.RecordBatch], path_a: str, path_b: str, block_bytes: int) -> Iterator[pa.RecordBatch]:
     """Of each block: its documents, its links as places of pairs, and the pairs with their counts."""
     p = pair(path_a, path_b)
-    width = len(p.bytes_b)
+    known, width = Known(p), len(p.bytes_b)
     for place, rows in in_blocks(batches, "text", block_bytes):
         codes, told, digests = [np.zeros(0, np.int64)], [np.zeros((4, 0), np.int64)], []
-        for x in aligned(p, rows["text"].to_pylist()):
+        for x in aligned(p, rows["text"].to_pylist(), known=known):
             codes.append(x.a.astype(np.int64) * width + x.b)
             told.append(np.stack((x.n_a, x.n_b, x.n_groups, x.n_links)))
             digests += x.digests
