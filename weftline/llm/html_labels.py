@@ -173,7 +173,7 @@ def _composed() -> list[str]:
         # an article with lists of links and of text, with single links, a formula, its author and tags
         listed = _text(["CONTENT the keel, of oak from the valley", "CONTENT two masts", "CONTENT a cabin with <a href=/c>four berths</a>"], "li")
         out.append(f"<body><article>{head}<p class='byline'>CONTENT By A. Writer</p>{_text(long[:2])}<ul>{_links(more)}</ul>{_text([long[2]])}<ul>{listed}</ul><p><a href=/r>CONTENT Read the report of the harbour board</a></p>{_text([short[0], long[3]])}<p class='tags'>CONTENT Filed under boats</p><p>CONTENT {end}</p></article></body>")
-        out.append(f"<body><div class='layout has-sidebar'><article>{head}{_text([short[0], long[0]])}<p>{call}</p>{_text([long[1], short[1], short[2]])}</article><div>{_links(more, 'p')}</div></div></body>")
+        out.append(f"<body><div class='layout has-sidebar'><article>{head}{_text([short[0], long[0]])}<p><a href=/s>{call}</a></p>{_text([long[1], short[1], short[2]])}</article><div>{_links(more, 'p')}</div></div></body>")
         # articles and main parts of paragraphs and headings of all lengths, one word included
         words = " ".join(x.removeprefix("CONTENT ") for x in long).split()
         for m, mark in enumerate(("article", "main", "article")):
@@ -184,7 +184,40 @@ def _composed() -> list[str]:
     return out
 
 
-LABELLED_PAGES += [(page, ["CONTENT"]) for page in _composed()]
+# Articles in which words of calls and of frames are words of the story, and names that only sound like a frame's.
+_STORIES = [
+    ["CONTENT Bake the cookies for ten minutes until they are brown at the edges.", "CONTENT Cookies keep for a week in a tin.", "CONTENT A newsletter of the guild from 1890 has the recipe."],
+    ["CONTENT Voters must register before the first of May at the town hall.", "CONTENT To register they need a letter with their name.", "CONTENT Those who subscribe to the plan pay more."],
+    ["CONTENT The court said that all rights reserved to the crown in the old charter still stand.", "CONTENT Privacy was the first word of the report.", "CONTENT An advertisement of that year shows the shop."],
+]
+_NEUTRAL = ["ad-free-content", "legal-analysis", "cookie-recipes", "notice-period-guide", "search-for-truth", "share-prices"]
+_COMMENT = ["I had the same thing happen to me last year and nobody would say why.", "Well said.", "Not true at all, I was there on both days."]
+
+
+def _spoken() -> list[str]:
+    """Pages of the lists above: without and with names, with comments that have none, and with headings of lists of links."""
+    out = []
+    for k, name in enumerate(_NEUTRAL):
+        long, mark = _LONG[k:] + _LONG[:k], ("article", "main", "div id=content")[k % 3]
+        story, end = [x for n, x in enumerate(long[:3]) for x in (x, _STORIES[(k + n) % 3][n])], mark.split()[0]
+        head = f"<h1>CONTENT The {('oven', 'vote', 'charter', 'guide', 'search', 'price')[k]}</h1>"
+        out.append(f"<body><ul>{_links(_MENU[:4])}</ul><{mark}>{head}{_text(story)}</{end}><div>{_ENDS[k % 3]}</div></body>")
+        out.append(f"<body><{mark}><div class='{name}'>{head}{_text(story[:3])}</div></{end}><p>{_CALLS[k]}</p></body>")
+        out.append(f"<body><{mark}><div class='{name}'>{_text(story)}</div></{end}><ul>{_links(_MORE)}</ul></body>")
+        marked = "".join(f"<p class='{('text-comment', 'ad-free', 'legal-note')[n % 3]}'>{x}</p>" for n, x in enumerate(story))
+        said = "".join(f"<article><p>{x}</p></article>" for x in _COMMENT[k % 2 :])
+        out.append(f"<body><article>{head}{marked}<section><h2>{('Comments', 'What readers say', '3 replies')[k % 3]}</h2>{said}</section></article></body>")
+        out.append(f"<body><article>{head}{_text(story[:5])}<div><h2>{('Comments', 'Talk', 'Replies')[k % 3]}</h2>{said}</div></article></body>")
+        # frames without names inside the main part
+        for end in ("article", "main"):
+            frames = [f"<form>{_COMMENT[0]} <input></form>", f"<aside>{long[4].removeprefix('CONTENT ')}</aside>", f"<nav>{long[5].removeprefix('CONTENT ')}</nav>", f"<footer><p>{_COMMENT[2]}</p></footer>"]
+            out.append(f"<body><{end}>{head}<p>{story[0]}</p>{frames[k % 4]}<p>{story[1]}</p>{frames[(k + 1) % 4]}<p>{_SHORT[k]}</p></{end}></body>")
+        out.append(f"<body><article>{head}{_text(story)}<h3>{('More stories', 'Read next', 'Also on this site')[k % 3]}</h3><ul>{_links(_MORE[:3])}</ul></article><footer><p>{_ENDS[k % 3]}</p></footer></body>")
+        out.append(f"<body><article>{head}{_text(story[:2])}<h2>CONTENT {('In the oven', 'At the hall', 'In court')[k % 3]}</h2>{_text(story[2:])}<div class='post-comments'><h3>Comments</h3>{_text(_COMMENT)}</div></article></body>")
+    return out
+
+
+LABELLED_PAGES += [(page, ["CONTENT"]) for page in _composed() + _spoken()]
 
 # the same pages without the mark of their main part
 LABELLED_PAGES += [(re.sub(r"<(/?)(?:article|main)\b", r"<\1div", page), marks) for page, marks in LABELLED_PAGES[:23] if "<article" in page or "<main" in page]
