@@ -73,6 +73,34 @@ def test_bpe(odd, none):
     assert bpe.encoded(none, PATH).count() == 0
 
 
+def test_bpe_clashing_columns_and_shuffled_rows(spark, odd):
+    """Kept columns give way to results of their name; documents out of a shuffle are written first."""
+    expected = sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in bpe.encoded(odd, PATH).collect())
+    clash = odd.withColumns({"n_tokens": F.lit(-1), "ids_sha256": F.lit("x"), "sizes": F.lit(9), "_text": F.lit("y"), "block": F.lit(7), "data": F.lit(1)})
+    got = bpe.encoded(clash.repartition(3, "source"), PATH, keep=("n_tokens", "ids_sha256", "sizes", "block", "data", "doc_id", "text", "text"))
+    assert got.columns == ["doc_id", "sizes", "block", "data", "text", "n_tokens", "ids_sha256", "decoded_sha256"]
+    rows = got.collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in rows) == expected and {(r["sizes"], r["block"], r["data"]) for r in rows} == {(9, 7, 1)}
+    assert "hashpartitioning(source" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clashing_columns(spark, odd):
+    """Extra columns with the names of results change nothing."""
+    clash = odd.withColumns({c: F.lit("clash") for c in ("n_bytes", "n_tokens", "over_limit", "held_out", "lang_pred", "predicted", "component", "text_key", "n_shingles")})
+    plain, other = (sorted(map(str, token_counts.token_counts(df, PATH, 512).collect())) for df in (odd, clash))
+    assert plain == other
+    plain, other = (sorted((r["doc_id"], r["component"]) for r in near_dedup.labelled(df).select("doc_id", "component").collect() if r["component"] is not None) for df in (odd, clash))
+    assert plain == other
+    pages = spark.createDataFrame([(1, "<p>A page with a few words in it and no more than that at all.</p>", "x", 5)], "page_id int, html string, text string, n_chars int")
+    assert pages.select("text", html_text.extracted("html").alias("t")).first()["text"] == "x"
+    model = language.train(spark.createDataFrame([(k, ("the cat and the dog", "der hund und die katze")[k % 2] * 5, ("en", "de")[k % 2]) for k in range(40)], "doc_id long, text string, lang string"))
+    plain, other = (sorted((r["doc_id"], str(r["l"])) for r in df.select("doc_id", language.language("text", model).alias("l")).collect()) for df in (odd, clash))
+    assert plain == other
+    machine = quality.train(spark.createDataFrame([(k, good(k) if k % 2 else junk(k)) for k in range(60)], "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, quality int"))
+    plain, other = (sorted((r["doc_id"], r["q"]) for r in df.select("doc_id", quality.quality_score("text", machine).alias("q")).collect()) for df in (odd, clash))
+    assert plain == other
+
+
 def test_simhash(spark, odd, none):
     rows = simhash.edited_documents(odd).collect()
     assert len(rows) == len(ODD) + 1
@@ -218,6 +246,29 @@ HELD_OUT = {
 }
 
 
+TALE = ["The day began early at the bakery by the canal, where the ovens had been lit since three in the morning.", "By noon the queue went round the corner and the last loaves were shared out among those who had waited longest."]
+SPOKEN = {
+    f"<article><h1>Title</h1><p>{TALE[0]}</p><p>Bake the cookies for ten minutes until they are brown at the edges and let them cool.</p></article>": f"Title {TALE[0]} Bake the cookies for ten minutes until they are brown at the edges and let them cool.",
+    f"<article><h1>Title</h1><p>{TALE[0]}</p><p>Voters must register before the first of May at the town hall.</p><p>{TALE[1]}</p></article>": f"Title {TALE[0]} Voters must register before the first of May at the town hall. {TALE[1]}",
+    f"<main><div class='ad-free-content'><p>{TALE[0]}</p><p>{TALE[1]}</p></div></main>": f"{TALE[0]} {TALE[1]}",
+    f"<div id='content'><div class='legal-analysis'><p>{TALE[0]}</p><p>{TALE[1]}</p></div></div>": f"{TALE[0]} {TALE[1]}",
+    f"<article><p>{TALE[0]}</p><p class='text-comment'>{TALE[1]}</p></article>": f"{TALE[0]} {TALE[1]}",
+    f"<article><h1>Title</h1><p>{TALE[0]}</p><p>{TALE[1]}</p><section><h2>Comments</h2><article><p>I was there too and it was as they say.</p></article><article><p>Lovely!</p></article></section></article>": f"Title {TALE[0]} {TALE[1]}",
+    f"<article><h1>Title</h1><p>{TALE[0]}</p><p>{TALE[1]}</p><h3>Other stories</h3><ul><li><a href=1>A new bridge</a></li><li><a href=2>The old mill</a></li><li><a href=3>Ten walks</a></li></ul></article>": f"Title {TALE[0]} {TALE[1]}",
+    f"<article><h1>Title</h1><p>{TALE[0]}</p><div class='comments-area'><p>I was there too and it was as they say.</p></div><div class='ad-slot'><p>Buy shoes today and pay only half of what they cost.</p></div><p>{TALE[1]}</p></article>": f"Title {TALE[0]} {TALE[1]}",
+}
+
+
+def test_html_words_alone_do_not_decide():
+    """Words of calls and names that sound like a frame's take no text out of an article, at any length; others' articles go."""
+    tree = html_text.trained()
+    for page, text in SPOKEN.items():
+        assert html_text.main_text(page, tree) == text, page
+    call = "Subscribe to our newsletter and sign up to the list, the town said in its letter to all who live here"
+    kept = [html_text.main_text(f"<article><h1>T</h1><p>{TALE[0]}</p><p>{call}{' and more' * n}.</p><p>{TALE[1]}</p></article>", tree).count(call) for n in (0, 5, 12, 13, 14, 25, 60)]
+    assert len(set(kept)) == 1
+
+
 def test_html_held_out():
     """Pages that are not in the labelled table."""
     tree = html_text.trained()

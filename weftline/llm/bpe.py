@@ -12,7 +12,8 @@
    which has the vocabulary's size whatever the input. Texts themselves never travel.
 
 Null and empty texts have no ids and decode to the empty text. Repeated rows and
-repeated ids give a row each. Other columns are not touched.
+repeated ids give a row each. An empty table gives no rows. Other columns are not touched.
+Documents that come out of a shuffle are written first, so that an executor may be lost at any time.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.blocks import BLOCK_BYTES, block_id, from_ipc, from_planes, in_blocks, ipc, planes
-from weftline.llm.common import table, text_bytes
+from weftline.llm.common import stored, table, text_bytes
 from weftline.shipping import ship
 from weftline.llm.token_counts import ADJOINING, encode_batches, pieces, tokenizer
 
@@ -181,21 +182,31 @@ class _Joined:
         return self.bytes[self.ends[start] : self.ends[end]]
 
 
+def settled(docs: DataFrame) -> DataFrame:
+    """docs, written first if they come out of a shuffle: a lost task then reads its rows in the same order again, and makes the same blocks."""
+    return stored(docs, "docs") if "Exchange" in docs._jdf.queryExecution().sparkPlan().toString() or "Exchange" in docs._jdf.queryExecution().executedPlan().toString() else docs
+
+
 def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), texts: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """key, the columns to keep, n_tokens, ids_sha256 and decoded_sha256 of each row; with texts also ids (array<int>) and decoded."""
+    """key, the columns to keep, n_tokens, ids_sha256 and decoded_sha256 of each row; with texts also ids (array<int>) and decoded.
+
+    A column to keep that has the name of a result, or of the key, gives way to it.
+    """
     ship(docs.sparkSession)
+    docs = settled(docs.select(*{c: None for c in (key, *keep, text)}))
     size = text_bytes(docs, text)
     buckets = int(min(MOST_BUCKETS, max(1, -(-size // min(BUCKET_BYTES, block_bytes)))))
-    blocks = docs.select(key, *keep, text).mapInArrow(lambda batches: block_rows(batches, text, buckets, block_bytes), "block long, bucket int, data binary, words binary").groupBy("block")
+    fields = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>", "decoded": "string"} if texts else {})
+    keep = tuple(c for c in dict.fromkeys(keep) if c != key and c not in fields)
+    blocks = docs.select(key, *keep, F.col(text).alias("_text")).mapInArrow(lambda batches: block_rows(batches, "_text", buckets, block_bytes), "block long, bucket int, data binary, words binary").groupBy("block")
     # one shuffle of the blocks serves the lists and the assembly
     lists = blocks.applyInArrow(lambda rows: rows.filter(pc.greater_equal(rows["bucket"], 0)).drop_columns(["words"]), "block long, bucket int, data binary")
     found = encoded_words(lists, path, buckets)
-    fields = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>", "decoded": "string"} if texts else {})
 
     def assemble(rows: pa.Table, ids: pa.Table) -> pa.Table:
         mine = rows.filter(pc.less(rows["bucket"], 0))
         if len(mine) != 1 or len(ids) != len(rows) - 1:
-            raise RuntimeError("a block was read anew with its rows in another order; run again, or write the documents first")
+            raise RuntimeError("a block was read anew with its rows in another order")
         rows = from_ipc(mine["data"][0])
         sizes = rows.column(rows.num_columns - 1).to_numpy()
         rows = rows.remove_column(rows.num_columns - 1)
