@@ -9,8 +9,13 @@ from hashlib import blake2b
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from weftline.functions import lexical as L
 from weftline.operators import clustering
+from weftline.operators import keyphrases as K
+from weftline.operators.containment import WINDOW, Q, held, windows
+from weftline.operators.containment import grams as grams_of
 from weftline.registry import QUERIES
 
 
@@ -37,10 +42,9 @@ def picked(counts, k):
 
 def test_keyphrases(spark, folder):
     turns = rows(spark, folder, "conversations")
-    got = {r["item_id"]: r["phrases"] for r in QUERIES["keyphrases"](spark, folder).collect()}
-    for r in turns[:150]:
-        counts = grams(r["text"])
-        assert got.get(r["conv_id"] * 1000 + r["turn"], "") == picked(counts, 6)
+    got = {r["doc_id"]: r["phrases"] for r in QUERIES["keyphrases"](spark, folder).collect()}
+    for r in rows(spark, folder, "documents"):
+        assert got.get(r["doc_id"], "") == picked(grams(r["text"] or ""), 6), r["doc_id"]
     across = {r["conv_id"]: r["phrases"] for r in QUERIES["keyphrases_across"](spark, folder).collect()}
     by = defaultdict(Counter)
     for r in turns:
@@ -49,6 +53,32 @@ def test_keyphrases(spark, folder):
         assert across.get(conv, "") == picked({g: n for g, n in counts.items() if n >= 2}, 5)
 
 
+def test_keyphrases_need_more_than_the_first(spark):
+    """Of grams that all hold each other only one is taken, so more are looked at, round by round; long runs are cut without a loss."""
+    texts = {1: "ab" * 300 + " cd " + "ef" * 5, 2: "a", 3: "", 4: None, 5: "xyz" * 1000, 6: "".join(chr(0x4E00 + k % 900) for k in range(5000))}
+    df = spark.createDataFrame(list(texts.items()), "id int, text string")
+    got = {r["id"]: "|".join(r["phrases"]) for r in K.keyphrases(df, "id", "text", most=2).collect()}
+    assert got == {i: picked(grams(t), 6) for i, t in texts.items() if t and grams(t)}
+    counted = {(r["id"], r["gram"]): r["n"] for r in K.frequencies(df, "id", "text").collect()}
+    assert counted == {(i, g): n for i, t in texts.items() if t for g, n in grams(t).items()}
+    assert K.keyphrases(df.limit(0), "id", "text").count() == 0
+
+
+def test_held_is_brute_force(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(rng.choice(list("abcä漢😀 "), n))
+    names = [word(n) for n in rng.integers(1, 9, 150)] + ["", None, "a", "z", "aa"]
+    texts = [word(n) for n in rng.integers(0, 300, 80)] + ["", None, "a", names[0] + names[1], "z" * 200 + "ab"]
+    by = lambda values: [(k % 2, x) for k, x in enumerate(values)]
+    got = {(r["g"], r["name"], r["text"]) for r in held(spark.createDataFrame(by(names), "g int, name string"), spark.createDataFrame(by(texts), "g int, text string"), ["g"]).collect()}
+    assert got == {(g, n, t) for g, n in by(names) for h, t in by(texts) if g == h and n and t is not None and n in t}
+    # what is made before the check grows with the length of a text, not with its square
+    for size in (1000, 4000):
+        text = spark.createDataFrame([("".join(chr(0x4E00 + k) for k in range(size)),)], "text string")
+        made = text.select(F.explode(windows(F.col("text"), WINDOW, Q - 1)).alias("w")).select(F.explode(grams_of(F.col("w"))).alias("g")).distinct().count()
+        assert made <= 3 * size
+
+
 def test_hash_embed(spark, folder):
     def embed(text):
         chars = "".join(unicodedata.normalize("NFKC", text).lower().split())

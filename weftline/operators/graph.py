@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import one_line
+from weftline.operators.containment import held
 
 # Node types and relations that an edge may have.
 NODE_TYPES = ("Imagery", "Emotion", "Character", "Concept", "Chunk", "Work")
@@ -72,22 +73,13 @@ def label_counts(nodes: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def imagery_by_concept(evidence: DataFrame, concepts: DataFrame, fuzzy: bool = False) -> DataFrame:
-    """query, imagery, strength: paths from concepts that equal the query or, if fuzzy, hold it or are held by it.
-
-    Fuzzy matches come from equal substrings: of each name all of its parts are listed, so that one that is held by
-    the other meets it in a join on equal texts; names are short.
-    """
+    """query, imagery, strength: paths from concepts that equal the query or, if fuzzy, hold it or are held by it; see containment."""
     wanted = concepts.filter(F.trim("query") != "").select("query").distinct()
     if not fuzzy:
         return evidence.join(wanted, F.col("concept") == F.col("query")).groupBy("query", "imagery").agg(F.count("*").alias("strength"))
     names = evidence.filter("concept is not null").select("concept").distinct()
-    holds = names.select("concept", F.explode(_parts("concept")).alias("query")).join(wanted, "query")
-    held = wanted.select("query", F.explode(_parts("query")).alias("concept")).join(names, "concept")
-    match = holds.select("query", "concept").union(held.select("query", "concept")).distinct()
+    named, asked = (lambda name, df, c: df.select(F.col(c).alias(name))), ("query", "concept")
+    holds = held(named("name", wanted, "query"), named("text", names, "concept")).toDF(*asked)
+    inside = held(named("name", names, "concept"), named("text", wanted, "query")).select(F.col("text").alias("query"), F.col("name").alias("concept"))
+    match = holds.union(inside).distinct()
     return evidence.join(match, "concept").groupBy("query", "imagery").agg(F.count("*").alias("strength"))
-
-
-def _parts(name: str) -> Column:
-    """The distinct substrings of a name, itself included."""
-    n = F.length(name)
-    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col(name), i, k)))))

@@ -1,31 +1,66 @@
-"""Keyphrases of one document and of a group of short texts."""
+"""Keyphrases of one document and of a group of short texts.
+
+No group is collected: n-grams are counted by key and gram, of each key the best `most` are taken
+by a limited window, and the phrases are picked from those. A key whose phrases are not yet
+`k`, although it has more grams, is picked anew from four times as many, round by round; so the
+result is that of the whole list.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from weftline.functions.lexical import gram_score, grams, uncontained
+from weftline.functions.lexical import LONGEST, gram_score, runs, uncontained, window_grams
+from weftline.operators.containment import WINDOW, windows
+from weftline.operators.storage import stored
+
+#: Grams of a key that are looked at in the first round.
+MOST = 64
+
+
+def gram_rows(df: DataFrame, *keys: str, text: str) -> DataFrame:
+    """keys, gram: a row for each n-gram of each text, repeats included. Runs are cut into windows, so no row holds the grams of a whole text."""
+    each = df.select(*keys, F.explode(runs(F.col(text))).alias("_run")).select(*keys, F.explode(windows(F.col("_run"), WINDOW, LONGEST - 1)).alias("_window"))
+    return each.select(*keys, F.explode(window_grams(F.col("_window"), WINDOW)).alias("gram"))
 
 
 def frequencies(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, gram, n: occurrences of each n-gram in each document."""
-    return df.select(key, F.explode(grams(F.col(text))).alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("n"))
+    return gram_rows(df, key, text=text).groupBy(key, "gram").agg(F.count("*").alias("n"))
 
 
-def _picked(scored: DataFrame, by: Sequence[str], k: int) -> DataFrame:
-    order = F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("s"), (-F.length("gram")).alias("l"), F.col("gram").alias("g"))))
-    return scored.groupBy(*by).agg(uncontained(F.transform(order, lambda x: x["g"]), k).alias("phrases"))
+def picked(scored: DataFrame, by: Sequence[str], k: int, most: int = MOST) -> DataFrame:
+    """by, phrases: of scored (by, gram, score) the first k by score, length and name that neither hold nor are held by one before them."""
+    by = list(by)
+    scored = stored(scored.select(*by, "gram", F.round("score", 9).alias("score")), "grams")
+    order = W.partitionBy(*by).orderBy(F.desc("score"), F.desc(F.length("gram")), "gram")
+    sizes = scored.groupBy(*by).agg(F.count("*").alias("_rows"))
+    left, done = sizes, None
+    while True:
+        best = scored.join(left.select(*by), by, "left_semi") if done is not None else scored
+        best = best.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= most)
+        # at most `most` short strings a key
+        lists = best.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_place", "gram"))).alias("_l"))
+        now = stored(lists.join(left, by).select(*by, uncontained(F.transform("_l", lambda x: x["gram"]), k).alias("phrases"), "_rows"), "phrases")
+        open_ = (F.size("phrases") < k) & (F.col("_rows") > most)
+        ready = now.filter(~open_).select(*by, "phrases")
+        done = ready if done is None else done.unionByName(ready)
+        left = now.filter(open_).select(*by, "_rows")
+        if left.isEmpty():
+            return done
+        most *= 4
 
 
-def keyphrases(df: DataFrame, key: str, text: str, k: int = 6) -> DataFrame:
+def keyphrases(df: DataFrame, key: str, text: str, k: int = 6, most: int = MOST) -> DataFrame:
     """key, phrases: by score, length and name, none that holds another."""
-    return _picked(frequencies(df, key, text).withColumn("score", gram_score(F.col("gram"), F.col("n"))), (key,), k)
+    return picked(frequencies(df, key, text).withColumn("score", gram_score(F.col("gram"), F.col("n"))), (key,), k, most)
 
 
-def keyphrases_across(df: DataFrame, group: str, key: str, text: str, k: int = 5, least: int = 2) -> DataFrame:
+def keyphrases_across(df: DataFrame, group: str, key: str, text: str, k: int = 5, least: int = 2, most: int = MOST) -> DataFrame:
     """group, phrases: an n-gram counts the texts that have it, and needs `least` of them."""
-    n = frequencies(df.withColumn("_k", F.struct(group, key)), "_k", text).groupBy(F.col(f"_k.{group}").alias(group), "gram").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
-    return _picked(n.withColumn("score", gram_score(F.col("gram"), F.col("n"))), (group,), k)
+    n = gram_rows(df, group, key, text=text).distinct().groupBy(group, "gram").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    return picked(n.withColumn("score", gram_score(F.col("gram"), F.col("n"))), (group,), k, most)

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.operators.containment import held
+
 from weftline.functions.lexical import NOUN_ENDINGS, lexicon_tags
 
 # Emotions that tags may name beside those of the lexicon, characters that no tag holds, types of a
@@ -77,14 +79,12 @@ def refused(df: DataFrame, tags: str, text: str, most: int = MOST_REASONS) -> Da
 
 
 def misplaced(texts: DataFrame, returned: DataFrame, batch: str = "batch", key: str = "i") -> DataFrame:
-    """Rows of returned (batch, i, quote) whose quote is not in their own text but in another one of their batch.
-
-    A batch is what a model was asked in one call, so it has some eight texts.
-    """
+    """Rows of returned (batch, i, quote) whose quote is not in their own text but in another one of their batch, whatever the size of a batch."""
     own = returned.filter(F.trim("quote") != "").join(texts.select(batch, key, F.col("text").alias("_own")), [batch, key])
-    lost = own.filter(~F.contains("_own", F.trim("quote"))).drop("_own")
-    others = texts.select(batch, F.col(key).alias("_i"), F.col("text").alias("_text"))
-    return lost.join(others, [batch]).filter((F.col("_i") != F.col(key)) & F.contains("_text", F.trim("quote"))).select(*returned.columns).distinct()
+    lost = own.filter(~F.contains("_own", F.trim("quote"))).drop("_own").withColumn("_name", F.trim("quote"))
+    # the own text does not hold it, so whatever text of the batch does is another one's
+    found = held(lost.select(batch, F.col("_name").alias("name")), texts.select(batch, "text"), [batch]).select(batch, F.col("name").alias("_name")).distinct()
+    return lost.join(found, [batch, "_name"], "left_semi").select(*returned.columns).distinct()
 
 
 def accepted(texts: DataFrame, returned: DataFrame, batch: str = "batch", key: str = "i") -> DataFrame:

@@ -26,7 +26,7 @@ def ngram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.keyphrases(_turns(spark, sf_dir), "item_id", "text").select("item_id", F.array_join("phrases", "|").alias("phrases"))
+    return K.keyphrases(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.array_join("phrases", "|").alias("phrases"))
 
 
 def keyphrases_across(spark: SparkSession, sf_dir: str) -> DataFrame:
