@@ -7,10 +7,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.vectors import hashed_embedding
 from weftline.operators import graph as G
 from weftline.operators import incremental as I
 from weftline.operators import persist as P
 from weftline.operators.keyed import KeyedTable
+from weftline.operators.library import EmbeddingCache, Library
 from weftline.operators.storage import shared_dir
 from weftline.sources.tables import table
 
@@ -132,8 +134,54 @@ def stored_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read().select("vec_id", "label", F.col("embedding")[0].cast("double").alias("first"))
 
 
-QUERIES = {f.__name__: f for f in (stored_registry, stored_edges, stored_graph, stored_sections, stored_outputs, stored_singletons, stored_vectors)}
+def _library_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        F.col("doc_id").alias("chunk_id"), F.col("lang").alias("library"), F.coalesce("text", F.lit("")).alias("text"), F.col("source").alias("origin"), F.array("lang").alias("imagery"), F.array("source", "lang").alias("emotion"),
+        F.lit(None).cast("string").alias("character"), F.col("source").alias("work"), F.lit(None).cast("string").alias("concept"),
+    )
+
+
+def ingest_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A library over its life: the corpus is ingested, labelled documents are imported, the corpus comes again with changed German texts and without
+    one source, and the import of another source is rolled back. Of each chunk that is left: its registry row, and its vectors and edges."""
+    every = _library_chunks(spark, sf_dir)
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id")).distinct()
+    corpus, imports = every.join(labelled, "chunk_id", "left_anti"), every.join(labelled, "chunk_id", "left_semi")
+    files = {r[0]: f"{r[0]}.jsonl" for r in corpus.select("library").distinct().collect()}
+    lib = Library.create(spark, scratch(spark, "library"), every.schema["chunk_id"].dataType.simpleString(), _MODEL, _DIM, lambda c: hashed_embedding(c, _DIM), buckets=8)
+    lib.ingest(corpus, files)
+    lib.index(imports)
+    changed = F.when(F.col("library") == "de", F.concat("text", F.lit(" again"))).otherwise(F.col("text"))
+    lib.ingest(corpus.filter("work <> 'src1'").withColumn("text", changed), files)
+    lib.rollback("src2")
+    counts = lib.registry.read()
+    for name, t in (("vectors", lib.vectors), ("edges", lib.edges)):
+        counts = counts.join(t.read().groupBy("chunk_id").agg(F.count("*").alias(name)), "chunk_id", "full")
+    return counts.drop("preview")
+
+
+def cached_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of documents are embedded, then again with those that labels cover changed: what each run asked for and what it had to compute, and whether equal texts have equal vectors."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labelled = table(spark, sf_dir, "labels").select("doc_id", F.lit(" again").alias("more")).distinct()
+    cache = EmbeddingCache.create(spark, scratch(spark, "cache"), _MODEL, _DIM, lambda c: hashed_embedding(c, _DIM), buckets=8)
+    out, before = None, 0
+    for run, rows in enumerate((d, d, d.join(labelled, "doc_id", "left").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.coalesce("more", F.lit(""))).alias("text")))):
+        vectors = cache.embedded(rows)
+        size = cache.table.read().count()
+        one = vectors.agg(F.count("*").alias("asked")).select(F.lit(run).cast("long").alias("run"), "asked", F.lit(size - before).cast("long").alias("computed"))
+        out, before = one if out is None else out.unionByName(one), size
+    return out
+
+
+QUERIES = {f.__name__: f for f in (ingest_chain, cached_embeddings, stored_registry, stored_edges, stored_graph, stored_sections, stored_outputs, stored_singletons, stored_vectors)}
 ORACLE_SQL = {
+    "ingest_chain": f"""with d as (select doc_id, lang, source, coalesce(text, '') as t, doc_id in (select doc_id from labels) as imported from documents),
+      k as (select doc_id, lang, case when imported then source else lang || '.jsonl' end as source_file, case when not imported and lang = 'de' then t || ' again' else t end as t from d where case when imported then source <> 'src2' else source <> 'src1' end)
+      select doc_id as chunk_id, lang as library, source_file, sha256(t || chr(0) || '{_MODEL}' || chr(0) || '{_DIM}') as content_hash, 1::bigint as vectors, 4::bigint as edges from k""",
+    "cached_embeddings": """with a as (select distinct coalesce(text, '') as t from documents), b as (select distinct coalesce(text, '') || ' again' as t from documents where doc_id in (select doc_id from labels)), n as (select count(*) as n from documents)
+      select 0::bigint as run, n as asked, (select count(*) from a) as computed from n union all select 1, n, 0 from n union all select 2, n, (select count(*) from b where t not in (select t from a)) from n""",
     "stored_registry": f"""with d as (select doc_id, lang, case when length(coalesce(text, '')) > 500 and source is not null then source else 'corpus.jsonl' end as source_file,
         case when doc_id in (select doc_id from labels) then 'again ' else '' end || coalesce(text, '') as text from documents)
       select doc_id as chunk_id, lang as library, source_file, sha256(text || chr(0) || '{_MODEL}' || chr(0) || '{_DIM}') as content_hash, substring(text, 1, {_PREVIEW}) as preview from d where source_file <> 'src3'""",
