@@ -10,6 +10,8 @@ from weftline.functions.text import one_line
 from weftline.functions.vectors import dot, hashed_embedding, norm, normalised
 from weftline.operators import graph as G
 from weftline.operators import vectors as V
+from weftline.operators.index import VectorIndex
+from weftline.plans.stored import scratch
 from weftline.sources.tables import table
 
 THRESHOLD = 0.45
@@ -31,6 +33,21 @@ def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.top_k(_queries(spark, sf_dir), _chunks(spark, sf_dir), 8, library=True)
 
 
+def _index(spark: SparkSession, sf_dir: str, rows: DataFrame) -> VectorIndex:
+    return VectorIndex.build(rows, scratch(spark, "index"), 64)
+
+
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of a stored index in its exact mode: of a query's library all lists, and no other library's files."""
+    q = _queries(spark, sf_dir)
+    return _index(spark, sf_dir, _chunks(spark, sf_dir)).search(q, 8, library=True)
+
+
+def indexed_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact search through all libraries of a stored index."""
+    return _index(spark, sf_dir, _chunks(spark, sf_dir)).search(_queries(spark, sf_dir).drop("library"), 8)
+
+
 def l2_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = _chunks(spark, sf_dir).withColumn("u", normalised(F.transform("v", lambda x: x * 3)))
     return u.select("chunk_id", F.round(F.col("u")[0], 6).alias("first"), F.round(norm(F.col("u")), 6).alias("norm"))
@@ -114,7 +131,7 @@ def merged_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.merged_edges(l, "pos").select("source", "relation", "target", F.round("weight", 6).alias("weight"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, l2_normalise, semantic_pairs, semantic_dedup, hash_embed, fetch_by_ids, chunks_by_emotion, chunks_by_imagery, imagery_by_concept, imagery_fuzzy, derived_edges, merged_edges)}
+QUERIES = {f.__name__: f for f in (vector_topk, vector_topk_filtered, indexed_topk, indexed_topk_all, l2_normalise, semantic_pairs, semantic_dedup, hash_embed, fetch_by_ids, chunks_by_emotion, chunks_by_imagery, imagery_by_concept, imagery_fuzzy, derived_edges, merged_edges)}
 
 _TOP = """p as (select q.vec_id as query_id, c.vec_id as chunk_id, round(list_cosine_similarity(q.embedding::double[], c.embedding::double[]), 9) as score from embeddings q, embeddings c where q.vec_id % 100 = 0 {}),
   t as (select *, row_number() over (partition by query_id order by score desc, chunk_id) as rank from p)"""
@@ -124,6 +141,8 @@ _CONCEPTS = "c as (select distinct p_type as query from part union select distin
 ORACLE_SQL = {
     "vector_topk": f"with {_TOP.format('')} select query_id, rank, chunk_id, score from t where rank <= 8",
     "vector_topk_filtered": f"with {_TOP.format('and q.label = c.label')} select query_id, rank, chunk_id, score from t where rank <= 8",
+    "indexed_topk": f"with {_TOP.format('and q.label = c.label')} select query_id, rank, chunk_id, score from t where rank <= 8",
+    "indexed_topk_all": f"with {_TOP.format('')} select query_id, rank, chunk_id, score from t where rank <= 8",
     "l2_normalise": "select vec_id as chunk_id, round(embedding[1]::double / sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) as first, 1.0::double as norm from embeddings",
     "semantic_pairs": f"with {_PAIRS} select a, b, round(s, 6) as similarity from e",
     "semantic_dedup": f"""with recursive {_PAIRS}, g as (select a, b from e union select b, a from e), r as (select vec_id as n, vec_id as m from embeddings union select r.n, g.b from r join g on r.m = g.a),
