@@ -19,6 +19,7 @@ Documents that come out of a shuffle are written first, so that an executor may
 from __future__ import annotations
 
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -38,7 +39,7 @@ from weftline.llm.token_counts import ADJOINING, encode_batches, pieces, tokeniz
 #: each; a bucket's task streams its lists, so it may be of any size.
 BUCKET_BYTES, MOST_BUCKETS = 32 << 20, 8_192
 #: Words whose ids a bucket's task keeps, at most, and words that are joined at a time.
-REMEMBERED, CHUNK = 1_000_000, 1 << 19
+REMEMBERED, CHUNK = 400_000, 1 << 19
 #: Bytes of text that are split at a time.
 SPLIT_BYTES = 4 << 20
 
@@ -136,15 +137,17 @@ def encoded_words(lists: DataFrame, path: str, buckets: int) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        known: dict[str, list[int]] = {"": []}
+        known: dict[str, bytes] = {"": b""}  # ids as four bytes each
         for batch in batches:
             for block, bucket, data in zip(*(batch.column(c) for c in ("block", "bucket", "data"))):
                 words = from_ipc(data)["words"].to_pylist()
                 if len(known) > REMEMBERED:
-                    known = {"": []}
+                    known = {"": b""}
                 for w, e in encode_batches(t, [w for w in words if w not in known]):
-                    known[w] = e.ids
-                ids = ipc(pa.table({"ids": pa.array([known[w] for w in words], pa.list_(pa.int32()))}))
+                    known[w] = array("i", e.ids).tobytes()
+                each = [known[w] for w in words]
+                ends = np.cumsum([0, *map(len, each)]) // 4
+                ids = ipc(pa.table({"ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(each), np.int32)))}))
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block.as_py()], pa.int64()), "bucket": pa.array([bucket.as_py()], pa.int32()), "data": pa.array([ids], pa.binary())})
 
     return lists.repartition(buckets, "bucket").mapInArrow(encode, "block long, bucket int, data binary")
