@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weftline.functions import automaton as A
 from weftline.functions import lexical as L
 from weftline.functions.text import joined
 from weftline.operators import keyphrases as K
-from weftline.sources.tables import table
+from weftline.sources.tables import spread, table
 
 #: Forms of each tag in the languages of the test data, and words of each label.
 LEXICON = {"the": ["the ", "The "], "und": ["und ", "der "], "les": ["les ", "des "], "los": ["los ", "que "], "ing": ["ing"]}
@@ -43,6 +44,32 @@ def lexicon_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "rank", "s.label", "s.score")
 
 
+def _forms(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The lexicon of the benchmark: its words of four letters and more, an answer of the size of a lexicon."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{4,}"), F.lit(0))).alias("form"))
+    return [r["form"] for r in words.distinct().collect()]
+
+
+def _lexicon(forms: list[str], letters: int) -> dict[str, list[str]]:
+    out: dict[str, list[str]] = {}
+    for f in forms:
+        out.setdefault(f[:letters], []).append(f)
+    return out
+
+
+def lexicon_tags_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents tagged by all words of the benchmark as forms, those that begin alike for one tag."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", F.array_join(A.tags(F.col("text"), _lexicon(_forms(spark, sf_dir), 2), 3), ",").alias("tags"))
+
+
+def lexicon_score_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents scored by the same words, by their first letter."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    s = d.select("doc_id", F.posexplode(A.scores(F.col("text"), _lexicon(_forms(spark, sf_dir), 1))).alias("rank", "s"))
+    return s.filter("rank < 5").select("doc_id", "rank", "s.label", "s.score")
+
+
 def rank_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types of each user by frequency, equal ones by first appearance."""
     n = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first"))
@@ -90,7 +117,7 @@ def embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.sha2(F.concat_ws("｜", concept, F.concat(F.lit("关键词："), "lang"), "text"), 256).alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (ngram_df, keyphrases, keyphrases_across, lexicon_tags, lexicon_score, rank_labels, pair_lookup, citations, cjk_ratio, lossless_clean, query_join, embedding_text)}
+QUERIES = {f.__name__: f for f in (ngram_df, keyphrases, keyphrases_across, lexicon_tags, lexicon_score, lexicon_tags_many, lexicon_score_many, rank_labels, pair_lookup, citations, cjk_ratio, lossless_clean, query_join, embedding_text)}
 
 _GRAMS = f"""runs as (select item_id, unnest(list_filter(string_split_regex(text, '{L.RUN_BREAK}'), lambda r: length(r) >= 2)) as r from (select conv_id * 1000 + turn as item_id, text from conversations)),
   g as (select item_id, substr(r, i::int, n::int) as gram from runs, range(2, 5) t(n), lateral (select unnest(range(1, length(r) - n + 2)) as i) where n <= length(r)),
@@ -98,7 +125,12 @@ _GRAMS = f"""runs as (select item_id, unnest(list_filter(string_split_regex(text
 _TAGS = ", ".join(f"(list_min(list_filter([{', '.join(f'''instr(text, '{f}')''' for f in forms)}], lambda p: p > 0)), '{t}')" for t, forms in LEXICON.items())
 _LABELS = " union all ".join(f"select doc_id, '{label}' as label, {' + '.join(f'''(case when contains(text, '{w}') then {1 + 0.35 * len(w)} else 0 end)''' for w in ws)} as s from documents" for label, ws in WORDS.items())
 _RANK = "r as (select user_id, event_type, count(*) as n, row_number() over (partition by user_id order by count(*) desc, min(event_id)) as rank from events group by 1, 2)"
+_FORMS = "f as (select distinct unnest(regexp_extract_all(text, '[A-Za-z]{4,}')) as form from benchmark), m as (select doc_id, form, instr(text, form) as p from documents, f where contains(text, form))"
 ORACLE_SQL = {
+    "lexicon_tags_many": f"""with {_FORMS}, t as (select doc_id, left(form, 2) as tag, min(p) as p from m group by 1, 2), r as (select *, row_number() over (partition by doc_id order by p, tag) as n from t)
+      select d.doc_id, coalesce(string_agg(tag, ',' order by n), '') as tags from documents d left join r on d.doc_id = r.doc_id and n <= 3 group by 1""",
+    "lexicon_score_many": f"""with {_FORMS}, s as (select doc_id, left(form, 1) as label, round(sum(1 + 0.35 * length(form))::double, 6) as score from m group by 1, 2)
+      select * from (select doc_id, (row_number() over (partition by doc_id order by score desc, label) - 1)::bigint as rank, label, score from s) where rank < 5""",
     "ngram_df": f"with {_GRAMS} select item_id, gram, n, round(ln(1 + n) * pow(length(gram), 1.2), 6) as score from f",
     "lexicon_tags": f"""with t as (select doc_id, unnest([{_TAGS}]) as x from documents), r as (select doc_id, x[2] as tag, row_number() over (partition by doc_id order by x[1], x[2]) as n from t where x[1] is not null)
       select d.doc_id, coalesce(string_agg(tag, ',' order by n), '') as tags from documents d left join r on d.doc_id = r.doc_id and n <= 3 group by 1""",
