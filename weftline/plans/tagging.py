@@ -10,6 +10,7 @@ from weftline.functions import payload as J
 from weftline.operators import graph as G
 from weftline.operators import incremental as I
 from weftline.operators import tagging as T
+from weftline.operators import tagrounds as R
 from weftline.plans.lexical import LEXICON
 from weftline.plans.services import _C, _R, FILES, _chunks, _registry
 from weftline.sources.tables import table
@@ -59,6 +60,43 @@ def tagged_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.tagged(t, _returned(spark, sf_dir), rules).select("i", "quote", F.array_join("tags", "|").alias("tags"), "source")
 
 
+def _rows_to_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    library = F.when(F.col("lang") == "en", "psychology").when(F.col("lang") == "fr", "literature").otherwise("poetry")
+    return _texts(spark, sf_dir).select("batch", "i", library.alias("library"), "text")
+
+
+def _model(spark: SparkSession, sf_dir: str):
+    """A model that gives back no answer for a part with a document of poor quality, and tags right and wrong for others."""
+    poor = table(spark, sf_dir, "labels").filter("quality = 0").select(F.col("doc_id").alias("i")).distinct()
+    word = F.regexp_extract("text", "[A-Za-z]{2,8}", 0)
+    item = F.struct(
+        F.substring("text", 1, 30).alias("quote"), F.when(F.col("library") == "poetry", "诗").otherwise("nothing").alias("type"), F.concat("library", F.when(F.col("i") % 7 == 0, "：x").otherwise("")).alias("concept"),
+        F.array(word, F.lit("x" * 30), F.lit("a：b"), F.lit("zzqqzz")).alias("keywords"), F.array(word).alias("imagery"), F.array(F.lit("平静"), F.lit("joy"), F.lit("平静")).alias("emotion"),
+    )
+    mixed = F.when(F.col("i") % 5 == 0, F.parse_json(F.concat(F.substring(F.to_json(item), 1, F.length(F.to_json(item)) - 1), F.lit(',"keywords2":1}')))).otherwise(F.parse_json(F.to_json(item)))
+
+    def ask(parts: DataFrame, n: int) -> DataFrame:
+        lost = parts.join(poor, "i", "left_semi").select("part").distinct()
+        return parts.join(lost, "part", "left_anti").select("part", "i", mixed.alias("item"), F.lit(False).alias("cut"))
+
+    return ask
+
+
+def tag_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches in rounds: when each document's part was taken, or that none was, and what of its answer stayed."""
+    rows = _rows_to_tag(spark, sf_dir)
+    done, failed = R.in_rounds(rows, _model(spark, sf_dir), ("平静",), partial=True)
+    told = done.select("i", "round", F.col("tags").isNotNull().alias("by_model"), F.col("tags.concept").alias("concept"), F.array_join("tags.keywords", "|").alias("keywords"), F.array_join("tags.imagery", "|").alias("imagery"), F.array_join("tags.emotion", "|").alias("emotion"), F.col("tags.type").alias("type"), F.array_join(F.array_sort("reasons"), "|").alias("reasons"))
+    none = [F.lit(None).cast("string").alias(c) for c in ("concept", "keywords", "imagery", "emotion", "type", "reasons")]
+    return told.unionByName(failed.select("i", "round", F.lit(False).alias("by_model"), *none))
+
+
+def tag_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reasons for which something of the answers was not taken."""
+    done, _ = R.in_rounds(_rows_to_tag(spark, sf_dir), _model(spark, sf_dir), ("平静",), partial=True)
+    return R.refusals(done, len(R.REASONS))
+
+
 def assembled_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with rule tags as chunks: empty ones go, equal texts of a library become one."""
     library = F.when(F.col("lang") == "en", "psychology").when(F.col("lang") == "fr", "literature").otherwise("poetry")
@@ -173,12 +211,26 @@ def detach_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        first_sentence, tag_quotes, tag_batches, tag_refusals, tagged_chunks, assembled_chunks, payload_fields, json_repair, full_ingest, corpus_ids, registry_clear,
+        first_sentence, tag_quotes, tag_batches, tag_refusals, tagged_chunks, tag_rounds, tag_reasons, assembled_chunks, payload_fields, json_repair, full_ingest, corpus_ids, registry_clear,
         source_documents, list_imports, collection_check, new_poems, page_unseen, chunk_nodes, work_nodes, concept_edges, detach_delete,
     )
 }
 
 
+_ROUNDS = """t as (select doc_id // 8 as batch, doc_id as i, coalesce(text, '') as text, case lang when 'en' then 'psychology' when 'fr' then 'literature' else 'poetry' end as library, row_number() over (partition by doc_id // 8 order by doc_id) - 1 as k,
+    doc_id in (select doc_id from labels where quality = 0) as poor, trim(left(coalesce(text, ''), 30)) <> '' as quoted from documents),
+  p(batch, lo, hi, round, i, bad) as (
+    select batch, 0::bigint, count(*) over (partition by batch), 0, i, bool_or(poor) over (partition by batch) or not bool_or(quoted) over (partition by batch) from t
+    union all
+    select h.batch, h.lo, h.hi, h.round, t.i, bool_or(t.poor) over (partition by h.batch, h.lo) or not bool_or(t.quoted) over (partition by h.batch, h.lo)
+      from (select distinct batch, round + 1 as round, unnest([lo, lo + (hi - lo) // 2]) as lo, unnest([lo + (hi - lo) // 2, hi]) as hi from p where bad and hi - lo > 1) h join t on t.batch = h.batch and t.k >= h.lo and t.k < h.hi),
+  w as (select p.i, p.round, library, quoted, regexp_extract(text, '[A-Za-z]{2,8}') as word, p.i % 7 = 0 as odd from p join t using (i) where not bad),
+  o as (select i, round, quoted as by_model, case when quoted then case when odd then '' else library end end as concept, case when quoted then word end as keywords, case when quoted then case when library = 'psychology' then '' else word end end as imagery,
+    case when quoted then '平静' end as emotion, case when quoted then case when library = 'poetry' then '诗' else '' end end as type,
+    case when not quoted then ['no quote'] else ['emotion', 'length', 'character', 'foreign'] || case when library <> 'poetry' then ['type'] else [] end || case when odd then ['character'] else [] end
+      || case when word = '' then ['length', 'length'] when library = 'psychology' then ['imagery'] else [] end end as reasons from w)"""
+
+
 def _sql_tags(lexicon: dict) -> str:
     found = ", ".join(f"(list_min(list_filter([{', '.join(f'''instr(text, '{f}')''' for f in forms)}], lambda p: p > 0)), '{t}')" for t, forms in lexicon.items())
     return f"array_to_string(list_transform(list_sort(list_filter([{found}], lambda x: x[1] is not null))[1:3], lambda x: x[2]), ',')"
@@ -196,6 +248,8 @@ ORACLE_SQL = {
     "tag_quotes": f"with {_T} select batch, i from m",
     "tag_batches": f"with {_T} select batch from a",
     "tag_refusals": f"with {_T} select reason, count(*) as n from (select {_REFUSAL} as reason from ({_TAG_ROWS})) where reason is not null group by 1 order by n desc, reason limit 4",
+    "tag_rounds": f"with recursive {_ROUNDS} select i, round, by_model, concept, keywords, imagery, emotion, type, array_to_string(list_sort(reasons), '|') as reasons from o union all select i, round, false, null, null, null, null, null, null from p where bad and hi - lo = 1",
+    "tag_reasons": f"with recursive {_ROUNDS}, x as (select unnest(reasons) as reason from o) select reason, count(*) as n from x group by 1",
     "tagged_chunks": f"""with {_T}, g as (select i, trim(tag) as tag, min(n) as n from ({_TAG_ROWS}) where {_REFUSAL} is null group by 1, 2), k as (select i, array_to_string(list(tag order by n)[1:3], '|') as tags from g group by 1),
         ok as (select i, trim(quote) as quote from r where batch in (select batch from a) and trim(quote) <> '' and contains(text, trim(quote)))
       select i, quote, coalesce(tags, '') as tags, 'llm' as source from ok left join k using (i) union all select i, left(text, 10), lang, 'lexical' from t where i not in (select i from ok)""",
