@@ -41,25 +41,43 @@ def kmeans(rows: DataFrame, k: int, vector: str = "v", seed: int = 0) -> DataFra
     return KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="label", maxIter=30).fit(ready).transform(ready).drop("_v")
 
 
+def local_tree(reach: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, length) of the minimum spanning tree of points with these pairwise lengths; a < b, ties by the ends' ids."""
+    n = len(ids)
+    free = np.ones(n, bool)
+    free[0] = False
+    best, parent = reach[0].copy(), np.zeros(n, np.int64)
+    low, high = np.minimum(ids, ids[0]), np.maximum(ids, ids[0])
+    out = []
+    for _ in range(n - 1):
+        some = np.flatnonzero(free)
+        near = some[best[some] == best[some].min()]
+        j = near[np.lexsort((high[near], low[near]))[0]] if len(near) > 1 else near[0]
+        out.append((parent[j], j))
+        free[j] = False
+        lo, hi = np.minimum(ids, ids[j]), np.maximum(ids, ids[j])
+        nearer = free & ((reach[j] < best) | ((reach[j] == best) & ((lo < low) | ((lo == low) & (hi < high)))))
+        best[nearer], parent[nearer], low[nearer], high[nearer] = reach[j][nearer], j, lo[nearer], hi[nearer]
+    a, b = np.array(out, np.int64).reshape(-1, 2).T
+    return np.minimum(ids[a], ids[b]), np.maximum(ids[a], ids[b]), reach[a, b]
+
+
 def hdbscan(x: np.ndarray, size: int, min_samples: int = MIN_SAMPLES) -> np.ndarray:
     """Labels of unit vectors, -1 for noise: spanning tree of mutual reachability, condensed by `size`, clusters by excess of mass."""
     n = len(x)
     if n < max(2, size):
         return np.full(n, -1)
-    d = np.maximum(0, 1 - x @ x.T)
+    d = np.maximum(0, np.round(1 - x @ x.T, 12))
     core = np.partition(d, min(min_samples, n - 1), 1)[:, min(min_samples, n - 1)]
-    reach = np.maximum(d, np.maximum(core[:, None], core))
-    # Prim's tree
-    best, parent, free = reach[0].copy(), np.zeros(n, int), np.ones(n, bool)
-    free[0] = False
-    edges = []
-    for _ in range(n - 1):
-        j = int(np.argmin(np.where(free, best, np.inf)))
-        edges.append((best[j], parent[j], j))
-        free[j] = False
-        nearer = free & (reach[j] < best)
-        best[nearer], parent[nearer] = reach[j][nearer], j
-    # merges, from the closest
+    a, b, length = local_tree(np.maximum(d, np.maximum(core[:, None], core)), np.arange(n))
+    return tree_labels(n, list(zip(length.tolist(), a.tolist(), b.tolist())), size)
+
+
+def tree_labels(n: int, edges: list[tuple[float, int, int]], size: int) -> np.ndarray:
+    """Labels of the points of a spanning tree, -1 for noise: merges from the closest, condensed by `size`, clusters by excess of mass.
+
+    Merges of one length are one merge of several parts, so the labels do not depend on which of several shortest trees it is.
+    """
     root = list(range(2 * n - 1))
 
     def find(a: int) -> int:
@@ -68,12 +86,16 @@ def hdbscan(x: np.ndarray, size: int, min_samples: int = MIN_SAMPLES) -> np.ndar
             a = root[a]
         return a
 
-    children: dict[int, tuple[int, int]] = {}
+    children: dict[int, list[int]] = {}
     height, count = {}, dict.fromkeys(range(n), 1)
     for k, (w, a, b) in enumerate(sorted(edges)):
         p, q, new = find(a), find(b), n + k
         root[p] = root[q] = new
-        children[new], height[new], count[new] = (p, q), w, count[p] + count[q]
+        parts, more = (children.pop(s) if height.get(s) == w else [s] for s in (p, q))
+        if len(parts) < len(more):
+            parts, more = more, parts
+        parts.extend(more)
+        children[new], height[new], count[new] = parts, w, count[p] + count[q]
 
     def points(node: int) -> list[int]:
         out, todo = [], [node]
@@ -96,14 +118,13 @@ def hdbscan(x: np.ndarray, size: int, min_samples: int = MIN_SAMPLES) -> np.ndar
         if above >= 0:
             clusters[above]["kids"].append(me)
         while node >= n:
-            p, q = children[node]
             lam = 1 / max(height[node], 1e-12)
-            big = [s for s in (p, q) if count[s] >= size]
-            if len(big) == 2:
+            big = [s for s in children[node] if count[s] >= size]
+            if len(big) > 1:
                 c["mass"] += count[node] * (lam - birth)
-                todo += [(p, me, lam), (q, me, lam)]
+                todo += [(s, me, lam) for s in big]
                 break
-            c["mass"] += sum(count[s] for s in (p, q) if s not in big) * (lam - birth)
+            c["mass"] += sum(count[s] for s in children[node] if count[s] < size) * (lam - birth)
             if not big:
                 break
             node = big[0]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions.vectors import normalised
 from weftline.operators import clustering as C
+from weftline.operators import density as D
 from weftline.sources.tables import table
 
 
@@ -48,7 +49,14 @@ def kmeans_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n")).select("user_id", C.kmeans_k(F.col("n") / 3).alias("k"))
 
 
-QUERIES = {f.__name__: f for f in (theme_gate, theme_count, cluster_rows, kmeans_sizes, density_clusters, kmeans_k)}
+def density_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as one run, clustered block by block: the size and the least vector of every cluster, and of the noise."""
+    e = table(spark, sf_dir, "embeddings").select(F.lit(0).alias("run_id"), "vec_id", F.col("embedding").alias("v"))
+    labels = D.density_labels(e, "run_id", "vec_id")
+    return labels.groupBy("label").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"))
+
+
+QUERIES = {f.__name__: f for f in (density_run, theme_gate, theme_count, cluster_rows, kmeans_sizes, density_clusters, kmeans_k)}
 
 _LABELS = "l as (select vec_id % 40 as run_id, vec_id, label, vec_id % 3 as raw from embeddings)"
 ORACLE_SQL = {
