@@ -181,3 +181,18 @@ def test_analysis_run(spark, folder):
             assert r["text"] == texts[r["chunk_id"]][:400] and r["library"] == list(order)[r["chunk_id"] % 3] and 0 < r["score"] < 1
             assert r["match_reason"].startswith("图谱" if r["path"] == "graph" else "向量") and r["source"] == "benchmark"
     assert {r["path"] for run in by.values() for r in run} == {"vector", "graph"}
+
+
+def test_split_reports(spark):
+    """Warnings of a split at their limits, and the error of a text that is too short."""
+    from weftline.operators import chunking
+
+    texts = {1: None, 2: "短文只有七个字", 3: "海上生明月。" * 40, 4: "x" * 5000, 5: "天涯共此时。" * 20 + "word " * 60, 6: "海" * 300, 7: "明月几时有？" * 200 + "海" * 700, 8: "ab"}
+    df = spark.createDataFrame(list(texts.items()), "id int, text string")
+    got = {r["id"]: r for r in chunking.split_reports(df, "id", "text").collect()}
+    for i, t in texts.items():
+        every = chunking.pieces(re.sub("[ \t]+", " ", t or "").strip())
+        hard, n = sum(p[3] for p in every), len(re.sub("[ \t]+", " ", t or "").strip())
+        assert (got[i]["pieces"], got[i]["hard"], got[i]["n_chars"]) == (len(every), hard, n)
+        assert (got[i]["error"] is not None) == (n < 8) and ("cuts" in got[i]["warnings"]) == (hard > 0.2 * len(every)) and ("short" in got[i]["warnings"]) == (8 <= n < 200)
+    assert got[4]["warnings"] == ["foreign", "cuts"] and got[3]["warnings"] == [] and got[5]["warnings"] == ["foreign"] and got[1]["warnings"] == []

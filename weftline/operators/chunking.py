@@ -17,12 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
-from weftline.functions.lexical import lossless
+from weftline.functions.lexical import cjk_share, lossless
 from weftline.shipping import arrow_udf
 
 # Lengths of pieces and of the overlap, the shortest text, the marks that end a sentence or a clause,
 # the lengths of streamed deltas, and the prefix of each library's ids.
 TARGET, MOST, LEAST, OVERLAP, SHORTEST = 350, 600, 60, 80, 8
+FOREIGN, CUTS, SHORT_TEXT = 0.3, 0.2, 200
 SENTENCE_END, CLAUSE_END = "。！？；…!?;", "，、,"
 DELTA_SIZE, DELTA_FLOOR, DELTA_END = 40, 12, "。！？…；\n"
 PREFIX = {"psychology": "psy", "literature": "lit", "poetry": "poem"}
@@ -106,6 +107,25 @@ def cut(df: DataFrame, key: str, text: str, target: int = TARGET, most: int = MO
     return df.select(key, F.posexplode(split(lossless(F.col(text)))).alias("piece", "p")).select(key, "piece", "p.*")
 
 
+def split_reports(df: DataFrame, key: str, text: str, target: int = TARGET, most: int = MOST) -> DataFrame:
+    """key, n_chars, pieces, hard, cjk, warnings and error: what a user is told of a split before anything is kept.
+
+    warnings are `foreign` (a small share of Chinese characters), `cuts` (many pieces cut within a sentence) and `short`;
+    error is `empty` for a text under SHORTEST characters, which has no piece and no warnings.
+    """
+
+    @arrow_udf("struct<pieces int, hard int>")
+    def counted(batch: pa.Array) -> pa.Array:
+        every = [pieces(t, target, most) for t in batch.to_pylist()]
+        return pa.array([{"pieces": len(x), "hard": sum(p[3] for p in x)} for x in every], pa.struct([("pieces", pa.int32()), ("hard", pa.int32())]))
+
+    clean = df.select(key, lossless(F.col(text)).alias("_t"))
+    told = clean.select(key, F.length("_t").alias("n_chars"), cjk_share(F.col("_t")).alias("cjk"), counted("_t").alias("_c")).select(key, "n_chars", "_c.pieces", "_c.hard", "cjk")
+    empty = F.col("pieces") == 0
+    warnings = F.array_compact(F.array(F.when(F.col("cjk") < FOREIGN, "foreign"), F.when((F.col("hard") > 0) & (F.col("hard") > F.col("pieces") * CUTS), "cuts"), F.when(F.col("n_chars") < SHORT_TEXT, "short")))
+    return told.withColumns({"warnings": F.when(empty, F.array().cast("array<string>")).otherwise(warnings), "error": F.when(empty, "empty")})
+
+
 def deltas(text: str, size: int = DELTA_SIZE, floor: int = DELTA_FLOOR) -> list[str]:
     """The text in small parts that end at a mark or at `size`; no mark between a pair of ** ends one."""
     out, start, bold = [], 0, 0

@@ -36,11 +36,18 @@ def delta_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", F.array_join(F.transform("d", lambda x: F.length(x).cast("string")), ",").alias("lengths"), F.md5(F.array_join("d", "")).alias("digest"))
 
 
+def split_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, those of even ids with a Chinese sentence as often as they have letters, and what a user is told of their split; cuts are held against plain Python in the tests."""
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.repeat(F.lit("海上生明月。"), F.floor(F.length("text") / 4).cast("int")))).otherwise(F.col("text")).alias("text")))
+    r = K.split_reports(d, "doc_id", "text")
+    return r.select("doc_id", "n_chars", F.round("cjk", 6).alias("cjk"), F.array_join(F.array_remove("warnings", "cuts"), ",").alias("warnings"), "error")
+
+
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", page_text(F.col("html")).alias("text")).select("page_id", F.length("text").alias("length"), F.md5("text").alias("digest"))
 
 
-QUERIES = {f.__name__: f for f in (chunk_pieces, chunk_lossless, chunk_ids, delta_chunks, html_blocks)}
+QUERIES = {f.__name__: f for f in (chunk_pieces, chunk_lossless, chunk_ids, delta_chunks, split_warnings, html_blocks)}
 _BLOCK = "p|div|h1|h2|h3|h4|h5|h6|li|tr|td|th|blockquote|section|article|figcaption|dd|dt|pre|hr"
 #: The references that the given pages hold; those of ampersands last.
 _REFERENCES = (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&"))
@@ -60,7 +67,12 @@ def _blocks_sql() -> str:
     return rf"with t as (select page_id, regexp_replace(regexp_replace(array_to_string({lines}, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as text from pages) select page_id, length(text) as length, md5(text) as digest from t"
 
 
+_CLEAN = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\r\\n?', chr(10), 'g'), '[\\x{200B}-\\x{200F}\\x{2028}\\x{2029}\\x{FEFF}]', '', 'g'), '[ \\t\\x{3000}]+', ' ', 'g'), '(?m)^ | $', '', 'g')"
 ORACLE_SQL = {
+    "split_warnings": f"""with a as (select doc_id, coalesce(text, '') || case when doc_id % 2 = 0 then repeat('海上生明月。', (length(text) // 4)::bigint) else '' end as t from documents),
+      b as (select doc_id, regexp_replace(regexp_replace({_CLEAN}, '\\n{{3,}}', chr(10) || chr(10), 'g'), '^\\s+|\\s+$', '', 'g') as t from a),
+      c as (select doc_id, length(t) as n, case when length(t) > 0 then length(regexp_replace(left(t, 4000), '[^\\x{{3400}}-\\x{{4DBF}}\\x{{4E00}}-\\x{{9FFF}}\\x{{3000}}-\\x{{303F}}\\x{{FF00}}-\\x{{FFEF}}]', '', 'g')) / length(left(t, 4000)) else 0.0 end as r from b)
+      select doc_id, n as n_chars, round(r::double, 6) as cjk, case when n < 8 then '' else concat_ws(',', case when r < 0.3 then 'foreign' end, case when n < 200 then 'short' end) end as warnings, case when n < 8 then 'empty' end as error from c""",
     "html_blocks": _blocks_sql(),
     "chunk_lossless": "select doc_id, md5(regexp_replace(text, '\\s+', '', 'g')) as digest from documents where length(trim(text)) >= 8",
     "delta_chunks": f"""select conv_id, turn, array_to_string(list_transform(regexp_extract_all(text, '(?s).{{{K.DELTA_FLOOR - 1},{K.DELTA_SIZE - 1}}}?[{K.DELTA_END}]|.{{{K.DELTA_SIZE}}}|.+$'), lambda x: length(x)), ',') as lengths, md5(text) as digest from conversations""",

@@ -9,7 +9,7 @@ from weftline.functions import text as T
 from weftline.operators import comments as C
 from weftline.operators.storage import stored
 from weftline.sources.tables import spread, table
-from weftline.sources.text import split_items
+from weftline.sources.text import split_items, split_warnings
 
 _SPACE = "[\\s\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{85}\\x{B}]+"
 _BODY = f"trim(regexp_replace(regexp_replace(coalesce(text, ''), '{T.ZERO_WIDTH}', '', 'g'), '{_SPACE}', ' ', 'g'))"
@@ -73,6 +73,12 @@ def split_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "total", F.least("total", F.lit(10)).alias("kept"), F.greatest(F.col("total") - 10, F.lit(0)).alias("dropped"))
 
 
+def text_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is told of each document as a pasted text of at most 10 lines."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.regexp_replace("text", r"\. ", ". ")).otherwise(F.regexp_replace("text", "\n", " ")).alias("text"))
+    return split_warnings(d, "doc_id", "text", "line", 10).withColumn("warnings", F.array_join("warnings", ","))
+
+
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", T.one_line(F.col("text"), 60).alias("snippet"), T.title(F.col("text")).alias("title"))
@@ -107,7 +113,7 @@ def coerced(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (clean_flags, mark_duplicates, clean_tally, clean_reasons, visible_comments, split_lines, split_paragraphs, split_preview, snippets, cleaned_tags, filtered_ids, coerced)}
+QUERIES = {f.__name__: f for f in (clean_flags, mark_duplicates, clean_tally, clean_reasons, visible_comments, split_lines, split_paragraphs, split_preview, text_warnings, snippets, cleaned_tags, filtered_ids, coerced)}
 
 _PARTS = "list_filter(list_transform(string_split(regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g'), chr(10)), lambda p: trim(p, ' ')), lambda p: trim(p, ' ') <> '')"
 _FLAT = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
@@ -126,6 +132,9 @@ ORACLE_SQL = {
       p as (select conv_id, unnest(l) as item, generate_subscripts(l, 1) as i from s)
       select conv_id, format('txt-{:04d}', i) as item_id, least(length(item), 2000)::bigint as length from p where i <= 100""",
     "split_preview": f"with c as (select doc_id, len({_PARTS}) as total from documents) select doc_id, total, least(total, 10) as kept, greatest(total - 10, 0) as dropped from c",
+    "text_warnings": f"""with t as (select doc_id, case when doc_id % 7 = 0 then replace(text, chr(10), ' ') else text end as text from documents), l as (select doc_id, {_PARTS} as p from t),
+      n as (select doc_id, len(p) as total, least(len(p), 10) as kept, len(list_filter(p[1:10], lambda x: length(x) > 2000)) as cut from l)
+      select doc_id, total, kept, total - kept as dropped, cut, concat_ws(',', case when kept = 0 then 'empty_text' end, case when total > kept then 'text_truncated' end, case when cut > 0 then 'text_item_truncated' end) as warnings from n""",
     "snippets": f"""select doc_id, case when length({_FLAT}) > 60 then left({_FLAT}, 60) || '…' else {_FLAT} end as snippet,
       case when length(trim(string_split(trim(text), chr(10))[1])) > 18 then left(trim(string_split(trim(text), chr(10))[1]), 18) || '…' else trim(string_split(trim(text), chr(10))[1]) end as title from documents""",
     "cleaned_tags": """with t as (select conv_id, turn, list_concat([role, ' ' || role, ''], string_split(text, ' ')) as l from conversations),

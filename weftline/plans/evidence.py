@@ -91,7 +91,7 @@ def graph_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     imagery = p.groupBy(F.col("p_brand").alias("concept"), F.col("p_type").alias("imagery")).agg(F.count("*").alias("strength"))
     mentions = p.select(F.col("p_type").alias("imagery"), F.col("p_partkey").alias("chunk_id"), F.col("p_retailprice").alias("weight"))
-    concepts = E.top_concepts(_hits(spark, sf_dir).filter("run_id % 10 = 0"))
+    concepts = E.top_concepts(_hits(spark, sf_dir))
     return E.graph_pass(concepts, imagery, mentions)
 
 
@@ -156,7 +156,7 @@ ORACLE_SQL = {
     "top_concepts": f"with {_HITS} select run_id, place, concept from top",
     "graph_pass": f"""with {_HITS}, i as (select p_brand as concept, p_type as imagery, row_number() over (partition by p_brand order by count(*) desc, p_type) as i from part group by 1, 2 qualify i <= 3),
       m as (select p_type as imagery, p_partkey as chunk_id, row_number() over (partition by p_type order by p_retailprice desc, p_partkey) as m from part qualify m <= 6)
-      select run_id, concept, chunk_id, row_number() over (partition by run_id, concept order by p) as place from (select run_id, concept, chunk_id, min((i, m)) as p from top join i using (concept) join m using (imagery) where run_id % 10 = 0 group by 1, 2, 3)""",
+      select run_id, concept, chunk_id, row_number() over (partition by run_id, concept order by p) as place from (select run_id, concept, chunk_id, min((i, m)) as p from top join i using (concept) join m using (imagery) group by 1, 2, 3)""",
     "evidence_rows": """with l as (select l_orderkey as run_id, l_partkey as k, min(l_linenumber) as n from lineitem group by 1, 2),
       p as (select p_partkey as k, p_name, case when p_size % 3 = 0 then p_brand when p_size % 4 = 0 then 'T' end as w, case when p_size % 2 = 0 then p_type end as author, case when p_size % 5 = 0 then 'src' end as source, case when p_size % 7 <> 0 then p_type || '、' || p_brand else '' end as im from part where p_partkey % 13 <> 0),
       j as (select *, row_number() over (partition by run_id order by n * 1000000 + k) as rank, k % 5 <> 0 as hit from l join p using (k))

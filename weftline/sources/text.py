@@ -27,6 +27,16 @@ def split_items(df: DataFrame, key: str, text: str, mode: str, limit: int) -> Da
     return items.select(key, F.format_string(ITEM_ID, F.col("i") + 1).alias("item_id"), F.substring("item", 1, ITEM_CHARS).alias("body"), (F.length("item") > ITEM_CHARS).alias("truncated"))
 
 
+def split_warnings(df: DataFrame, key: str, text: str, mode: str, limit: int) -> DataFrame:
+    """key, total, kept, dropped, cut and warnings of each row's split: empty_text, text_truncated (more items than the limit), text_item_truncated (items that were cut)."""
+    found = df.select(key, parts(F.col(text), mode).alias("_p"))
+    shown = F.slice("_p", 1, max(0, limit))
+    told = found.select(key, F.size("_p").alias("total"), F.size(shown).alias("kept"), F.size(F.filter(shown, lambda p: F.length(p) > ITEM_CHARS)).alias("cut"))
+    dropped = F.col("total") - F.col("kept")
+    codes = F.array_compact(F.array(F.when(F.col("kept") == 0, "empty_text"), F.when(dropped > 0, "text_truncated"), F.when(F.col("cut") > 0, "text_item_truncated")))
+    return told.select(key, "total", "kept", dropped.alias("dropped"), "cut", codes.alias("warnings"))
+
+
 def decode_bytes(content: bytes | None) -> str | None:
     """The text of a file's bytes, by the first encoding that reads them whole; null if none does."""
     for e in ENCODINGS if content is not None else ():
