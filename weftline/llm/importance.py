@@ -286,3 +286,24 @@ def resampled(docs: DataFrame, target: DataFrame, key: str = "doc_id", text: str
 def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return drawn.select(F.col("doc_id").cast("long").alias("doc_id"), "n_features", "weight", "score", F.col("rank").cast("long").alias("rank"))
+
+
+OP11_SQL = r"""
+WITH tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+texts AS (SELECT doc_id, false AS goal, coalesce(text, '') AS text FROM documents UNION ALL SELECT NULL, true, coalesce(text, '') FROM benchmark),
+numbered AS (SELECT row_number() OVER () AS r, doc_id, goal, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts),
+words AS (SELECT r, goal, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM numbered),
+runs AS (SELECT r, goal, a, lead(a) OVER q AS b, lead(a, 2) OVER q AS c FROM words WINDOW q AS (PARTITION BY r ORDER BY i)),
+features AS (SELECT r, goal, a AS f FROM runs UNION ALL SELECT r, goal, a || ' ' || b FROM runs WHERE b IS NOT NULL UNION ALL SELECT r, goal, a || ' ' || b || ' ' || c FROM runs WHERE c IS NOT NULL),
+hexed AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM features)),
+crcs AS (SELECT f, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, length(h), 2), lambda k: ('0x' || substr(h, k, 2))::BIGINT)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 10000 AS bucket FROM hexed, tab),
+placed AS (SELECT r, goal, bucket, count(*) AS n FROM features JOIN crcs USING (f) GROUP BY ALL),
+sums AS (SELECT bucket, coalesce(sum(n) FILTER (NOT goal), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (goal), 0)::DOUBLE AS t FROM placed GROUP BY 1),
+totals AS (SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM sums),
+gains AS (SELECT bucket, floor(1000 * ln((t + 1) * (s_all + 10000) / ((s + 1) * (t_all + 10000))))::BIGINT AS gain FROM sums, totals),
+weighed AS (SELECT r, sum(n)::BIGINT AS n_features, sum(n * gain)::BIGINT AS weight FROM placed JOIN gains USING (bucket) WHERE NOT goal GROUP BY 1),
+scored AS (SELECT doc_id, len(w) >= 20 AS part, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM numbered LEFT JOIN weighed USING (r) WHERE NOT goal),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY part ORDER BY score DESC, doc_id) AS place, count(*) FILTER (part) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN part AND place <= 5 * n // 100 THEN place END AS rank FROM ranked
+"""
