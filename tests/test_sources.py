@@ -109,3 +109,48 @@ def test_paged_fields_and_failures(spark):
         read.option("ids", "down").load().collect()
     cut = spark.read.format("paged").option("provider", "tests.test_sources:pages").option("ids", "broken").load().collect()
     assert cut and all(r["cut_short"] for r in cut)
+
+
+def grown(path, cursor, count):
+    """A source that grows: its rows are the lines of the file that is its id."""
+    with open(path) as f:
+        lines = f.read().splitlines()
+    if "broken" in path:
+        raise OSError("asked for an id that the filter leaves out")
+    return {"items": [{"comment_id": k, "text": lines[k]} for k in range(cursor, min(len(lines), cursor + count))], "has_more": cursor + count < len(lines), "cursor": cursor + count}
+
+
+def length(path):
+    with open(path) as f:
+        return len(f.read().splitlines())
+
+
+def test_paged_stream_goes_on_at_its_cursors(spark, tmp_path):
+    spark.dataSource.register(PagedSource)
+    paths = [tmp_path / x for x in ("one", "two")]
+    sizes = [(450, 0), (450, 7), (501, 7)]
+    for n in sizes:
+        for p, k in zip(paths, n):
+            p.write_text("".join(f"line {x}\n" if x % 50 else " \n" for x in range(k)))
+        stream = spark.readStream.format("paged").option("provider", "tests.test_sources:grown").option("ends", "tests.test_sources:length").option("ids", ",".join(map(str, paths))).load()
+        stream.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/progress").trigger(availableNow=True).start().awaitTermination()
+        got = sorted((r["id"], int(r["comment_id"])) for r in spark.read.parquet(f"file://{tmp_path}/out").collect())
+        assert got == sorted((str(p), x) for p, k in zip(paths, n) for x in range(k) if x % 50)
+    with pytest.raises(Exception, match="ends"):
+        spark.readStream.format("paged").option("provider", "tests.test_sources:grown").option("ids", "a").load().writeStream.format("noop").option("checkpointLocation", f"file://{tmp_path}/p2").trigger(availableNow=True).start().awaitTermination()
+
+
+def test_paged_filters_reach_the_reader(spark, tmp_path):
+    spark.dataSource.register(PagedSource)
+    (tmp_path / "good").write_text("a\nb\n")
+    (tmp_path / "broken").write_text("a\n")
+    ids = [str(tmp_path / x) for x in ("good", "broken")]
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = spark.read.format("paged").option("provider", "tests.test_sources:grown").option("ids", ",".join(ids)).option("push", "true").load()
+        assert df.filter(df["id"] == ids[0]).count() == df.filter(df["id"].isin(ids[0], "none")).filter("like_count = 0").count() == 2
+        assert df.filter(df["id"] == "none").count() == 0
+        with pytest.raises(Exception, match="leaves out"):
+            df.count()
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")

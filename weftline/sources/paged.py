@@ -13,10 +13,19 @@ import importlib
 import json
 from collections.abc import Iterator
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from dataclasses import dataclass
+
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
 # Rows of a page and pages of a scan, at most.
 PAGE_ROWS, MOST_PAGES = 20, 50
+#: Pages that a task of the stream reads.
+PAGES = 10
+
+
+def _named(function: str):
+    module, _, name = function.partition(":")
+    return getattr(importlib.import_module(module), name)
 
 
 class PagedReader(DataSourceReader):
@@ -28,9 +37,10 @@ class PagedReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(i) for i in self.ids]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        module, _, name = self.provider.partition(":")
-        fetch = getattr(importlib.import_module(module), name)
+    def read(self, partition: InputPartition | None) -> Iterator[tuple]:
+        if partition is None:  # no ids
+            return
+        fetch = _named(self.provider)
         cursor, n = 0, 0
         held: list[tuple] = []  # a page's rows wait until the next page is there or fails
         for page in range(MOST_PAGES):
@@ -54,6 +64,59 @@ class PagedReader(DataSourceReader):
         yield from (row + (False,) for row in held)
 
 
+class PushingReader(PagedReader):
+    """A reader that takes filters on id."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("id",):
+                self.ids = [i for i in self.ids if i == f.value]
+            elif isinstance(f, In) and f.attribute == ("id",):
+                self.ids = [i for i in self.ids if i in f.value]
+            else:
+                yield f
+
+
+@dataclass
+class Range(InputPartition):
+    """Rows of an id from start to before end."""
+
+    id: str
+    start: int
+    end: int
+
+
+class PagedStreamReader(DataSourceStreamReader):
+    """New rows of each id; offsets are rows by id."""
+
+    def __init__(self, options: dict) -> None:
+        if "ends" not in options:
+            raise ValueError("a stream needs the option ends")
+        self.reader, self.ends = PagedReader(options), options["ends"]
+
+    def initialOffset(self) -> dict:
+        return dict.fromkeys(self.reader.ids, 0)
+
+    def latestOffset(self) -> dict:
+        end = _named(self.ends)
+        return {i: int(end(i)) for i in self.reader.ids}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        size = PAGES * PAGE_ROWS
+        return [Range(i, a, min(a + size, end[i])) for i in self.reader.ids if i in end for a in range(start.get(i, 0), end[i], size)]
+
+    def read(self, partition: Range) -> Iterator[tuple]:
+        fetch, fields = _named(self.reader.provider), self.reader.fields
+        for cursor in range(partition.start, partition.end, PAGE_ROWS):
+            for item in fetch(partition.id, cursor, min(PAGE_ROWS, partition.end - cursor))["items"]:
+                text = _dug(item, fields["text"]) or ""
+                if text.strip():
+                    yield partition.id, str(_dug(item, fields["comment_id"])), text, int(_dug(item, fields["like_count"]) or 0), cursor // PAGE_ROWS, False
+
+    def commit(self, end: dict) -> None:
+        """The checkpoint keeps the offsets; the source has nothing to forget."""
+
+
 def _dug(value, path: str):
     """The value at a dotted path, None where there is none."""
     for name in path.split("."):
@@ -72,4 +135,7 @@ class PagedSource(DataSource):
         return "id string, comment_id string, text string, like_count long, page int, cut_short boolean"
 
     def reader(self, schema) -> PagedReader:
-        return PagedReader(self.options)
+        return (PushingReader if self.options.get("push") == "true" else PagedReader)(self.options)
+
+    def streamReader(self, schema) -> PagedStreamReader:
+        return PagedStreamReader(self.options)
