@@ -5,6 +5,12 @@ items, has_more and the next cursor (as next_cursor, as cursor, or as page.curso
 columns comment_id, text and like_count to other, dotted names. Rows without a text are dropped. A failing page ends that
 id's rows: what was read before stays, and cut_short is true in the rows of the last page before it. Where the first
 page fails there is nothing to keep, and the read fails.
+
+Filters are not taken by the reader, ids are told as an option: Spark 4.1.2 keeps a reader that took a filter with its DataFrame, and
+a later query on that DataFrame without the filter would lose rows.
+
+As a stream (readStream) a source whose cursors are offsets is read from where the checkpoint left each id: the option `ends`
+names a function that takes an id and returns its number of rows so far. What is new of an id is read by several tasks, PAGES pages each.
 """
 
 from __future__ import annotations
@@ -15,7 +21,7 @@ from collections.abc import Iterator
 
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 # Rows of a page and pages of a scan, at most.
 PAGE_ROWS, MOST_PAGES = 20, 50
@@ -64,19 +70,6 @@ class PagedReader(DataSourceReader):
         yield from (row + (False,) for row in held)
 
 
-class PushingReader(PagedReader):
-    """A reader that takes filters on id."""
-
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("id",):
-                self.ids = [i for i in self.ids if i == f.value]
-            elif isinstance(f, In) and f.attribute == ("id",):
-                self.ids = [i for i in self.ids if i in f.value]
-            else:
-                yield f
-
-
 @dataclass
 class Range(InputPartition):
     """Rows of an id from start to before end."""
@@ -135,7 +128,7 @@ class PagedSource(DataSource):
         return "id string, comment_id string, text string, like_count long, page int, cut_short boolean"
 
     def reader(self, schema) -> PagedReader:
-        return (PushingReader if self.options.get("push") == "true" else PagedReader)(self.options)
+        return PagedReader(self.options)
 
     def streamReader(self, schema) -> PagedStreamReader:
         return PagedStreamReader(self.options)
