@@ -20,7 +20,8 @@ WINDOW = 64
 
 def windows(text: Column, size: int, overlap: int) -> Column:
     """The text in pieces of `size` characters, each with the first `overlap` characters of the next; in one pass over the text."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{size + overlap}}})).{{1,{size}}}"), F.lit(1))
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{size + overlap}}})).{{1,{size}}}"), F.lit(1))
+    return F.when(F.length(text).between(1, size), F.array(text)).otherwise(pieces)
 
 
 def grams(text: Column, q: int = Q) -> Column:

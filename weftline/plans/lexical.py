@@ -19,7 +19,7 @@ WORDS = {"english": ["the", "tion", "and"], "german": ["der", "sch", "ung"], "fr
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns as comments of one id."""
-    return table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), "text")
+    return spread(table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("item_id"), "text"))
 
 
 def ngram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def ngram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keyphrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.keyphrases(table(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.array_join("phrases", "|").alias("phrases"))
+    return K.keyphrases(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), "doc_id", "text").select("doc_id", F.array_join("phrases", "|").alias("phrases"))
 
 
 def keyphrases_across(spark: SparkSession, sf_dir: str) -> DataFrame:
