@@ -52,7 +52,7 @@ def is_ad(body: Column) -> Column:
     digits = body.rlike(rf"\p{{Nd}}{{{LONG_DIGITS},}}") & body.rlike(r"\p{L}")  # digits and punctuation alone are spam
     weak = F.size(F.array_distinct(F.regexp_extract_all(body, F.lit("(" + "|".join(WEAK) + ")"), F.lit(1)))) >= WEAK_LEAST
     # every strong pattern holds one of these; most texts have none, and the rest is not tried on them
-    may = body.rlike(rf"(?U)[{CJK}]|\d{{6}}|[+＋]\s*[vV]|[vVwW][xX]|[qQ][qQ]")
+    may = body.rlike(rf"[{CJK}]|\p{{Nd}}{{6}}|[+＋]\p{{IsWhite_Space}}*[vV]|[vVwW][xX]|[qQ][qQ]")
     return (body != "") & (body.rlike("(?i)" + URL) | (may & body.rlike("(?iU)" + STRONG)) | digits | weak)
 
 
