@@ -146,9 +146,18 @@ def into_table(path: str) -> Callable[[DataFrame, int], None]:
 
 
 def drained(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> int:
-    """Runs the stream from its checkpoint until it has no more input; the number of batches that it has run so far."""
-    query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
+    """Runs the stream from its checkpoint until it has no more input; the number of batches that it has run so far.
+
+    A new stream's state has a partition for each core at most: each is a store of its own and a task in every batch.
+    """
+    spark, setting = stream.sparkSession, "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(int(before), spark.sparkContext.defaultParallelism)))
+    try:
+        query = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return 0 if query.lastProgress is None else query.lastProgress["batchId"] + 1
 
 
