@@ -1,8 +1,10 @@
 import io
 import zipfile
 
+import duckdb
 import pytest
 
+from weftline.plans.chunking import ORACLE_SQL, QUERIES
 from weftline.sources import corpus
 from weftline.sources.markup import book_parts, books
 from weftline.sources.paged import PagedSource
@@ -145,3 +147,13 @@ def test_a_filter_does_not_stay_with_the_source(spark, tmp_path):
     df = spark.read.format("paged").option("provider", "tests.test_sources:grown").option("ids", f"{tmp_path}/one,{tmp_path}/two").load()
     assert [df.count(), df.filter(df["id"] == f"{tmp_path}/one").count(), df.count()] == [4, 2, 4]
     assert spark.read.format("paged").option("provider", "tests.test_sources:grown").option("ids", "").load().count() == 0
+
+
+def test_references_without_their_semicolon(spark, tmp_path):
+    """The SQL of html_blocks decodes them where the query does: before a tag as well as at the end."""
+    pages = [(1, "<h1>a&amp;&amp</h1><p>b &am</p>c&amp"), (2, "<p>&amp;lt; &copy 1 &ampx</p>"), (3, None)]
+    spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = sorted(tuple(r) for r in QUERIES["html_blocks"](spark, str(tmp_path)).collect())
+    with duckdb.connect() as c:
+        c.execute(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+        assert sorted(c.execute(ORACLE_SQL["html_blocks"]).fetchall()) == got

@@ -49,8 +49,8 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (chunk_pieces, chunk_lossless, chunk_ids, delta_chunks, split_warnings, html_blocks)}
 _BLOCK = "p|div|h1|h2|h3|h4|h5|h6|li|tr|td|th|blockquote|section|article|figcaption|dd|dt|pre|hr"
-#: The references that the given pages hold; those of ampersands last.
-_REFERENCES = (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&"))
+#: The references that the given pages hold; those of ampersands last. Each is one without its semicolon too.
+_REFERENCES = (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("nbsp", " "), ("amp", "&"))
 
 
 def _blocks_sql() -> str:
@@ -61,8 +61,7 @@ def _blocks_sql() -> str:
     ):
         t = f"regexp_replace({t}, '{pattern}', '{to}', 'g')"
     for name, to in _REFERENCES:
-        t = f"replace({t}, '{name}', '{to}')"
-    t = f"regexp_replace({t}, '&amp$', '&')"
+        t = f"regexp_replace({t}, '&{name};?', '{to}', 'g')"
     lines = f"list_transform(string_split(regexp_replace({t}, '[ \t]+', ' ', 'g'), chr(10)), lambda x: trim(x))"
     return rf"with t as (select page_id, regexp_replace(regexp_replace(array_to_string({lines}, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') as text from pages) select page_id, length(text) as length, md5(text) as digest from t"
 
