@@ -113,3 +113,19 @@ def test_card_prefers_the_live_event(spark):
     live = spark.createDataFrame([("s", "a", "live", "{1}", 3, None, None)], "session string, call_id string, name string, args string, round long, ok boolean, summary string")
     got = {r["call_id"]: (r["origin"], r["name"], r["ok"], r["preview"]) for r in A.tool_cards(calls, replies, live).collect()}
     assert got == {"a": ("live", "live", None, None), "b": ("reply", "n", True, "new"), "c": ("open", "n", None, None), "d": ("open", "n", None, None)}
+
+
+def test_a_node_ends_once(spark, tmp_path):
+    """A second end of a node leaves the message told since, an end without a node where none is current does not."""
+    rows = [
+        ("a", 1, "node_started", "x", "m1", None), ("a", 2, "node_completed", "x", None, None), ("a", 3, "progress", "x", "m3", None), ("a", 4, "node_completed", "x", None, None),
+        ("b", 1, "node_started", "x", "m1", None), ("b", 2, "node_started", None, "m2", None), ("b", 3, "node_completed", "y", None, None),
+        ("c", 1, "progress", None, "m1", None), ("c", 2, "node_completed", None, None, None),
+        ("d", 1, "node_started", "x", "m1", None), ("d", 2, "node_completed", "x", None, None), ("d", 3, "node_started", "x", "m3", None),
+    ]
+    log = spark.createDataFrame(rows, "run_id string, seq long, type string, node string, message string, progress double")
+    got = {r["run_id"]: (r["current_node"], r["current_message"]) for r in run_state(log).collect()}
+    assert got == {"a": (None, "m3"), "b": ("x", "m2"), "c": (None, None), "d": ("x", "m3")}
+    t = KeyedTable.create(spark, f"file://{tmp_path}/t", S.schema_of(log, ["run_id"], S.RUN_STATE), ("run_id",), buckets=2)
+    drain(spark, lambda k: log, tmp_path, S.run_states, S.into_table(t.path), 1)
+    assert sorted(map(str, t.read().collect())) == sorted(map(str, run_state(log).select(*t.schema.names).collect()))

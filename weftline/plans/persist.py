@@ -216,13 +216,16 @@ _CLUSTERS = "select l_orderkey as run_id, l_returnflag as cluster_key, min(l_lin
 _LOG = "l as (select user_id as run_id, event_id, event_type, event_id % 8 as k, row_number() over (partition by user_id order by event_id) as seq from events)"
 _STATE = f"""e0 as (select user_id as run_id, event_id, event_type as node, row_number() over (partition by user_id order by event_id) as seq, {list(_TYPES)}[event_id % {len(_TYPES)} + 1] as type,
     case when event_id % 3 <> 0 then 'm' || event_id end as message, case when event_id % 2 = 0 then floor(value)::bigint % 120 end as progress from events),
-  e as (select *, last_value(case when type = 'node_started' then node end ignore nulls) over (partition by run_id order by seq rows between unbounded preceding and 1 preceding) as running from e0),
-  f as (select *, type = 'node_started' as s, coalesce(type = 'node_completed' and node = running, false) as l, type = 'progress' and message is not null as p from e)"""
+  e1 as (select *, last_value(case when type = 'node_started' then node end ignore nulls) over w as running, last_value(case when type = 'node_started' and node is not null then seq end ignore nulls) over w as opened
+    from e0 window w as (partition by run_id order by seq rows between unbounded preceding and 1 preceding)),
+  e2 as (select *, last_value(case when type = 'node_completed' and node = running then seq end ignore nulls) over (partition by run_id order by seq rows between unbounded preceding and 1 preceding) as ended from e1),
+  e as (select *, case when ended is null or ended < opened then running end as now from e2),
+  f as (select *, type = 'node_started' as s, type = 'node_completed' and node is not distinct from now as l, type = 'progress' and message is not null as p from e)"""
 ORACLE_SQL = {
     "run_state": f"""with {_STATE}, n as (select run_id, node, arg_max(case when s then 'running' else 'done' end, seq) as st from f where type in ('node_started', 'node_completed') group by 1, 2), k as (select run_id, string_agg(node || ':' || st, ',' order by node) as nodes from n group by 1),
       g as (select run_id, max(seq) as last_seq, arg_max(case type when 'run_started' then 'running' when 'error' then 'failed' when 'run_completed' then 'succeeded' else 'cancelled' end, seq) filter (type in ('run_started', 'error', 'run_completed', 'run_cancelled')) as status,
         (case when bool_or(type = 'run_completed') then 100 else least(100, greatest(0, coalesce(max(progress), 0))) end)::double as progress,
-        (arg_max({{'v': case when s then node end}}, seq) filter (s or l)).v as current_node, (arg_max({{'v': case when s or p then message end}}, seq) filter (s or p or l)).v as current_message,
+        (arg_max({{'v': case when s then coalesce(node, now) end}}, seq) filter (s or l)).v as current_node, (arg_max({{'v': case when s or p then message end}}, seq) filter (s or p or l)).v as current_message,
         count(*) filter (type = 'warning') as warnings, arg_max(coalesce(message, ''), seq) filter (type = 'error') as error, count(*) filter (type not in ('partial', 'delta', 'progress') or p) as timeline from f group by 1)
       select g.*, nodes from g left join k using (run_id)""",
     "import_progress": """with b as (select event_id, [0, 5, 15, 70, 90, null][event_id % 6 + 1] as low, [5, 15, 70, 90, 100, null][event_id % 6 + 1] as high, least(1.0, greatest(0.0, (event_id % 13 - 1) / 10))::double as r from events)

@@ -57,17 +57,22 @@ def run_state(log: DataFrame, run: str = "run_id") -> DataFrame:
     """run, last_seq, status, progress, nodes, current_node, current_message, warnings, error and timeline (a length) after a run's events.
 
     log has (run, seq, type, node, message, progress); repeats of a seq count once. A node is current from its start to its
-    end, and its message goes with it; a run's end sets its status, and its completion the progress to 100.
+    first end after that, and the message goes with it; an end of a node that is not current leaves both. A start without
+    a node leaves the node. A run's end sets its status, and its completion the progress to 100.
     """
     once = log.groupBy(run, "seq").agg(F.min(F.struct("type", "node", "message", "progress")).alias("e")).select(run, "seq", "e.*")
     started, completed = F.col("type") == "node_started", F.col("type") == "node_completed"
     before = W.partitionBy(run).orderBy("seq").rowsBetween(W.unboundedPreceding, -1)
-    told = once.withColumn("_running", F.last(F.when(started, F.col("node")), ignorenulls=True).over(before))
-    leaves = completed & (F.col("node") == F.col("_running"))
+    opens = started & F.col("node").isNotNull()
+    ends = completed & (F.col("node") == F.col("_running"))
+    told = once.withColumns({"_running": F.last(F.when(opens, F.col("node")), ignorenulls=True).over(before), "_opened": F.last(F.when(opens, F.col("seq")), ignorenulls=True).over(before)})
+    told = told.withColumn("_ended", F.last(F.when(ends, F.col("seq")), ignorenulls=True).over(before))
+    told = told.withColumn("_current", F.when(F.col("_ended").isNull() | (F.col("_ended") < F.col("_opened")), F.col("_running")))
+    leaves = completed & F.col("node").eqNullSafe(F.col("_current"))
     says = (F.col("type") == "progress") & F.col("message").isNotNull()
     last = lambda value, when: F.max_by(F.when(when, value), F.when(when, F.col("seq")))
     status = F.create_map(*(F.lit(x) for pair in STATUS.items() for x in pair))[F.col("type")]
-    now = F.struct(F.when(started, F.col("node")).when(~leaves, F.col("_running")).alias("node"), F.when(started | says, F.col("message")).alias("message"))
+    now = F.struct(F.when(started, F.coalesce("node", "_current")).alias("node"), F.when(started | says, F.col("message")).alias("message"))
     pushed = F.col("type").isin("run_started", "node_started", "node_completed", "warning", "error", "run_completed", "run_cancelled") | says
     whole = told.groupBy(run).agg(
         F.max("seq").alias("last_seq"),
