@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.operators import tagrounds as R
+from weftline.operators.containment import held
 
 TEXTS = {k: f"text number {k} of the batch with its own words w{k}" for k in range(8)}
 
@@ -70,3 +71,15 @@ def test_reasons(spark):
     assert got[4] == (("the moon", "无常", [], [], [], ""), ["imagery"] * 3 + ["type"])
     assert got[6] == (("the moon", "", [], ["moon", "river", "花"], [], ""), [])
     assert {x for _, r in got.values() for x in r} == set(R.REASONS)
+
+
+def test_small_groups_are_looked_through(spark):
+    """Names are looked for in the texts of their group, by q-grams in large ones; both give what all pairs give."""
+    words = ["moon", "river", "on", "the river", "zz", "", None]
+    names = [(g, w) for g in range(5) for w in words]
+    texts = [(g, f"{g} the moon over {'the river' if k % 2 else 'a riven bank'} {k % (g + 1)}") for g in range(6) for k in range(4 * g)] + [(1, None)]
+    n, t = spark.createDataFrame(names, "g int, name string"), spark.createDataFrame(texts, "g int, text string")
+    want = sorted({(g, w, x) for g, w in names for h, x in texts if g == h and w and x and w in x})
+    for pairs in (4096, 30, 0):
+        assert sorted(tuple(r) for r in held(n, t, ["g"], pairs=pairs).collect()) == want
+    assert "Generate" not in held(n, t, ["g"])._jdf.queryExecution().executedPlan().toString()

@@ -7,9 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.operators.containment import held
-
 from weftline.functions.lexical import NOUN_ENDINGS, lexicon_tags
+from weftline.operators.containment import held
+from weftline.operators.storage import stored
 
 # Emotions that tags may name beside those of the lexicon, characters that no tag holds, types of a
 # library's chunks, the name of a chunk without any, and limits.
@@ -78,21 +78,34 @@ def refused(df: DataFrame, tags: str, text: str, most: int = MOST_REASONS) -> Da
     return each.filter("reason is not null").groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(most)
 
 
-def misplaced(texts: DataFrame, returned: DataFrame, batch: str = "batch", key: str = "i") -> DataFrame:
-    """Rows of returned (batch, i, quote) whose quote is not in their own text but in another one of their batch, whatever the size of a batch."""
-    own = returned.filter(F.trim("quote") != "").join(texts.select(batch, key, F.col("text").alias("_own")), [batch, key])
-    lost = own.filter(~F.contains("_own", F.trim("quote"))).drop("_own").withColumn("_name", F.trim("quote"))
+def _placed(texts: DataFrame, returned: DataFrame, batch: str, key: str, **more: Column) -> DataFrame:
+    """Returned rows of texts (and more of them and their text), their quote trimmed, and whether their text has it; without the texts, which every further step would have to move."""
+    both = returned.join(texts.select(batch, key, "text"), [batch, key])
+    return stored(both.select(batch, key, F.trim("quote").alias("quote"), F.contains("text", F.trim("quote")).alias("_own"), *(c.alias(n) for n, c in more.items())), "placed")
+
+
+def _misplaced(texts: DataFrame, placed: DataFrame, batch: str, key: str) -> DataFrame:
+    lost = placed.filter((F.col("quote") != "") & ~F.col("_own")).select(batch, key, "quote")
     # the own text does not hold it, so whatever text of the batch does is another one's
-    found = held(lost.select(batch, F.col("_name").alias("name")), texts.select(batch, "text"), [batch]).select(batch, F.col("name").alias("_name")).distinct()
-    return lost.join(found, [batch, "_name"], "left_semi").select(*returned.columns).distinct()
+    found = held(lost.select(batch, F.col("quote").alias("name")), texts.select(batch, "text"), [batch]).select(batch, F.col("name").alias("quote")).distinct()
+    return lost.join(found, [batch, "quote"], "left_semi").select(batch, key, "quote").distinct()
 
 
-def accepted(texts: DataFrame, returned: DataFrame, batch: str = "batch", key: str = "i") -> DataFrame:
-    """Batches that can be taken as a whole: exactly the rows asked for came back, and none has another one's quote."""
+def _accepted(texts: DataFrame, returned: DataFrame, placed: DataFrame, batch: str, key: str) -> DataFrame:
     asked = texts.groupBy(batch).agg(F.sort_array(F.collect_set(key)).alias("_asked"))
     came = returned.groupBy(batch).agg(F.sort_array(F.collect_set(key)).alias("_came"))
     same = asked.join(came, batch).filter(F.col("_asked") == F.col("_came")).select(batch)
-    return same.join(misplaced(texts, returned, batch, key).select(batch).distinct(), batch, "left_anti")
+    return same.join(_misplaced(texts, placed, batch, key).select(batch).distinct(), batch, "left_anti")
+
+
+def misplaced(texts: DataFrame, returned: DataFrame, batch: str = "batch", key: str = "i") -> DataFrame:
+    """Rows of returned (batch, i, quote), quotes trimmed, whose quote is not in their own text but in another one of their batch, whatever the size of a batch."""
+    return _misplaced(texts, _placed(texts, returned, batch, key), batch, key)
+
+
+def accepted(texts: DataFrame, returned: DataFrame, batch: str = "batch", key: str = "i") -> DataFrame:
+    """Batches that can be taken as a whole: exactly the rows asked for came back, and none has another one's quote."""
+    return _accepted(texts, returned, _placed(texts, returned, batch, key), batch, key)
 
 
 def tagged(texts: DataFrame, returned: DataFrame, fallback: DataFrame, batch: str = "batch", key: str = "i") -> DataFrame:
@@ -100,9 +113,9 @@ def tagged(texts: DataFrame, returned: DataFrame, fallback: DataFrame, batch: st
 
     returned has (batch, i, quote, tags), fallback has the same for every text.
     """
-    good = returned.join(accepted(texts, returned, batch, key), batch, "left_semi").join(texts.select(batch, key, "text"), [batch, key])
-    model = good.filter((F.trim("quote") != "") & F.contains("text", F.trim("quote")))
-    model = model.select(batch, key, F.trim("quote").alias("quote"), valid_tags(F.col("tags"), F.col("text")).alias("tags"), F.lit("llm").alias("source"))
+    placed = _placed(texts, returned, batch, key, tags=valid_tags(F.col("tags"), F.col("text")))
+    good = placed.join(_accepted(texts, returned, placed, batch, key), batch, "left_semi")
+    model = good.filter((F.col("quote") != "") & F.col("_own")).select(batch, key, "quote", "tags", F.lit("llm").alias("source"))
     rest = fallback.join(model.select(batch, key), [batch, key], "left_anti").select(batch, key, "quote", "tags", F.lit("lexical").alias("source"))
     return model.unionByName(rest)
 

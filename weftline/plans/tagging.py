@@ -33,7 +33,7 @@ def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _returned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a model gives back: the text's beginning as a quote, for some the next text's, none for some rows, and tags right and wrong."""
-    t = _texts(spark, sf_dir)
+    t = _texts(spark, sf_dir).select("batch", "i", F.substring("text", 1, 60).alias("text"))
     then = F.lead("text").over(W.partitionBy("batch").orderBy("i"))
     quote = F.when(F.col("i") % 50 == 3, F.substring(F.coalesce(then, F.lit("none")), 1, 60)).when(F.col("i") % 11 == 5, F.lit("in no text")).otherwise(F.substring("text", 1, 30))
     tags = F.array(F.concat(F.lit(" "), F.substring("text", 1, 4)), F.lit("a：b"), F.lit("x" * 30), F.lit("zzqq"), F.substring("text", 1, 4), F.lit("the"))
