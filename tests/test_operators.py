@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from weftline.functions import lexical as L
@@ -8,6 +9,7 @@ from weftline.operators import clustering as C
 from weftline.operators import incremental as I
 from weftline.operators.components import components
 from weftline.operators.vectors import semantic_dedup
+from weftline.shipping import SLICE_BYTES, sliced, slices
 from weftline.sources.markup import html_to_text
 from weftline.streaming import events as E
 
@@ -139,3 +141,22 @@ def test_events(spark):
 
 def test_html():
     assert html_to_text("<title>t</title><p>a&amp;b<br>c</p><script>x</script><div>d  e</div>") == "a&b\nc\n\nd e"
+
+
+def test_slices_bound_what_a_function_holds(spark):
+    """A batch of many long texts reaches a function in slices, a text of more alone; the results are those of the whole batch."""
+    texts = pa.array(["a" * 1000] * 5000 + [None, "b" * (SLICE_BYTES + 1), ""])
+    parts = list(slices((texts,)))
+    assert sum(n for _, n in parts) == len(texts) and all(n == 1 or sum(len(x or "") for x in texts.slice(at, n).to_pylist()) <= SLICE_BYTES for at, n in parts)
+    seen = []
+
+    @sliced
+    def lengths(a: pa.Array) -> pa.Array:
+        seen.append(len(a))
+        return pa.array([None if x is None else len(x) for x in a.to_pylist()], pa.int64())
+
+    assert lengths(texts).to_pylist() == [None if x is None else len(x) for x in texts.to_pylist()] and len(seen) == len(parts) > 2
+    assert lengths(texts.slice(0, 0)).to_pylist() == []
+    long = spark.createDataFrame([(k, "Ein Satz. " * 40_000) for k in range(3)] + [(3, None), (4, "kurz")], "k long, t string")
+    got = K.cut(long, "k", "t").groupBy("k").agg(F.sum(F.length("body")).alias("n"), F.countDistinct("piece").alias("m"), F.count("*").alias("c")).collect()
+    assert {r["k"] for r in got} == {0, 1, 2} and len({(r["n"], r["m"], r["c"]) for r in got}) == 1 and all(r["m"] == r["c"] for r in got)

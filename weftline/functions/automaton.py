@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 
-from weftline.shipping import arrow_udf
+from weftline.shipping import arrow_udf, sliced
 
 #: Characters of a segment, and of the texts that are read together.
 SEGMENT, TOGETHER = 512, 1 << 20
@@ -150,20 +150,23 @@ def tags(text: Column, lexicon: Mapping[str, Sequence[str]], limit: int) -> Colu
     pairs = np.array(sorted((place[f], k) for k, t in enumerate(names) for f in set(lexicon[t]) if f), np.int64).reshape(-1, 2)  # a form may speak for several tags
     begin = np.searchsorted(pairs[:, 0], np.arange(len(machine.forms) + 1))
 
+    @sliced
+    def one(a: pa.Array) -> pa.Array:
+        texts, forms, places = machine.places(a.to_pylist())
+        each = np.diff(begin)[forms]
+        row = np.repeat(np.arange(len(forms)), each)
+        tag = pairs[begin[forms][row] + np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each), 1]
+        order = np.lexsort((tag, places[row], texts[row]))
+        texts, tag = texts[row][order].tolist(), tag[order].tolist()
+        out: list[list[str]] = [[] for _ in range(len(a))]
+        for t, k in zip(texts, tag):
+            if len(out[t]) < limit and names[k] not in out[t]:
+                out[t].append(names[k])
+        return pa.array(out, pa.list_(pa.string()))
+
     @arrow_udf("array<string>")
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for a in batches:
-            texts, forms, places = machine.places(a.to_pylist())
-            each = np.diff(begin)[forms]
-            row = np.repeat(np.arange(len(forms)), each)
-            tag = pairs[begin[forms][row] + np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each), 1]
-            order = np.lexsort((tag, places[row], texts[row]))
-            texts, tag = texts[row][order].tolist(), tag[order].tolist()
-            out: list[list[str]] = [[] for _ in range(len(a))]
-            for t, k in zip(texts, tag):
-                if len(out[t]) < limit and names[k] not in out[t]:
-                    out[t].append(names[k])
-            yield pa.array(out, pa.list_(pa.string()))
+        yield from map(one, batches)
 
     return find(text)
 
@@ -177,19 +180,22 @@ def scores(text: Column, lexicon: Mapping[str, Sequence[str]]) -> Column:
     begin = np.searchsorted(pairs[:, 0], np.arange(len(machine.forms) + 1))
     kind = pa.list_(pa.struct([("label", pa.string()), ("score", pa.float64())]))
 
+    @sliced
+    def one(a: pa.Array) -> pa.Array:
+        texts, forms, _ = machine.places(a.to_pylist())
+        each = np.diff(begin)[forms]
+        row = np.repeat(np.arange(len(forms)), each)
+        label = pairs[begin[forms][row] + np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each), 1]
+        key, inverse = np.unique(texts[row] * len(names) + label, return_inverse=True)
+        sums = np.round(np.bincount(inverse, 1 + 0.35 * machine.lengths[forms[row]], len(key)), 6)
+        owner, label = key // max(1, len(names)), key % max(1, len(names))
+        order = np.lexsort((label, -sums, owner))
+        ends = _by_text(len(a), owner[order])
+        labels, values = label[order].tolist(), sums[order].tolist()
+        return pa.array([[{"label": names[k], "score": s} for k, s in zip(labels[x:y], values[x:y])] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())], kind)
+
     @arrow_udf("array<struct<label string, score double>>")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for a in batches:
-            texts, forms, _ = machine.places(a.to_pylist())
-            each = np.diff(begin)[forms]
-            row = np.repeat(np.arange(len(forms)), each)
-            label = pairs[begin[forms][row] + np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each), 1]
-            key, inverse = np.unique(texts[row] * len(names) + label, return_inverse=True)
-            sums = np.round(np.bincount(inverse, 1 + 0.35 * machine.lengths[forms[row]], len(key)), 6)
-            owner, label = key // max(1, len(names)), key % max(1, len(names))
-            order = np.lexsort((label, -sums, owner))
-            ends = _by_text(len(a), owner[order])
-            labels, values = label[order].tolist(), sums[order].tolist()
-            yield pa.array([[{"label": names[k], "score": s} for k, s in zip(labels[x:y], values[x:y])] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())], kind)
+        yield from map(one, batches)
 
     return score(text)

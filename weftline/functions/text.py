@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from weftline.shipping import arrow_udf
+from weftline.shipping import arrow_udf, slices
 
 # Patterns and limits that define what is an advertisement, spam or visible content.
 ZERO_WIDTH = r"[\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{AD}]"
@@ -22,10 +22,18 @@ WEAK_LEAST, LONG_DIGITS, RUN = 2, 8, 10
 CJK = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}"
 
 
+def _composed(text: pa.Array) -> pa.Array:
+    """The texts in NFKC; what is so already stays the same array."""
+    old = text.to_pylist()
+    if all(x is None or x.isascii() or unicodedata.is_normalized("NFKC", x) for x in old):
+        return text
+    return pa.array([None if x is None else unicodedata.normalize("NFKC", x) for x in old], text.type)
+
+
 @arrow_udf(StringType())
 def nfkc(text: pa.Array) -> pa.Array:
-    composed = lambda x: x if x.isascii() or unicodedata.is_normalized("NFKC", x) else unicodedata.normalize("NFKC", x)
-    return pa.array([None if x is None else composed(x) for x in text.to_pylist()], pa.string())
+    parts = [_composed(text.slice(at, n)) for at, n in slices((text,))]
+    return pa.concat_arrays(parts) if len(parts) > 1 else parts[0] if parts else text
 
 
 def normalise(text: Column, compose: bool = False) -> Column:

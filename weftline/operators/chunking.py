@@ -15,10 +15,10 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from weftline.functions.lexical import cjk_share, lossless
-from weftline.shipping import arrow_udf
+from weftline.shipping import arrow_udf, ship, sliced, slices
 
 # Lengths of pieces and of the overlap, the shortest text, the marks that end a sentence or a clause,
 # the lengths of streamed deltas, and the prefix of each library's ids.
@@ -100,11 +100,19 @@ def pieces(text: str, target: int = TARGET, most: int = MOST, least: int = LEAST
 def cut(df: DataFrame, key: str, text: str, target: int = TARGET, most: int = MOST) -> DataFrame:
     """key, piece, paragraph, text, body, hard; texts under SHORTEST characters have no piece."""
 
-    @arrow_udf(ArrayType(PIECE))
-    def split(batch: pa.Array) -> pa.Array:
-        return pa.array([[dict(zip(("paragraph", "text", "body", "hard"), p)) for p in pieces(t, target, most)] for t in batch.to_pylist()], pa.list_(pa.struct([("paragraph", pa.int32()), ("text", pa.string()), ("body", pa.string()), ("hard", pa.bool_())])))
+    clean = df.select(key, lossless(F.col(text)).alias("_t"))
+    ship(df.sparkSession)
+    kinds = pa.schema([("piece", pa.int32()), ("paragraph", pa.int32()), ("text", pa.string()), ("body", pa.string()), ("hard", pa.bool_())])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, n in slices((batch["_t"],)):
+                part = batch.slice(at, n)
+                rows = [(k, m, *p) for k, t in enumerate(part["_t"].to_pylist()) for m, p in enumerate(pieces(t, target, most) if t is not None else [])]
+                place, *columns = zip(*rows) if rows else [()] * 6
+                yield pa.RecordBatch.from_arrays([part[key].take(pa.array(place, pa.int64())), *(pa.array(c, f.type) for c, f in zip(columns, kinds))], [key, *kinds.names])
 
-    return df.select(key, F.posexplode(split(lossless(F.col(text)))).alias("piece", "p")).select(key, "piece", "p.*")
+    return clean.mapInArrow(split, StructType([clean.schema[key], StructField("piece", IntegerType()), *PIECE.fields]))
 
 
 def split_reports(df: DataFrame, key: str, text: str, target: int = TARGET, most: int = MOST) -> DataFrame:
@@ -115,6 +123,7 @@ def split_reports(df: DataFrame, key: str, text: str, target: int = TARGET, most
     """
 
     @arrow_udf("struct<pieces int, hard int>")
+    @sliced
     def counted(batch: pa.Array) -> pa.Array:
         every = [pieces(t, target, most) for t in batch.to_pylist()]
         return pa.array([{"pieces": len(x), "hard": sum(p[3] for p in x)} for x in every], pa.struct([("pieces", pa.int32()), ("hard", pa.int32())]))
@@ -140,6 +149,7 @@ def deltas(text: str, size: int = DELTA_SIZE, floor: int = DELTA_FLOOR) -> list[
 
 def streamed(text: Column, size: int = DELTA_SIZE, floor: int = DELTA_FLOOR) -> Column:
     @arrow_udf(ArrayType(StringType()))
+    @sliced
     def split(batch: pa.Array) -> pa.Array:
         return pa.array([deltas(t or "", size, floor) for t in batch.to_pylist()], pa.list_(pa.string()))
 
@@ -150,6 +160,7 @@ def chunk_ids(library: Column, work: Column, body: Column) -> Column:
     """An id that depends on the library, the work's name and the body alone."""
 
     @arrow_udf(StringType())
+    @sliced
     def make(library: pa.Array, work: pa.Array, body: pa.Array) -> pa.Array:
         out = []
         for lib, w, b in zip(library.to_pylist(), work.to_pylist(), body.to_pylist()):

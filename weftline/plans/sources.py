@@ -13,7 +13,7 @@ from pyspark.sql.types import BinaryType
 
 from weftline.functions import text as T
 from weftline.operators.storage import shared_dir
-from weftline.shipping import arrow_udf
+from weftline.shipping import arrow_udf, sliced
 from weftline.sources import corpus
 from weftline.sources.markup import book_reports, book_texts
 from weftline.sources.tables import table
@@ -69,6 +69,7 @@ def corpus_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @arrow_udf(BinaryType())
+@sliced
 def _book(text: pa.Array) -> pa.Array:
     """A book with a cover, a list of contents, and a part for each line of the text."""
     out = []
@@ -94,6 +95,7 @@ def book_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @arrow_udf(BinaryType())
+@sliced
 def _scarred(text: pa.Array) -> pa.Array:
     """A book of the text's lines with a part that is named like a cover in the list of contents, one that is not there, one without text and one that is damaged."""
     out = []
