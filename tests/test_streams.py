@@ -129,3 +129,13 @@ def test_a_node_ends_once(spark, tmp_path):
     t = KeyedTable.create(spark, f"file://{tmp_path}/t", S.schema_of(log, ["run_id"], S.RUN_STATE), ("run_id",), buckets=2)
     drain(spark, lambda k: log, tmp_path, S.run_states, S.into_table(t.path), 1)
     assert sorted(map(str, t.read().collect())) == sorted(map(str, run_state(log).select(*t.schema.names).collect()))
+
+
+def test_a_part_is_written_by_all_tasks(spark, monkeypatch):
+    """The log of a part is no single task's work; a part is read whole before the next is there."""
+    seen = []
+    monkeypatch.setattr(S, "drained", lambda stream, *_: seen.append(stream))
+    log = spark.range(0, 1000, 1, 4)
+    path = streams.in_parts(log, [F.col("id") % 2 == 1], F.lit(False), lambda s: s, None, "update")
+    assert len(seen) == 2 and len(spark.read.parquet(path).inputFiles()) == 8
+    assert spark.read.parquet(path).count() == 1000

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.operators.keyed import KeyedTable
+from weftline.operators.storage import stored
 from weftline.plans.persist import _TYPES
 from weftline.plans.persist import ORACLE_SQL as _PERSIST
 from weftline.plans.stored import scratch
@@ -22,21 +23,20 @@ _KINDS = ["agent_started"] * 2 + ["agent_thinking"] * 4 + ["agent_tool_call"] *
 
 
 def in_parts(log: DataFrame, cuts: Sequence[Column], again: Column, make, sink, mode: str) -> str:
-    """Writes log in parts, each with rows of the part before that come again, and lets the stream read the first, stop, and read the rest after a restart.
+    """Writes log in parts, each with rows of the part before that come again, and lets the stream read each, stop, and go on after a restart.
 
-    A part is one file, so that it is one batch.
+    A part is one batch, of as many files as there are tasks.
     """
     spark, at = log.sparkSession, scratch(log.sparkSession, "parts")
     checkpoint = scratch(spark, "progress")
     part = F.lit(0)
     for c in cuts:
         part = part + c.cast("int")
-    log = log.withColumn("_part", part)
+    log = stored(log.withColumn("_part", part), "log")
     for k in range(len(cuts) + 1):
         rows = log.filter((F.col("_part") == k) | ((F.col("_part") == k - 1) & again)).drop("_part")
-        rows.coalesce(1).write.mode("append").parquet(at)
-        if k == 0 or k == len(cuts):
-            S.drained(make(S.files_of(spark, rows.schema, at)), sink, checkpoint, mode)
+        rows.write.mode("append").parquet(at)
+        S.drained(make(S.files_of(spark, rows.schema, at, None)), sink, checkpoint, mode)
     return at
 
 

@@ -161,6 +161,7 @@ def drained(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoin
     return 0 if query.lastProgress is None else query.lastProgress["batchId"] + 1
 
 
-def files_of(spark: SparkSession, schema: StructType, path: str) -> DataFrame:
-    """The files under path as a stream, one file a batch, the oldest first."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(path)
+def files_of(spark: SparkSession, schema: StructType, path: str, most: int | None = 1) -> DataFrame:
+    """The files under path as a stream, `most` files a batch, the oldest first; without it a batch is whatever is there."""
+    reader = spark.readStream.schema(schema).option("latestFirst", "false")
+    return (reader if most is None else reader.option("maxFilesPerTrigger", most)).parquet(path)
