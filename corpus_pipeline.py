@@ -18,7 +18,7 @@ from weftline.shipping import ship
 
 
 #: Bytes of text in a block of the last stage; smaller blocks than the operator's own leave room beside the earlier stages' memory.
-TOKEN_BLOCK_BYTES = 16 << 20
+TOKEN_BLOCK_BYTES = 8 << 20
 #: Columns of their own that stages add and drop again.
 _KEY, _TOLD = "_weftline_key", "_weftline_told"
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.blocks import BLOCK_BYTES, block_id, from_ipc, from_planes, in_blocks, ipc, planes
+from weftline.llm.blocks import BLOCK_BYTES, block_id, from_ipc, from_planes, in_blocks, ipc, planes, released
 from weftline.llm.common import stored, table, text_bytes
 from weftline.shipping import ship
 from weftline.llm.token_counts import ADJOINING, encode_batches, pieces, tokenizer
@@ -109,27 +109,33 @@ def _split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return pa.concat_arrays(parts), at, sizes
 
 
+def _block(block: int, rows: pa.Table, buckets: int) -> pa.RecordBatch:
+    words, at, sizes = split_words(rows.column(rows.num_columns - 1))
+    names = (w for k in range(0, len(words), 1 << 14) for w in words.slice(k, 1 << 14).to_pylist())
+    bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in names), np.int64, len(words))
+    used = np.zeros(len(words), bool)
+    used[at] = True
+    order = pc.sort_indices(words).to_numpy()
+    order = order[used[order]]
+    order = order[np.argsort(bucket[order], kind="stable")]
+    new = np.zeros(len(words), np.int32)
+    new[order] = np.arange(len(order), dtype=np.int32)
+    lists, held = words.take(pa.array(order)), bucket[order]
+    ends = np.flatnonzero(np.diff(held, append=-1)) + 1
+    kinds = [-1, *held[ends - 1].tolist()]
+    data = [ipc(rows.remove_column(rows.num_columns - 1).append_column("sizes", pa.array(sizes)))]
+    data += [ipc(pa.table({"words": lists.slice(start, end - start).cast(pa.string())})) for start, end in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    spots = planes(new[at])
+    ids = pa.array([block_id(block, data[0], spots)] * len(kinds), pa.int64())
+    return pa.RecordBatch.from_pydict({"block": ids, "bucket": pa.array(kinds, pa.int32()), "data": pa.array(data, pa.binary()), "words": pa.array([spots] + [None] * (len(kinds) - 1), pa.binary())})
+
+
 def block_rows(batches: Iterator[pa.RecordBatch], text: str, buckets: int, block_bytes: int) -> Iterator[pa.RecordBatch]:
     """Of each block: its rows with their words' positions (bucket -1), and each bucket's words in the order of the positions."""
     for block, rows in in_blocks(batches, text, block_bytes):
-        words, at, sizes = split_words(rows.column(rows.num_columns - 1))
-        names = (w for k in range(0, len(words), 1 << 14) for w in words.slice(k, 1 << 14).to_pylist())
-        bucket = np.fromiter((xxhash.xxh3_64_intdigest(w) % buckets for w in names), np.int64, len(words))
-        used = np.zeros(len(words), bool)
-        used[at] = True
-        order = pc.sort_indices(words).to_numpy()
-        order = order[used[order]]
-        order = order[np.argsort(bucket[order], kind="stable")]
-        new = np.zeros(len(words), np.int32)
-        new[order] = np.arange(len(order), dtype=np.int32)
-        lists, held = words.take(pa.array(order)), bucket[order]
-        ends = np.flatnonzero(np.diff(held, append=-1)) + 1
-        kinds = [-1, *held[ends - 1].tolist()]
-        data = [ipc(rows.remove_column(rows.num_columns - 1).append_column("sizes", pa.array(sizes)))]
-        data += [ipc(pa.table({"words": lists.slice(start, end - start).cast(pa.string())})) for start, end in zip([0, *ends[:-1].tolist()], ends.tolist())]
-        spots = planes(new[at])
-        ids = pa.array([block_id(block, data[0], spots)] * len(kinds), pa.int64())
-        yield pa.RecordBatch.from_pydict({"block": ids, "bucket": pa.array(kinds, pa.int32()), "data": pa.array(data, pa.binary()), "words": pa.array([spots] + [None] * (len(kinds) - 1), pa.binary())})
+        yield _block(block, rows, buckets)
+        del rows
+        released()
 
 
 def encoded_words(lists: DataFrame, path: str, buckets: int) -> DataFrame:
@@ -149,6 +155,8 @@ def encoded_words(lists: DataFrame, path: str, buckets: int) -> DataFrame:
                 ends = np.cumsum([0, *map(len, each)]) // 4
                 ids = ipc(pa.table({"ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(each), np.int32)))}))
                 yield pa.RecordBatch.from_pydict({"block": pa.array([block.as_py()], pa.int64()), "bucket": pa.array([bucket.as_py()], pa.int32()), "data": pa.array([ids], pa.binary())})
+        known.clear()
+        released()
 
     return lists.repartition(buckets, "bucket").mapInArrow(encode, "block long, bucket int, data binary")
 
@@ -198,7 +206,7 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     ship(docs.sparkSession)
     docs = settled(docs.select(*{c: None for c in (key, *keep, text)}))
     size = text_bytes(docs, text)
-    buckets = int(min(MOST_BUCKETS, max(1, -(-size // min(BUCKET_BYTES, block_bytes)))))
+    buckets = int(min(MOST_BUCKETS, max(1, -(-size // min(BUCKET_BYTES, 2 * block_bytes)))))
     fields = {"n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"} | ({"ids": "array<int>", "decoded": "string"} if texts else {})
     keep = tuple(c for c in dict.fromkeys(keep) if c != key and c not in fields)
     blocks = docs.select(key, *keep, F.col(text).alias("_text")).mapInArrow(lambda batches: block_rows(batches, "_text", buckets, block_bytes), "block long, bucket int, data binary, words binary").groupBy("block")
@@ -207,6 +215,11 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     found = encoded_words(lists, path, buckets)
 
     def assemble(rows: pa.Table, ids: pa.Table) -> pa.Table:
+        out = joined(rows, ids)
+        released()
+        return out
+
+    def joined(rows: pa.Table, ids: pa.Table) -> pa.Table:
         mine = rows.filter(pc.less(rows["bucket"], 0))
         if len(mine) != 1 or len(ids) != len(rows) - 1:
             raise RuntimeError("a block was read anew with its rows in another order")
@@ -239,8 +252,8 @@ def encoded(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             whole = lists.take(pa.array(at)).flatten() if len(at) else pa.array([], pa.int32())
             of = np.concatenate(([0], np.cumsum(n_tokens)))
             out["ids"] = pa.array([whole.slice(of[k], n_tokens[k]).to_pylist() for k in range(len(sizes))], pa.list_(pa.int32()))
-            joined = _Joined(read, at)
-            out["decoded"] = pa.array([str(joined.part(int(ends[k]), int(ends[k + 1])), "utf-8", "replace") for k in range(len(sizes))], pa.string())
+            whole_bytes = _Joined(read, at)
+            out["decoded"] = pa.array([str(whole_bytes.part(int(ends[k]), int(ends[k + 1])), "utf-8", "replace") for k in range(len(sizes))], pa.string())
         for c, v in out.items():
             rows = rows.append_column(c, v)
         return rows
