@@ -66,3 +66,16 @@ def test_vectors_without_length_and_ties(spark):
     assert [(r["query_id"], r["rank"], r["chunk_id"], r["score"]) for r in V.top_k(q, rows, 3).orderBy("rank").collect()] == [(1, 1, 0, 1.0), (1, 2, 1, 1.0), (1, 3, 2, 1.0)]
     assert V.similar_pairs(rows, 0.5, key="chunk_id").count() == 15 and V.similar_pairs(rows.limit(0), 0.5, key="chunk_id").count() == 0
     assert V.top_k(q, rows.limit(0), 3).count() == 0
+
+
+def test_a_run_is_joined_to_what_its_concepts_lead_to(spark):
+    """Where a concept leads is told before the runs' rows meet it: these are neither grouped nor ranked again, and each run has the same places."""
+    concepts = spark.createDataFrame([(r, c) for r in range(20) for c in ("a", "b", None)] + [(1, "a")], "run_id int, concept string")
+    imagery = spark.createDataFrame([("a", "x", 3), ("a", "y", 3), ("b", "y", 1), ("a", "z", 2), ("a", "w", 1)], "concept string, imagery string, strength int")
+    mentions = spark.createDataFrame([("x", 1, 2.0), ("y", 1, 9.0), ("y", 2, 9.0), ("z", 3, 1.0), ("w", 4, 1.0)], "imagery string, chunk_id int, weight double")
+    got = E.graph_pass(concepts, imagery, mentions)
+    rows = {(r["run_id"], r["concept"]): [] for r in got.collect()}
+    for r in got.orderBy("place").collect():
+        rows[r["run_id"], r["concept"]].append(r["chunk_id"])
+    assert rows == {(r, c): x for r in range(20) for c, x in (("a", [1, 2, 3]), ("b", [1, 2]))}
+    assert "Window" not in got._jdf.queryExecution().optimizedPlan().toString()

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftline.functions.text import clean_tags, clean_text
+from weftline.operators.storage import stored
 
 # Names of clusters without keywords, characters of an evidence's text, chunks of a graph query, imagery
 # of a concept, concepts of a run, steps of a fallback, and the caps of tags by dimension.
@@ -99,9 +100,10 @@ def graph_pass(concepts: DataFrame, imagery: DataFrame, mentions: DataFrame, by:
     strong = imagery.withColumn("_i", F.row_number().over(W.partitionBy("concept").orderBy(F.desc("strength"), "imagery"))).filter(F.col("_i") <= BRIDGE_IMAGERY)
     lead = strong.select("imagery").distinct()
     some = mentions.join(lead, "imagery", "left_semi").withColumn("_m", F.row_number().over(W.partitionBy("imagery").orderBy(F.desc("weight"), "chunk_id"))).filter(F.col("_m") <= GRAPH_TOP)
-    path = concepts.select(*by, "concept").distinct().join(strong, "concept").join(some, "imagery")
-    once = path.groupBy(*by, "concept", "chunk_id").agg(F.min(F.struct("_i", "_m")).alias("_p"))
-    return once.withColumn("place", F.row_number().over(W.partitionBy(*by, "concept").orderBy("_p"))).drop("_p")
+    # where a concept leads is the same in every run, so it is told once for each concept, and the runs' rows are not dealt out again
+    once = strong.join(some, "imagery").groupBy("concept", "chunk_id").agg(F.min(F.struct("_i", "_m")).alias("_p"))
+    leads = stored(once.withColumn("place", F.row_number().over(W.partitionBy("concept").orderBy("_p"))).drop("_p"), "leads")
+    return concepts.select(*by, "concept").distinct().join(leads, "concept").select(*by, "concept", "chunk_id", "place")
 
 
 def match_reason() -> Column:
