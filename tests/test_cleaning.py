@@ -75,3 +75,16 @@ def test_ads_with_digits_of_any_script(spark):
     ads = ["q\u0661\u0662\u0663\u0664\u0665\u0666", "Q Q: 123456", "1\u30003\u0668", "13\u0661\u0662\u0663\u0664\u0665\u0666\u0667\u0668\u0669 ok", "+\u00a0v good"]
     rows = spark.createDataFrame([(x,) for x in ads], "t string").select(T.is_ad(F.col("t")).alias("ad")).collect()
     assert [r["ad"] for r in rows] == [True, True, False, True, True]
+
+
+def test_patterns_in_one_pass(spark):
+    """Runs, visible characters and keys as the plain patterns tell them, without the slow ones: a back reference tried at each character, emoji cut out before others."""
+    texts = [c * n for c in ("a", "é", "微", "!", "😀", "①", "Ⅷ", "❶", "٣") for n in (1, 9, 10, 11)] + ["", " ", "x" * 9 + "y" * 9, "a" * 9 + "\n" + "a", "微" * 12 + "b" * 10, "aaaaa aaaaa", "☃1⬛2"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([x for t in texts for x in (t, "aaaaa")])], "id int, body string").coalesce(1)
+    body = F.col("body")
+    run, seen = body.rlike(rf"([^{T.CJK}])\1{{9,}}"), F.regexp_replace(body, T.EMOJI, "").rlike(r"[\p{L}\p{N}]")
+    key = F.md5(F.regexp_replace(F.regexp_replace(body, T.EMOJI, ""), r"[^\p{L}\p{N}]+", ""))
+    for new, old in ((T.is_spam(body), (body == "") | ~seen | run), (T.visible(body), seen), (T.fingerprint(body), key)):
+        assert df.filter(~new.eqNullSafe(old)).collect() == []
+    plan = df.select(T.is_spam(body))._jdf.queryExecution().analyzed().toString()
+    assert "\\1{" not in plan and "regexp_replace" not in plan

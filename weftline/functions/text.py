@@ -4,16 +4,18 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 from weftline.shipping import arrow_udf, slices
 
 # Patterns and limits that define what is an advertisement, spam or visible content.
 ZERO_WIDTH = r"[\x{200B}-\x{200F}\x{2060}\x{FEFF}\x{AD}]"
-EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}\x{2B00}-\x{2BFF}\x{FE0F}\x{200D}]+"
+_EMOJI = r"\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}\x{2B00}-\x{2BFF}\x{FE0F}\x{200D}"
+EMOJI = f"[{_EMOJI}]+"
 URL = r"(?:https?://|www\.)[^\s，。、）)】\]]+"
 MENTION = r"@[\p{L}\p{N}_\x{4E00}-\x{9FFF}\-.]+"
 STRONG = r"加\s*(?:我|一下)?\s*(?:微信|vx|v信|威信|薇信|wx|v\b|q\b|qq)|[加+＋]\s*v(?![a-z])|(?:微信|vx|wx|qq)\s*[:：]?\s*[a-z0-9_-]{5,}|私\s*(?:我|聊|信)|(?:看|点)\s*(?:我)?\s*主页|(?:点|戳)\s*(?:击)?\s*(?:下方)?\s*(?:链接|小黄车|购物车|橱窗)|(?:领|抢)\s*(?:取|购)?\s*(?:优惠券|福利|红包|免费)|(?:加|进)\s*(?:群|粉丝群)|(?:刷单|代购|招代理|招兼职|日结|包邮|现货|批发|一手货源)|主页\s*(?:简介|签名)?\s*(?:自取|有链接|看简介|领取)|月\s*入\s*\d+\s*[w万k]|(?:0|零)\s*基础\s*(?:转行|学|做|也能|月入)|名额\s*(?:只剩|有限|不多)|1[3-9]\d{9}|q\s*q?\s*[:：]?\s*\d{6,}"
@@ -44,28 +46,54 @@ def normalise(text: Column, compose: bool = False) -> Column:
 
 
 def visible(body: Column) -> Column:
-    """Has a letter or digit once emoji are gone."""
-    return F.regexp_replace(body, EMOJI, "").rlike(r"[\p{L}\p{N}]")
+    """Has a letter or digit that is no emoji."""
+    return body.rlike(rf"[\p{{L}}\p{{N}}&&[^{_EMOJI}]]")
 
 
 def fingerprint(body: Column) -> Column:
     """Digest of what is left without links, mentions, emoji, punctuation and white space."""
     bare = body
-    for pattern in ("(?i)" + URL, MENTION, EMOJI, r"[^\p{L}\p{N}]+"):
+    # emoji, and all that is no letter or digit, go in one pass
+    for pattern in ("(?i)" + URL, MENTION, rf"[^\p{{L}}\p{{N}}&&[^{_EMOJI}]]+"):
         bare = F.regexp_replace(bare, pattern, "")
     return F.md5(bare)
 
 
 def is_ad(body: Column) -> Column:
     digits = body.rlike(rf"\p{{Nd}}{{{LONG_DIGITS},}}") & body.rlike(r"\p{L}")  # digits and punctuation alone are spam
-    weak = F.size(F.array_distinct(F.regexp_extract_all(body, F.lit("(" + "|".join(WEAK) + ")"), F.lit(1)))) >= WEAK_LEAST
+    # all weak words are Chinese
+    weak = body.rlike(f"[{CJK}]") & (F.size(F.array_distinct(F.regexp_extract_all(body, F.lit("(" + "|".join(WEAK) + ")"), F.lit(1)))) >= WEAK_LEAST)
     # every strong pattern holds one of these; most texts have none, and the rest is not tried on them
-    may = body.rlike(rf"[{CJK}]|\p{{Nd}}{{6}}|[+＋]\p{{IsWhite_Space}}*[vV]|[vVwW][xX]|[qQ][qQ]")
+    may = body.rlike(rf"(?=[{CJK}\p{{Nd}}+＋vVwWqQ])(?:[{CJK}]|\p{{Nd}}{{6}}|[+＋]\p{{IsWhite_Space}}*[vV]|[vVwW][xX]|[qQ][qQ])")
     return (body != "") & (body.rlike("(?i)" + URL) | (may & body.rlike("(?iU)" + STRONG)) | digits | weak)
 
 
+def _runs(texts: pa.Array) -> list[bool]:
+    """Whether each text has RUN equal characters in a row that are not Chinese."""
+    each = texts.to_pylist()
+    size = np.array([0 if x is None else len(x) for x in each], np.int64)
+    chars = np.frombuffer("".join(x or "" for x in each).encode("utf-32-le"), np.uint32)
+    # places where a character differs from the one before, or a text begins: between two of them all are equal
+    new = np.ones(len(chars), bool)
+    new[1:] = chars[1:] != chars[:-1]
+    begin = np.cumsum(size) - size
+    new[begin[size > 0]] = True
+    at = np.flatnonzero(new)
+    long = at[np.diff(at, append=len(chars)) >= RUN]
+    found = np.zeros(len(each), bool)
+    c = chars[long]
+    long = long[~(((c >= 0x3400) & (c <= 0x4DBF)) | ((c >= 0x4E00) & (c <= 0x9FFF)) | ((c >= 0xF900) & (c <= 0xFAFF)))]
+    found[np.searchsorted(begin + size, long, "right")] = True
+    return found.tolist()
+
+
+@arrow_udf(BooleanType())
+def has_run(text: pa.Array) -> pa.Array:
+    return pa.array([x for at, n in slices((text,)) for x in _runs(text.slice(at, n))], pa.bool_())
+
+
 def is_spam(body: Column) -> Column:
-    return (body == "") | ~visible(body) | body.rlike(rf"([^{CJK}])\1{{{RUN - 1},}}")
+    return (body == "") | ~visible(body) | has_run(body)
 
 
 def one_line(text: Column, limit: int, tail: str = "…") -> Column:
