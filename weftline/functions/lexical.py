@@ -28,20 +28,6 @@ MARKER = r"\[\s*\[\s*ev\s*:\s*([^\s\[\]]+?)\s*\]\s*\]"
 ATTEMPT = r"(?i)\[\s*\[\s*ev\s*:\s*([^\]]*?)\s*\]\s*\]"
 
 
-def runs(text: Column) -> Column:
-    """What stands between punctuation, as far as it can hold an n-gram."""
-    return F.filter(F.split(text, RUN_BREAK), lambda r: F.length(r) >= SHORTEST)
-
-
-def window_grams(piece: Column, size: int) -> Column:
-    """All n-grams that begin within the first `size` characters of a piece of a run, repeats included, that may be keyphrases."""
-    n = F.length(piece)
-    starts = F.sequence(F.lit(1), F.least(F.lit(size), n - 1))
-    of = lambda i: F.transform(F.sequence(F.lit(SHORTEST), F.least(F.lit(LONGEST), n - i + 1)), lambda k: F.substring(piece, i, k))
-    fits = lambda g: ~F.substring(g, 1, 1).isin(*NOT_FIRST) & ~F.substring(g, -1, 1).isin(*NOT_LAST) & ~g.isin(*STOP_WORDS)
-    return F.filter(F.flatten(F.transform(F.when(n >= SHORTEST, starts).otherwise(F.array().cast("array<int>")), of)), fits)
-
-
 def gram_score(gram: Column, count: Column) -> Column:
     noun = F.when(gram.rlike("(?:" + "|".join(NOUN_ENDINGS) + ")$"), NOUN_FACTOR).otherwise(1.0)
     return F.log1p(count) * F.pow(F.length(gram), F.lit(LENGTH_POWER)) * noun
