@@ -59,3 +59,35 @@ def test_fifty_thousand(spark):
     df = spark.createDataFrame([(1, k, v) for k, v in enumerate(x.tolist())], "run_id int, id long, v array<double>").repartition(16)
     labels = D.density_labels(df, "run_id").toPandas()
     assert len(labels) == 50_000 and labels.label.max() >= 5
+
+
+def test_few_edges_leave_a_pair_of_blocks():
+    """Each pair of blocks sent a tree of all its points, so a run's last task had rows * rows / BLOCK edges; tiles of a block give the same tree."""
+    x = points(900, 9, 3)
+    x[700:720] = x[:20]
+    d = np.maximum(0, np.round(1 - x @ x.T, 12))
+    core = np.partition(d, 2, 1)[:, 2]
+    reach = np.maximum(d, np.maximum(core[:, None], core))
+    at, far = D._nearest(x, x, 8, True)
+    assert np.array_equal(np.sort(far, 1), np.sort(np.where(np.eye(len(x)), np.inf, d), 1)[:, :8])
+    i = np.repeat(np.arange(len(x)), 8)
+    a, b = np.minimum(i, at.ravel()), np.maximum(i, at.ravel())
+    keep = D.spanning(a, b, reach[a, b], len(x))
+    a, b = a[keep], b[keep]
+    order, gap, edge, tree = D.merged(a, b, reach[a, b], len(x))
+    top = np.zeros(len(x))
+    np.maximum.at(top, tree, np.where(np.isinf(gap), 0, gap))
+    for block in (900, 250):
+        blocks = np.maximum.reduceat(gap, np.arange(0, len(x), block))
+        sides = []
+        for k in range(0, len(x), block):
+            s = D._Side.__new__(D._Side)
+            of = order[k : k + block]
+            s.v, s.core, s.gap, s.top, s.part, s.rank, s.blocks = x[of], core[of], gap[k : k + block], top[tree][k : k + block], tree[k : k + block], of, blocks
+            sides.append(s)
+        more = [D.pair_edges(sides[p], sides[q], p, q, 64) for p in range(len(sides)) for q in range(p, len(sides))]
+        u, v, w = (np.concatenate(z) for z in zip((a, b, reach[a, b]), *more))
+        assert len(u) < 6 * len(x)
+        got = D.spanning(u, v, w, len(x))
+        want = D.spanning(*(np.triu_indices(len(x), 1)), reach[np.triu_indices(len(x), 1)], len(x))
+        assert len(got) == len(x) - 1 and np.allclose(np.sort(w[got]), np.sort(reach[np.triu_indices(len(x), 1)][want]), atol=1e-12)
