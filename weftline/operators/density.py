@@ -42,6 +42,20 @@ def _lengths(s: np.ndarray) -> np.ndarray:
     return np.maximum(0, np.round(1 - s, 12))
 
 
+def _best(s: np.ndarray, most: int) -> np.ndarray:
+    """Places of the `most` largest of each row, in no order. What is under the largest of each eighth column is not looked at; with many equal ones all are."""
+    n = s.shape[1]
+    if most >= n:
+        return np.tile(np.arange(n), (len(s), 1))
+    if n // 8 > most:
+        some = s[:, ::8]
+        row, at = np.nonzero(s >= np.partition(some, some.shape[1] - most, 1)[:, some.shape[1] - most, None])
+        if len(row) <= 64 * most * len(s):
+            order = np.lexsort((-s[row, at], row))
+            return at[order][np.searchsorted(row, np.arange(len(s)))[:, None] + np.arange(most)]
+    return np.argpartition(s, n - most, 1)[:, n - most :]
+
+
 def _nearest(x: np.ndarray, y: np.ndarray, most: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
     """Places in y and distances of the `most` nearest rows of each row of x, itself left out; in no order."""
     most = min(most, len(y) - same)
@@ -50,7 +64,7 @@ def _nearest(x: np.ndarray, y: np.ndarray, most: int, same: bool) -> tuple[np.nd
         s = x[k : k + NEAREST] @ y.T
         if same:
             s[np.arange(len(s)), np.arange(k, k + len(s))] = -np.inf
-        best = np.argpartition(s, len(y) - most, 1)[:, len(y) - most :] if most < len(y) else np.tile(np.arange(len(y)), (len(s), 1))
+        best = _best(s, most)
         at.append(best)
         far.append(_lengths(np.take_along_axis(s, best, 1)))
     return np.concatenate(at), np.concatenate(far)
@@ -133,10 +147,17 @@ class _Side:
 
 def _wanted(x: _Side, y: _Side, i: slice, j: slice, bound: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, length) of a tile's edges that the tree may have, a and b as ranks."""
-    w = np.maximum(_lengths(x.v[i] @ y.v[j].T), np.maximum(x.core[i][:, None], y.core[j]))
+    s = x.v[i] @ y.v[j].T
+    apart = np.isinf(bound)
+    if not same and not apart.any():
+        at, to = np.nonzero(s >= 1 - 1e-11 - bound)  # only what may fit is rounded
+        w = np.maximum(_lengths(s[at, to]), np.maximum(x.core[i][at], y.core[j][to]))
+        fits = w <= bound[at, to]
+        a, b = x.rank[i][at[fits]], y.rank[j][to[fits]]
+        return np.minimum(a, b), np.maximum(a, b), w[fits]
+    w = np.maximum(_lengths(s), np.maximum(x.core[i][:, None], y.core[j]))
     if same:
         w[np.tril_indices(len(w))] = np.inf
-    apart = np.isinf(bound)
     if apart.any():
         new = [np.flatnonzero(np.diff(t, prepend=-1)) for t in (x.part[i], y.part[j])]
         least = np.minimum.reduceat(np.minimum.reduceat(w, new[0], 0), new[1], 1)
